@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gregale.llm.common import read, small_batches
 
@@ -195,7 +196,7 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Null and empty texts have no tokens and decode to no bytes; a null id stays null; repeated rows are coded each. Other columns
     are left behind. The vocabulary file must be at ranks_path on every executor; it isn't shipped.
     """
-    schema = docs.select(id_col).schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = T.StructType([*docs.select(id_col).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     memo: list[TreeEncoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,20 +76,20 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL8 = f"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 windows AS (
-  SELECT doc_id, at, l[at + 1 : at + {LINES}] AS w
-  FROM (SELECT doc_id, l, unnest(range(0, len(l) - {LINES - 1})) AS at FROM lines WHERE len(l) >= {LINES})
+  SELECT doc_id, pos, l[pos + 1 : pos + {LINES}] AS w
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - {LINES - 1})) AS pos FROM lines WHERE len(l) >= {LINES})
 ),
-ranked AS (SELECT doc_id, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS r FROM windows),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + {LINES})) AS at FROM ranked WHERE r > 1),
-each AS (SELECT doc_id, l[at + 1] AS line, at FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS at FROM lines)),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {LINES})) AS pos FROM ranked WHERE r > 1),
+each AS (SELECT doc_id, l[pos + 1] AS line, pos FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS pos FROM lines)),
 kept AS (
-  SELECT e.doc_id, count(*) AS n_lines, count(g.at) AS n_removed,
-         coalesce(string_agg(CASE WHEN g.at IS NULL THEN e.line END, chr(10) ORDER BY e.at), '') AS kept_text
-  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at GROUP BY e.doc_id
+  SELECT e.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN e.line END, chr(10) ORDER BY e.pos), '') AS kept_text
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY e.doc_id
 ),
 spans AS (
   SELECT doc_id, count(*) AS n_spans
-  FROM (SELECT doc_id, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS k FROM gone) GROUP BY doc_id, k
+  FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM gone) GROUP BY doc_id, k
 )
 SELECT k.doc_id, k.n_lines, k.n_removed, coalesce(s.n, 0) AS n_spans, k.kept_text
 FROM kept k LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) s ON s.doc_id = k.doc_id
