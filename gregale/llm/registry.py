@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from gregale.llm import bpe, fertility, linededup, mixing, quality, sharding, tiff, warc
+from gregale.llm import bpe, fertility, jaccard, linededup, mixing, quality, sharding, tiff, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_tiff": tiff.op6_tiff,
     "op7_warc": warc.op7_warc,
     "op8_linededup": linededup.op8_linededup,
     "op10_fertility": fertility.op10_fertility,
 }
-SQL = {"op7_warc": warc.SQL7, "op8_linededup": linededup.SQL8}
+SQL = {"op4_jaccard": jaccard.SQL4, "op7_warc": warc.SQL7, "op8_linededup": linededup.SQL8}
