@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gregale.llm import bpe, fertility, jaccard, linededup, mixing, quality, sharding, tiff, warc
+from gregale.llm import bpe, fertility, jaccard, linededup, mixing, quality, sharding, suffix, tiff, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_tiff": tiff.op6_tiff,
     "op7_warc": warc.op7_warc,
     "op8_linededup": linededup.op8_linededup,
+    "op9_suffix": suffix.op9_suffix,
     "op10_fertility": fertility.op10_fertility,
 }
 SQL = {"op4_jaccard": jaccard.SQL4, "op7_warc": warc.SQL7, "op8_linededup": linededup.SQL8}
