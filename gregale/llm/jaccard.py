@@ -9,6 +9,10 @@ similarity of 3/4 only if they share t = ceil(3 (n + m) / 7) elements, and then
 
 The boundary is the size at which the subsets to enumerate cost more than list entries to scan.
 
+Before that, documents that can't link with any are put aside: of the elements whose hashes lie in a fixed part of the range, all but
+a quarter of the set's size must be in some other set, as a link leaves out no more. Only these elements of all documents are
+shuffled; few documents but near copies remain.
+
 Links are not expanded within groups. Equal sets are one node from the start. Then every list ties its members to one of them; each
 node is compared with the one it shares most lists with. What that doesn't connect, and only that, is compared pair by pair: a list
 yields the pairs of its members whose components differ. So a group of m near copies costs about m comparisons, and no link is lost.
@@ -35,6 +39,9 @@ SCAN_COST = 4.0
 TASK_ENTRIES = 1_500_000
 #: Rounds of ties to one member of each list before pairs are compared.
 ROUNDS = 2
+#: Part of the hash range whose elements are counted over all documents.
+SAMPLED = 0.4
+SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
 PAIR = np.uint64(1 << 31)
 ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,16 +99,91 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, prefix): node is a 64-bit hash of the set, null for none."""
+def _node(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def shingle_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node, spare): node is a 64-bit hash of the set, null for none; spare, how many of its elements in the sampled part of the range must be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets]
-            yield _batch(doc_id=batch.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array(nodes, pa.int64()), prefix=pa.array([s[: int(probe_length(len(s), 2))].tobytes() for s in sets], pa.binary()))
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, node long, prefix binary")
+            least = [int(np.searchsorted(s, SAMPLE_END)) - len(s) // 4 for s in sets]
+            yield _batch(doc_id=batch.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), spare=pa.array(least, pa.int64()))
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, spare long")
+
+
+def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
+    """Places of nodes that this task hasn't met. So a third of all rows being copies costs as many entries as tasks."""
+    out = []
+    for i, x in enumerate(nodes):
+        if x is not None and x not in seen:
+            seen.add(x)
+            out.append(i)
+    if len(seen) > 500_000:
+        seen.clear()
+    return out
+
+
+def _pack(key: np.ndarray, parts: int, **columns) -> pa.RecordBatch:
+    """One row per part of the key space, with each column's values of that part as bytes."""
+    part = ((mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(cuts[1:], len(part))
+    packed = {k: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary()) for k, v in {"key": key[order], **{k: v[order] for k, v in columns.items()}}.items()}
+    return _batch(part=pa.array(part[cuts], pa.int64()), **packed)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
+    columns: list[list[bytes]] = [[] for _ in kinds]
+    for batch in batches:
+        for i in range(len(kinds)):
+            columns[i] += batch.column(i + 1).to_pylist()
+    return [np.frombuffer(b"".join(c), k) for c, k in zip(columns, kinds, strict=True)]
+
+
+def _many(key: np.ndarray) -> np.ndarray:
+    """Places of keys that come twice or more, by key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = k[1:] == k[:-1]
+    many = np.zeros(len(k), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    return order[many]
+
+
+def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """(node, shared): for how many of a set's sampled elements another set has them, too."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            nodes = [_node(s) if len(s) else None for s in sets]
+            fresh = _fresh(nodes, seen)
+            if fresh:
+                own = [sets[i][: int(np.searchsorted(sets[i], SAMPLE_END))] for i in fresh]
+                yield _pack(np.concatenate(own), parts, node=np.repeat(np.array([nodes[i] for i in fresh], np.int64), [len(s) for s in own]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = _unpacked(batches, np.uint64, np.int64)
+        at = _many(key)
+        at = at[np.lexsort((node[at], key[at]))]
+        key, node = key[at], node[at]
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[new], node[new]
+            node, n = np.unique(node[_many(key)], return_counts=True)
+            yield _batch(node=pa.array(node, pa.int64()), shared=pa.array(n, pa.int64()))
+
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "part long, key binary, node binary").repartition(parts, "part")
+    return dealt.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,36 +208,17 @@ def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.nda
 
 
 def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
-    """(part, key, node, n, place, comp): packed list entries of many rows of (node, n, prefix, comp), by part of the key space.
-
-    A task passes on each node once, so that a third of all rows being copies costs as many entries as tasks.
-    """
+    """Packed list entries of (node, n, set, comp), by part of the key space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            node, n, prefix, comp = (batch.column(i) for i in range(4))
-            fresh = []
-            for i, x in enumerate(node.to_pylist()):
-                if x not in seen:
-                    seen.add(x)
-                    fresh.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            if not fresh:
-                continue
-            raw = prefix.to_pylist()
-            node, n, comp = (c.to_numpy(zero_copy_only=False)[fresh] for c in (node, n, comp))
-            key, row, place = _keys([np.frombuffer(raw[i], np.uint64) for i in fresh], n, light)
-            part = ((mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            key, row, place, part = key[order], row[order], place[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = np.append(cuts[1:], len(part))
-            pack = lambda a: pa.array([a[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary())
-            yield _batch(part=pa.array(part[cuts], pa.int64()), key=pack(key), node=pack(node[row]), n=pack(n[row].astype(np.uint32)), place=pack(place), comp=pack(comp[row]))
-
-    return table.select("node", "n", "prefix", "comp").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary").repartition(parts, "part")
+            node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            prefixes = [np.frombuffer(raw, np.uint64)[: int(probe_length(size, 2))] for raw, size in zip(batch.column(2).to_pylist(), n.tolist(), strict=True)]
+            key, row, place = _keys(prefixes, n, light)
+            if len(key):
+                yield _pack(key, parts, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row])
+
+    return table.select("node", "n", "set", "comp").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary").repartition(parts, "part")
 
 
 def _possible(n, place, a, b) -> np.ndarray:
@@ -168,28 +231,15 @@ def _possible(n, place, a, b) -> np.ndarray:
 
 
 def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
-    """(a, b, lists): nodes to compare, and in how many lists of this part they meet; in the first round also (a, null) for each node of a list of two or more.
+    """(a, b, lists): nodes to compare, and in how many lists of this part they meet.
 
     exhaustive: all pairs of different components; else those of each list's first node by a salted order with the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[bytes]] = [[], [], [], [], []]
-        for batch in batches:
-            for i in range(5):
-                columns[i] += batch.column(i + 1).to_pylist()
-        kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.int64)
-        key, node, n, place, comp = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, kinds, strict=True))
-        del columns
+        key, node, n, place, comp = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.int64)
         n, place = n.astype(np.int64), place.astype(np.uint64)
-        # entries of keys that come once can't meet; drop them before the larger sort
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = k[1:] == k[:-1]
-        many = np.zeros(len(k), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        order = order[many]
+        order = _many(key)
         key, node, n, place, comp = key[order], node[order], n[order], place[order], comp[order]
         mixed = mix(node.view(np.uint64) + np.uint64(salt)) if salt else node.view(np.uint64)
         order = np.lexsort((place, mixed if not exhaustive else node, n, key) if exhaustive else (place, mixed, key))
@@ -216,8 +266,6 @@ def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
             small = n[at] <= n[h]
             ok = _possible(n, place, np.where(small, at, h), np.where(small, h, at))
             yield from _emit(node[h[ok]], node[at[ok]])
-            listed = np.unique(node)
-            yield _batch(a=pa.array(listed, pa.int64()), b=pa.nulls(len(listed), pa.int64()), lists=pa.array(np.zeros(len(listed), np.int64)))
             return
         at, lag = np.arange(len(run_of)), 1
         while True:
@@ -246,13 +294,14 @@ def _emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set): whole sets of the wanted (doc_id, node), from their texts."""
+    """(node, n, set): whole sets of the wanted (doc_id, node), from their texts. A repeated id may give a node twice, which changes nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch(node=batch.column(0), set=pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary()))
+            rows = [(x, len(s), s.tobytes()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _node(s := shingles(t)) == x]
+            yield _batch(node=pa.array([r[0] for r in rows], pa.int64()), n=pa.array([r[1] for r in rows], pa.int64()), set=pa.array([r[2] for r in rows], pa.binary()))
 
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, set binary")
+    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, n long, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,33 +361,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(spark, 1024)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = scratch.keep(shingle_table(docs, "doc_id", "text"), "shingles")
-    sizes = {r.n: r["count"] for r in table.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
-    light = boundary({n: c for n, c in sizes.items() if n < 1000})
-    entries = table.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
-    parts = max(shuffle_partitions(spark), int(entries // TASK_ENTRIES) + 1)
+    table = scratch.keep(shingle_table(docs), "rows")
     nodes = table.where("n > 0")
-    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links, sets, comp = None, None, None
-    open_rows = nodes.select("node", "n", "prefix", F.col("node").alias("comp"))
+    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("spare").alias("spare"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), int(total * SAMPLED // TASK_ENTRIES) + 1)
+    counts = shared_counts(docs, parts)
+    wanted = members.where(F.col("doc_id").isNotNull()).join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("spare"))
+    sets = scratch.keep(_sets(docs, wanted.select("doc_id", "node")), "sets")
+    sizes = {r.n: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
+    light = boundary({n: c for n, c in sizes.items() if n < 1000})
+    links, comp = None, None
     for step in range(ROUNDS + 1):
         exhaustive = step == ROUNDS
-        met = scratch.keep(_pairs(_deal(open_rows, light, parts), exhaustive, step * 0x9E3779B9).groupBy("a", "b").agg(F.sum("lists").alias("lists")), f"pairs{step}")
-        pairs = met.where("b is not null")
+        rows = sets.withColumn("comp", F.col("node")) if comp is None else sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        pairs = _pairs(_deal(rows, light, parts), exhaustive, step * 0x9E3779B9).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
         if not exhaustive:
             # each node with the one that it shares most lists with; the head of a list may be on either side
+            pairs = scratch.keep(pairs, f"pairs{step}")
             ends = pairs.select("a", "b", "lists").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "lists"))
             best = ends.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if step == 0:
-            listed = met.where("b is null").select(F.col("a").alias("node"))
-            wanted = listed.join(members.where(F.col("doc_id").isNotNull()), "node")
-            sets = scratch.keep(_sets(docs, wanted), "sets")
-            listed_rows = scratch.keep(nodes.select("node", "n", "prefix").join(listed, "node", "left_semi").dropDuplicates(["node"]), "listed")
         found = scratch.keep(_linked(pairs, sets), f"links{step}")
         links = found if links is None else links.unionByName(found)
         comp = components(links, scratch, f"components{step}")
-        open_rows = listed_rows.join(comp, "node", "left").select("node", "n", "prefix", F.coalesce("comp", "node").alias("comp"))
     labelled = members.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = labelled.join(smallest, "comp").select("node", "component_id")
