@@ -17,7 +17,7 @@ def tfidf(df: DataFrame, block: list[str], id_col: str, text_col: str) -> DataFr
     Terms are words of two or more characters, in lower case.
     """
     known = df.dropna(subset=block) if block else df
-    terms = known.select(*block, F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))).alias("term"))
+    terms = known.select(*block, F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"([\p{L}\p{M}\p{N}_]{2,})"), F.lit(1))).alias("term"))
     tf = terms.groupBy(*block, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy(*block, "term").agg(F.count(F.lit(1)).alias("df"))
     n = known.groupBy(*block).agg(F.countDistinct(id_col).alias("n")) if block else known.agg(F.countDistinct(id_col).alias("n"))
