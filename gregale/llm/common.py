@@ -57,5 +57,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Keys of which repartition(n, key) puts the i-th into partition i, so that n packed parts fill n tasks evenly."""
+    rows = spark.range(n * 40).groupBy(F.expr(f"pmod(hash(id), {n})").alias("at")).agg(F.min("id").alias("key")).collect()  # n rows
+    return [k for _, k in sorted(((r["at"], r["key"]) for r in rows) if len(rows) == n else ((i, i) for i in range(n)))]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gregale.llm.common import Scratch, read, shuffle_partitions, small_batches
+from gregale.llm.common import Scratch, even_keys, read, shuffle_partitions, small_batches
 
 WORDS = 5
 #: Cost of scanning one entry of an inverted list, in enumerated subsets.
@@ -127,15 +127,15 @@ def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
     return out
 
 
-def _pack(key: np.ndarray, parts: int, **columns) -> pa.RecordBatch:
-    """One row per part of the key space, with each column's values of that part as bytes."""
-    part = ((mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _pack(key: np.ndarray, keys: np.ndarray, **columns) -> pa.RecordBatch:
+    """One row per part of the key space, under the part's own of keys, with each column's values of that part as bytes."""
+    part = ((mix(key) >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part = part[order]
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(cuts[1:], len(part))
     packed = {k: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary()) for k, v in {"key": key[order], **{k: v[order] for k, v in columns.items()}}.items()}
-    return _batch(part=pa.array(part[cuts], pa.int64()), **packed)
+    return _batch(part=pa.array(keys[part[cuts]], pa.int64()), **packed)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
@@ -159,6 +159,7 @@ def _many(key: np.ndarray) -> np.ndarray:
 
 def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
     """(node, shared): for how many of a set's sampled elements another set has them, too."""
+    keys = np.array(even_keys(docs.sparkSession, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -168,7 +169,7 @@ def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
             fresh = _fresh(nodes, seen)
             if fresh:
                 own = [sets[i][: int(np.searchsorted(sets[i], SAMPLE_END))] for i in fresh]
-                yield _pack(np.concatenate(own), parts, node=np.repeat(np.array([nodes[i] for i in fresh], np.int64), [len(s) for s in own]))
+                yield _pack(np.concatenate(own), keys, node=np.repeat(np.array([nodes[i] for i in fresh], np.int64), [len(s) for s in own]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node = _unpacked(batches, np.uint64, np.int64)
@@ -209,6 +210,7 @@ def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.nda
 
 def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
     """Packed list entries of (node, n, set, comp), by part of the key space."""
+    keys = np.array(even_keys(table.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +218,7 @@ def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
             prefixes = [np.frombuffer(raw, np.uint64)[: int(probe_length(size, 2))] for raw, size in zip(batch.column(2).to_pylist(), n.tolist(), strict=True)]
             key, row, place = _keys(prefixes, n, light)
             if len(key):
-                yield _pack(key, parts, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row])
+                yield _pack(key, keys, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row])
 
     return table.select("node", "n", "set", "comp").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary").repartition(parts, "part")
 

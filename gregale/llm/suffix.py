@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gregale.llm.common import Scratch, read, shuffle_partitions, small_batches
+from gregale.llm.common import Scratch, even_keys, read, shuffle_partitions, small_batches
 
 GRAM = 32
 #: Bytes of one gram's stretches that are sorted together; beyond that they are cut into shorter ones.
@@ -187,11 +187,11 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _pack(part: np.ndarray, **columns) -> pa.RecordBatch:
-    """One row per part, with each column's values of that part as bytes. Rows must come sorted by part."""
+def _pack(part: np.ndarray, keys: np.ndarray, **columns) -> pa.RecordBatch:
+    """One row per part, under its key, with each column's values of that part as bytes. Rows must come sorted by part."""
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(cuts[1:], len(part))
-    return _batch(part=pa.array(part[cuts], pa.int64()), **{k: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary()) for k, v in columns.items()})
+    return _batch(part=pa.array(keys[part[cuts]], pa.int64()), **{k: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary()) for k, v in columns.items()})
 
 
 def _part(gram: np.ndarray, parts: int) -> np.ndarray:
@@ -201,6 +201,8 @@ def _part(gram: np.ndarray, parts: int) -> np.ndarray:
 def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
     """(node, numbers): which of a text's stretches, by number, have a gram that represents another stretch, too, of this text or another. texts: (node, text)."""
 
+    keys = np.array(even_keys(texts.sparkSession, parts))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -216,7 +218,7 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
                     number = np.arange(len(row)) - np.searchsorted(row, row)
                     part = _part(gram, parts)
                     order = np.argsort(part, kind="stable")
-                    yield _pack(part[order], gram=gram[order], node=nodes[at + row[order]], number=number[order].astype(np.uint32))
+                    yield _pack(part[order], keys, gram=gram[order], node=nodes[at + row[order]], number=number[order].astype(np.uint32))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[bytes]] = [[], [], []]
@@ -257,6 +259,7 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
 
 def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed stretches by part of their grams. rows: (doc, text, numbers array<binary>)."""
+    keys = np.array(even_keys(rows.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +278,7 @@ def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 pieces = [raw[s : e + length] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(cuts[1:], len(part))
-                packed = _pack(part, gram=gram, doc=docs[at + row], start=(first - starts[row]).astype(np.uint32), offset=(place - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
+                packed = _pack(part, keys, gram=gram, doc=docs[at + row], start=(first - starts[row]).astype(np.uint32), offset=(place - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
                 yield packed.append_column("bytes", pa.array([b"".join(pieces[s:e]) for s, e in zip(cuts, ends, strict=True)], pa.binary()))
 
     return rows.mapInArrow(run, "part long, gram binary, doc binary, start binary, offset binary, size binary, bytes binary").repartition(parts, "part")
