@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Irregular plurals and exceptions.
 IRREGULAR = {
@@ -245,7 +246,7 @@ def _plain(markup: str | None) -> str | None:
     return unicodedata.normalize("NFC", re.sub(r"\s+", " ", text).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(markup: pd.Series) -> pd.Series:
     """Plain text of HTML, whose entities are decoded first, so that escaped tags go as well."""
     return markup.map(_plain)

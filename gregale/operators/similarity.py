@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 #: Digits to which cosines are rounded before they meet a threshold.
@@ -92,7 +93,7 @@ def _damerau(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
