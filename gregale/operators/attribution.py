@@ -31,13 +31,13 @@ def tokens(c: Column) -> Column:
 def keyword_matches(df: DataFrame, keywords: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per occurrence of a phrase of keywords (keyword, owner), overlapping ones included, and owner.
 
-    Texts meet phrases on the phrase's first word; the words after it are compared then.
+    Texts meet phrases on the phrase's first word; as many words after it as the longest phrase has are compared then.
     """
     phrases = keywords.dropDuplicates(["keyword", "owner"]).withColumn("words", tokens(F.col("keyword"))).where(F.size("words") > 0).withColumn("head", F.col("words")[0])
+    longest = phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
     words = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("text"))
-    heads = phrases.select("head").distinct()
-    places = words.select("id", "text", F.posexplode("text").alias("at", "head")).join(heads, "head", "left_semi")
-    hits = places.join(phrases, "head").where(F.slice("text", F.col("at") + 1, F.size("words")) == F.col("words"))
+    windows = F.transform("text", lambda w, i: F.struct(w.alias("head"), F.slice("text", i + 1, longest).alias("window")))
+    hits = words.select("id", F.explode(windows).alias("w")).select("id", "w.*").join(phrases, "head").where(F.slice("window", 1, F.size("words")) == F.col("words"))
     return _matches(hits, "KEYWORD", text_col)
 
 
@@ -54,7 +54,7 @@ def code_pattern(names: list[str]) -> list[str]:
 
 def article_pattern(ordinals: list[str]) -> str:
     """Of several articles in a row the last is captured."""
-    rest = rf"(?:\s?(?:{'|'.join(sorted(ordinals, reverse=True))}))?" if ordinals else r"\s?"
+    rest = rf"(?:\s?(?:{'|'.join(sorted(ordinals, reverse=True))}))?" if ordinals else ""
     return rf"(?:l\.|articles?|art\.?)(?:\set\s|\s?(\d+(?:-\d+)*{rest}))+"
 
 
@@ -62,7 +62,7 @@ def legal_matches(df: DataFrame, documents: DataFrame, patterns: list[str], id_c
     """Rows of documents (document, article, owner) of which a text cites both, wherever in it."""
     text = F.coalesce(text_col, F.lit(""))
     cited = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])))
-    articles = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(article_pattern(list(ordinals))), F.lit(1)), F.trim))
+    articles = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(article_pattern(list(ordinals))), F.lit(1)), lambda a: F.trim(a)))
     rows = df.select(F.col(id_col).alias("id"), F.explode(cited).alias("document"), articles.alias("articles"))
     rows = rows.select("id", "document", F.explode("articles").alias("article"))
     return _matches(rows.join(documents, ["document", "article"]), matcher, text_col)

@@ -47,7 +47,7 @@ def _digits(c: str) -> str:
 
 
 _FOLD = "strip_accents(replace(text, 'ß', 'ss'))"
-_ROMAN = r"regexp_replace({}, '\b[IVX]{{1,5}}\b', '', 'g')"
+_ROMAN = r"array_to_string(list_transform(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: CASE WHEN regexp_full_match(w, '[IVX]{{1,5}}') THEN '' ELSE w END), '')"
 _WORDS = r"string_split(trim(regexp_replace(regexp_replace({}, '%', ' % ', 'g'), '\s+', ' ', 'g')), ' ')"
 _STOP = f"array_to_string(list_filter({_WORDS}, lambda w: lower(w) NOT IN ({_quoted(tx.STOP_WORDS)})), ' ')"
 _SINGULAR = f"array_to_string(list_transform(string_split(trim(regexp_replace({{}}, '\\s+', ' ', 'g')), ' '), lambda w: {_singular('w')}), ' ')"
