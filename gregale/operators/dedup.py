@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _members(df: DataFrame, clusters: DataFrame, id_col: str) -> DataFrame:
+    """df's rows in clusters (id, cluster), with `cluster`; a column of that name in df is left out."""
+    return df.drop("cluster").join(clusters.select(F.col("id").alias(f"_{id_col}"), "cluster"), F.col(id_col) == F.col(f"_{id_col}")).drop(f"_{id_col}")
+
+
 def keep_one(df: DataFrame, clusters: DataFrame, id_col: str, order: list[Column]) -> DataFrame:
     """df without the clusters' (id, cluster) rows that come after the first by order; rows outside clusters stay."""
-    ranked = df.join(clusters, df[id_col] == clusters["id"]).withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)))
-    return df.join(ranked.where("r > 1").select(F.col("id").alias(id_col)), id_col, "left_anti")
+    ranked = _members(df, clusters, id_col).withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)))
+    return df.join(ranked.where("r > 1").select(id_col), id_col, "left_anti")
 
 
 def keep_first(df: DataFrame, clusters: DataFrame, id_col: str, pos: str) -> DataFrame:
@@ -24,12 +29,12 @@ def keep_newest_longest(df: DataFrame, clusters: DataFrame, id_col: str, pos: st
 
 def keep_majority_owner(df: DataFrame, clusters: DataFrame, id_col: str, pos: str, owner_col: str, defaults: list[str]) -> DataFrame:
     """The first row of the owner with the most rows, defaults and nulls aside; of equals the owner seen first; else the first row."""
-    rows = df.join(clusters, df[id_col] == clusters["id"])
+    rows = _members(df, clusters, id_col)
     real = rows.where(F.col(owner_col).isNotNull() & ~F.col(owner_col).isin(defaults))
     votes = real.groupBy("cluster", owner_col).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("seen"))
     chosen = votes.groupBy("cluster").agg(F.max_by(owner_col, F.struct("n", -F.col("seen"))).alias("chosen"))
     kept = rows.join(chosen, "cluster", "left").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.coalesce(F.col(owner_col) == F.col("chosen"), F.lit(False)).desc(), pos)))
-    return df.join(kept.where("r > 1").select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return df.join(kept.where("r > 1").select(id_col), id_col, "left_anti")
 
 
 def labels(df: DataFrame, clusters: DataFrame, id_col: str, num_col: str) -> DataFrame:
@@ -42,7 +47,7 @@ def labels(df: DataFrame, clusters: DataFrame, id_col: str, num_col: str) -> Dat
 def populate(df: DataFrame, clusters: DataFrame, id_col: str, pos: str, columns: list[str]) -> DataFrame:
     """df with columns taken, in each cluster, from the row with the most non-null values, the first of equals."""
     filled = sum((F.col(c).isNotNull().cast("int") for c in df.columns), F.lit(0))
-    rows = df.join(clusters, df[id_col] == clusters["id"])
+    rows = _members(df, clusters, id_col)
     best = rows.groupBy("cluster").agg(F.max_by(F.struct(*columns), F.struct(filled, -F.col(pos))).alias("best"))
     given = clusters.join(best, "cluster").select(F.col("id").alias("_id"), "best")
     out = df.join(given, df[id_col] == F.col("_id"), "left")
