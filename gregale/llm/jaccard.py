@@ -42,6 +42,7 @@ ROUNDS = 2
 #: Part of the hash range whose elements are counted over all documents.
 SAMPLED = 0.4
 SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
+DEBUG = False
 PAIR = np.uint64(1 << 31)
 ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -104,15 +105,15 @@ def _node(own: np.ndarray) -> int:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, spare): node is a 64-bit hash of the set, null for none; spare, how many of its elements in the sampled part of the range must be in another set."""
+    """(doc_id, n, node, sampled, spare): node is a 64-bit hash of the set, null for none; sampled, its elements in the sampled part of the range; spare, how many of them must be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            least = [int(np.searchsorted(s, SAMPLE_END)) - len(s) // 4 for s in sets]
-            yield _batch(doc_id=batch.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), spare=pa.array(least, pa.int64()))
+            sampled = [int(np.searchsorted(s, SAMPLE_END)) for s in sets]
+            yield _batch(doc_id=batch.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), sampled=pa.array(sampled, pa.int64()), spare=pa.array([k - len(s) // 4 for k, s in zip(sampled, sets, strict=True)], pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, spare long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sampled long, spare long")
 
 
 def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
@@ -209,7 +210,7 @@ def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.nda
 
 
 def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
-    """Packed list entries of (node, n, set, comp), by part of the key space."""
+    """Packed list entries of (node, n, set, comp, own), by part of the key space."""
     keys = np.array(even_keys(table.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +219,9 @@ def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
             prefixes = [np.frombuffer(raw, np.uint64)[: int(probe_length(size, 2))] for raw, size in zip(batch.column(2).to_pylist(), n.tolist(), strict=True)]
             key, row, place = _keys(prefixes, n, light)
             if len(key):
-                yield _pack(key, keys, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row])
+                yield _pack(key, keys, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row], own=batch.column(4).to_numpy(zero_copy_only=False).astype(np.float32)[row])
 
-    return table.select("node", "n", "set", "comp").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary").repartition(parts, "part")
+    return table.select("node", "n", "set", "comp", "own").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary, own binary").repartition(parts, "part")
 
 
 def _possible(n, place, a, b) -> np.ndarray:
@@ -235,17 +236,18 @@ def _possible(n, place, a, b) -> np.ndarray:
 def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
     """(a, b, lists): nodes to compare, and in how many lists of this part they meet.
 
-    exhaustive: all pairs of different components; else those of each list's first node by a salted order with the others.
+    exhaustive: all pairs of different components; else those of each list's head with the others. The head is the node with the
+    smallest part of elements of its own, as what a group was copied from has fewer than its copies; then the first by a salted order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, n, place, comp = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.int64)
+        key, node, n, place, comp, own = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.int64, np.float32)
         n, place = n.astype(np.int64), place.astype(np.uint64)
         order = _many(key)
-        key, node, n, place, comp = key[order], node[order], n[order], place[order], comp[order]
+        key, node, n, place, comp, own = key[order], node[order], n[order], place[order], comp[order], own[order]
         mixed = mix(node.view(np.uint64) + np.uint64(salt)) if salt else node.view(np.uint64)
-        order = np.lexsort((place, mixed if not exhaustive else node, n, key) if exhaustive else (place, mixed, key))
-        key, node, n, place, comp, mixed = key[order], node[order], n[order], place[order], comp[order], mixed[order]
+        order = np.lexsort((place, node, n, key) if exhaustive else (place, mixed, own if not salt else np.zeros_like(own), key))
+        key, node, n, place, comp = key[order], node[order], n[order], place[order], comp[order]
         if not len(key):
             return
         first = np.ones(len(key), bool)
@@ -296,14 +298,14 @@ def _emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, set): whole sets of the wanted (doc_id, node), from their texts. A repeated id may give a node twice, which changes nothing."""
+    """(node, n, set, own): whole sets of the wanted (doc_id, node, own), from their texts. A repeated id may give a node twice, which changes nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x, len(s), s.tobytes()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _node(s := shingles(t)) == x]
-            yield _batch(node=pa.array([r[0] for r in rows], pa.int64()), n=pa.array([r[1] for r in rows], pa.int64()), set=pa.array([r[2] for r in rows], pa.binary()))
+            rows = [(x, len(s), s.tobytes(), o) for x, t, o in zip(*[c.to_pylist() for c in batch.columns], strict=True) if _node(s := shingles(t)) == x]
+            yield _batch(node=pa.array([r[0] for r in rows], pa.int64()), n=pa.array([r[1] for r in rows], pa.int64()), set=pa.array([r[2] for r in rows], pa.binary()), own=pa.array([r[3] for r in rows], pa.float64()))
 
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, n long, set binary")
+    return docs.join(wanted, "doc_id").select("node", "text", "own").mapInArrow(run, "node long, n long, set binary, own double")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -365,12 +367,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.keep(shingle_table(docs), "rows")
     nodes = table.where("n > 0")
-    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("spare").alias("spare"))
+    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("spare").alias("spare"), F.max("sampled").alias("sampled"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total * SAMPLED // TASK_ENTRIES) + 1)
     counts = shared_counts(docs, parts)
     wanted = members.where(F.col("doc_id").isNotNull()).join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("spare"))
-    sets = scratch.keep(_sets(docs, wanted.select("doc_id", "node")), "sets")
+    own = 1 - F.coalesce("shared", F.lit(0)) / F.greatest("sampled", F.lit(1))
+    sets = scratch.keep(_sets(docs, wanted.select("doc_id", "node", own.alias("own"))), "sets")
     sizes = {r.n: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
     light = boundary({n: c for n, c in sizes.items() if n < 1000})
     links, comp = None, None
@@ -384,6 +387,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ends = pairs.select("a", "b", "lists").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "lists"))
             best = ends.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if DEBUG:
+            print("step", step, "pairs", pairs.count(), "nodes", sets.count(), "light", light)
         found = scratch.keep(_linked(pairs, sets), f"links{step}")
         links = found if links is None else links.unionByName(found)
         comp = components(links, scratch, f"components{step}")

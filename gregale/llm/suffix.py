@@ -31,7 +31,7 @@ SORTED_BYTES = 1 << 16
 #: Bytes after which the stretches of several grams are sorted.
 CHUNK_BYTES = 1 << 13
 #: Bytes of documents that one task's grams are to come from.
-TASK_BYTES = 24_000_000
+TASK_BYTES = 12_000_000
 _RANDOM = np.random.default_rng(9)
 BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = int(_RANDOM.integers(0, 2**63)) * 2 + 1
@@ -195,7 +195,10 @@ def _pack(part: np.ndarray, keys: np.ndarray, **columns) -> pa.RecordBatch:
 
 
 def _part(gram: np.ndarray, parts: int) -> np.ndarray:
-    return ((gram >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Hashes of representatives are small, so they are mixed before their upper bits choose a part."""
+    mixed = gram * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
@@ -348,7 +351,6 @@ def mark(dealt: DataFrame, length: int) -> DataFrame:
     """(doc, start, end): covered bytes, in pieces that may touch and overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, dict[tuple[int, bytes], tuple[int, int]]] = {}
         out: list[tuple[int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
@@ -364,27 +366,32 @@ def mark(dealt: DataFrame, length: int) -> DataFrame:
                 a = np.stack([a[head, 0], a[head, 1], np.maximum.reduceat(a[:, 2], head)], axis=1)
             return _batch(doc=pa.array(a[:, 0]), start=pa.array(a[:, 1]), end=pa.array(a[:, 2]))
 
+        columns: list[list[bytes]] = [[] for _ in range(6)]
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(1, 7)], strict=True):
-                gram, doc, start, offset, size = (np.frombuffer(x, k).tolist() for x, k in zip(row, (np.uint64, np.int64, np.uint32, np.uint16, np.uint16), strict=False))
-                at, raw = 0, row[5]
-                for g, d, s, o, n in zip(gram, doc, start, offset, size, strict=True):
-                    _keep(groups.setdefault(g, {}), (o, raw[at : at + n]), (d, s), out)
-                    at += n
+            for i in range(6):
+                columns[i] += batch.column(i + 1).to_pylist()
+        raw = b"".join(columns.pop())
+        gram, doc, start, offset, size = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
+        del columns
+        begin = np.cumsum(size, dtype=np.int64) - size
+        order = np.argsort(gram, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(gram[order], prepend=~gram[order[:1]])), len(order))
         queue: list[tuple[list[bytes], list[tuple[int, int]]]] = []
-        waiting, size = ([], []), 0
-        while groups:
-            _, items = groups.popitem()
+        waiting, held = ([], []), 0
+        for c in range(len(cuts) - 1):
+            own, items = order[cuts[c] : cuts[c + 1]], {}
+            for d, s, o, n, at in zip(doc[own].tolist(), start[own].tolist(), offset[own].tolist(), size[own].tolist(), begin[own].tolist(), strict=True):
+                _keep(items, (o, raw[at : at + n]), (d, s), out)
             _mark_group(items, length, out, queue)
             while queue:
                 more = queue.pop()
                 waiting[0].extend(more[0])
                 waiting[1].extend(more[1])
-                size += sum(map(len, more[0]))
-            if size >= CHUNK_BYTES or not groups:
-                for (doc, start), offsets in zip(waiting[1], _mark_sorted(*waiting, length) if size else [], strict=True):
-                    out.extend((doc, start + a, start + b + length) for a, b in _runs(offsets))
-                waiting, size = ([], []), 0
+                held += sum(map(len, more[0]))
+            if held >= CHUNK_BYTES or held and c == len(cuts) - 2:
+                for (d, s), offsets in zip(waiting[1], _mark_sorted(*waiting, length), strict=True):
+                    out.extend((d, s + a, s + b + length) for a, b in _runs(offsets))
+                waiting, held = ([], []), 0
                 if len(out) > 200_000:
                     yield flush()
         if out:
