@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join: size-aware, heavy and light.
 
-A document is the set of hashes of its word shingles, in the order of the hashes. Two sets of n <= m elements reach a Jaccard
+A document is the set of hashes of its word shingles. The sets share one order of all elements: first by the magnitude of the number
+of sets that hold them, rare ones first, then by hash; passages that many documents share stand last. Two sets of n <= m elements reach a Jaccard
 similarity of 3/4 only if they share t = ceil(3 (n + m) / 7) elements, and then the first n - t + k and m - t + k of them share k:
 
 * Light sets (few elements) enumerate the subsets of size k = 2 of those first elements and meet on equal subsets.
@@ -42,7 +43,6 @@ ROUNDS = 2
 #: Part of the hash range whose elements are counted over all documents.
 SAMPLED = 0.4
 SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
-DEBUG = False
 PAIR = np.uint64(1 << 31)
 ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -188,6 +188,55 @@ def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
+def ordered(sets: DataFrame, parts: int) -> DataFrame:
+    """sets (node, n, set, own) with prefix: the first elements of each in the common order."""
+    keys = np.array(even_keys(sets.sparkSession, parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if own:
+                yield _pack(np.concatenate(own), keys, node=np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = _unpacked(batches, np.uint64, np.int64)
+        at = _many(key)
+        at = at[np.lexsort((node[at], key[at]))]
+        key, node = key[at], node[at]
+        if not len(key):
+            return
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        cuts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        times = np.diff(np.append(cuts, len(key)))
+        level = np.repeat(np.floor(np.log2(times)).astype(np.uint8), times)
+        common = level >= 2  # elements of one to three sets are of one magnitude, which needn't be told
+        key, node, level = key[common], node[common], level[common]
+        order = np.argsort(node, kind="stable")
+        key, node, level = key[order], node[order], level[order]
+        cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)) if len(node) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(node))
+        for s in range(0, len(cuts), 2000):
+            pick = range(s, min(s + 2000, len(cuts)))
+            yield _batch(node=pa.array(node[cuts[s : s + 2000]], pa.int64()), keys=pa.array([key[cuts[i] : ends[i]].tobytes() for i in pick], pa.binary()), levels=pa.array([level[cuts[i] : ends[i]].tobytes() for i in pick], pa.binary()))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = []
+            for own, known in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                level = np.zeros(len(own), np.uint8)
+                for k in known or ():
+                    level[np.searchsorted(own, np.frombuffer(k["keys"], np.uint64))] = np.frombuffer(k["levels"], np.uint8)
+                prefixes.append(own[np.argsort(level, kind="stable")][: int(probe_length(len(own), 2))].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(prefixes, pa.binary())], names=["node", "n", "set", "own", "prefix"])
+
+    dealt = sets.select("node", "set").mapInArrow(deal, "part long, key binary, node binary").repartition(parts, "part")
+    common = dealt.mapInArrow(count, "node long, keys binary, levels binary").groupBy("node").agg(F.collect_list(F.struct("keys", "levels")).alias("common"))
+    return sets.join(common, "node", "left").select("node", "n", "set", "own", "common").mapInArrow(order, "node long, n long, set binary, own double, prefix binary")
+
+
 def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, place): list keys of all rows. place: the (last) position of the key in its prefix; with PAIR, of a subset."""
     keys, rows, places = [], [], []
@@ -210,18 +259,18 @@ def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.nda
 
 
 def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
-    """Packed list entries of (node, n, set, comp, own), by part of the key space."""
+    """Packed list entries of (node, n, prefix, comp, own), by part of the key space."""
     keys = np.array(even_keys(table.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            prefixes = [np.frombuffer(raw, np.uint64)[: int(probe_length(size, 2))] for raw, size in zip(batch.column(2).to_pylist(), n.tolist(), strict=True)]
+            prefixes = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
             key, row, place = _keys(prefixes, n, light)
             if len(key):
                 yield _pack(key, keys, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row], own=batch.column(4).to_numpy(zero_copy_only=False).astype(np.float32)[row])
 
-    return table.select("node", "n", "set", "comp", "own").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary, own binary").repartition(parts, "part")
+    return table.select("node", "n", "prefix", "comp", "own").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary, own binary").repartition(parts, "part")
 
 
 def _possible(n, place, a, b) -> np.ndarray:
@@ -374,6 +423,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = members.where(F.col("doc_id").isNotNull()).join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("spare"))
     own = 1 - F.coalesce("shared", F.lit(0)) / F.greatest("sampled", F.lit(1))
     sets = scratch.keep(_sets(docs, wanted.select("doc_id", "node", own.alias("own"))), "sets")
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    sets = scratch.keep(ordered(sets, max(shuffle_partitions(spark), int(size // TASK_ENTRIES) + 1)), "ordered")
+    scratch.drop("sets")
     sizes = {r.n: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
     light = boundary({n: c for n, c in sizes.items() if n < 1000})
     links, comp = None, None
@@ -387,8 +439,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ends = pairs.select("a", "b", "lists").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "lists"))
             best = ends.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if DEBUG:
-            print("step", step, "pairs", pairs.count(), "nodes", sets.count(), "light", light)
         found = scratch.keep(_linked(pairs, sets), f"links{step}")
         links = found if links is None else links.unionByName(found)
         comp = components(links, scratch, f"components{step}")
