@@ -144,8 +144,10 @@ def _quantile(df: DataFrame, value: Column, q: float, name: str, step: float) ->
 def judge(measured: DataFrame, rules: Rules = Rules(), lang_col: str = "lang") -> DataFrame:
     """measured with chars_per_token, byte_share, base_failed and kept.
 
+    Columns of measured named like the bands' own (band, centre, byte_centre, low, high, documents) or the new ones are left out.
     measured is read several times; it should be a stored table without texts. Medians are those of all rows that the base rules pass.
     """
+    measured = measured.drop("band", "centre", "byte_centre", "low", "high", "documents", "own", "chars_per_token", "byte_share", "base_failed", "kept")
     m = {f.name: F.col(f"measures.{f.name}") for f in MEASURES.fields}
     tokens = F.when(m["n_tokens"] > 0, m["n_tokens"])
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])

@@ -43,23 +43,23 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", tex
     new = ["n_lines", "n_removed", "n_spans", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
     # positions of one document are at most its lines, so this list is no longer than the text
-    starts = repeated_windows(docs.where(F.col(id_col).isNotNull()), lines, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    starts = repeated_windows(docs.where(F.col(id_col).isNotNull()), lines, id_col, text_col).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("at")).alias("__starts"))
     text = F.col(text_col)
     # starts come sorted: each removes what lies between the lines removed so far and its own last line
     cover = F.aggregate(
-        "starts", F.struct(F.lit(0).alias("next"), F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(0).alias("spans"), F.lit(0).alias("parts")),
+        "__starts", F.struct(F.lit(0).alias("next"), F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(0).alias("spans"), F.lit(0).alias("parts")),
         lambda a, s: F.struct(
             (s + lines).alias("next"),
-            F.when(s > a["next"], F.concat(a["kept"], F.when(a["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("l", a["next"] + 1, s - a["next"]), "\n"))).otherwise(a["kept"]).alias("kept"),
+            F.when(s > a["next"], F.concat(a["kept"], F.when(a["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("__l", a["next"] + 1, s - a["next"]), "\n"))).otherwise(a["kept"]).alias("kept"),
             (a["removed"] + F.lit(lines) - F.greatest(F.lit(0), a["next"] - s)).alias("removed"),
             (a["spans"] + F.when((a["spans"] == 0) | (s > a["next"]), 1).otherwise(0)).alias("spans"),
             (a["parts"] + F.when(s > a["next"], 1).otherwise(0)).alias("parts"),
         ),
     )
-    out = docs.join(starts, F.col(id_col) == F.col("id"), "left").withColumn("l", F.when(text.isNotNull(), _lines(text_col)))
-    out = out.withColumn("c", F.when(F.col("starts").isNotNull(), cover))
-    c, n = F.col("c"), F.size("l")
-    rest = F.when(c["next"] < n, F.concat(c["kept"], F.when(c["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("l", c["next"] + 1, n - c["next"]), "\n"))).otherwise(c["kept"])
+    out = docs.join(starts, F.col(id_col) == F.col("__id"), "left").withColumn("__l", F.when(text.isNotNull(), _lines(text_col)))
+    out = out.withColumn("__c", F.when(F.col("__starts").isNotNull(), cover))
+    c, n = F.col("__c"), F.size("__l")
+    rest = F.when(c["next"] < n, F.concat(c["kept"], F.when(c["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("__l", c["next"] + 1, n - c["next"]), "\n"))).otherwise(c["kept"])
     return out.select(
         *docs.columns,
         F.coalesce(n, F.lit(0)).alias("n_lines"),

@@ -103,30 +103,30 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0,
 
     Null texts have no words; documents without words are taken as often as their source's whole passes say. A null source is a
     source of its own. Equal rows are told apart by no more than their place in a bucket, so that either may be taken.
-    Columns of docs whose names clash with the new ones are replaced. A target of `most` times the source's size takes every
-    document that often; no document is taken oftener than ceil(most) times.
+    Columns of docs whose names clash with the new ones are replaced, and those that begin with two underscores left out. A target
+    of `most` times the source's size takes every document that often; no document is taken oftener than ceil(most) times.
     """
     new = ["size", "source_size", "target", "copies"]
-    sized = docs.select(*[c for c in docs.columns if c not in new], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    sized = docs.select(*[c for c in docs.columns if c not in new and not c.startswith("__")], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("count"))
     sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).cast("long").alias("source_size"))
     goals = targets(sizes, weights, share, most)
     plan = (
-        counts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        counts.join(goals.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         .groupBy("source").applyInPandas(_fit_source, "source string, size long, count long, source_size long, target double, passes int, take long")
     )
-    plan = plan.withColumnsRenamed({"source": "s", "size": "z"})
+    plan = plan.withColumnsRenamed({"source": "__s", "size": "__z", "count": "__count", "take": "__take", "passes": "__passes", "source_size": "__source_size", "target": "__target"})
     # ranks within (source, size), in buckets of the seeded hash; only a bucket on the edge needs the order of its rows
-    keyed = sized.withColumn("u", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    rows = rows.withColumn("buckets", F.ceil(F.col("count") / BUCKET_ROWS)).withColumn("bucket", F.when(F.col("buckets") <= 1, 0).otherwise(F.floor((F.shiftrightunsigned("u", 40)) * F.col("buckets") / F.lit(1 << 24))))
-    partly = (F.col("take") > 0) & (F.col("take") < F.col("count"))
-    tally = rows.where(partly & (F.col("buckets") > 1)).groupBy("s", "z", "bucket").count()
-    edge = tally.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("bucket").alias("b2"), (F.sum("count").over(Window.partitionBy("s", "z").orderBy("bucket")) - F.col("count")).alias("before"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "z", "bucket").orderBy("u", "doc_id")))
-    ranked = ranked.join(edge, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("bucket") == F.col("b2")), "left")
-    chosen = (F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("take")).cast("int")
-    return ranked.select(*sized.columns, "source_size", "target", (F.col("passes") + chosen).alias("copies"))
+    keyed = sized.withColumn("__u", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
+    rows = rows.withColumn("__buckets", F.ceil(F.col("__count") / BUCKET_ROWS)).withColumn("__bucket", F.when(F.col("__buckets") <= 1, 0).otherwise(F.floor((F.shiftrightunsigned("__u", 40)) * F.col("__buckets") / F.lit(1 << 24))))
+    partly = (F.col("__take") > 0) & (F.col("__take") < F.col("__count"))
+    tally = rows.where(partly & (F.col("__buckets") > 1)).groupBy("__s", "__z", "__bucket").count()
+    edge = tally.select(F.col("__s").alias("__s2"), F.col("__z").alias("__z2"), F.col("__bucket").alias("__b2"), (F.sum("count").over(Window.partitionBy("__s", "__z").orderBy("__bucket")) - F.col("count")).alias("__before"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__bucket").orderBy("__u", "doc_id")))
+    ranked = ranked.join(edge, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2")) & (F.col("__bucket") == F.col("__b2")), "left")
+    chosen = (F.col("__rank") + F.coalesce("__before", F.lit(0)) <= F.col("__take")).cast("int")
+    return ranked.select(*sized.columns, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__passes") + chosen).alias("copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
