@@ -495,3 +495,20 @@ def store_build(spark, d):
     part = _t(spark, d, "part")
     rows = part.select(F.col("p_partkey").alias("amdt_idx"), F.col("p_size").cast("long").alias("timestamp"), F.col("p_brand").alias("Lecture"), F.lit("p").alias("origin_project"), F.col("p_type").alias("Num article"), F.col("p_type").alias("Corps amdt"), F.col("p_name").alias("Exposé amdt"), F.when(F.col("p_size") > 5, F.col("p_type")).alias("Réponse"))
     return store.build(rows)
+
+
+@query()
+def enrichment_full(spark, d):
+    """Prepare, allot, attribute, give opinions and summaries, and give back, on part names as statements."""
+    from gregale.plans import features
+
+    part = _t(spark, d, "part")
+    batch = part.select(
+        F.col("p_partkey").alias("amdt_idx"), F.col("p_partkey").alias("Num amdt"), F.col("p_size").cast("string").alias("Num article"), F.col("p_brand").alias("Lecture"), F.col("p_type").alias("Groupe"),
+        F.concat(F.lit("Supprimer les mots "), "p_name").alias("Corps amdt"), F.concat("p_name", F.lit(" est un article de la marque "), "p_brand", F.lit(" et du type "), "p_type").alias("Exposé amdt"),
+        *[F.lit("").alias(c) for c in ("Commentaires", "Affectation (nom)", "Objet amdt", "Avis du Gouvernement", "Allotissement")],
+    )
+    words = spark.createDataFrame([("article de la marque", "Alice"), ("copper", "Bob"), ("red", "Chloé")], "`Mots clés` string, `Prénom Nom` string")
+    opinions = part.select(F.col("p_type").alias("grp")).distinct().withColumn("default", F.concat(F.lit("Avis "), "grp"))
+    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions)])
+    return done
