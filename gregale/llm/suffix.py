@@ -29,7 +29,7 @@ GRAM = 32
 #: Bytes of one gram's stretches that are sorted together; beyond that they are cut into shorter ones.
 SORTED_BYTES = 1 << 16
 #: Bytes after which the stretches of several grams are sorted.
-CHUNK_BYTES = 1 << 13
+CHUNK_BYTES = 1 << 12
 #: Bytes of documents that one task's grams are to come from.
 TASK_BYTES = 12_000_000
 _RANDOM = np.random.default_rng(9)
