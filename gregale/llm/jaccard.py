@@ -14,8 +14,8 @@ Before that, documents that can't link with any are put aside: of the elements w
 a quarter of the set's size must be in some other set, as a link leaves out no more. Only these elements of all documents are
 shuffled; few documents but near copies remain.
 
-Links are not expanded within groups. Equal sets are one node from the start. Then every list ties its members to one of them; each
-node is compared with the one it shares most lists with. What that doesn't connect, and only that, is compared pair by pair: a list
+Links are not expanded within groups. Equal sets are one node from the start. Then every list ties its members to one of them, and in
+further rounds to a few neighbours; each node is compared with those that it shares most lists with. What that doesn't connect, and only that, is compared pair by pair: a list
 yields the pairs of its members whose components differ. So a group of m near copies costs about m comparisons, and no link is lost.
 Every comparison is exact on the whole sets.
 """
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gregale.llm.common import Scratch, even_keys, read, shuffle_partitions, small_batches
 
@@ -38,8 +39,10 @@ WORDS = 5
 SCAN_COST = 4.0
 #: Set elements that one task is to hold.
 TASK_ENTRIES = 1_500_000
-#: Rounds of ties to one member of each list before pairs are compared.
-ROUNDS = 2
+#: Rounds of ties before pairs are compared: one to each list's head, the others to neighbours in a salted order.
+ROUNDS = 3
+#: Neighbours of an entry, and partners of a node, in such a round.
+NEIGHBOURS = 4
 #: Part of the hash range whose elements are counted over all documents.
 SAMPLED = 0.4
 SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
@@ -285,8 +288,9 @@ def _possible(n, place, a, b) -> np.ndarray:
 def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
     """(a, b, lists): nodes to compare, and in how many lists of this part they meet.
 
-    exhaustive: all pairs of different components; else those of each list's head with the others. The head is the node with the
-    smallest part of elements of its own, as what a group was copied from has fewer than its copies; then the first by a salted order.
+    exhaustive: all pairs of different components. Else, without a salt, those of each list's head with the others; the head is the
+    node with the smallest part of elements of its own, as what a group was copied from has fewer than its copies. With a salt, those
+    of neighbours in an order of all nodes by a salted hash. These two make no more pairs than NEIGHBOURS times the entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +316,16 @@ def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
         if not len(key):
             return
         if not exhaustive:
-            starts = np.flatnonzero(np.diff(run_of, prepend=-1))
-            head = starts[np.searchsorted(starts, np.arange(len(run_of)), side="right") - 1]
-            at = np.flatnonzero((comp != comp[head]) & (node != node[head]))
-            h = head[at]
+            if salt:
+                # each entry with the next few of its list
+                at = np.concatenate([np.flatnonzero(run_of[lag:] == run_of[:-lag]) for lag in range(1, NEIGHBOURS + 1)])
+                h = at + np.repeat(np.arange(1, NEIGHBOURS + 1), [np.count_nonzero(run_of[lag:] == run_of[:-lag]) for lag in range(1, NEIGHBOURS + 1)])
+            else:
+                starts = np.flatnonzero(np.diff(run_of, prepend=-1))
+                at = np.arange(len(run_of))
+                h = starts[np.searchsorted(starts, at, side="right") - 1]
+            differ = comp[at] != comp[h]
+            at, h = at[differ], h[differ]
             small = n[at] <= n[h]
             ok = _possible(n, place, np.where(small, at, h), np.where(small, h, at))
             yield from _emit(node[h[ok]], node[at[ok]])
@@ -434,10 +444,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = sets.withColumn("comp", F.col("node")) if comp is None else sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         pairs = _pairs(_deal(rows, light, parts), exhaustive, step * 0x9E3779B9).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
         if not exhaustive:
-            # each node with the one that it shares most lists with; the head of a list may be on either side
+            # each node with those that it shares most lists with; what a list has met may be on either side
             pairs = scratch.keep(pairs, f"pairs{step}")
             ends = pairs.select("a", "b", "lists").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "lists"))
-            best = ends.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            most = Window.partitionBy("a").orderBy(F.col("lists").desc(), "b")
+            best = ends.withColumn("r", F.row_number().over(most)).where(F.col("r") <= (NEIGHBOURS if step else 1)).select("a", "b")
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = scratch.keep(_linked(pairs, sets), f"links{step}")
         links = found if links is None else links.unionByName(found)
