@@ -413,6 +413,20 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def merged(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """comp (node, comp) after further links (a, b) between its nodes.
+
+    Only links between different components are followed, as links between their smallest nodes; a round that ties none costs one
+    count. Every node keeps a row.
+    """
+    ends = [comp.select(F.col("node").alias(x), F.col("comp").alias(y)) for x, y in (("a", "u"), ("b", "v"))]
+    open_links = scratch.keep(links.select("a", "b").join(ends[0], "a").join(ends[1], "b").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), f"{name}-open")
+    if open_links.isEmpty():
+        return comp
+    root = components(open_links, scratch, name).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return scratch.keep(comp.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{name}-all")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -438,10 +452,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.drop("sets")
     sizes = {r.n: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
     light = boundary({n: c for n, c in sizes.items() if n < 1000})
-    links, comp = None, None
+    comp = scratch.keep(sets.select("node", F.col("node").alias("comp")).distinct(), "components")  # a repeated id may give a node twice
     for step in range(ROUNDS + 1):
         exhaustive = step == ROUNDS
-        rows = sets.withColumn("comp", F.col("node")) if comp is None else sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = sets.join(comp, "node") if step else sets.withColumn("comp", F.col("node"))
         pairs = _pairs(_deal(rows, light, parts), exhaustive, step * 0x9E3779B9).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
         if not exhaustive:
             # each node with those that it shares most lists with; what a list has met may be on either side
@@ -451,8 +465,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             best = ends.withColumn("r", F.row_number().over(most)).where(F.col("r") <= (NEIGHBOURS if step else 1)).select("a", "b")
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = scratch.keep(_linked(pairs, sets), f"links{step}")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links, scratch, f"components{step}")
+        comp = merged(comp, found, scratch, f"components{step}")
     labelled = members.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = labelled.join(smallest, "comp").select("node", "component_id")
