@@ -12,32 +12,39 @@ from gregale.operators.similarity import cosine_pairs, edit_pairs
 
 #: Rows above which a cluster is subdivided.
 LARGE = 30
-#: Rounds of label exchange between two checkpoints, and at most.
-EVERY, MOST = 3, 60
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df, stored and without its plan, which would grow with every round: checkpointed, or cached where no checkpoint folder is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint()
+    rows = df.cache()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, cluster) of the nodes of links (a, b): the smallest id reachable.
 
-    Each round a node takes the smallest label among its neighbours', and then its label's label. Labels are checkpointed so that a
-    lost executor costs no more than the rounds since; set a checkpoint folder that all executors share.
+    Alternates two star steps (each node's larger neighbours, then its smaller ones, are tied to its smallest) until the ties stay as
+    they are; rounds grow with the logarithm of a chain's length. Ties are checkpointed so that a lost executor costs no more than a
+    round; set a checkpoint folder that all executors share.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    if links.sparkSession.sparkContext.getCheckpointDir() is None:
-        both = both.cache()
-    else:
-        both = both.checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster"))
-    for step in range(1, MOST):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
-        own = labels.join(near, "a").select("a", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved"))
-        jump = own.select(F.col("a").alias("cluster"), F.col("cluster").alias("root"))
-        after = own.join(jump, "cluster", "left").select("a", F.least("cluster", F.coalesce("root", "cluster")).alias("cluster"), "moved")
-        after = after.cache() if links.sparkSession.sparkContext.getCheckpointDir() is None else after.checkpoint()
-        if not after.where("moved").take(1):
+    ties = _kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
+    known = None
+    while True:
+        both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        ties = _kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = ties.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == known:
             break
-        labels = after.select("a", "cluster")
-    return after.select(F.col("a").alias("id"), "cluster")
+        known = now
+    # a fixed point: every node but the roots is tied to its root, once
+    return ties.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(ties.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
 
 
 def tfidf_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str, eps: float) -> DataFrame:

@@ -48,6 +48,12 @@ def test_components_of_a_chain(spark):
     assert groups(cluster.components(links)) == [list(range(41)), [100, 101]]
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    for ids in (random.Random(1).sample(range(500), 500), [0, *range(99, 0, -1)]):
+        links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+        assert groups(cluster.components(links)) == [list(range(len(ids)))]
+
+
 def test_subdivide_splits_large(spark):
     rows = [(i, f"verbe{i % 5} texte commun avec numero{i // 5}") for i in range(50)]
     df = spark.createDataFrame(rows, "id long, text string").withColumn("block", F.lit("x"))
