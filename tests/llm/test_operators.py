@@ -442,3 +442,22 @@ def test_band_rejects_what_is_off(spark):
     out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model")), "m"))
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert not kept[900] and not kept[901] and sum(kept[i] for i in range(80)) >= 79
+
+
+def prose(rng, pieces, n, words=3000):
+    some = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(words)]
+    return [" ".join(rng.choice(some) for _ in range(300)) for _ in range(n)]
+
+
+def verdicts(spark, table):
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(table)], "doc_id long, text string, lang string")
+    out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model")), "m"))
+    return [r.kept for r in sorted(out.collect(), key=lambda r: r.doc_id)]
+
+
+def test_rare_languages_have_a_band(spark):
+    rng = random.Random(6)
+    table = [(t, "en") for t in prose(rng, ["ka", "lo", "mi", "ren", "sto"], 5)]
+    table += [(" ".join(f"{rng.getrandbits(64):016x}" for _ in range(100)), x) for x in ("fr", None)]
+    table += [(" ".join("".join(rng.choice("абвгдежзиклмнопрстуы") for _ in range(5)) for _ in range(300)), "ru")]
+    assert verdicts(spark, table) == [True] * 5 + [False] * 2 + [True]
