@@ -2,8 +2,8 @@
 
 A public vocabulary with byte fallback measures each text: characters per token, the share of tokens that are single fallback bytes,
 and the entropy of its tokens. Prose of a language lies in a band of each measure; what lies outside is rejected. The bands are
-measured on all documents of a language: the median, and a spread that narrows with the square root of a text's length, as a mean
-over more tokens varies less. Each starts from a fixed band of the language's script and is refined by every document, so that there is
+measured on all distinct texts of a language: the median, and a spread that narrows with the square root of a text's length, as a mean
+over more tokens varies less. Each starts from a fixed band of the language's script and is refined by every text, so that there is
 a band at any size of the table and none begins at a count. Words are measured one by one (a word's pieces don't depend on its neighbours in such a vocabulary)
 and remembered.
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +64,7 @@ SCRIPTS = np.array([-1, 0, -1, 0, -1, 0, 2, 1, 3, 4, 5, 6, 0, 2, -1, 7, 8, 7, 9,
 FIXED = [Fixed(2.75, 0.0), Fixed(2.0, 0.0), *[Fixed(0.9, 0.1, byte_excess=0.2)] * 8]
 
 
-MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "script")] + [T.StructField("entropy", T.DoubleType())])
+MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "script", "text_hash")] + [T.StructField("entropy", T.DoubleType())])
 
 
 class Vocabulary:
@@ -117,7 +118,8 @@ def script_of(text: str) -> int:
 
 
 def measure(text: str, vocabulary: Vocabulary) -> tuple:
-    words = text.encode().split()
+    raw = text.encode()
+    words = raw.split()
     seen: set[str] = set()
     dup_lines = 0
     if "\n" in text:
@@ -131,12 +133,12 @@ def measure(text: str, vocabulary: Vocabulary) -> tuple:
     share = counts[counts > 0] / max(1, len(ids))
     return (
         len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines, repeated(words),
-        len(ids), int(vocabulary.is_byte[ids].sum()), script_of(text), float(-(share * np.log2(share)).sum()) if len(ids) else 0.0,
+        len(ids), int(vocabulary.is_byte[ids].sum()), script_of(text), xxhash.xxh64_intdigest(raw) - (1 << 63), float(-(share * np.log2(share)).sum()) if len(ids) else 0.0,
     )
 
 
 def measure_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
-    """docs with `measures`: counts of words, their characters, symbols, repeated lines and words, tokens, fallback bytes, script, and entropy.
+    """docs with `measures`: counts of words, their characters, symbols, repeated lines and words, tokens, fallback bytes, script, a hash of the text, and entropy.
 
     Null and empty texts measure 0 throughout; a column of that name is replaced; repeated rows are measured each. The vocabulary
     file must be at its path on every executor.
@@ -174,7 +176,7 @@ def judge(measured: DataFrame, rules: Rules = Rules(), lang_col: str = "lang") -
     """measured with chars_per_token, byte_share, base_failed and kept.
 
     Columns of measured named like the bands' own (band, own) or the new ones are left out. measured is read several times; it should
-    be a stored table without texts. Medians are those of all rows that the base rules pass.
+    be a stored table without texts. Medians are those of all distinct texts that the base rules pass; copies count once.
     """
     measured = measured.drop("band", "own", "chars_per_token", "byte_share", "base_failed", "kept")
     m = {f.name: F.col(f"measures.{f.name}") for f in MEASURES.fields}
@@ -183,7 +185,7 @@ def judge(measured: DataFrame, rules: Rules = Rules(), lang_col: str = "lang") -
     rows = measured.withColumns({"chars_per_token": F.coalesce(m["word_chars"] / tokens, F.lit(0.0)), "byte_share": F.coalesce(m["n_byte_tokens"] / tokens, F.lit(0.0)), "base_failed": failed})
     named = rows.withColumn("band", F.coalesce(F.col(lang_col), F.concat(F.lit("\0"), m["script"].cast("string"))))
     values = {"script": m["script"], "root": F.sqrt(m["n_tokens"]), "chars": F.col("chars_per_token"), "bytes": F.col("byte_share")}
-    texts = named.where(~F.col("base_failed")).select("band", *[v.alias(k) for k, v in values.items()])
+    texts = named.where(~F.col("base_failed")).groupBy("band", m["text_hash"].alias("hash")).agg(*[F.first(v).alias(k) for k, v in values.items()])  # a copy measures the same
 
     def refined(own: Column, fixed: Column | float) -> Column:
         return (F.col("n") * own + rules.weight * fixed) / (F.col("n") + rules.weight)

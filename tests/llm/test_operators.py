@@ -461,3 +461,11 @@ def test_rare_languages_have_a_band(spark):
     table += [(" ".join(f"{rng.getrandbits(64):016x}" for _ in range(100)), x) for x in ("fr", None)]
     table += [(" ".join("".join(rng.choice("абвгдежзиклмнопрстуы") for _ in range(5)) for _ in range(300)), "ru")]
     assert verdicts(spark, table) == [True] * 5 + [False] * 2 + [True]
+
+
+def test_copies_count_once_in_bands(spark):
+    rng = random.Random(7)
+    clean = prose(rng, ["ka", "lo", "mi", "ren", "sto"], 60)
+    copied = prose(rng, ["ka", "lo", "mi", "ren", "sto", "ing", "tion"], 1)[0]
+    kept = verdicts(spark, [(t, "en") for t in clean + [copied] * 200])
+    assert kept[:60] == verdicts(spark, [(t, "en") for t in [*clean, copied]])[:60] and sum(kept[:60]) >= 59
