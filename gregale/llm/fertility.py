@@ -4,7 +4,7 @@ A public vocabulary with byte fallback measures each text: characters per token,
 and the entropy of its tokens. Prose of a language lies in a band of each measure; what lies outside is rejected. The bands are
 measured on all distinct texts of a language: the median, and a spread that narrows with the square root of a text's length, as a mean
 over more tokens varies less. Each starts from a fixed band of the language's script and is refined by every text, so that there is
-a band at any size of the table and none begins at a count. Words are measured one by one (a word's pieces don't depend on its neighbours in such a vocabulary)
+a band at any size of the table and none begins at a count. Entropy is first freed of what a short text lacks. Words are measured one by one (a word's pieces don't depend on its neighbours in such a vocabulary)
 and remembered.
 
 Beside them stand rules that need no vocabulary: too few words, or too many of them in three-word windows that come twice or more.
@@ -35,7 +35,7 @@ class Rules:
     """Rejection bands. spread: widths of a language's own spread, per root of tokens, beside a share of its median.
 
     weight: documents for which the fixed band of a language's script counts, beside the language's own. Documents without a language
-    have a band of their script. 
+    have a band of their script. entropy: a floor beside the bands, in scripts that the vocabulary has whole words of.
     """
 
     spread: float = 3.5
@@ -47,21 +47,26 @@ class Rules:
 
 @dataclass(frozen=True)
 class Fixed:
-    """A script's band before any document: chars per token and byte share, with shares of the centre to both sides."""
+    """A script's band before any document: chars per token and byte share, and entropy freed of length, with shares of the centre to both sides."""
 
     chars: float
     bytes: float
+    entropy: float
     share: float = 0.45
     byte_excess: float = 0.05
+    entropy_share: float = 0.2
+    floor: bool = True
 
 
-#: Spread per root of tokens before any document, of chars per token.
-SPREADS = (1.0,)
+#: Tokens times bits that an entropy lacks per root of tokens, and spread of 1 / root of tokens: both before any document.
+SLOPE, ROOTS = 13.0, 3e-4
+#: Spread per root of tokens before any document: of chars per token, byte share and entropy.
+SPREADS = (1.0, 0.0, 4.0)
 #: Where scripts begin, and the number of each; 0 is Latin. ASCII signs belong to none.
 STARTS = np.array([0, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x10000, 0x20000])
 SCRIPTS = np.array([-1, 0, -1, 0, -1, 0, 2, 1, 3, 4, 5, 6, 0, 2, -1, 7, 8, 7, 9, 6, 7, 6, 6, 7])
 #: From sample texts in the public vocabulary: Latin 1.9 to 3.9 chars per token, Cyrillic 2.3, the others 0.7 to 1.
-FIXED = [Fixed(2.75, 0.0), Fixed(2.0, 0.0), *[Fixed(0.9, 0.1, byte_excess=0.2)] * 8]
+FIXED = [Fixed(2.75, 0.0, 7.5), Fixed(2.0, 0.0, 7.5), *[Fixed(0.9, 0.1, 6.5, entropy_share=0.25, floor=False, byte_excess=0.2)] * 8]
 
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "script", "text_hash")] + [T.StructField("entropy", T.DoubleType())])
@@ -184,18 +189,30 @@ def judge(measured: DataFrame, rules: Rules = Rules(), lang_col: str = "lang") -
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     rows = measured.withColumns({"chars_per_token": F.coalesce(m["word_chars"] / tokens, F.lit(0.0)), "byte_share": F.coalesce(m["n_byte_tokens"] / tokens, F.lit(0.0)), "base_failed": failed})
     named = rows.withColumn("band", F.coalesce(F.col(lang_col), F.concat(F.lit("\0"), m["script"].cast("string"))))
-    values = {"script": m["script"], "root": F.sqrt(m["n_tokens"]), "chars": F.col("chars_per_token"), "bytes": F.col("byte_share")}
+    values = {"script": m["script"], "root": F.sqrt(m["n_tokens"]), "chars": F.col("chars_per_token"), "bytes": F.col("byte_share"), "bits": m["entropy"]}
     texts = named.where(~F.col("base_failed")).groupBy("band", m["text_hash"].alias("hash")).agg(*[F.first(v).alias(k) for k, v in values.items()])  # a copy measures the same
 
     def refined(own: Column, fixed: Column | float) -> Column:
         return (F.col("n") * own + rules.weight * fixed) / (F.col("n") + rules.weight)
 
-    centres = texts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.mode("script", True).alias("script"), *[c.alias(k) for k in ("chars", "bytes") for c in _quantiles(F.col(k), 0.001, 0.5)])
-    off = texts.join(F.broadcast(centres.select("band", F.col("chars").alias("centre"))), "band").groupBy("band").agg(*[c.alias(k) for k, c in zip(("low", "high"), _quantiles((F.col("chars") - F.col("centre")) * F.col("root"), 0.01, 0.25, 0.75), strict=True)])
-    bands = centres.join(off, "band").select("band", *[refined(F.col(k), _fixed(k, F.col("script"))).alias(k) for k in ("chars", "bytes")], refined(F.col("high") - F.col("low"), F.lit(SPREADS[0])).alias("chars_spread"), refined(F.lit(rules.share), _fixed("share", F.col("script"))).alias("share"), refined(F.lit(rules.byte_excess), _fixed("byte_excess", F.col("script"))).alias("byte_excess"))
+    ties = [F.count(F.lit(1)) * f for f in (F.var_pop(1 / F.col("root")), F.covar_pop(1 / F.col("root"), "bits"))]
+    slope = F.greatest(F.lit(0.0), F.round((rules.weight * ROOTS * SLOPE - ties[1]) / (rules.weight * ROOTS + ties[0]), 1))  # of bits lacking
+    centres = texts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.mode("script", True).alias("script"), slope.alias("slope"), *[c.alias(f"{k}_mid") for k in ("chars", "bytes") for c in _quantiles(F.col(k), 0.001, 0.5)])
+    near = texts.join(F.broadcast(centres), "band").withColumn("entropy", F.col("bits") + F.col("slope") / F.col("root"))
+    centres = centres.join(near.groupBy("band").agg(_quantiles(F.col("entropy"), 0.001, 0.5)[0].alias("entropy_mid")), "band")
+    near = near.join(F.broadcast(centres.select("band", "entropy_mid")), "band")
+    ends = {k: _quantiles((F.col(k) - F.col(f"{k}_mid")) * F.col("root"), 0.01, 0.25, 0.75) for k in ("chars", "bytes", "entropy")}
+    spreads = near.groupBy("band").agg(*[(high - low).alias(f"{k}_off") for k, (low, high) in ends.items()])
+    shares = {"share": rules.share, "byte_excess": rules.byte_excess, "entropy_share": rules.share}
+    bands = centres.join(spreads, "band").select(
+        "band", "slope", _fixed("floor", F.col("script")).alias("floor"), *[refined(F.col(f"{k}_mid"), _fixed(k, F.col("script"))).alias(k) for k in ends],
+        *[refined(F.col(f"{k}_off"), F.lit(s)).alias(f"{k}_spread") for k, s in zip(ends, SPREADS, strict=True)], *[refined(F.lit(v), _fixed(k, F.col("script"))).alias(k) for k, v in shares.items()],
+    )
     width = lambda name, share: rules.spread * F.col(f"own.{name}_spread") / 1.349 / F.sqrt(tokens) + share
     fertile = F.abs(F.col("chars_per_token") - F.col("own.chars")) <= width("chars", F.col("own.share") * F.col("own.chars"))
-    verdict = ~F.col("base_failed") & fertile & (F.col("byte_share") <= F.col("own.bytes") + F.col("own.byte_excess")) & (m["entropy"] >= rules.entropy)
+    bytes_fit = F.abs(F.col("byte_share") - F.col("own.bytes")) <= width("bytes", F.col("own.byte_excess"))
+    entropy_fits = F.abs(m["entropy"] + F.col("own.slope") / F.sqrt(tokens) - F.col("own.entropy")) <= width("entropy", F.col("own.entropy_share") * F.col("own.entropy"))
+    verdict = ~F.col("base_failed") & fertile & bytes_fit & entropy_fits & (~F.col("own.floor") | (m["entropy"] >= rules.entropy))
     return named.join(F.broadcast(bands.select("band", F.struct(*[c for c in bands.columns if c != "band"]).alias("own"))), "band", "left").select(*rows.columns, verdict.alias("kept"))
 
 

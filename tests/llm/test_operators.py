@@ -469,3 +469,13 @@ def test_copies_count_once_in_bands(spark):
     copied = prose(rng, ["ka", "lo", "mi", "ren", "sto", "ing", "tion"], 1)[0]
     kept = verdicts(spark, [(t, "en") for t in clean + [copied] * 200])
     assert kept[:60] == verdicts(spark, [(t, "en") for t in [*clean, copied]])[:60] and sum(kept[:60]) >= 59
+
+
+def test_entropy_and_bytes_have_bands(spark):
+    rng = random.Random(8)
+    clean = prose(rng, ["ka", "lo", "mi", "ren", "sto", "ba", "du", "fin"], 80)
+    cycle = clean[0].split()[:30]
+    cycled = " ".join(rng.choice(cycle) for _ in range(1500))
+    wide = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000))
+    kept = verdicts(spark, [(t, "en") for t in [*clean, cycled, wide]])
+    assert sum(kept[:80]) >= 79 and kept[80:] == [False, False]
