@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gregale.functions import text as tx
 from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich
+from gregale.operators import similarity as sim
 
 log = logging.getLogger(__name__)
 ID, COMMENTS = "amdt_idx", "Commentaires"
@@ -131,20 +132,55 @@ def agents(sheet: DataFrame) -> DataFrame:
     return first.select(F.col("Prénom Nom").alias("owner"), F.lower("a.Mail").alias("mail"), F.col("a.Entité Pilote").alias("entity"))
 
 
-def attribution(keyword_sheet: DataFrame, columns: tuple[str, ...] = ("Exposé amdt",), order: tuple[str, ...] = ()) -> Feature:
-    """Owner by keywords of the columns; with an order of matchers, the first that matches decides alone."""
+def attribution(
+    keyword_sheet: DataFrame, columns: tuple[str, ...] = ("Exposé amdt",), order: tuple[str, ...] = (), legal: tuple[DataFrame, list[str]] | None = None,
+    credit: tuple[DataFrame, str] | None = None, articles: DataFrame | None = None, raw_body: str = "Corps amdt original",
+) -> Feature:
+    """Owner by keywords and law references of the columns, by the credit table of raw_body, and by the article of editorial rows.
+
+    legal: documents (document, article, owner) and patterns of their names; credit: (program, owner), programs normalised, and the type of credits;
+    articles: (article, owner). What isn't given doesn't match. With an order of matchers (KEYWORD, LEGAL, CREDIT_TABLE, REDACTIONAL),
+    the first that matches decides alone. Comments explain keyword matches.
+    """
+    given = {"KEYWORD": True, "LEGAL": legal, "CREDIT_TABLE": credit, "REDACTIONAL": articles}
+    if order and (missing := [k for k, v in given.items() if v is not None and k not in order]):
+        raise ValueError(f"the order lacks {', '.join(missing)}")
 
     def transform(df: DataFrame) -> DataFrame:
         normal = df.select(ID, *[tx.normalize_attribution(F.coalesce(F.col(c), F.lit("none"))).alias(c) for c in columns])
-        hits = None
-        for c in columns:
-            own = at.keyword_matches(normal, keywords(keyword_sheet), ID, c)
-            hits = own if hits is None else hits.unionByName(own)
+        found = [at.keyword_matches(normal, keywords(keyword_sheet), ID, c) for c in columns]
+        if legal is not None:
+            found += [at.legal_matches(normal, *legal, ID, c) for c in columns]
+        if credit is not None:
+            rows = df.select(F.col(ID).alias("id"), F.explode(at.credit_rows(credit[1])(F.col(raw_body))).alias("r"))
+            rows = rows.select("id", tx.normalize_attribution(F.col("r.program")).alias("program"), at.amount(F.col("r.plus")).alias("plus"), at.amount(F.col("r.minus")).alias("minus"))
+            found.append(at.credit_matches(rows, credit[0], raw_body))
+        if articles is not None:
+            found.append(at.editorial_matches(df, articles, ID, "is_redactional", "Num article"))
+        hits = found[0]
+        for more in found[1:]:
+            hits = hits.unionByName(more)
         hits = at.early_exit(hits, list(order)) if order else hits
         chosen = at.vote(hits)
-        return chosen.join(at.explain(hits, chosen), "id").select(F.col("id").alias(ID), F.col("owner").alias("Affectation (nom)"), F.col("comment").alias(COMMENTS))
+        return chosen.join(at.explain(hits.where("matcher = 'KEYWORD'"), chosen), "id", "left").select(F.col("id").alias(ID), F.col("owner").alias("Affectation (nom)"), F.col("comment").alias(COMMENTS))
+
+    requires = [ID, *columns, *([raw_body] if credit is not None else []), *(["is_redactional", "Num article"] if articles is not None else [])]
+    return Feature("attribution", requires, ["Affectation (nom)", COMMENTS], transform)
 
-    return Feature("attribution", [ID, *columns], ["Affectation (nom)", COMMENTS], transform)
+
+def within_batch(block: tuple[str, ...] = ("Num article",), column: str = "Exposé amdt", eps: float = 0.4, threshold: float = 0.8) -> Feature:
+    """Rows of the same cluster, with their similarity in percent, as the comment of rows that have none."""
+
+    def transform(df: DataFrame) -> DataFrame:
+        ready = df.where(~tx.is_blank(F.col(column))).withColumn("__text", tx.normalize_text(F.col(column)))
+        clusters, _ = cluster.get_clusters(ready, list(block), ID, "__text", eps, threshold)
+        texts = ready.select(F.col(ID).alias("id"), F.col("__text").alias("text"))
+        pairs = sim.edit_pairs(cluster.members_pairs(clusters, texts), "text_a", "text_b")
+        similar = enrich.similar_lists(pairs, df.select(F.col(ID).alias("id"), F.col("Num amdt").alias("num")))
+        free = df.where(F.coalesce(F.col(COMMENTS) == "", F.lit(True))).select(ID)
+        return similar.withColumnRenamed("id", ID).join(free, ID, "left_semi").select(ID, tx.similar_comment(F.col("similar")).alias(COMMENTS))
+
+    return Feature("within_batch", [ID, "Num amdt", COMMENTS, column, *block], [COMMENTS], transform)
 
 
 def summary(client, prompt: str = "{{expose_amdt}} {{corps_amdt}}", again: str = "{{summary}}") -> Feature:

@@ -363,6 +363,10 @@ def _cited(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("a l'article "), F.col("p_size").cast("string"), F.lit(" du code de "), F.lower("p_brand"), F.lit(" et articles "), (F.col("p_size") + 1).cast("string"), F.lit(" et "), (F.col("p_size") + 2).cast("string")).alias("text"))
 
 
+def _brands(spark, d):
+    return sorted(r[0] for r in _t(spark, d, "part").select(F.lower("p_brand")).distinct().limit(1000).collect())  # 25 brands
+
+
 def _codes(spark, d):
     return _t(spark, d, "part").select(F.lower("p_brand").alias("document"), F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat("document", F.lit("/"), "article"))
 
@@ -370,7 +374,7 @@ def _codes(spark, d):
 @query(f"""WITH {_CITED}, d AS (SELECT DISTINCT lower(p_brand) AS document, p_size::VARCHAR AS article FROM part)
 SELECT id, document, article, document || '/' || article AS owner FROM x JOIN d ON d.document = lower(x.p_brand) AND d.article IN (x.p_size::VARCHAR, (x.p_size + 2)::VARCHAR)""")
 def legal_matches(spark, d):
-    brands = sorted(r[0] for r in _t(spark, d, "part").select(F.lower("p_brand")).distinct().limit(1000).collect())  # 25 brands
+    brands = _brands(spark, d)
     return at.legal_matches(_cited(spark, d), _codes(spark, d), at.code_pattern(brands), "p_partkey", "text").select("id", "document", "article", "owner")
 
 
@@ -499,7 +503,7 @@ def store_build(spark, d):
 
 @query()
 def enrichment_full(spark, d):
-    """Prepare, allot, attribute, give opinions and summaries, and give back, on part names as statements."""
+    """Prepare, allot, attribute, give opinions, summaries and similar rows of the batch, and give back, on part names as statements."""
     from gregale.plans import features
 
     part = _t(spark, d, "part")
@@ -510,5 +514,6 @@ def enrichment_full(spark, d):
     )
     words = spark.createDataFrame([("article de la marque", "Alice"), ("copper", "Bob"), ("red", "Chloé")], "`Mots clés` string, `Prénom Nom` string")
     opinions = part.select(F.col("p_type").alias("grp")).distinct().withColumn("default", F.concat(F.lit("Avis "), "grp"))
-    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions)])
+    articles = part.select(F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat(F.lit("Article "), "article"))
+    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words, legal=(_codes(spark, d), at.code_pattern(_brands(spark, d))), articles=articles), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions), features.within_batch(("Lecture", "Num article"))])
     return done

@@ -69,3 +69,19 @@ def test_store(spark):
 def test_env(monkeypatch):
     monkeypatch.setenv("WHERE", "here")
     assert batches.expand_env({"a": ["${WHERE}/x", 3]}) == {"a": ["here/x", 3]}
+
+
+def test_all_matchers_and_similar_rows(spark):
+    html = "<table><tr><th>Programmes</th><th>+</th><th>-</th></tr><tr><td>Eau</td><td>5</td><td>0</td></tr><tr><td>Bois</td><td>0</td><td>5</td></tr></table>"
+    rows = [(1, 11, "1", "voir l'article 3 du code de la route", "", "", False), (2, 12, "7", "rien", "", "", True), (3, 13, "1", "rien", html, "", False), (4, 14, "1", "voir l'article 3 du code de la routes", "", "", False), (5, 15, "1", "les mots", "", "", False)]
+    df = spark.createDataFrame(rows, "amdt_idx long, `Num amdt` long, `Num article` string, `Exposé amdt` string, `Corps amdt original` string, Commentaires string, is_redactional boolean")
+    words = spark.createDataFrame([("mots", "Alice")], "`Mots clés` string, `Prénom Nom` string")
+    legal = spark.createDataFrame([("route", "3", "Loi")], "document string, article string, owner string")
+    program = spark.createDataFrame([("eau", "Crédit")], "program string, owner string")
+    article = spark.createDataFrame([("7", "Article")], "article string, owner string")
+    feature = features.attribution(words, legal=(legal, [r"code de la (route)"]), credit=(program, "Autorisations"), articles=article, order=("REDACTIONAL", "CREDIT_TABLE", "LEGAL", "KEYWORD"))
+    out, failed = features.run_features(df, [feature, features.within_batch()])
+    got = {r.amdt_idx: r for r in out.collect()}
+    assert not failed and [got[i]["Affectation (nom)"] for i in range(1, 6)] == ["Loi", "Article", "Crédit", "Loi", "Alice"]
+    assert got[1].Commentaires.startswith("Amdt similaires : 14 (100%)") and got[4].Commentaires.startswith("Amdt similaires : 11 (100%)")
+    assert "similaires" not in (got[3].Commentaires or "") + got[5].Commentaires
