@@ -110,9 +110,12 @@ def give_back(original: DataFrame, enriched: DataFrame, groups: DataFrame, colum
 
 # Sheets of the configuration workbook.
 def acronyms(sheet: DataFrame) -> list[tuple[str, str]]:
-    """In the sheet's order (pos); the last of equal acronyms counts. A dictionary of words, kept by hand."""
+    """In the sheet's order (pos); the last of equal acronyms counts. A dictionary of words, kept by hand; above 10,000 is an error."""
     last = sheet.groupBy("Acronyme").agg(F.max_by("Développement", "pos").alias("meaning"), F.min("pos").alias("pos"))
-    return [(r[0], r[1]) for r in last.orderBy("pos").select("Acronyme", "meaning").limit(10_000).collect()]
+    rows = last.orderBy("pos").select("Acronyme", "meaning").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 acronyms")
+    return [(r[0], r[1]) for r in rows]
 
 
 def keywords(sheet: DataFrame) -> DataFrame:

@@ -364,7 +364,10 @@ def _cited(spark, d):
 
 
 def _brands(spark, d):
-    return sorted(r[0] for r in _t(spark, d, "part").select(F.lower("p_brand")).distinct().limit(1000).collect())  # 25 brands
+    names = [r[0] for r in _t(spark, d, "part").select(F.lower("p_brand")).where("p_brand IS NOT NULL").distinct().limit(1001).collect()]  # 25 brands
+    if len(names) > 1000:
+        raise ValueError("more than 1000 document names")
+    return sorted(names)
 
 
 def _codes(spark, d):

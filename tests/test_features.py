@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from gregale.plans import features, store
+from gregale.plans import features, queries, store
 from gregale.sources import batches
 
 
@@ -85,3 +86,15 @@ def test_all_matchers_and_similar_rows(spark):
     assert not failed and [got[i]["Affectation (nom)"] for i in range(1, 6)] == ["Loi", "Article", "Crédit", "Loi", "Alice"]
     assert got[1].Commentaires.startswith("Amdt similaires : 14 (100%)") and got[4].Commentaires.startswith("Amdt similaires : 11 (100%)")
     assert "similaires" not in (got[3].Commentaires or "") + got[5].Commentaires
+
+
+def test_long_dictionaries_are_errors(spark, tmp_path):
+    sheet = spark.range(10_001).select(F.col("id").alias("pos"), F.concat(F.lit("A"), "id").alias("Acronyme"), F.lit("x").alias("Développement"))
+    with pytest.raises(ValueError):
+        features.acronyms(sheet)
+    assert len(features.acronyms(sheet.where("pos < 10000"))) == 10_000
+    for n in (1000, 1001):
+        spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("B"), "id").alias("p_brand"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / f"{n}/part.parquet"))
+    assert len(queries._brands(spark, str(tmp_path / "1000"))) == 1000
+    with pytest.raises(ValueError):
+        queries.QUERIES["legal_matches"](spark, str(tmp_path / "1001"))
