@@ -52,9 +52,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as one text can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as one text can be very long. One size for all operators, so that it doesn't matter which is planned last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
 
 
 def even_keys(spark: SparkSession, n: int) -> list[int]:

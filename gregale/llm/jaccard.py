@@ -5,8 +5,8 @@ of sets that hold them, rare ones first, then by hash; passages that many docume
 similarity of 3/4 only if they share t = ceil(3 (n + m) / 7) elements, and then the first n - t + k and m - t + k of them share k:
 
 * Light sets (few elements) enumerate the subsets of size k = 2 of those first elements and meet on equal subsets.
-* Heavy sets put the first elements for k = 1 into inverted lists, and so do the light sets that a heavy one can reach; a list is
-  scanned for pairs whose sizes and positions still allow t shared elements.
+* Heavy sets put the first elements for k = 1 into inverted lists, and so do the light sets that a heavy one can reach; lists are
+  scanned for pairs, and how many lists a pair shares bounds what its whole sets can share.
 
 The boundary is the size at which the subsets to enumerate cost more than list entries to scan.
 
@@ -14,39 +14,46 @@ Before that, documents that can't link with any are put aside: of the elements w
 a quarter of the set's size must be in some other set, as a link leaves out no more. Only these elements of all documents are
 shuffled; few documents but near copies remain.
 
-Links are not expanded within groups. Equal sets are one node from the start. Then every list ties its members to one of them, and in
-further rounds to a few neighbours; each node is compared with those that it shares most lists with. What that doesn't connect, and only that, is compared pair by pair: a list
-yields the pairs of its members whose components differ. So a group of m near copies costs about m comparisons, and no link is lost.
-Every comparison is exact on the whole sets.
+Links are not expanded within groups. Equal sets are one node from the start. Then every list ties its members to one of them, its
+head, and each node is compared with the few heads that it shares most lists with. What that doesn't connect, and only that, is compared
+pair by pair: lists that hold several components yield the pairs between these, and the pairs that share enough lists are compared.
+So a group of m near copies costs about m comparisons, and no link is lost. Every comparison is exact on the whole sets.
+
+Hot elements: what a batch says of one element is aggregated before it is dealt, so that an element of a third of all sets costs an
+entry per batch, not per set; lists that stay open and are longer than BLOCK are met block by block in several tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gregale.llm.common import Scratch, even_keys, read, shuffle_partitions, small_batches
 
 WORDS = 5
 #: Cost of scanning one entry of an inverted list, in enumerated subsets.
 SCAN_COST = 4.0
-#: Set elements that one task is to hold.
-TASK_ENTRIES = 1_500_000
-#: Rounds of ties before pairs are compared: one to each list's head, the others to neighbours in a salted order.
-ROUNDS = 3
-#: Neighbours of an entry, and partners of a node, in such a round.
-NEIGHBOURS = 4
+#: Entries (hash, node and what belongs to them) that one task is to hold.
+TASK_ENTRIES = 1_000_000
+#: Members of a list that meet in one task, of its largest component and of the others each; longer lists are met in blocks.
+BLOCK = 4096
+#: List heads that a node is compared with before open lists are met pair by pair.
+HEADS = 4
 #: Part of the hash range whose elements are counted over all documents.
 SAMPLED = 0.4
 SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
-PAIR = np.uint64(1 << 31)
+#: Stands for two or more nodes of one batch.
+SEVERAL = np.int64(-1)
+#: A set of this size or more costs more subsets than list entries, whatever the other sizes are: (n/4+2)(n/4+1)/2 > SCAN_COST (n/4+1).
+LARGE = 64
+#: In the sum of a pair's meetings: one on a subset of two.
+ON_SUBSET = 1 << 24
 ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,19 +111,20 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _node(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+    node = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+    return node if node != SEVERAL else 0
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, sampled, spare): node is a 64-bit hash of the set, null for none; sampled, its elements in the sampled part of the range; spare, how many of them must be in another set."""
+    """(doc_id, text_key, n, node, sampled, spare): node is a 64-bit hash of the set, null for none; sampled, its elements in the sampled part of the range; spare, how many of them must be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             sampled = [int(np.searchsorted(s, SAMPLE_END)) for s in sets]
-            yield _batch(doc_id=batch.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), sampled=pa.array(sampled, pa.int64()), spare=pa.array([k - len(s) // 4 for k, s in zip(sampled, sets, strict=True)], pa.int64()))
+            yield _batch(doc_id=batch.column(0), text_key=batch.column(1), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), sampled=pa.array(sampled, pa.int64()), spare=pa.array([k - len(s) // 4 for k, s in zip(sampled, sets, strict=True)], pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sampled long, spare long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, sampled long, spare long")
 
 
 def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
@@ -131,15 +139,40 @@ def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
     return out
 
 
-def _pack(key: np.ndarray, keys: np.ndarray, **columns) -> pa.RecordBatch:
-    """One row per part of the key space, under the part's own of keys, with each column's values of that part as bytes."""
-    part = ((mix(key) >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, in columns sorted together."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
+    """The columns in the order of the first, then the second, and so on."""
+    order = np.lexsort(columns[::-1])
+    return [c[order] for c in columns]
+
+
+def _summed(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of all columns but the last, with the sum of the last."""
+    *by, value = _sorted(*columns)
+    at = _runs(*by)
+    return [c[at] for c in by] + [np.add.reduceat(value, at, dtype=value.dtype) if len(at) else value]
+
+
+def _home(node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The part that each node belongs to."""
+    return keys[((mix(node.view(np.uint64)) >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)]
+
+
+def _packed(part: np.ndarray, name: str = "part", **columns: np.ndarray) -> pa.RecordBatch:
+    """One row per part, with each column's values of that part as bytes."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    ends = np.append(cuts[1:], len(part))
-    packed = {k: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary()) for k, v in {"key": key[order], **{k: v[order] for k, v in columns.items()}}.items()}
-    return _batch(part=pa.array(keys[part[cuts]], pa.int64()), **packed)
+    at = _runs(part)
+    ends = np.append(at[1:], len(part))
+    return _batch(**{name: pa.array(part[at], pa.int64())}, **{k: pa.array([v[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for k, v in ((k, v[order]) for k, v in columns.items())})
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
@@ -150,225 +183,337 @@ def _unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(c), k) for c, k in zip(columns, kinds, strict=True)]
 
 
-def _many(key: np.ndarray) -> np.ndarray:
-    """Places of keys that come twice or more, by key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
-    many = np.zeros(len(k), bool)
-    many[1:] |= same
-    many[:-1] |= same
-    return order[many]
+def _exchanged(table: DataFrame, parts: int, deal, *names: str) -> DataFrame:
+    """What deal yields for the batches of table, packed rows of part and names, each part in one partition."""
+    return table.mapInArrow(deal, ", ".join(["part long", *[f"{n} binary" for n in names]])).repartition(parts, "part")
 
 
 def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """(node, shared): for how many of a set's sampled elements another set has them, too."""
+    """(node, shared): for how many of a set's sampled elements another set has them, too; more where copies of a set lie in several tasks.
+
+    Elements that several sets of a batch share are counted there, and stand for these sets in one entry of the batch.
+    """
     keys = np.array(even_keys(docs.sparkSession, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(0).to_pylist()]
             nodes = [_node(s) if len(s) else None for s in sets]
             fresh = _fresh(nodes, seen)
-            if fresh:
-                own = [sets[i][: int(np.searchsorted(sets[i], SAMPLE_END))] for i in fresh]
-                yield _pack(np.concatenate(own), keys, node=np.repeat(np.array([nodes[i] for i in fresh], np.int64), [len(s) for s in own]))
+            if not fresh:
+                continue
+            own = [sets[i][: int(np.searchsorted(sets[i], SAMPLE_END))] for i in fresh]
+            key, node = _sorted(np.concatenate(own), np.repeat(np.array([nodes[i] for i in fresh], np.int64), [len(s) for s in own]))
+            at = _runs(key)
+            times = np.diff(np.append(at, len(key)))
+            here, n = np.unique(node[np.repeat(times > 1, times)], return_counts=True)
+            sent = np.where(times > 1, SEVERAL, node[at])
+            # kind 1: entries of elements; kind 0: counts of nodes, passed on
+            kind = np.repeat(np.array([1, 0], np.uint8), [len(at), len(here)])
+            part = np.concatenate([_home(key[at], keys), _home(here, keys)])
+            yield _packed(part, kind=kind, key=np.concatenate([key[at], n.astype(np.uint64)]), node=np.concatenate([sent, here]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = _unpacked(batches, np.uint64, np.int64)
-        at = _many(key)
-        at = at[np.lexsort((node[at], key[at]))]
+        kind, key, node = _unpacked(batches, np.uint8, np.uint64, np.int64)
+        counted, counts = node[kind == 0], key[kind == 0].astype(np.int64)
+        key, node = _sorted(key[kind == 1], node[kind == 1])
+        at = _runs(key, node)
         key, node = key[at], node[at]
-        if len(key):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[new], node[new]
-            node, n = np.unique(node[_many(key)], return_counts=True)
-            yield _batch(node=pa.array(node, pa.int64()), shared=pa.array(n, pa.int64()))
+        at = _runs(key)
+        times = np.diff(np.append(at, len(key)))
+        shared = np.repeat((times > 1) | (node[at] == SEVERAL), times) & (node != SEVERAL)
+        node, n = _summed(np.concatenate([counted, node[shared]]), np.concatenate([counts, np.ones(int(shared.sum()), np.int64)]))
+        if len(node):
+            yield _packed(_home(node, keys), node=node, n=n)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "part long, key binary, node binary").repartition(parts, "part")
-    return dealt.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n = _summed(*_unpacked(batches, np.int64, np.int64))
+        yield _batch(node=pa.array(node, pa.int64()), shared=pa.array(n, pa.int64()))
 
+    return _exchanged(_exchanged(docs.select("text"), parts, deal, "kind", "key", "node"), parts, count, "node", "n").mapInArrow(total, "node long, shared long")
 
-def ordered(sets: DataFrame, parts: int) -> DataFrame:
-    """sets (node, n, set, own) with prefix: the first elements of each in the common order."""
-    keys = np.array(even_keys(sets.sparkSession, parts))
+
+def consult(table: DataFrame, parts: int, ask: Callable, asked: dict[str, type], answer: Callable, told: dict[str, type], use: Callable, out: str) -> DataFrame:
+    """Rows of table (home, …), each batch told what all rows say of its keys.
+
+    ask(batch) gives (home, key, *asked) of a batch, aggregated there; answer(home, key, *asked), with all that is said of the keys
+    of one part, gives (home, key, *told); use(rows, told of rows' home: sorted keys and what belongs to them) yields batches of out.
+    A task holds the answers for one home at a time, and what is asked of one part.
+    """
+    keys = np.array(even_keys(table.sparkSession, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if own:
-                yield _pack(np.concatenate(own), keys, node=np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own]))
+            home, key, *values = ask(batch)
+            if len(key):
+                yield _packed(_home(key, keys), home=home, key=key, **dict(zip(asked, values, strict=True)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = _unpacked(batches, np.uint64, np.int64)
-        at = _many(key)
-        at = at[np.lexsort((node[at], key[at]))]
-        key, node = key[at], node[at]
-        if not len(key):
-            return
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
-        cuts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        times = np.diff(np.append(cuts, len(key)))
-        level = np.repeat(np.floor(np.log2(times)).astype(np.uint8), times)
-        common = level >= 2  # elements of one to three sets are of one magnitude, which needn't be told
-        key, node, level = key[common], node[common], level[common]
-        order = np.argsort(node, kind="stable")
-        key, node, level = key[order], node[order], level[order]
-        cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)) if len(node) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(node))
-        for s in range(0, len(cuts), 2000):
-            pick = range(s, min(s + 2000, len(cuts)))
-            yield _batch(node=pa.array(node[cuts[s : s + 2000]], pa.int64()), keys=pa.array([key[cuts[i] : ends[i]].tobytes() for i in pick], pa.binary()), levels=pa.array([level[cuts[i] : ends[i]].tobytes() for i in pick], pa.binary()))
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, key, *values = answer(*_unpacked(batches, np.int64, np.uint64, *asked.values()))
+        if len(key):
+            yield _packed(home, "home", key=key, **dict(zip(told, values, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, said, known = None, [], None
+        kinds = [np.uint64, *told.values()]
         for batch in batches:
-            prefixes = []
-            for own, known in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                own = np.frombuffer(own, np.uint64)
-                level = np.zeros(len(own), np.uint8)
-                for k in known or ():
-                    level[np.searchsorted(own, np.frombuffer(k["keys"], np.uint64))] = np.frombuffer(k["levels"], np.uint8)
-                prefixes.append(own[np.argsort(level, kind="stable")][: int(probe_length(len(own), 2))].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(prefixes, pa.binary())], names=["node", "n", "set", "own", "prefix"])
-
-    dealt = sets.select("node", "set").mapInArrow(deal, "part long, key binary, node binary").repartition(parts, "part")
-    common = dealt.mapInArrow(count, "node long, keys binary, levels binary").groupBy("node").agg(F.collect_list(F.struct("keys", "levels")).alias("common"))
-    return sets.join(common, "node", "left").select("node", "n", "set", "own", "common").mapInArrow(order, "node long, n long, set binary, own double, prefix binary")
-
-
-def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, place): list keys of all rows. place: the (last) position of the key in its prefix; with PAIR, of a subset."""
-    keys, rows, places = [], [], []
+            home, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts = _runs(home, row)
+            for s, e in zip(starts, np.append(starts[1:], len(home)), strict=True):
+                if home[s] != at:
+                    at, said, known = home[s], [], None
+                piece = batch.slice(s, e - s)
+                if not row[s]:
+                    said.append([piece.column(2 + i).to_pylist() for i in range(len(kinds))])
+                    continue
+                if known is None:
+                    columns = [np.frombuffer(b"".join(x for p in said for x in p[i]), k) for i, k in enumerate(kinds)]
+                    order = np.argsort(columns[0], kind="stable")
+                    said, known = [], [c[order] for c in columns]
+                yield from use(pa.RecordBatch.from_arrays([piece.column("home"), *piece.columns[2 + len(kinds) :]], names=names), known)
+
+    names = ["home", *[c for c in table.columns if c != "home"]]
+    answers = _exchanged(table, parts, deal, "home", "key", *asked).mapInArrow(reply, ", ".join(["home long", "key binary", *[f"{n} binary" for n in told]]))
+    answers = answers.select("home", F.lit(False).alias("row"), F.col("key").alias("__key"), *[F.col(n).alias(f"__{n}") for n in told])
+    rows = table.withColumn("row", F.lit(True))
+    both = answers.unionByName(rows, allowMissingColumns=True).select("home", "row", "__key", *[f"__{n}" for n in told], *names[1:])
+    return both.repartition(parts, "home").sortWithinPartitions("home", "row").mapInArrow(run, out)
+
+
+def _at(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys that are known, and where they stand among these."""
+    at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+    hit = np.flatnonzero(known[at] == key) if len(known) else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def ordered(sets: DataFrame, parts: int) -> DataFrame:
+    """(home, node, n, own, prefix) of sets (home, node, n, own, set): prefix, the first elements of each in the common order."""
+
+    def ask(batch: pa.RecordBatch):
+        own = _arrays(batch.column("set"))
+        home = np.repeat(batch.column("home").to_numpy(zero_copy_only=False), [len(s) for s in own])
+        key = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        home, key, n = _summed(home, key, np.ones(len(key), np.uint32))
+        return home, key, n
+
+    def answer(home, key, n):
+        key, home, n = _sorted(key, home, n)
+        at = _runs(key)
+        times = np.add.reduceat(n.astype(np.int64), at) if len(at) else n
+        each = np.diff(np.append(at, len(key)))
+        level = np.repeat(np.floor(np.log2(np.maximum(times, 1))).astype(np.uint8), each)
+        common = level >= 2  # elements of one to three sets are of one magnitude, which needn't be told
+        home, key, level = home[common], key[common], level[common]
+        at = _runs(key, home)  # once per home, which several batches may have asked for
+        return home[at], key[at], level[at]
+
+    def use(rows: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
+        prefixes = []
+        for own in _arrays(rows.column("set")):
+            level = np.zeros(len(own), np.uint8)
+            hit, at = _at(known[0], own)
+            level[hit] = known[1][at]
+            prefixes.append(own[np.argsort(level, kind="stable")][: int(probe_length(len(own), 2))].tobytes())
+        yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("home", "node", "n", "own")] + [pa.array(prefixes, pa.binary())], names=["home", "node", "n", "own", "prefix"])
+
+    return consult(sets, parts, ask, {"times": np.uint32}, answer, {"level": np.uint8}, use, "home long, node long, n long, own double, prefix binary")
+
+
+def _keys(prefixes: list[np.ndarray], n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): list keys of all rows, even ones of single elements, odd ones of subsets."""
+    keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     singly = n * 4 >= light * 3  # what a heavy set can reach
     for i, prefix in enumerate(prefixes):
         size = int(n[i])
         if singly[i]:
-            own = prefix[: int(probe_length(size))]
-            keys.append(own)
-            places.append(np.arange(len(own), dtype=np.uint32))
-            rows.append(np.full(len(own), i, np.int64))
+            keys.append(prefix[: int(probe_length(size))] & ~np.uint64(1))
         if size <= light and len(prefix) > 1:
             a, b = np.triu_indices(len(prefix), 1)
-            keys.append(mix(prefix[a] * ODD[0] + prefix[b]))
-            places.append(b.astype(np.uint32) | np.uint32(1 << 31))
-            rows.append(np.full(len(a), i, np.int64))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
-
-
-def _deal(table: DataFrame, light: int, parts: int) -> DataFrame:
-    """Packed list entries of (node, n, prefix, comp, own), by part of the key space."""
-    keys = np.array(even_keys(table.sparkSession, parts))
+            own = mix(prefix[a] * ODD[0] + prefix[b]) | np.uint64(1)
+            if singly[i]:
+                keys[-1] = np.concatenate([keys[-1], own])
+            else:
+                keys.append(own)
+        elif not singly[i]:
+            continue
+        rows.append(np.full(len(keys[-1]), i, np.int64))
+    return np.concatenate(keys), np.concatenate(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            prefixes = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
-            key, row, place = _keys(prefixes, n, light)
-            if len(key):
-                yield _pack(key, keys, node=node[row], n=n[row].astype(np.uint32), place=place, comp=comp[row], own=batch.column(4).to_numpy(zero_copy_only=False).astype(np.float32)[row])
 
-    return table.select("node", "n", "prefix", "comp", "own").mapInArrow(run, "part long, key binary, node binary, n binary, place binary, comp binary, own binary").repartition(parts, "part")
+def _near(n, m):
+    """Whether sets of so many elements can link."""
+    return 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
 
 
-def _possible(n, place, a, b) -> np.ndarray:
-    """Whether entries a and b of one list, n[a] <= n[b], may belong to sets that link, as far as this list tells."""
-    na, nb, pair = n[a], n[b], (place[a] & PAIR) > 0
-    pa_, pb = (place[a] & ~PAIR).astype(np.int64), (place[b] & ~PAIR).astype(np.int64)
-    least = least_shared(na, nb)
-    ok = (4 * na >= 3 * nb) & (pa_ < np.where(pair, index_length(na, 2), index_length(na)))
-    return ok & (pair | (np.minimum(na - pa_, nb - pb) >= least))
+def head_pairs(rows: DataFrame, light: int, parts: int) -> DataFrame:
+    """(a, b) of rows (home, node, n, own, prefix): each node with the HEADS list heads b that it shares most lists with.
 
+    The head of a list is its node with the smallest part of elements of its own, as what a group was copied from has fewer than its
+    copies. Members of a list that lie in one batch are tied to the head of these there, which alone goes on to meet the others.
+    """
+    keys = np.array(even_keys(rows.sparkSession, parts))
 
-def _pairs(dealt: DataFrame, exhaustive: bool, salt: int) -> DataFrame:
-    """(a, b, lists): nodes to compare, and in how many lists of this part they meet.
+    def heads(key, own, node, n):
+        """Places of the heads, and (node, head) of the others, in columns sorted by key, own, node."""
+        at = _runs(key)
+        head = np.repeat(at, np.diff(np.append(at, len(key))))
+        tied = (node != node[head]) & _near(n, n[head])
+        return at, node[tied], node[head[tied]]
 
-    exhaustive: all pairs of different components. Else, without a salt, those of each list's head with the others; the head is the
-    node with the smallest part of elements of its own, as what a group was copied from has fewer than its copies. With a salt, those
-    of neighbours in an order of all nodes by a salted hash. These two make no more pairs than NEIGHBOURS times the entries.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "own"))
+            key, row = _keys(_arrays(batch.column("prefix")), n, light)
+            key, own, node, n = _sorted(key, own.astype(np.float32)[row], node[row], n.astype(np.uint32)[row])
+            at, a, b = heads(key, own, node, n.astype(np.int64))
+            a, b, lists = _summed(a, b, np.ones(len(a), np.int64))
+            none = lambda like, dtype: np.zeros(len(like), dtype)
+            # kind 1: list entries; kind 0: ties with their numbers of lists, passed on
+            yield _packed(
+                np.concatenate([_home(key[at], keys), _home(a, keys)]), kind=np.repeat(np.array([1, 0], np.uint8), [len(at), len(a)]), key=np.concatenate([key[at], lists.astype(np.uint64)]), node=np.concatenate([node[at], a]),
+                head=np.concatenate([none(at, np.int64), b]), n=np.concatenate([n[at], none(a, np.uint32)]), own=np.concatenate([own[at], none(a, np.float32)]),
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, key, node, head, n, own = _unpacked(batches, np.uint8, np.uint64, np.int64, np.int64, np.uint32, np.float32)
+        ties, met = kind == 0, kind == 1
+        k, o, x, m = _sorted(key[met], own[met], node[met], n[met])
+        _, a, b = heads(k, o, x, m.astype(np.int64))
+        a, b, lists = _summed(np.concatenate([node[ties], a]), np.concatenate([head[ties], b]), np.concatenate([key[ties].astype(np.int64), np.ones(len(a), np.int64)]))
+        if len(a):
+            yield _packed(_home(a, keys), a=a, b=b, lists=lists)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, lists = _summed(*_unpacked(batches, np.int64, np.int64, np.int64))
+        a, _, b = _sorted(a, -lists, b)
+        at = _runs(a)
+        at = np.flatnonzero(np.arange(len(a)) - np.repeat(at, np.diff(np.append(at, len(a)))) < HEADS)
+        yield _batch(a=pa.array(a[at], pa.int64()), b=pa.array(b[at], pa.int64()))
+
+    met = _exchanged(rows.select("node", "n", "own", "prefix"), parts, deal, "kind", "key", "node", "head", "n", "own")
+    return _exchanged(met, parts, meet, "a", "b", "lists").mapInArrow(best, "a long, b long")
+
+
+def open_pairs(rows: DataFrame, light: int, parts: int) -> DataFrame:
+    """(a, b) of rows (home, node, n, comp, prefix): the pairs of different components that share lists enough to link, each once.
+
+    Lists of one component are left out: batches ask which lists hold others. In an open list the members outside its largest
+    component meet all its members. Of more than BLOCK members, the largest component's are dealt to several columns of cells, the
+    others to rows and columns, so that a task holds two blocks of a list and each pair still meets once.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, n, place, comp, own = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.int64, np.float32)
-        n, place = n.astype(np.int64), place.astype(np.uint64)
-        order = _many(key)
-        key, node, n, place, comp, own = key[order], node[order], n[order], place[order], comp[order], own[order]
-        mixed = mix(node.view(np.uint64) + np.uint64(salt)) if salt else node.view(np.uint64)
-        order = np.lexsort((place, node, n, key) if exhaustive else (place, mixed, own if not salt else np.zeros_like(own), key))
-        key, node, n, place, comp = key[order], node[order], n[order], place[order], comp[order]
-        if not len(key):
-            return
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # one entry per node of a list
-        key, node, n, place, comp = key[first], node[first], n[first], place[first], comp[first]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        run_of = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-        open_list = (low != high)[run_of]  # others hold one node or one component
-        key, node, n, place, comp, run_of = key[open_list], node[open_list], n[open_list], place[open_list], comp[open_list], run_of[open_list]
-        if not len(key):
-            return
-        if not exhaustive:
-            if salt:
-                # each entry with the next few of its list
-                at = np.concatenate([np.flatnonzero(run_of[lag:] == run_of[:-lag]) for lag in range(1, NEIGHBOURS + 1)])
-                h = at + np.repeat(np.arange(1, NEIGHBOURS + 1), [np.count_nonzero(run_of[lag:] == run_of[:-lag]) for lag in range(1, NEIGHBOURS + 1)])
+    keys = np.array(even_keys(rows.sparkSession, parts))
+    ROW, COLUMN, LARGEST = np.uint8(1), np.uint8(2), np.uint8(4)
+
+    def entries(batch: pa.RecordBatch):
+        node, n, comp, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "comp", "home"))
+        key, row = _keys(_arrays(batch.column("prefix")), n, light)
+        return key, node[row], n.astype(np.uint32)[row], comp[row], home[row]
+
+    def ask(batch: pa.RecordBatch):
+        key, _, _, comp, home = entries(batch)
+        home, key, comp, n = _summed(home, key, comp, np.ones(len(key), np.int64))
+        return home, key, comp, n
+
+    def answer(home, key, comp, n):
+        k, c, m = _summed(key, comp, n)
+        at = _runs(k)
+        each = np.diff(np.append(at, len(k)))
+        is_open = np.repeat(each > 1, each)
+        k, c, m = k[is_open], c[is_open], m[is_open]
+        k, m, c = _sorted(k, -m, c)  # the largest component first
+        at = _runs(k)
+        total = np.add.reduceat(-m, at) if len(at) else m
+        largest, others = c[at], total + m[at]
+        cells = [np.maximum(1, -(-x // BLOCK)).astype(np.uint32) for x in (-m[at], others)]
+        home, key = _sorted(home, key)
+        first = _runs(home, key)
+        home, key = home[first], key[first]
+        hit, where = _at(k[at], key)
+        return home[hit], key[hit], largest[where], cells[0][where], cells[1][where]
+
+    def use(batch: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
+        key, node, n, comp, _ = entries(batch)
+        hit, at = _at(known[0], key)
+        key, node, n, comp = key[hit], node[hit], n[hit], comp[hit]
+        largest, columns, lines = comp == known[1][at], known[2][at].astype(np.int64), known[3][at].astype(np.int64)
+        role = np.full(len(key), ROW | COLUMN, np.uint8) | np.where(largest, LARGEST, np.uint8(0))
+        whole = (columns == 1) & (lines == 1)
+        dealt = [(key[whole], node[whole], n[whole], comp[whole], role[whole])]
+        mixed = mix(node.view(np.uint64)) >> np.uint64(20)
+        for i in np.flatnonzero(~whole):  # entries of hot lists
+            if largest[i]:
+                put = [(line, int(mixed[i] % np.uint64(columns[i])), COLUMN | LARGEST) for line in range(lines[i])]
             else:
-                starts = np.flatnonzero(np.diff(run_of, prepend=-1))
-                at = np.arange(len(run_of))
-                h = starts[np.searchsorted(starts, at, side="right") - 1]
-            differ = comp[at] != comp[h]
-            at, h = at[differ], h[differ]
-            small = n[at] <= n[h]
-            ok = _possible(n, place, np.where(small, at, h), np.where(small, h, at))
-            yield from _emit(node[h[ok]], node[at[ok]])
-            return
-        at, lag = np.arange(len(run_of)), 1
-        while True:
-            at = at[at + lag < len(run_of)]
-            at = at[run_of[at + lag] == run_of[at]]
-            at = at[4 * n[at] >= 3 * n[at + lag]]  # sizes rise within a list
-            if not len(at):
-                return
-            other = at[comp[at] != comp[at + lag]]
-            ok = _possible(n, place, other, other + lag)
-            yield from _emit(node[other[ok]], node[other[ok] + lag])
-            lag += 1
-
-    return dealt.mapInArrow(run, "a long, b long, lists long")
-
-
-def _emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(a):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        at = np.flatnonzero(new)
-        yield _batch(a=pa.array(low[at]), b=pa.array(high[at]), lists=pa.array(np.diff(np.append(at, len(low)))))
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, set, own): whole sets of the wanted (doc_id, node, own), from their texts. A repeated id may give a node twice, which changes nothing."""
+                q = int(mixed[i] % np.uint64(lines[i]))
+                put = [(q, c, ROW) for c in range(columns[i])] + [(q, columns[i] + o, ROW) for o in range(q + 1, lines[i])] + [(o, columns[i] + q, COLUMN) for o in range(q)] + [(q, columns[i] + q, ROW | COLUMN)]
+            cells = np.array([line << 32 | column + 1 for line, column, _ in put], np.uint64)
+            cells = mix(key[i : i + 1] ^ mix(cells)) & ~np.uint64(1) | key[i] & np.uint64(1)
+            dealt.append((cells, np.full(len(put), node[i]), np.full(len(put), n[i], np.uint32), np.full(len(put), comp[i]), np.array([r for *_, r in put], np.uint8)))
+        key, node, n, comp, role = (np.concatenate(c) for c in zip(*dealt, strict=True))
+        if len(key):
+            yield _packed(_home(key, keys), key=key, node=node, n=n, comp=comp, role=role)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, n, comp, role = _unpacked(batches, np.uint64, np.int64, np.uint32, np.int64, np.uint8)
+        key, node, n, comp, role = _sorted(key, node, n, comp, role)
+        at = _runs(key, node)  # a repeated id may give a node twice
+        key, node, n, comp, role = key[at], node[at], n[at].astype(np.int64), comp[at], role[at]
+        at = _runs(key)
+        size = np.diff(np.append(at, len(key)))
+        start, size = np.repeat(at, size), np.repeat(size, size)
+        line = np.flatnonzero(((role & ROW) > 0) & ((role & LARGEST) == 0))
+        told = np.cumsum(size[line])
+        for s in np.unique(np.searchsorted(told, np.arange(0, told[-1] if len(told) else 0, TASK_ENTRIES))):  # so many pairs at a time
+            e = np.searchsorted(told, (told[s] // TASK_ENTRIES + 1) * TASK_ENTRIES)
+            some = line[s : max(e, s + 1)]
+            a = np.repeat(some, size[some])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(size[some]) - size[some], size[some]) + start[a]
+            twice = ((role[b] & (ROW | LARGEST)) == ROW) & ((role[a] & COLUMN) > 0) & (b <= a)  # b meets a, too
+            ok = ((role[b] & COLUMN) > 0) & (comp[a] != comp[b]) & _near(n[a], n[b]) & ~twice
+            a, b = a[ok], b[ok]
+            swap = node[a] > node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            x, y, k, l, lists = _summed(node[a], node[b], n[a], n[b], np.where(key[a] & np.uint64(1), ON_SUBSET, 1))
+            if len(x):
+                yield _packed(_home(x ^ (y << 1), keys), a=x, b=y, n=k, m=l, lists=lists)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """If a's prefix ends first in the common order, all that a and b share up to there is in both, and beyond it at most the rest of a; and the other way round."""
+        a, b, n, m, lists = _summed(*_unpacked(batches, np.int64, np.int64, np.int64, np.int64, np.int64))
+        alone = lists % ON_SUBSET
+        rest = np.maximum(n - probe_length(n), m - probe_length(m))
+        ok = np.where(4 * np.minimum(n, m) >= 3 * light, alone >= np.maximum(1, least_shared(n, m) - rest), lists >= ON_SUBSET)
+        yield _batch(a=pa.array(a[ok], pa.int64()), b=pa.array(b[ok], pa.int64()))
+
+    asked, told = {"comp": np.int64, "n": np.int64}, {"largest": np.int64, "columns": np.uint32, "lines": np.uint32}
+    names = ("key", "node", "n", "comp", "role")
+    dealt = consult(rows, parts, ask, asked, answer, told, use, ", ".join(["part long", *[f"{c} binary" for c in names]])).repartition(parts, "part")
+    return _exchanged(dealt, parts, meet, "a", "b", "n", "m", "lists").mapInArrow(enough, "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """(home, node, n, own, set): whole sets of the wanted (node, doc_id, text_key, own), from their texts. A repeated id may give a node twice, which changes nothing."""
+    keys = np.array(even_keys(docs.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x, len(s), s.tobytes(), o) for x, t, o in zip(*[c.to_pylist() for c in batch.columns], strict=True) if _node(s := shingles(t)) == x]
-            yield _batch(node=pa.array([r[0] for r in rows], pa.int64()), n=pa.array([r[1] for r in rows], pa.int64()), set=pa.array([r[2] for r in rows], pa.binary()), own=pa.array([r[3] for r in rows], pa.float64()))
+            rows = [(x, s, o) for x, t, o in zip(*[c.to_pylist() for c in batch.columns], strict=True) if _node(s := shingles(t)) == x]
+            node = np.array([r[0] for r in rows], np.int64)
+            yield _batch(home=pa.array(_home(node, keys), pa.int64()), node=pa.array(node), n=pa.array([len(r[1]) for r in rows], pa.int64()), own=pa.array([r[2] for r in rows], pa.float64()), set=pa.array([r[1].tobytes() for r in rows], pa.binary()))
 
-    return docs.join(wanted, "doc_id").select("node", "text", "own").mapInArrow(run, "node long, n long, set binary, own double")
+    named = docs.where(F.col("doc_id").isNotNull()).join(wanted.where(F.col("doc_id").isNotNull()), "doc_id").select("node", "text", "own")
+    nameless = docs.where(F.col("doc_id").isNull()).select("text", F.xxhash64("text").alias("text_key")).dropDuplicates(["text"]).join(wanted.where(F.col("doc_id").isNull()), "text_key").select("node", "text", "own")
+    return named.unionByName(nameless).mapInArrow(run, "home long, node long, n long, own double, set binary").repartition(parts, "home")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity. b may be in many pairs; its set goes once to the partition of b, which is split where it is large (AQE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,7 +538,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     changes; every step is stored. Hot nodes are reduced by a partial minimum, and the tie joins are left to skew handling.
     """
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    step = 0
+    state = lambda ties: ties.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    step, before = 0, state(edges)
     while True:
         step += 1
         # large star: over both directions, ties of a node's larger neighbours to its smallest
@@ -405,10 +551,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = large.join(low, "u")
         ties = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = scratch.keep(ties, f"{name}-{step}")
-        n = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == n:
+        now = state(after)
+        if now == before:
             break
-        edges = after
+        edges, before = after, now
     # a fixed point: every node but the roots is tied to its root, once
     return after.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -435,43 +581,40 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     take part but aren't anyone's component unless all ids of it are null. Repeated rows are rows each. Other columns are left behind.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.keep(shingle_table(docs), "rows")
     nodes = table.where("n > 0")
-    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("spare").alias("spare"), F.max("sampled").alias("sampled"))
+    # of a node's rows, the one with the smallest id; rows without an id are told by their text
+    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sampled").alias("sampled"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    parts = max(shuffle_partitions(spark), int(total * SAMPLED // TASK_ENTRIES) + 1)
-    counts = shared_counts(docs, parts)
-    wanted = members.where(F.col("doc_id").isNotNull()).join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("spare"))
-    own = 1 - F.coalesce("shared", F.lit(0)) / F.greatest("sampled", F.lit(1))
-    sets = scratch.keep(_sets(docs, wanted.select("doc_id", "node", own.alias("own"))), "sets")
-    size = sets.agg(F.sum("n")).first()[0] or 0
-    sets = scratch.keep(ordered(sets, max(shuffle_partitions(spark), int(size // TASK_ENTRIES) + 1)), "ordered")
-    scratch.drop("sets")
-    sizes = {r.n: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}  # 1000 rows at most
-    light = boundary({n: c for n, c in sizes.items() if n < 1000})
-    comp = scratch.keep(sets.select("node", F.col("node").alias("comp")).distinct(), "components")  # a repeated id may give a node twice
-    for step in range(ROUNDS + 1):
-        exhaustive = step == ROUNDS
-        rows = sets.join(comp, "node") if step else sets.withColumn("comp", F.col("node"))
-        pairs = _pairs(_deal(rows, light, parts), exhaustive, step * 0x9E3779B9).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
-        if not exhaustive:
-            # each node with those that it shares most lists with; what a list has met may be on either side
-            pairs = scratch.keep(pairs, f"pairs{step}")
-            ends = pairs.select("a", "b", "lists").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "lists"))
-            most = Window.partitionBy("a").orderBy(F.col("lists").desc(), "b")
-            best = ends.withColumn("r", F.row_number().over(most)).where(F.col("r") <= (NEIGHBOURS if step else 1)).select("a", "b")
-            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = scratch.keep(_linked(pairs, sets), f"links{step}")
-        comp = merged(comp, found, scratch, f"components{step}")
+    counts = shared_counts(docs, _parts(spark, total * SAMPLED))
+    shared = F.least(F.coalesce("shared", F.lit(0)), "sampled")
+    wanted = members.join(counts, "node", "left").where(shared >= F.col("spare")).select("node", "doc_id", "text_key", "n", (1 - shared / F.greatest("sampled", F.lit(1))).alias("own"))
+    wanted = scratch.keep(wanted, "wanted")
+    size = wanted.agg(F.sum("n")).first()[0] or 0
+    sets = scratch.keep(_sets(docs, wanted.drop("n"), _parts(spark, size)), "sets")
+    rows = scratch.keep(ordered(sets, _parts(spark, size)), "ordered")
+    sizes = {r.n: r["count"] for r in rows.where(F.col("n") < LARGE).groupBy("n").count().collect()}
+    light = boundary(sizes)
+    single, first = F.col("n") - F.ceil(F.col("n") * 0.75) + 1, F.least("n", F.col("n") - F.ceil(F.col("n") * 0.75) + 2)
+    parts = _parts(spark, rows.agg(F.sum(single + F.when(F.col("n") <= light, first * (first - 1) / 2).otherwise(0))).first()[0] or 0)
+    comp = scratch.keep(rows.select("node", F.col("node").alias("comp")).distinct(), "components")
+    found = scratch.keep(_linked(head_pairs(rows, light, parts), sets), "links-heads")
+    comp = merged(comp, found, scratch, "heads")
+    found = scratch.keep(_linked(open_pairs(rows.join(comp, "node").select("home", "node", "n", "comp", "prefix"), light, parts), sets), "links-open")
+    comp = merged(comp, found, scratch, "open")
     labelled = members.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = labelled.join(smallest, "comp").select("node", "component_id")
     return table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(label, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _parts(spark: SparkSession, entries: float) -> int:
+    return max(shuffle_partitions(spark), int(entries // TASK_ENTRIES) + 1)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"))
 

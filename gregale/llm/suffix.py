@@ -421,7 +421,7 @@ def covered_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFr
     rows = scratch.keep(keyed.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     total = rows.where(F.col("n_bytes") >= length).agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total // TASK_BYTES) + 1)
-    small_batches(spark, 256)
+    small_batches(spark)
     long_enough = keyed.where(F.octet_length("text") >= length)
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     grams = repeated_grams(long_enough.select("node", "text"), length, parts)

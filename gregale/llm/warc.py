@@ -194,7 +194,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
 
-    small_batches(archives.sparkSession, 64)
+    small_batches(archives.sparkSession)
     return archives.select("content").mapInArrow(run, schema)
 
 

@@ -197,6 +197,29 @@ def test_jaccard_chains_and_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(table)
 
 
+def test_jaccard_hot_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "TASK_ENTRIES", 400)
+    monkeypatch.setattr(jaccard, "HEADS", 1)
+    rng = random.Random(18)
+    words = [f"w{rng.randrange(500)}" for _ in range(60)]
+    # near copies of one text, some of which only other copies reach
+    table = [(i, " ".join(w if rng.random() > 0.04 * (i % 3) / 2 else f"x{rng.randrange(500)}" for w in words)) for i in range(60)]
+    got = jaccard.similar_documents(spark.createDataFrame(table, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(table)
+
+
+def test_jaccard_null_ids_bridge(spark):
+    words = [f"w{i}" for i in range(60)]
+    front, back = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]
+    near = [" ".join(w) for w in (words, front + words[5:], front + words[5:-5] + back)]  # the first and the last don't link
+    table = [(1, near[0]), (2, near[2]), (None, near[1]), (None, near[1]), (3, "something else altogether, of seven words")]
+    got = jaccard.similar_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0, r.component_id) for r in got)) == [(0, 1), (0, 1), (1, 1), (2, 1), (3, 3)]
+    without = jaccard.similar_documents(spark.createDataFrame(table[:2], "doc_id long, text string")).collect()
+    assert {r.component_id for r in without} == {1, 2}
+
+
 def test_prefix_lengths_never_miss():
     rng = random.Random(9)
     for _ in range(3000):
