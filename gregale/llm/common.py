@@ -19,17 +19,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; where that is unset (tests), a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where that is unset (tests), a local one.
+
+    A local one is made for a local master alone: elsewhere executors wouldn't see it, so an unset folder is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not named:
-        named = tempfile.mkdtemp(prefix="gregale-")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="gregale-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
+#: By application: its folder of a local master.
+_LOCAL: dict[str, str] = {}
+
+
 class Scratch:
     """Tables in the shared folder, one folder for each operator call; a lost executor rereads them instead of recomputing."""
 

@@ -52,6 +52,8 @@ SAMPLE_END = np.uint64(int(SAMPLED * 2**64))
 SEVERAL = np.int64(-1)
 #: A set of this size or more costs more subsets than list entries, whatever the other sizes are: (n/4+2)(n/4+1)/2 > SCAN_COST (n/4+1).
 LARGE = 64
+#: Bits of the map of documents that may link, as a power of two.
+MAP_BITS = 28
 #: In the sum of a pair's meetings: one on a subset of two.
 ON_SUBSET = 1 << 24
 ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,16 +117,21 @@ def _node(own: np.ndarray) -> int:
     return node if node != SEVERAL else 0
 
 
+def _key(id_col: str = "doc_id", text_col: str = "text"):
+    """A hash of the row's id, or of its text where it has none."""
+    return F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text_col))
+
+
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, node, sampled, spare): node is a 64-bit hash of the set, null for none; sampled, its elements in the sampled part of the range; spare, how many of them must be in another set."""
+    """(doc_id, key, n, node, sampled, spare): node is a 64-bit hash of the set, null for none; sampled, its elements in the sampled part of the range; spare, how many of them must be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             sampled = [int(np.searchsorted(s, SAMPLE_END)) for s in sets]
-            yield _batch(doc_id=batch.column(0), text_key=batch.column(1), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), sampled=pa.array(sampled, pa.int64()), spare=pa.array([k - len(s) // 4 for k, s in zip(sampled, sets, strict=True)], pa.int64()))
+            yield _batch(doc_id=batch.column(0), key=batch.column(1), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), sampled=pa.array(sampled, pa.int64()), spare=pa.array([k - len(s) // 4 for k, s in zip(sampled, sets, strict=True)], pa.int64()))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, sampled long, spare long")
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, node long, sampled long, spare long")
 
 
 def _fresh(nodes: list[int], seen: set[int]) -> list[int]:
@@ -209,10 +216,11 @@ def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
             times = np.diff(np.append(at, len(key)))
             here, n = np.unique(node[np.repeat(times > 1, times)], return_counts=True)
             sent = np.where(times > 1, SEVERAL, node[at])
+            node, key = _sorted(sent, key[at])  # equal nodes side by side compress
             # kind 1: entries of elements; kind 0: counts of nodes, passed on
-            kind = np.repeat(np.array([1, 0], np.uint8), [len(at), len(here)])
-            part = np.concatenate([_home(key[at], keys), _home(here, keys)])
-            yield _packed(part, kind=kind, key=np.concatenate([key[at], n.astype(np.uint64)]), node=np.concatenate([sent, here]))
+            kind = np.repeat(np.array([1, 0], np.uint8), [len(key), len(here)])
+            part = np.concatenate([_home(key, keys), _home(here, keys)])
+            yield _packed(part, kind=kind, key=np.concatenate([key, n.astype(np.uint64)]), node=np.concatenate([node, here]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, key, node = _unpacked(batches, np.uint8, np.uint64, np.int64)
@@ -293,7 +301,7 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def ordered(sets: DataFrame, parts: int) -> DataFrame:
-    """(home, node, n, own, prefix) of sets (home, node, n, own, set): prefix, the first elements of each in the common order."""
+    """(home, node, n, own, prefix) of sets (home, node, n, set): prefix, the first elements of each in the common order; own, the part of elements that few other sets hold."""
 
     def ask(batch: pa.RecordBatch):
         own = _arrays(batch.column("set"))
@@ -314,13 +322,14 @@ def ordered(sets: DataFrame, parts: int) -> DataFrame:
         return home[at], key[at], level[at]
 
     def use(rows: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
-        prefixes = []
+        prefixes, part = [], []
         for own in _arrays(rows.column("set")):
             level = np.zeros(len(own), np.uint8)
             hit, at = _at(known[0], own)
             level[hit] = known[1][at]
+            part.append(np.count_nonzero(level == 0) / len(level))
             prefixes.append(own[np.argsort(level, kind="stable")][: int(probe_length(len(own), 2))].tobytes())
-        yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("home", "node", "n", "own")] + [pa.array(prefixes, pa.binary())], names=["home", "node", "n", "own", "prefix"])
+        yield _batch(home=rows.column("home"), node=rows.column("node"), n=rows.column("n"), own=pa.array(part, pa.float64()), prefix=pa.array(prefixes, pa.binary()))
 
     return consult(sets, parts, ask, {"times": np.uint32}, answer, {"level": np.uint8}, use, "home long, node long, n long, own double, prefix binary")
 
@@ -497,19 +506,38 @@ def open_pairs(rows: DataFrame, light: int, parts: int) -> DataFrame:
     return _exchanged(dealt, parts, meet, "a", "b", "n", "m", "lists").mapInArrow(enough, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
-    """(home, node, n, own, set): whole sets of the wanted (node, doc_id, text_key, own), from their texts. A repeated id may give a node twice, which changes nothing."""
+def _bitmap(keys: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, words): a bit for each of n keys, by its upper bits; sixteen times as many bits as keys, and 2^MAP_BITS (32 MB) at most."""
+    bits = min(MAP_BITS, max(12, (16 * n).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    found = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits, words
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, parts: int) -> DataFrame:
+    """(home, node, n, set): whole sets of the n wanted (key), from their texts, by home.
+
+    A row's key is looked up in a bitmap of fixed size; what it lets through beside, the more the more are wanted, is work that
+    changes nothing, as is a node that several rows bring. So no text is shuffled.
+    """
     keys = np.array(even_keys(docs.sparkSession, parts))
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("key"), n))  # 32 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, words = shipped.value
+        seen: set[int] = set()
         for batch in batches:
-            rows = [(x, s, o) for x, t, o in zip(*[c.to_pylist() for c in batch.columns], strict=True) if _node(s := shingles(t)) == x]
-            node = np.array([r[0] for r in rows], np.int64)
-            yield _batch(home=pa.array(_home(node, keys), pa.int64()), node=pa.array(node), n=pa.array([len(r[1]) for r in rows], pa.int64()), own=pa.array([r[2] for r in rows], pa.float64()), set=pa.array([r[1].tobytes() for r in rows], pa.binary()))
+            slot = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            picked = np.flatnonzero(words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            sets = [s for t in batch.column(1).take(pa.array(picked)).to_pylist() if len(s := shingles(t))]
+            nodes = [_node(s) for s in sets]
+            fresh = _fresh(nodes, seen)
+            node, sets = np.array([nodes[i] for i in fresh], np.int64), [sets[i] for i in fresh]
+            yield _batch(home=pa.array(_home(node, keys), pa.int64()), node=pa.array(node), n=pa.array([len(s) for s in sets], pa.int64()), set=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    named = docs.where(F.col("doc_id").isNotNull()).join(wanted.where(F.col("doc_id").isNotNull()), "doc_id").select("node", "text", "own")
-    nameless = docs.where(F.col("doc_id").isNull()).select("text", F.xxhash64("text").alias("text_key")).dropDuplicates(["text"]).join(wanted.where(F.col("doc_id").isNull()), "text_key").select("node", "text", "own")
-    return named.unionByName(nameless).mapInArrow(run, "home long, node long, n long, own double, set binary").repartition(parts, "home")
+    return docs.select(_key().alias("key"), "text").mapInArrow(run, "home long, node long, n long, set binary").repartition(parts, "home")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -534,10 +562,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp): for each node of the links (a, b) the smallest node that it is connected with.
 
-    Alternates the two star steps (each node's larger neighbours, then its smaller ones, are tied to its smallest) until nothing
+    Tasks of TASK_ENTRIES links each make forests of them; what one task holds is done then. Forests of several tasks are joined
+    by steps: alternates the two star steps (each node's larger neighbours, then its smaller ones, are tied to its smallest) until nothing
     changes; every step is stored. Hot nodes are reduced by a partial minimum, and the tie joins are left to skew handling.
     """
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), f"{name}-0")
+    parts = edges.count() // TASK_ENTRIES + 1
+    edges = scratch.keep(edges.repartition(parts).mapInArrow(_forest, "u long, v long"), f"{name}-forest")
+    if parts == 1:
+        return _labels(edges)
     state = lambda ties: ties.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     step, before = 0, state(edges)
     while True:
@@ -555,8 +588,35 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if now == before:
             break
         edges, before = after, now
-    # a fixed point: every node but the roots is tied to its root, once
-    return after.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return _labels(after)
+
+
+def _labels(ties: DataFrame) -> DataFrame:
+    """Every node but the roots is tied to its root, once."""
+    return ties.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties (u, v) of each node of the links to the smallest node that they connect it with, themselves left out."""
+    columns = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for batch in batches:
+        for i in (0, 1):
+            columns[i].append(batch.column(i).to_numpy(zero_copy_only=False))
+    u, v = (np.concatenate(c) for c in columns)
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    yield _batch(u=pa.array(nodes[tied], pa.int64()), v=pa.array(nodes[root[tied]], pa.int64()))
 
 
 def merged(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -586,15 +646,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.keep(shingle_table(docs), "rows")
     nodes = table.where("n > 0")
-    # of a node's rows, the one with the smallest id; rows without an id are told by their text
-    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sampled").alias("sampled"))
+    # of a node's rows, the one with the smallest id; of those without an id any
+    members = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n").alias("n"), F.max("spare").alias("spare"))
+    members = members.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("key")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     counts = shared_counts(docs, _parts(spark, total * SAMPLED))
-    shared = F.least(F.coalesce("shared", F.lit(0)), "sampled")
-    wanted = members.join(counts, "node", "left").where(shared >= F.col("spare")).select("node", "doc_id", "text_key", "n", (1 - shared / F.greatest("sampled", F.lit(1))).alias("own"))
-    wanted = scratch.keep(wanted, "wanted")
-    size = wanted.agg(F.sum("n")).first()[0] or 0
-    sets = scratch.keep(_sets(docs, wanted.drop("n"), _parts(spark, size)), "sets")
+    wanted = scratch.keep(members.join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("spare")).select("key", "n"), "wanted")
+    many, size = wanted.agg(F.count("key"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = scratch.keep(_sets(docs, wanted, many, _parts(spark, size)), "sets")
     rows = scratch.keep(ordered(sets, _parts(spark, size)), "ordered")
     sizes = {r.n: r["count"] for r in rows.where(F.col("n") < LARGE).groupBy("n").count().collect()}
     light = boundary(sizes)
