@@ -43,11 +43,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class TreeEncoder:
     """Encodes bytes and texts; ranks must have all 256 bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
-        self.ranks = ranks
+        self.ranks, self.spaced = ranks, spaced
         self.token = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.find = regex.compile(pattern).findall
         self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
@@ -157,12 +157,14 @@ class TreeEncoder:
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text.
 
-        A space between two characters that aren't white space always begins a match and ends none, so the text falls there into
+        spaced: the pattern lets a space between two characters that aren't white space begin a match and end none, so the text falls there into
         chunks that are encoded alone and remembered. A chunk that would begin or end with other white space, or be empty, makes
         its text fall back to matching as one.
         """
         if not text:
             return np.zeros(0, np.int32)
+        if not self.spaced:
+            return np.frombuffer(b"".join(map(self.encode_match, self.find(text))), np.int32)
         first, *rest = text.split(" ")
         known = self._chunks
         ids = [self._chunk(first, "")]
@@ -196,12 +198,15 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Null and empty texts have no tokens and decode to no bytes; a null id stays null; repeated rows are coded each. Other columns
     are left behind. The vocabulary file must be at ranks_path on every executor; it isn't shipped.
     """
+    import public_tokenizers
+
+    spaced = pattern == public_tokenizers.PATTERN
     schema = T.StructType([*docs.select(id_col).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     memo: list[TreeEncoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not memo:
-            memo.append(TreeEncoder(load_ranks(ranks_path), pattern))
+            memo.append(TreeEncoder(load_ranks(ranks_path), pattern, spaced))
         coder = memo[0]
         for batch in batches:
             each = [coder.encode(t or "") for t in batch.column(1).to_pylist()]

@@ -22,50 +22,42 @@ def _lines(text_col: str):
 
 
 def repeated_windows(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at): the first line of each window that stands earlier in the corpus, too: in a smaller id, or higher in the same text.
+    """(id, text_key, at): the first line of each window that stands earlier in the corpus, too: in a smaller id, or higher in the same text.
 
-    Windows of blank lines alone count as any. Rows of one id are told apart by their texts only.
+    Windows of blank lines alone count as any. text_key, a hash of the text, tells rows of one id apart, the smaller standing first;
+    rows equal in both are one document.
     """
-    parts = docs.select(F.col(id_col).alias("id"), _lines(text_col).alias("l"))
+    parts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), _lines(text_col).alias("l"))
     window = lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.col("l")[i + k] for k in range(lines)]).alias("h"), F.xxhash64(F.lit(lines), *[F.col("l")[i + k] for k in reversed(range(lines))]).alias("g"))
-    windows = parts.where(F.size("l") >= lines).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - lines), window)).alias("w")).select("id", "w.*")
-    place = F.struct("id", "at")
+    windows = parts.where(F.size("l") >= lines).select("id", "text_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - lines), window)).alias("w")).select("id", "text_key", "w.*")
+    place = F.struct("id", "text_key", "at")
     first = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
-    return windows.join(first, ["h", "g"]).where(place > F.col("first")).select("id", "at")
+    return windows.join(first, ["h", "g"]).where(place > F.col("first")).select("id", "text_key", "at")
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_lines, n_removed, n_spans and kept_text: the text without the lines that repeated windows cover.
 
     A null text has no lines and stays null; an empty one has one line. Null ids aren't compared: such rows stay whole, as do texts
-    of fewer than `lines` lines. Columns of those names are replaced.
+    of fewer than `lines` lines. Rows of one id are documents of their own where their texts differ; repeated rows all lose the same.
+    Columns of those names are replaced.
     """
     new = ["n_lines", "n_removed", "n_spans", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
     # positions of one document are at most its lines, so this list is no longer than the text
-    starts = repeated_windows(docs.where(F.col(id_col).isNotNull()), lines, id_col, text_col).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("at")).alias("__starts"))
+    starts = repeated_windows(docs.where(F.col(id_col).isNotNull()), lines, id_col, text_col)
+    starts = starts.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("at").alias("__starts"))
     text = F.col(text_col)
-    # starts come sorted: each removes what lies between the lines removed so far and its own last line
-    cover = F.aggregate(
-        "__starts", F.struct(F.lit(0).alias("next"), F.lit("").alias("kept"), F.lit(0).alias("removed"), F.lit(0).alias("spans"), F.lit(0).alias("parts")),
-        lambda a, s: F.struct(
-            (s + lines).alias("next"),
-            F.when(s > a["next"], F.concat(a["kept"], F.when(a["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("__l", a["next"] + 1, s - a["next"]), "\n"))).otherwise(a["kept"]).alias("kept"),
-            (a["removed"] + F.lit(lines) - F.greatest(F.lit(0), a["next"] - s)).alias("removed"),
-            (a["spans"] + F.when((a["spans"] == 0) | (s > a["next"]), 1).otherwise(0)).alias("spans"),
-            (a["parts"] + F.when(s > a["next"], 1).otherwise(0)).alias("parts"),
-        ),
-    )
-    out = docs.join(starts, F.col(id_col) == F.col("__id"), "left").withColumn("__l", F.when(text.isNotNull(), _lines(text_col)))
-    out = out.withColumn("__c", F.when(F.col("__starts").isNotNull(), cover))
-    c, n = F.col("__c"), F.size("__l")
-    rest = F.when(c["next"] < n, F.concat(c["kept"], F.when(c["parts"] > 0, "\n").otherwise(""), F.array_join(F.slice("__l", c["next"] + 1, n - c["next"]), "\n"))).otherwise(c["kept"])
+    out = docs.join(starts, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left").withColumn("__l", F.when(text.isNotNull(), _lines(text_col)))
+    gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (lines - 1)))))
+    out = out.withColumn("__gone", F.when(F.col("__starts").isNotNull(), gone))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), "__gone")  # in order
     return out.select(
         *docs.columns,
-        F.coalesce(n, F.lit(0)).alias("n_lines"),
-        F.coalesce(c["removed"], F.lit(0)).alias("n_removed"),
-        F.coalesce(c["spans"], F.lit(0)).alias("n_spans"),
-        F.when(c.isNull(), text).otherwise(rest).alias("kept_text"),
+        F.coalesce(F.size("__l"), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1))), F.lit(0)).alias("n_spans"),
+        F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(rest, lambda i: F.col("__l")[i]), "\n")).alias("kept_text"),
     )
 
 

@@ -102,7 +102,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0,
     """The rows of docs (doc_id, text, source, ...) with size, source_size, target and copies, the number of times the mix takes each.
 
     Null texts have no words; documents without words are taken as often as their source's whole passes say. A null source is a
-    source of its own. Equal rows are told apart by no more than their place in a bucket, so that either may be taken.
+    source of its own. Rows of one id and size are ordered by a hash of their texts; equal rows are told apart by no more than their
+    place in a bucket, so that either may be taken.
     Columns of docs whose names clash with the new ones are replaced, and those that begin with two underscores left out. A target
     of `most` times the source's size takes every document that often; no document is taken oftener than ceil(most) times.
     """
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0,
     partly = (F.col("__take") > 0) & (F.col("__take") < F.col("__count"))
     tally = rows.where(partly & (F.col("__buckets") > 1)).groupBy("__s", "__z", "__bucket").count()
     edge = tally.select(F.col("__s").alias("__s2"), F.col("__z").alias("__z2"), F.col("__bucket").alias("__b2"), (F.sum("count").over(Window.partitionBy("__s", "__z").orderBy("__bucket")) - F.col("count")).alias("__before"))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__bucket").orderBy("__u", "doc_id")))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__bucket").orderBy("__u", "doc_id", F.xxhash64("text"))))
     ranked = ranked.join(edge, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2")) & (F.col("__bucket") == F.col("__b2")), "left")
     chosen = (F.col("__rank") + F.coalesce("__before", F.lit(0)) <= F.col("__take")).cast("int")
     return ranked.select(*sized.columns, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__passes") + chosen).alias("copies"))

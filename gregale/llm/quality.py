@@ -25,7 +25,8 @@ from gregale.llm.common import read, small_batches
 MEMORY = 400_000
 
 
-#: Rows with a meaning of their own: what every text has, and a pair of equal neighbouring words.
+#: Rows with a meaning of their own: what every text has, and a pair of equal neighbouring words, which an average of vectors can't tell
+#: for words that it hasn't learned.
 TEXT, TWICE = 0, 1
 #: A pair of equal neighbouring words counts as so many n-grams, as a word of usual length does.
 PAIR_WEIGHT = 8
@@ -136,7 +137,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col), "quality").where(crc % 3 != 1).withColumn("crc", crc)
     sample = known.orderBy("crc", id_col, "quality").limit(most)  # a fixed number of rows
-    return docs.select(id_col, "text").join(F.broadcast(sample), id_col).select(id_col, "text", "quality")
+    # a repeated id brings one text, the one with the smallest hash, so that `most` holds
+    texts = docs.select(id_col, "text").join(F.broadcast(sample.select(id_col).distinct()), id_col).groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return sample.join(texts, id_col).select(id_col, "text", "quality")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, **settings) -> SubwordModel:

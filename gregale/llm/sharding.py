@@ -9,8 +9,8 @@ Documents meet the shards in rounds: in round r every document without a place a
 point, and a shard takes those that ask in the order of their points until it is full. A document has asked every shard after as
 many rounds as there are shards, and as rooms suffice for all, it has a place by then.
 
-The rounds work on counts only: the ring is cut into SEGMENTS equal segments, of which each has all its virtual node decisions in
-common, and the driver sees one count for each segment (a fixed number, whatever the input). Rows then find their places by their
+The rounds work on counts only: the ring is cut into equal segments, of which each has all its virtual node decisions in common, and
+the driver sees one count for each segment (a number that the ring decides, whatever the input). Rows then find their places by their
 rank within their segment; texts aren't shuffled.
 """
 
@@ -27,16 +27,22 @@ from pyspark.sql.window import Window
 from gregale.llm.common import read
 
 SEGMENT_BITS = 14
-SEGMENTS = 1 << SEGMENT_BITS
+
+
+def segment_bits(shards: int, replicas: int) -> int:
+    """So many segments that virtual nodes are rarely in one: eight for each of them at least, and 2^14 for any ring of up to 2048 nodes."""
+    return max(SEGMENT_BITS, (8 * shards * replicas - 1).bit_length())
 
 
 def ring_orders(shards: int, replicas: int) -> np.ndarray:
-    """[segment, r]: the r-th different shard clockwise of the segment's start. Virtual nodes stand at segment starts."""
-    nodes = sorted((int.from_bytes(hashlib.blake2b(f"shard-{s}-{v}".encode(), digest_size=8).digest(), "big") >> (64 - SEGMENT_BITS), s) for s in range(shards) for v in range(replicas))
+    """[segment, r]: the r-th different shard clockwise of the segment's start. Virtual nodes stand at segment starts, those of one segment in the order of their hashes."""
+    bits = segment_bits(shards, replicas)
+    hashed = sorted((int.from_bytes(hashlib.blake2b(f"shard-{s}-{v}".encode(), digest_size=8).digest(), "big"), s) for s in range(shards) for v in range(replicas))
+    nodes = [(p >> (64 - bits), s) for p, s in hashed]
     starts = [p for p, _ in nodes]
     after: dict[int, list[int]] = {}
-    orders = np.empty((SEGMENTS, shards), np.int32)
-    for segment in range(SEGMENTS):
+    orders = np.empty((1 << bits, shards), np.int32)
+    for segment in range(1 << bits):
         at = bisect.bisect_left(starts, segment) % len(nodes)
         if at not in after:
             after[at] = list(dict.fromkeys(nodes[(at + i) % len(nodes)][1] for i in range(len(nodes))))
@@ -74,15 +80,16 @@ def place(counts: np.ndarray, orders: np.ndarray, room: np.ndarray) -> list[tupl
 def shard_documents(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row.
 
-    size: UTF-8 bytes of the text (null: none) plus 8. slot: gapless from 0 in each shard. Null ids share one point of the ring
-    and are told apart by their texts' checksums; repeated rows get slots of their own. Other columns are left behind. No rows: no rows.
+    size: UTF-8 bytes of the text (null: none) plus 8. slot: gapless from 0 in each shard. A row without an id has the point of its
+    text; repeated rows get slots of their own. Other columns are left behind. No rows: no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    point = F.xxhash64(F.col(id_col))
-    segment = F.shiftrightunsigned(point, 64 - SEGMENT_BITS).cast("int")
-    counts = np.zeros(SEGMENTS, np.int64)
-    for s, n in docs.groupBy(segment.alias("segment")).count().collect():  # SEGMENTS rows at most
+    bits = segment_bits(shards, replicas)
+    point = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).otherwise(F.xxhash64(text))
+    segment = F.shiftrightunsigned(point, 64 - bits).cast("int")
+    counts = np.zeros(1 << bits, np.int64)
+    for s, n in docs.groupBy(segment.alias("segment")).count().collect():  # one row per segment
         counts[s] = n
     places = place(counts, ring_orders(shards, replicas), rooms(int(counts.sum()), shards, slack))
     by_segment: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -92,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, replicas: int = 64, slack
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), point.alias("point"), segment.alias("segment"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy("point", id_col, "text_crc32", "size")).cast("long") - 1)
     return (
-        ranked.join(F.broadcast(plan), "segment")  # SEGMENTS rows at most
+        ranked.join(F.broadcast(plan), "segment")  # one row per segment
         .withColumn("at", F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0])
         .select(id_col, "size", "text_crc32", F.col("at.shard").alias("shard"), (F.col("at.slot") + F.col("rank") - F.col("at.lo")).alias("slot"))
     )

@@ -36,6 +36,8 @@ _RANDOM = np.random.default_rng(9)
 BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = int(_RANDOM.integers(0, 2**63)) * 2 + 1
 PLACE_BITS = np.uint64(28)
+#: Where a stretch begins: its row's id, the hash of its row's text, the byte.
+Place = tuple[int, int, int]
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -261,12 +263,13 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """Packed stretches by part of their grams. rows: (doc, text, numbers array<binary>)."""
+    """Packed stretches by part of their grams. rows: (doc, node, text, numbers array<binary>)."""
     keys = np.array(even_keys(rows.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            docs, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for at, data, starts in _joined(texts):
                 gram, place, first, last = stretches(data, starts, length)
                 if not len(gram):
@@ -281,14 +284,14 @@ def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 pieces = [raw[s : e + length] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(cuts[1:], len(part))
-                packed = _pack(part, keys, gram=gram, doc=docs[at + row], start=(first - starts[row]).astype(np.uint32), offset=(place - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
+                packed = _pack(part, keys, gram=gram, doc=docs[at + row], node=nodes[at + row], start=(first - starts[row]).astype(np.uint32), offset=(place - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
                 yield packed.append_column("bytes", pa.array([b"".join(pieces[s:e]) for s, e in zip(cuts, ends, strict=True)], pa.binary()))
 
-    return rows.mapInArrow(run, "part long, gram binary, doc binary, start binary, offset binary, size binary, bytes binary").repartition(parts, "part")
+    return rows.mapInArrow(run, "part long, gram binary, doc binary, node binary, start binary, offset binary, size binary, bytes binary").repartition(parts, "part")
 
 
-def _mark_sorted(stretch: list[bytes], owner: list[tuple[int, int]], length: int) -> list[list[int]]:
-    """For each of the distinct stretches, offsets of windows that also start earlier. owner: each one's first (doc, start)."""
+def _mark_sorted(stretch: list[bytes], owner: list[Place], length: int) -> list[list[int]]:
+    """For each of the distinct stretches, offsets of windows that also start earlier. owner: each one's first place."""
     text = b"".join(stretch)
     begins = np.cumsum([0] + [len(s) for s in stretch])
     which = np.repeat(np.arange(len(stretch)), np.diff(begins))
@@ -302,17 +305,17 @@ def _mark_sorted(stretch: list[bytes], owner: list[tuple[int, int]], length: int
         window = text[i : i + length] if i >= 0 else b""
         if window != before:
             if len(same) > 1:
-                places = [(owner[which[j]][0], owner[which[j]][1] + j - int(begins[which[j]]), j) for j in same]
+                places = [(*owner[which[j]][:2], owner[which[j]][2] + j - int(begins[which[j]]), j) for j in same]
                 earliest = min(places)
                 for p in places:
-                    if p[:2] != earliest[:2]:
-                        marks[which[p[2]]].append(p[2] - int(begins[which[p[2]]]))
+                    if p[:3] != earliest[:3]:
+                        marks[which[p[3]]].append(p[3] - int(begins[which[p[3]]]))
             same, before = [], window
         same.append(i)
     return marks
 
 
-def _mark_group(items: dict[tuple[int, bytes], tuple[int, int]], length: int, out: list[tuple[int, int, int]], queue: list[tuple[list[bytes], list[tuple[int, int]]]]) -> None:
+def _mark_group(items: dict[tuple[int, bytes], Place], length: int, out: list[tuple[int, int, int, int]], queue: list[tuple[list[bytes], list[Place]]]) -> None:
     """items: distinct (offset, stretch) of one gram with their first places; what later equal ones cover is in out already."""
     if len(items) < 2:
         return
@@ -325,63 +328,62 @@ def _mark_group(items: dict[tuple[int, bytes], tuple[int, int]], length: int, ou
     # too much to sort at once: the gram's stretches fall into two of half the windows each, aligned at the gram
     middle = sorted(o - (len(s) - length) / 2 for o, s in items)[len(items) // 2]
     for left in (True, False):
-        part: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for (o, s), (doc, start) in items.items():
+        part: dict[tuple[int, bytes], Place] = {}
+        for (o, s), (doc, node, start) in items.items():
             cut = min(max(0, int(np.ceil(o - middle))), len(s) - length + 1)  # windows before this one go left
             a, b = (0, cut) if left else (cut, len(s) - length + 1)
             if a < b:
-                _keep(part, (o - a, s[a : b + length - 1]), (doc, start + a), out)
+                _keep(part, (o - a, s[a : b + length - 1]), (doc, node, start + a), out)
         if len(part) == len(items) and sum(len(s) for _, s in part) == size:
             queue.append(([s for _, s in part], list(part.values())))  # nothing left to cut
         else:
             _mark_group(part, length, out, queue)
 
 
-def _keep(items: dict, key: tuple[int, bytes], place: tuple[int, int], out: list[tuple[int, int, int]]) -> None:
+def _keep(items: dict, key: tuple[int, bytes], place: Place, out: list[tuple[int, int, int, int]]) -> None:
     """Of equal stretches the first stays; another is covered whole."""
     known = items.get(key)
     if known is None:
         items[key] = place
     elif known != place:
         items[key], later = min(known, place), max(known, place)
-        out.append((later[0], later[1], later[1] + len(key[1])))
+        out.append((*later, later[2] + len(key[1])))
 
 
 def mark(dealt: DataFrame, length: int) -> DataFrame:
-    """(doc, start, end): covered bytes, in pieces that may touch and overlap."""
+    """(doc, node, start, end): covered bytes, in pieces that may touch and overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            a = np.asarray(out, np.int64).reshape(-1, 3)
+            a = np.asarray(out, np.int64).reshape(-1, 4)
             out.clear()
-            order = np.lexsort((a[:, 1], a[:, 0]))
-            a = a[order]
+            a = a[np.lexsort(a.T[2::-1])]
             # neighbours that touch become one
             if len(a):
                 new = np.ones(len(a), bool)
-                new[1:] = (a[1:, 0] != a[:-1, 0]) | (a[1:, 1] > a[:-1, 2])
+                new[1:] = (a[1:, :2] != a[:-1, :2]).any(axis=1) | (a[1:, 2] > a[:-1, 3])
                 head = np.flatnonzero(new)
-                a = np.stack([a[head, 0], a[head, 1], np.maximum.reduceat(a[:, 2], head)], axis=1)
-            return _batch(doc=pa.array(a[:, 0]), start=pa.array(a[:, 1]), end=pa.array(a[:, 2]))
+                a = np.column_stack([a[head, :3], np.maximum.reduceat(a[:, 3], head)])
+            return _batch(**{c: pa.array(a[:, i]) for i, c in enumerate(("doc", "node", "start", "end"))})
 
-        columns: list[list[bytes]] = [[] for _ in range(6)]
+        columns: list[list[bytes]] = [[] for _ in range(7)]
         for batch in batches:
-            for i in range(6):
+            for i in range(7):
                 columns[i] += batch.column(i + 1).to_pylist()
         raw = b"".join(columns.pop())
-        gram, doc, start, offset, size = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
+        gram, doc, node, start, offset, size = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
         del columns
         begin = np.cumsum(size, dtype=np.int64) - size
         order = np.argsort(gram, kind="stable")
         cuts = np.append(np.flatnonzero(np.diff(gram[order], prepend=~gram[order[:1]])), len(order))
-        queue: list[tuple[list[bytes], list[tuple[int, int]]]] = []
+        queue: list[tuple[list[bytes], list[Place]]] = []
         waiting, held = ([], []), 0
         for c in range(len(cuts) - 1):
             own, items = order[cuts[c] : cuts[c + 1]], {}
-            for d, s, o, n, at in zip(doc[own].tolist(), start[own].tolist(), offset[own].tolist(), size[own].tolist(), begin[own].tolist(), strict=True):
-                _keep(items, (o, raw[at : at + n]), (d, s), out)
+            for d, x, s, o, n, at in zip(doc[own].tolist(), node[own].tolist(), start[own].tolist(), offset[own].tolist(), size[own].tolist(), begin[own].tolist(), strict=True):
+                _keep(items, (o, raw[at : at + n]), (d, x, s), out)
             _mark_group(items, length, out, queue)
             while queue:
                 more = queue.pop()
@@ -389,15 +391,15 @@ def mark(dealt: DataFrame, length: int) -> DataFrame:
                 waiting[1].extend(more[1])
                 held += sum(map(len, more[0]))
             if held >= CHUNK_BYTES or held and c == len(cuts) - 2:
-                for (d, s), offsets in zip(waiting[1], _mark_sorted(*waiting, length), strict=True):
-                    out.extend((d, s + a, s + b + length) for a, b in _runs(offsets))
+                for (d, x, s), offsets in zip(waiting[1], _mark_sorted(*waiting, length), strict=True):
+                    out.extend((d, x, s + a, s + b + length) for a, b in _runs(offsets))
                 waiting, held = ([], []), 0
                 if len(out) > 200_000:
                     yield flush()
         if out:
             yield flush()
 
-    return dealt.mapInArrow(run, "doc long, start long, end long")
+    return dealt.mapInArrow(run, "doc long, node long, start long, end long")
 
 
 def _runs(offsets: list[int]) -> Iterator[tuple[int, int]]:
@@ -411,40 +413,45 @@ def _runs(offsets: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def covered_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
-    """((doc, spans array<struct<start, end>>), (doc_id, node, n_bytes, copy)): covered bytes of each first of equal texts, and all rows.
+    """((doc_id, node, spans array<struct<start, end>>), (doc_id, node, n_bytes, copy)): covered bytes of each first of equal texts, and all rows.
 
-    copy: an earlier row has the same text of at least `length` bytes, so all of it is covered. docs: (doc_id, text), without null ids.
+    copy: a row of a smaller id has the same text of at least `length` bytes (by two 64-bit hashes and the length), so all of it is
+    covered. Rows of one id are told apart by node, a hash of their text. docs: (doc_id, text), without null ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    rows = scratch.keep(keyed.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
+    rows = scratch.keep(keyed.select("doc_id", "node", F.xxhash64(F.lit(length), "text").alias("check"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     total = rows.where(F.col("n_bytes") >= length).agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total // TASK_BYTES) + 1)
     small_batches(spark)
     long_enough = keyed.where(F.octet_length("text") >= length)
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    firsts = rows.groupBy("node", "check", "n_bytes").agg(F.min("doc_id").alias("first"))
     grams = repeated_grams(long_enough.select("node", "text"), length, parts)
-    wanted = grams.groupBy("node").agg(F.collect_list("numbers").alias("numbers")).join(firsts, "node").select("doc_id", "numbers")
-    cut = long_enough.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "numbers")
+    wanted = grams.groupBy("node").agg(F.collect_list("numbers").alias("numbers")).join(firsts.select("node", F.col("first").alias("doc_id")).distinct(), "node").select("doc_id", "node", "numbers")
+    # a repeated row brings its stretches twice from the same places
+    cut = long_enough.select("doc_id", "node", "text").join(wanted, ["doc_id", "node"]).select("doc_id", "node", "text", "numbers")
     spans = scratch.keep(mark(deal_stretches(cut, length, parts), length), "spans")
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    all_rows = rows.join(firsts.withColumnRenamed("doc_id", "first"), "node").select("doc_id", "node", "n_bytes", ((F.col("n_bytes") >= length) & (F.col("first") < F.col("doc_id"))).alias("copy"))
+    by_doc = spans.groupBy(F.col("doc").alias("doc_id"), "node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    all_rows = rows.join(firsts, ["node", "check", "n_bytes"]).select("doc_id", "node", "n_bytes", ((F.col("n_bytes") >= length) & (F.col("first") < F.col("doc_id"))).alias("copy"))
     return by_doc, all_rows
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row: its text without bytes that an earlier equal string covers.
 
-    Strings are `length` bytes, judged on the whole input, inside one row each; earlier means a smaller id, or an earlier start in
-    the row. Null and empty texts have no bytes. Rows with a null id are kept whole. Rows that repeat an id count as one document
-    if their texts are equal; otherwise the one whose strings come later in the text loses them. Other columns are left behind.
+    Strings are `length` bytes (32 to 32,000), judged on the whole input, inside one row each; earlier means a smaller id, or an
+    earlier start in the row. Null and empty texts have no bytes. Rows with a null id are kept whole. Rows that repeat an id count as
+    one document if their texts are equal; otherwise they are documents of their own, the one whose text has the smaller hash first.
+    Ids are integers. Other columns are left behind.
     """
+    if not GRAM <= length <= 32_000:
+        raise ValueError(f"length {length} lies outside {GRAM} to 32000")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     by_doc, rows = covered_spans(docs.where(F.col("doc_id").isNotNull()), length)
-    copies = rows.where("copy").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    facts = by_doc.withColumnRenamed("doc", "doc_id").join(copies, "doc_id", "full_outer")
-    joined = docs.join(facts, "doc_id", "left").select("doc_id", "text", "spans", "copy")
+    copies = rows.where("copy").select("doc_id", "node").distinct().withColumn("copy", F.lit(True))
+    facts = by_doc.join(copies, ["doc_id", "node"], "full_outer")
+    joined = docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).join(facts, ["doc_id", "node"], "left").select("doc_id", "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

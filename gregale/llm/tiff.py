@@ -16,9 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gregale.llm.common import read, small_batches
+from gregale.llm.common import Scratch, read, small_batches
 
 # Tags, field types and compressions as the format fixes them.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -30,6 +31,8 @@ CLEAR, END = 256, 257
 UNIT = 576
 #: A payload unit is a block of COLUMNS x 12 samples.
 COLUMNS = 48
+#: Units that a page holds at most.
+PAGE_UNITS = 2048
 RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
 
@@ -267,26 +270,49 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """A TIFF of the payload: the first unit as an LZW strip, the next eight as PackBits tiles, the rest as deflate strips and pages."""
+    """A TIFF of the payload in some eight pages, of at least a unit and at most PAGE_UNITS each.
+
+    Of every eight pages in a row one is LZW, two are PackBits and five deflate, so that each has its part of every text of eight
+    units or more. Every third page is tiled, the others are in two strips; every second deflate page and every other LZW page has
+    the predictor.
+    """
     image = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
     unit = UNIT // COLUMNS
-    pages = [(image[:unit], LZW, 1, unit)]
-    if len(image) > unit:
-        pages.append((image[unit : 9 * unit], PACKBITS, 1, (32, 48)))
-    for top in range(9 * unit, len(image), 128 * unit):
-        pages.append((image[top : top + 128 * unit], DEFLATE, 2, 64 * unit))
+    height = unit * min(PAGE_UNITS, max(1, len(image) // unit // 8))
+    pages = []
+    for k, top in enumerate(range(0, len(image), height)):
+        block = image[top : top + height]
+        codec = LZW if k % 8 == 0 else PACKBITS if k % 4 == 1 else DEFLATE
+        predictor = 2 if k % 16 == 8 or codec == DEFLATE and k % 2 == 0 else 1
+        tile = (COLUMNS, max(16, len(block) // 64 * 16))
+        pages.append((block, codec, predictor, tile if k % 3 == 1 else max(unit, len(block) // 2)))
     return write_tiff(pages)
 
 
-def feature(samples: bytes, pages: int) -> str:
-    """Number of pages, mean, variance and mean step between neighbours of all samples, from whole-number sums."""
-    a = np.frombuffer(samples, np.uint8)
-    counts = np.bincount(a, minlength=256)
-    values = np.arange(256)
-    total, squares = int(counts @ values), int(counts @ (values * values))
-    steps = int(np.abs(np.diff(a.astype(np.int16))).sum())
-    mean = total / len(a)
-    return f"pages={pages};mean={mean:.4f};variance={squares / len(a) - mean * mean:.4f};step={steps / len(a):.4f}"
+@dataclass
+class Digest:
+    """What is told of a payload whose pages come one after another; no more than its last bytes are kept."""
+
+    n: int = 0
+    pages: int = 0
+    tail: bytes = b""
+    steps: int = 0
+
+    def __post_init__(self):
+        self.sha, self.counts = hashlib.sha256(), np.zeros(256, np.int64)
+
+    def add(self, samples: bytes) -> None:
+        a = np.frombuffer(samples, np.uint8)
+        self.sha.update(samples)
+        self.counts += np.bincount(a, minlength=256)
+        self.steps += int(np.abs(np.diff(np.frombuffer(self.tail[-1:] + samples, np.uint8).astype(np.int16))).sum())
+        self.n, self.pages, self.tail = self.n + len(samples), self.pages + 1, (self.tail + samples[-32:])[-32:]
+
+    def feature(self) -> str:
+        """Number of pages, mean, variance and mean step between neighbours of all samples, from whole-number sums."""
+        values, n = np.arange(256), max(self.n, 1)
+        mean, squares = int(self.counts @ values) / n, int(self.counts @ (values * values)) / n
+        return f"pages={self.pages};mean={mean:.4f};variance={squares - mean * mean:.4f};step={self.steps / n:.4f}"
 
 
 def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,49 +328,86 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, page, width, height, samples, bits, compression, predictor, tiled, data, error): one row per page of each file.
+def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry..., page, width, height, samples, bits, compression, predictor, tiled, data, error): one row per page of each file.
 
     A null file has no rows. A file that can't be read has the pages before the fault and one row that names it. Repeated rows give
-    their pages each.
+    their pages each. A file's pages follow each other in one partition, in their order. carry: columns of files that go along.
     """
-    schema = T.StructType([*files.select(id_col).schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("page", "width", "height", "samples", "bits", "compression", "predictor")], T.StructField("tiled", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
+    before = [id_col, *carry]
+    schema = T.StructType([*files.select(*before).schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("page", "width", "height", "samples", "bits", "compression", "predictor")], T.StructField("tiled", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+            media = batch.column(len(before))
+            for at in range(batch.num_rows):
+                row, file, rows = [c[at].as_py() for c in batch.columns[: len(before)]], media[at].as_py(), []
                 try:
                     for p in read_pages(file) if file is not None else ():
-                        rows.append((row, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
+                        rows.append((*row, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
                 except (BadTiff, zlib.error, struct.error, ValueError) as e:
-                    rows.append((row, *[None] * 9, str(e)))
+                    rows.append((*row, *[None] * 9, str(e)))
                 if rows:
-                    kinds = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
+                    kinds = [*batch.schema.types[: len(before)], *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
 
-    return files.select(id_col, media_col).mapInArrow(run, schema)
+    small_batches(files.sparkSession)
+    return files.select(*before, media_col).mapInArrow(run, schema)
 
 
-def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all but n_bytes and media of what the reader gives back."""
-    schema = T.StructType([*docs.select(id_col).schema.fields, *[T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]])
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def digest_pages(pages: DataFrame, carry: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """(id, carry..., payload_bytes, payload_sha256, tail_crc32, feature, error) of each file from its pages, as explode_pages gives them.
 
-    def one(text: str | None) -> tuple:
-        n, payload = payload_of(text)
-        media = store(payload)
-        pages = [p.data for p in read_pages(media)]
-        back = b"".join(pages)
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, len(pages))
+    Pages of a file follow each other, so that they are told as they come, without a shuffle. error: the fault, if a file has one.
+    """
+    before = [id_col, *carry]
+    schema = T.StructType([*pages.select(*before).schema.fields, *[T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("feature", T.StringType()), ("error", T.StringType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, told, fault, done, kinds = None, None, None, [], []
+
+        def end() -> None:
+            if row is not None:
+                done.append((*row, told.n, told.sha.hexdigest(), zlib.crc32(told.tail), told.feature(), fault))
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=schema.names)
+            done.clear()
+            return out
+
         for batch in batches:
-            rows = [one(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=schema.names)
+            kinds = [*batch.schema.types[: len(before)], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            number, data, error = (batch.column(len(before) + i) for i in range(3))
+            for at in range(batch.num_rows):
+                page = number[at].as_py()
+                if page == 0 or page is None and row != [c[at].as_py() for c in batch.columns[: len(before)]]:
+                    end()
+                    row, told, fault = [c[at].as_py() for c in batch.columns[: len(before)]], Digest(), None
+                if page is None:
+                    fault = error[at].as_py()
+                else:
+                    told.add(data[at].as_py())
+            if len(done) >= 512:
+                yield given()
+        end()
+        if done:
+            yield given()
+
+    small_batches(pages.sparkSession)
+    return pages.select(*before, "page", "data", "error").mapInArrow(run, schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all but n_bytes and media of what the reader gives back.
+
+    The files are a stored table; their pages, a row each, are read from it. A file that the reader can't read is an error.
+    """
+    stored = Scratch(docs.sparkSession, "tiff").keep(store_documents(docs, id_col, text_col), "files")
+    carry = ("n_bytes", "media_bytes", "media_sha256")
+    files = stored.select(id_col, "media", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    told = digest_pages(explode_pages(files, id_col, "media", carry), carry, id_col)
+    sound = F.assert_true(F.col("error").isNull(), F.col("error")).isNull()
+    return told.where(sound).select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from gregale.llm import bpe, fertility, jaccard, linededup, mixing, quality, sharding, suffix, tiff, warc
 from gregale.llm.common import Scratch
@@ -63,8 +64,8 @@ def place_one_by_one(counts_of, orders, room):
 def test_rounds_equal_row_by_row_insertion():
     rng = random.Random(4)
     orders = sharding.ring_orders(5, 8)
-    keys = [(rng.randrange(sharding.SEGMENTS), i) for i in range(203)]
-    counts = np.bincount([s for s, _ in keys], minlength=sharding.SEGMENTS)
+    keys = [(rng.randrange((1 << sharding.SEGMENT_BITS)), i) for i in range(203)]
+    counts = np.bincount([s for s, _ in keys], minlength=(1 << sharding.SEGMENT_BITS))
     got = sharding.place(counts, orders, sharding.rooms(203, 5, 0.0))
     want = place_one_by_one(keys, orders, sharding.rooms(203, 5, 0.0))
     rank, seen = {}, Counter()
@@ -209,6 +210,16 @@ def test_jaccard_hot_lists_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(table)
 
 
+def test_components_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TASK_ENTRIES", 60)
+    rng = random.Random(19)
+    chain, star = rng.sample(range(1000), 200), [2000 + i for i in range(50)]
+    links = [*zip(chain, chain[1:], strict=False), *[(2000, x) for x in star[1:]]]
+    rng.shuffle(links)
+    got = jaccard.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c")
+    assert {r.node: r.comp for r in got.collect()} == dict.fromkeys(chain, min(chain)) | dict.fromkeys(star, 2000)
+
+
 def test_jaccard_null_ids_bridge(spark):
     words = [f"w{i}" for i in range(60)]
     front, back = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]
@@ -388,7 +399,33 @@ def test_lines(spark, docs, empty):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_spans, r.kept_text) for r in got} == want
 
 
+def spark_hash(text):
+    n = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    table = [(1, "a\nb\nc"), (1, "x\na\nb\nc"), (2, "a\nb\nc\ny"), (2, "a\nb\nc\ny"), (3, None)]
+    order = {k: i for i, k in enumerate(sorted(set(table[:4]), key=lambda r: (r[0], spark_hash(r[1]))))}
+    want = brute_lines([(i, k[1]) for k, i in order.items()])
+    got = linededup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert len(got) == 5
+    for r in got:
+        assert (r.n_lines, r.n_removed, r.n_spans, r.kept_text) == (want[order[(r.doc_id, r.text)]] if r.text is not None else (0, 0, 0, None))
+
+
 # 9: suffix-array dedup
+def test_repeats_of_texts_that_share_an_id(spark):
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = word(120), word(200)
+    table = [(1, word(30) + passage), (1, passage + word(50)), (2, copy), (2, word(20) + passage), (2, copy), (3, copy)]
+    order = {k: i for i, k in enumerate(sorted(set(table), key=lambda r: (r[0], spark_hash(r[1]))))}
+    want = brute_repeats({(i, k[1]) for k, i in order.items()}, 100)
+    got = suffix.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((k[0], *want[order[k]]) for k in table)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for k in range(1500):
