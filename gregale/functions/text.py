@@ -9,10 +9,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -45,6 +46,7 @@ EDITORIAL = [
     "correction d'erreur materielle", "amendement redactionnel", "amendement de precision", "amendement de correction",
     "amendement de clarification", "amendement de coordination", "amendement de suppression",
 ]
+# Bodies that many rows share.
 COMMON_BODIES = [r"Supprimer cet article\.?", r"Supprimer l(?:'|’)alinéa [0-9]{1,5}\.?", r"Supprimer les alinéas [0-9]{1,5} (?:à|et) [0-9]{1,5}\.?"]
 SHORT = 50
 #: Punctuation that ends a token in attribution; upper-case ASCII letters count as such.
@@ -110,17 +112,43 @@ def singular(w: Column) -> Column:
 
 
 def singularize(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), singular), " ")
+    """Naive singulars of all words, by rules over the whole text: each word ends in one letter, so that at most one rule changes it."""
+    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    word = lambda w: rf"(?<![^ ])(?:{w})(?= |\z)"
+    unlike = {k: v for k, v in IRREGULAR.items() if k != v}
+    changed = c
+    for k, v in unlike.items():
+        changed = F.regexp_replace(changed, word(k), v)
+    c = F.when(c.rlike(word("|".join(unlike))), changed).otherwise(c)
+    for k in IRREGULAR.keys() - unlike.keys():  # stay as they are: the last letter is put back after the rules
+        c = F.regexp_replace(c, word(k), f"{k[:-1]}\ue000")
+        c = F.regexp_replace(c, r"(?<!e)aux(?= |\z)", "al")
+        c = F.replace(F.regexp_replace(c, r"(?:(?<![iuoa])s|x)(?= |\z)", ""), F.lit("\ue000"), F.lit(k[-1]))
+    return c
+
+
+_LONE = [w for w in NUMBERS if " " not in w]
+_LINKED = sorted((w for w in NUMBERS if " " in w), key=len, reverse=True)
+
+
+def _digitize_words(c: Column) -> Column:
+    """As digitize, for words of lower-case ASCII letters, digits and dashes between single spaces: single number words are looked up."""
+    several = c
+    for words in _LINKED:
+        several = F.regexp_replace(several, rf"\b{words}\b", NUMBERS[words])
+    c = F.when(c.rlike(r"\b(?:" + "|".join(_LINKED) + r")\b"), several).otherwise(c)
+    known = F.create_map(*[F.lit(x) for w in _LONE for x in (w, NUMBERS[w])])
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.when(w.isin(_LONE), F.element_at(known, w)).when(F.contains(w, F.lit("-")), digitize(w)).otherwise(w)), " ")
 
 
 def _similarity_steps(c: Column, tighten: bool) -> Column:
-    c = F.lower(strip_spaces(fold(strip_roman(c))))
-    c = F.regexp_replace(c, "['`_]", " ")
+    c = F.lower(F.btrim(fold(strip_roman(c)), F.lit(" \t\n\x0b\f\r")))
+    c = F.translate(c, "'`_", "   ")
     if tighten:
         c = F.regexp_replace(c, r"([0-9])\s*-\s*([0-9])", "$1-$2")
     c = F.regexp_replace(c, r"(?<![0-9])-(?![0-9])", " ")
     c = F.regexp_replace(c, r"[^a-zA-Z0-9\s\-%]", "")
-    return squeeze(singularize(digitize(drop_stop_words(c))))
+    return squeeze(singularize(_digitize_words(drop_stop_words(c))))
 
 
 def normalize_text(c: Column) -> Column:
@@ -167,6 +195,21 @@ def slug(c: Column, default: str = "database") -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
+def slug_with_id(c: Column, row_id: Column) -> Column:
+    """The slug and the first eight characters of an id."""
+    return F.concat(slug(c), F.lit("__"), F.substring(row_id, 1, 8))
+
+
+def clean_expert_summary(c: Column) -> Column:
+    """Without the marks that experts put into their summaries."""
+    return strip_spaces(F.regexp_replace(c, r"(?i)\[sous-amendement\]|\*|REDACTIONNEL|Irr - |APPEL : |Appel -|IRR : ", ""))
+
+
+def day_epoch(year: Column, month: Column, day: Column) -> Column:
+    """Seconds of a day's beginning, in the session's time zone (UTC)."""
+    return F.unix_timestamp(F.make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)))
+
+
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
 
@@ -185,6 +228,15 @@ def fill_blank(c: Column, row_id: Column, prefix: str) -> Column:
     return F.when(is_blank(c), F.concat(F.lit(prefix), row_id.cast("string"))).otherwise(c)
 
 
+def fill_placeholder(df: DataFrame, column: str, value: str | None = None, generator: Callable[[], Column] | None = None) -> DataFrame:
+    """df with blanks of a column filled by a fixed value or by a generated column; a missing column, neither or both are errors."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column}")
+    if (value is None) == (generator is None):
+        raise ValueError("give a value or a generator")
+    return df.withColumn(column, F.when(is_blank(F.col(column)), F.lit(value) if generator is None else generator()).otherwise(F.col(column)))
+
+
 def expand_acronyms(c: Column, acronyms: list[tuple[str, str]]) -> Column:
     """In the given order; an expansion may be expanded again."""
     for acronym, meaning in acronyms:

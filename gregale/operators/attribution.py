@@ -6,6 +6,8 @@ null. Dictionaries are small: Spark broadcasts them where their size allows it,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gregale.functions.text import TOKEN_SPLIT
+from gregale.functions.text import TOKEN_SPLIT, normalize_attribution
 
+#: First words of phrases that a plan may hold.
+HEADS = 10_000
 DETAILS = ("keyword", "document", "article", "program")
 # Where a credit table opens a line of its own, keywords decide instead.
 NEW_LINE = "ligne nouvelle|nouveau programme|creer le programme"
@@ -31,13 +35,17 @@ def tokens(c: Column) -> Column:
 def keyword_matches(df: DataFrame, keywords: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per occurrence of a phrase of keywords (keyword, owner), overlapping ones included, and owner.
 
-    Texts meet phrases on the phrase's first word; as many words after it as the longest phrase has are compared then.
+    Texts meet phrases on the phrase's first word; as many words after it as the phrase has are compared then.
     """
     phrases = keywords.dropDuplicates(["keyword", "owner"]).withColumn("words", tokens(F.col("keyword"))).where(F.size("words") > 0).withColumn("head", F.col("words")[0])
-    longest = phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
     words = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("text"))
-    windows = F.transform("text", lambda w, i: F.struct(w.alias("head"), F.slice("text", i + 1, longest).alias("window")))
-    hits = words.select("id", F.explode(windows).alias("w")).select("id", "w.*").join(phrases, "head").where(F.slice("window", 1, F.size("words")) == F.col("words"))
+    # a dictionary is kept by hand: its first words fit into the plan, and only they are looked at; a longer one meets all words in the join
+    facts = phrases.groupBy("head").agg(F.max(F.size("words")).alias("n")).limit(HEADS + 1).collect()
+    longest = max((r.n for r in facts), default=1) if len(facts) <= HEADS else phrases.agg(F.max(F.size("words"))).first()[0]
+    begins = F.transform("text", lambda w, i: F.struct(w.alias("head"), i.alias("at")))
+    begins = F.filter(begins, lambda x: x["head"].isin([r.head for r in facts])) if len(facts) <= HEADS else begins
+    windows = F.transform(begins, lambda x: F.struct(x["head"].alias("head"), F.slice("text", x["at"] + 1, F.lit(longest)).alias("window")))
+    hits = words.select("id", F.explode(windows).alias("w")).select("id", "w.*").join(phrases, "head").where(F.slice("window", F.lit(1), F.size("words")) == F.col("words"))
     return _matches(hits, "KEYWORD", text_col)
 
 
@@ -52,6 +60,7 @@ def code_pattern(names: list[str]) -> list[str]:
     return [rf"code\s(?:general\sdes?|des?|du|de\sla|d')?\s?((?:{quoted}))"]
 
 
+# How texts cite articles, after folding.
 def article_pattern(ordinals: list[str]) -> str:
     """Of several articles in a row the last is captured."""
     rest = rf"(?:\s?(?:{'|'.join(sorted(ordinals, reverse=True))}))?" if ordinals else ""
@@ -101,14 +110,15 @@ class _Table(HTMLParser):
                 self.cell[2] += data
 
 
-CREDIT_ROWS = "array<struct<program:string,plus:string,minus:string>>"
+CREDIT_ROWS = "array<struct<program:string,plus:string,minus:string,error:string>>"
 
 
 def credit_rows(credit_type: str):
     """A function column: the raw (program, +, -) rows of a text's credit table.
 
     A table that names credit_type has a header of two lines, of which that type's pair of columns counts; it goes before a table
-    with header cells Programmes, + and -. Texts without such a table give null.
+    with header cells Programmes, + and -. Texts without such a table give null; a table that lacks one of these gives one row with an
+    error and no program, so that the row fails, not the job.
     """
 
     def parse(markup: str | None) -> list[dict] | None:
@@ -129,7 +139,7 @@ def credit_rows(credit_type: str):
             heads = [c[1].strip() for row in table for c in row if c[0]]
             if heads:
                 if not {"Programmes", "+", "-"} <= set(heads):
-                    raise ValueError("a credit table lacks Programmes, + or -")
+                    return [{"program": None, "plus": None, "minus": None, "error": "a credit table lacks Programmes, + or -"}]
                 p, plus, minus = (heads.index(h) for h in ("Programmes", "+", "-"))
                 return [{"program": r[p][1].strip(), "plus": r[plus][1].strip(), "minus": r[minus][1].strip()} for r in table[1:] if len(r) > max(p, plus, minus)]
         return None
@@ -158,7 +168,7 @@ def credit_matches(tables: DataFrame, owners: DataFrame, column: str = "Corps am
     Nothing where a new line is opened. Where nothing is added and something taken, programs that lose count; where something is
     taken, programs that gain.
     """
-    rows = tables.where(~F.lower("program").isin("total", "solde"))
+    rows = tables.where(~F.lower("program").isin("total", "solde"))  # nor rows without a program
     facts = rows.groupBy("id").agg(F.max(F.col("program").rlike(NEW_LINE)).alias("new"), F.max("plus").alias("gain"), F.max("minus").alias("loss"))
     known = rows.join(facts, "id").where(~F.col("new") & (F.col("loss") > 0))
     picked = known.where(((F.col("gain") == 0) & (F.col("minus") > 0)) | (F.col("plus") > 0)).select("id", "program").distinct()
@@ -200,16 +210,33 @@ def keyword_counts(matches: DataFrame) -> DataFrame:
     return n.groupBy("id", "column", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("keyword", "n"))), lambda x: F.concat(x["keyword"], F.lit(" (x"), x["n"].cast("string"), F.lit(")"))), ", ").alias("counts"))
 
 
-def explain(matches: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, comment) for keyword matches: the chosen owner's keywords, then those of the others."""
-    lines = keyword_counts(matches).withColumn("line", F.concat("owner", F.lit(" : ["), "counts", F.lit("]")))
-    lines = lines.join(chosen.withColumnRenamed("owner", "chosen"), "id").withColumn("own", F.col("owner") == F.col("chosen"))
-    blocks = lines.groupBy("id", "chosen", "own", "column").agg(F.array_sort(F.collect_list(F.struct("owner", "line"))).alias("lines"))
-    text = F.concat(F.lit("Affectations par mots clés dans '"), F.col("column"), F.lit("' :\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    sides = blocks.groupBy("id", "chosen", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+def _lines(matches: DataFrame) -> DataFrame:
+    """(id, matcher, column, owner, line): what each matcher says of an owner's matches in a column; credit tables have no column."""
+    words = keyword_counts(matches.where("matcher = 'KEYWORD'")).select("id", F.lit("KEYWORD").alias("matcher"), "column", "owner", F.concat("owner", F.lit(" : ["), "counts", F.lit("]")).alias("line"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    key = ["id", "matcher", "column", "owner"]
+    rest = matches.where("matcher <> 'KEYWORD'").withColumn("column", F.when(F.col("matcher") != "CREDIT_TABLE", F.col("column")))
+    # a document's line names all articles of the owner
+    found = rest.groupBy(*key).agg(F.array_sort(F.collect_set("document")).alias("documents"), listed("article").alias("articles"), listed("program").alias("programs"))
+    documents = F.array_join(F.transform("documents", lambda d: F.concat(d, F.lit(" (articles "), F.col("articles"), F.lit(")"))), ", ")
+    line = F.when(F.col("matcher") == "CREDIT_TABLE", F.concat("owner", F.lit(" : ["), "programs", F.lit("]"))).when(F.col("matcher") == "REDACTIONAL", F.concat("owner", F.lit(" : article "), "articles")).otherwise(F.concat(F.col("owner"), F.lit(" : "), documents))
+    return words.unionByName(found.select(*key, line.alias("line")))
+
+
+def explain(matches: DataFrame, chosen: DataFrame, order: list[str] = ("KEYWORD",)) -> DataFrame:
+    """(id, comment): why the chosen owner, matcher by matcher in the given order, then what speaks for others."""
+    lines = _lines(matches).join(chosen.withColumnRenamed("owner", "chosen"), "id").withColumn("own", F.col("owner") == F.col("chosen"))
+    blocks = lines.groupBy("id", "chosen", "own", "matcher", "column").agg(F.array_sort(F.collect_list(F.struct("owner", "line"))).alias("lines"))
+    kind = F.regexp_extract("matcher", "^LEGAL_DOCUMENT_(.*)$", 1)
+    what = F.when(F.col("matcher") == "KEYWORD", F.lit("mots clés")).when(F.col("matcher") == "REDACTIONAL", F.lit("amendement rédactionnel"))
+    what = what.otherwise(F.concat(F.when(kind == "LAW", "loi").when(kind == "ORDONNANCE", "ordonnance").when(kind == "CODE", "code").otherwise("texte"), F.lit("s")))
+    head = F.when(F.col("matcher") == "CREDIT_TABLE", F.lit("Affectations par tableau de crédits :")).otherwise(F.concat(F.lit("Affectations par "), what, F.lit(" dans '"), F.col("column"), F.lit("' :")))
+    text = F.concat(head, F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("matcher"))
+    sides = blocks.groupBy("id", "chosen", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "matcher", F.coalesce("column", F.lit("")).alias("column"), text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     both = sides.groupBy("id", "chosen").agg(F.max(F.when(F.col("own"), F.col("t"))).alias("mine"), F.max(F.when(~F.col("own"), F.col("t"))).alias("others"))
-    head = F.concat(F.lit("Affectation sélectionnée: "), "chosen", F.coalesce(F.concat(F.lit("\n"), "mine"), F.lit("")))
-    return both.select("id", F.concat(head, F.coalesce(F.concat(F.lit("\n\nAutres affectations possibles:\n"), "others", F.lit("\n")), F.lit(""))).alias("comment"))
+    start = F.concat(F.lit("Affectation sélectionnée: "), "chosen", F.coalesce(F.concat(F.lit("\n"), "mine"), F.lit("")))
+    return both.select("id", F.concat(start, F.coalesce(F.concat(F.lit("\n\nAutres affectations possibles:\n"), "others", F.lit("\n")), F.lit(""))).alias("comment"))
 
 
 def assign(df: DataFrame, chosen: DataFrame, agents: DataFrame, id_col: str, overwrite: bool = True) -> DataFrame:
@@ -221,3 +248,89 @@ def assign(df: DataFrame, chosen: DataFrame, agents: DataFrame, id_col: str, ove
         F.when(F.col("_id").isNotNull() & (F.lit(overwrite) | F.coalesce(F.col(c) == "", F.lit(True))), F.coalesce(f"_{c}", F.lit(""))).otherwise(F.col(c)).alias(c) if c in ("owner", "mail", "entity") else F.col(c)
         for c in df.columns
     ])
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """match gives the matches of one of its columns; rows hold the id, and the columns normalised, but raw ones as they are."""
+
+    name: str
+    columns: tuple[str, ...]
+    match: Callable[[DataFrame, str], DataFrame]
+    raw: bool = False
+
+
+def keyword_matcher(keywords: DataFrame, columns: tuple[str, ...]) -> Matcher:
+    return Matcher("KEYWORD", columns, lambda df, c: keyword_matches(df, keywords, "id", c))
+
+
+def document_names(documents: DataFrame, most: int = 1000) -> list[str]:
+    """Names of documents, which patterns hold; above `most` is an error."""
+    names = [r[0] for r in documents.select("document").where("document IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} document names")
+    return sorted(names)
+
+
+def legal_matcher(kind: str, documents: DataFrame, columns: tuple[str, ...], ordinals: list[str] = ()) -> Matcher:
+    """kind: CODE (by the documents' names), LAW or ORDONNANCE."""
+    patterns = code_pattern(document_names(documents)) if kind == "CODE" else {"LAW": LAW, "ORDONNANCE": ORDINANCE}[kind]
+    name = f"LEGAL_DOCUMENT_{kind}"
+    return Matcher(name, columns, lambda df, c: legal_matches(df, documents, patterns, "id", c, ordinals, name))
+
+
+def credit_matcher(owners: DataFrame, credit_type: str, columns: tuple[str, ...] = ("Corps amdt original",)) -> Matcher:
+    """owners: (program, owner), programs normalised."""
+
+    def match(df: DataFrame, column: str) -> DataFrame:
+        rows = df.select("id", F.explode(credit_rows(credit_type)(F.col(column))).alias("r")).where("r.error IS NULL")
+        rows = rows.select("id", normalize_attribution(F.col("r.program")).alias("program"), amount(F.col("r.plus")).alias("plus"), amount(F.col("r.minus")).alias("minus"))
+        return credit_matches(rows, owners, column)
+
+    return Matcher("CREDIT_TABLE", columns, match, raw=True)
+
+
+def editorial_matcher(articles: DataFrame) -> Matcher:
+    """articles: (article, owner). Rows need is_redactional."""
+    return Matcher("REDACTIONAL", ("Num article",), lambda df, c: editorial_matches(df, articles, "id", "is_redactional", c), raw=True)
+
+
+def matched(df: DataFrame, matchers: list[Matcher], id_col: str, early: bool) -> DataFrame:
+    """All matches of df's rows, of each matcher in those of its columns that df has; early: only those of a row's first matcher that has any."""
+    columns = dict.fromkeys(c for m in matchers for c in m.columns if c in df.columns)
+    flag = [c for c in ("is_redactional",) if c in df.columns]
+    raw = df.select(F.col(id_col).alias("id"), *flag, *columns)
+    normal = df.select(F.col(id_col).alias("id"), *flag, *[normalize_attribution(F.coalesce(F.col(c).cast("string"), F.lit("none"))).alias(c) for c in columns])
+    out = None
+    for m in matchers:
+        for c in m.columns:
+            if c in columns:
+                found = m.match(raw if m.raw else normal, c)
+                out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no matcher has a column of the batch")
+    return early_exit(out, [m.name for m in matchers]) if early else out
+
+
+def attribute(df: DataFrame, matchers: list[Matcher], id_col: str, defaults: list[str] = (), agents: DataFrame | None = None, early: bool = False, overwrite: bool = True) -> DataFrame:
+    """(id, owner, mail, entity, comment) of all rows: the vote of matches, or a default owner, or what df has if overwrite is off.
+
+    df: `Affectation (nom)`, `Affectation (email)` and `Entité Pilote` count where they are and aren't blank. agents: (owner, mail,
+    entity) of the final owner; unknown ones get empty texts. A row without match and default has no comment, and keeps its owner.
+    """
+    hits = matched(df, matchers, id_col, early).checkpoint(eager=False) if df.sparkSession.sparkContext.getCheckpointDir() else matched(df, matchers, id_col, early)
+    chosen = vote(hits)
+    reasons = explain(hits, chosen, [m.name for m in matchers])
+    now = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), *[now(c).alias(n) for c, n in (("Affectation (nom)", "had_owner"), ("Affectation (email)", "had_mail"), ("Entité Pilote", "had_entity"))])
+    rows = rows.join(chosen, "id", "left").join(reasons, "id", "left")
+    spare = F.element_at(F.array(*map(F.lit, defaults)), (F.pmod(F.col("id"), F.lit(len(defaults))) + 1).cast("int")) if defaults else F.lit(None).cast("string")
+    found = F.coalesce("owner", spare)
+    owner = F.coalesce(found, "had_owner") if overwrite else F.coalesce("had_owner", found)
+    rows = rows.select("id", owner.alias("owner"), "had_mail", "had_entity", F.coalesce("comment", F.when(spare.isNotNull(), "Attribution par défaut")).alias("comment"))
+    if agents is not None:
+        rows = rows.join(agents.select("owner", "mail", "entity"), "owner", "left")
+    else:
+        rows = rows.withColumns({"mail": F.lit(None).cast("string"), "entity": F.lit(None).cast("string")})
+    infos = {c: F.coalesce(c, F.lit("")) if overwrite else F.coalesce(f"had_{c}", c, F.lit("")) for c in ("mail", "entity")}
+    return rows.select("id", "owner", *[v.alias(c) for c, v in infos.items()], "comment")

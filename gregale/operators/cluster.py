@@ -5,11 +5,17 @@ Density clustering with two points to a core, the point itself included, is the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gregale.operators.similarity import cosine_pairs, edit_pairs
+from gregale.operators.similarity import cosine_pairs, edit_within
 
+#: Links that one task holds.
+TASK_LINKS = 1_000_000
 #: Rows above which a cluster is subdivided.
 LARGE = 30
 
@@ -26,11 +32,16 @@ def _kept(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, cluster) of the nodes of links (a, b): the smallest id reachable.
 
-    Alternates two star steps (each node's larger neighbours, then its smaller ones, are tied to its smallest) until the ties stay as
+    Tasks of TASK_LINKS links each make forests of them; what one task holds is done then. Forests of several tasks are joined by
+    two star steps in turn (each node's larger neighbours, then its smaller ones, are tied to its smallest) until the ties stay as
     they are; rounds grow with the logarithm of a chain's length. Ties are checkpointed so that a lost executor costs no more than a
     round; set a checkpoint folder that all executors share.
     """
     ties = _kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
+    parts = ties.count() // TASK_LINKS + 1
+    ties = _kept(ties.repartition(parts).mapInArrow(_forest, ties.schema))
+    if parts == 1:
+        return _labels(ties)
     known = None
     while True:
         both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -43,10 +54,38 @@ def components(links: DataFrame) -> DataFrame:
         if now == known:
             break
         known = now
-    # a fixed point: every node but the roots is tied to its root, once
+    return _labels(ties)
+
+
+def _labels(ties: DataFrame) -> DataFrame:
+    """Every node but the roots is tied to its root, once."""
     return ties.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(ties.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties (u, v) of each node of the links to the smallest node that they connect it with, themselves left out."""
+    columns, kind = ([], []), None
+    for batch in batches:
+        kind = batch.schema
+        for i in (0, 1):
+            columns[i].append(batch.column(i).to_numpy(zero_copy_only=False))
+    if kind is None:
+        return
+    u, v = (np.concatenate(c) for c in columns)
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied], kind.field(0).type), pa.array(nodes[root[tied]], kind.field(1).type)], schema=kind)
+
+
 def tfidf_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str, eps: float) -> DataFrame:
     """(id, cluster): components of pairs at a cosine distance of eps or less, of two rows or more. eps 1 joins whole blocks."""
     if eps >= 1:
@@ -66,8 +105,14 @@ def members_pairs(clusters: DataFrame, texts: DataFrame) -> DataFrame:
 
 def refine(clusters: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(id, cluster): components of pairs inside a cluster whose edit distance, by length, is at most 1 - threshold."""
-    pairs = edit_pairs(members_pairs(clusters, texts), "text_a", "text_b")
-    return components(pairs.where(F.col("dist") <= 1 - threshold).select("a", "b"))
+    pairs = members_pairs(clusters, texts)
+    most, size = 1 - threshold, F.greatest(F.length("text_a"), F.length("text_b"))
+    # the most edits whose part of the longer length is at most 1 - threshold, or less than a thousandth, which counts as none
+    edits = F.floor(size * most) + 1
+    edits = F.when(edits / size <= most, edits).when((edits - 1) / size <= most, edits - 1).otherwise(edits - 2)
+    edits = F.greatest(edits, F.ceil(size * 0.001) - 1)
+    near = F.when(size == 0, True).otherwise(edit_within(F.col("text_a"), F.col("text_b"), edits))
+    return components(pairs.where(near).select("a", "b"))
 
 
 def subdivide(clusters: DataFrame, texts: DataFrame, eps: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql.window import Window
 
 from gregale.functions.text import appeal_prefix, fill_prompt, is_blank, predefined_summary, word_count
 
+log = logging.getLogger(__name__)
+
 UNFAVOURABLE = "Défavorable"
 #: Words above which a summary is made anew, once.
 LONG_SUMMARY = 25
@@ -25,8 +29,9 @@ def default_opinion(df: DataFrame, opinions: DataFrame, overwrite: bool = False)
 
 def opinion_override(df: DataFrame, lot_col: str) -> DataFrame:
     """One unfavourable opinion in a lot makes all of it so; rows without a lot keep theirs, an empty lot is one."""
-    bad = F.max(F.when(F.col("opinion") == UNFAVOURABLE, 1)).over(Window.partitionBy(lot_col))
-    return df.withColumn("opinion", F.when(F.col(lot_col).isNotNull() & (bad == 1), UNFAVOURABLE).otherwise(F.col("opinion")))
+    bad = df.where((F.col("opinion") == UNFAVOURABLE) & F.col(lot_col).isNotNull()).select(F.col(lot_col).alias("_bad")).distinct()
+    rows = df.join(bad, F.col(lot_col) == F.col("_bad"), "left")
+    return rows.withColumn("opinion", F.when(F.col("_bad").isNotNull(), UNFAVOURABLE).otherwise(F.col("opinion"))).select(*df.columns)
 
 
 def merge_results(base: DataFrame, results: list[tuple[DataFrame, list[str]]], id_col: str, comment_col: str = "Commentaires") -> DataFrame:
@@ -39,18 +44,50 @@ def merge_results(base: DataFrame, results: list[tuple[DataFrame, list[str]]], i
     return base
 
 
-def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str, again: str, overwrite: bool = True) -> DataFrame:
+def retrying(client: Callable[[], Callable[[str], str]], attempts: int = 5, wait: float = 0.0, per_second: float | None = None) -> Callable[[], Callable[[str], str]]:
+    """client, whose calls are tried again after an exception, with rising waits; after the last one the answer is "".
+
+    per_second bounds the calls of one task.
+    """
+
+    def make() -> Callable[[str], str]:
+        answer, last = client(), 0.0
+
+        def ask(prompt: str) -> str:
+            nonlocal last
+            for n in range(attempts):
+                if per_second and (pause := last + 1 / per_second - time.monotonic()) > 0:
+                    time.sleep(pause)
+                last = time.monotonic()
+                try:
+                    return answer(prompt)
+                except Exception as e:  # noqa: BLE001  whatever a client raises
+                    log.warning("call %d failed: %s", n + 1, e)
+                    if wait and n + 1 < attempts:
+                        time.sleep(wait * 2**n)
+            return ""
+
+        return ask
+
+    return make
+
+
+def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str, again: str, overwrite: bool = True, clients: int | None = None) -> DataFrame:
     """df (id, expose, corps, objet) with objet summarised.
 
-    Editorial and suppressing rows get fixed summaries; client makes, in each task, a function from a prompt to a text, which may
-    give "" but not raise for a row to go on; results above LONG_SUMMARY words are made anew with the second prompt, once.
+    Editorial and suppressing rows get fixed summaries; client makes, in each task, a function from a prompt to a text; a call that
+    fails is tried again, and gives "" in the end. Results above LONG_SUMMARY words are made anew with the second prompt, once.
+    clients: how many tasks call at a time. First answers are checkpointed where a checkpoint folder is set, so that they aren't
+    asked for twice.
     """
     due = ~is_blank(F.col("expose")) & ~is_blank(F.col("corps")) & (F.lit(overwrite) | is_blank(F.col("objet")))
     rows = df.withColumn("fixed", F.when(due, predefined_summary(F.col("expose"), F.col("corps"))))
     rows = rows.withColumn("ask", F.when(F.col("fixed") == "", fill_prompt(F.lit(prompt), F.col("expose"), F.col("corps"))))
+    rows = rows.repartition(clients) if clients else rows
+    patient = retrying(client)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        answer = client()
+        answer = patient()
         for batch in batches:
             yield batch.assign(said=[None if a is None else answer(a) for a in batch.ask]).drop(columns="ask")
 
@@ -59,6 +96,8 @@ def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
         return rows.mapInPandas(run, ", ".join([*kept, "said string"]))
 
     rows = called(rows)
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        rows = rows.checkpoint(eager=False)
     rows = rows.withColumn("first", F.col("said")).drop("said").withColumn("ask", F.when(word_count(F.col("first")) > LONG_SUMMARY, F.replace(F.lit(again), F.lit("{{summary}}"), F.col("first"))))
     rows = called(rows)
     made = F.coalesce("said", "first")
@@ -95,3 +134,45 @@ def similar_lists(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
     ways = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "pct").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "pct"))
     rows = ways.join(numbers.select(F.col("id").alias("other"), F.col("num").alias("other_num")), "other").join(numbers, "id").where("num <> other_num")
     return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", F.col("other_num").alias("num"), "pct"))), lambda x: F.struct(x["num"].alias("num"), x["pct"].alias("pct"))).alias("similar"))
+
+
+def known_names(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): all names that a key is known by, sorted."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def referrers(manifests: DataFrame, name_col: str, hashes_col: str) -> DataFrame:
+    """(hash, names): the stores that refer to each file, sorted. manifests: one row per store, its files' hashes in an array."""
+    return known_names(manifests.select(F.explode(F.array_distinct(hashes_col)).alias("hash"), F.col(name_col).alias("name")), "hash", "name").withColumnRenamed("values", "names")
+
+
+def experts_by_description(df: DataFrame, description: str, expert: str, pos: str) -> DataFrame:
+    """(hash, description, experts): experts of equal descriptions, joined by " & " in the order of pos."""
+    rows = df.groupBy(F.sha2(F.col(description), 256).alias("hash"), F.col(description).alias("description"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(expert).alias("e")))), lambda x: x["e"]), " & ").alias("experts"))
+
+
+def distinct_sorted(df: DataFrame, column: str, locale: str = "fr") -> DataFrame:
+    """Distinct values, trimmed, without blanks, in the order of a language."""
+    value = F.trim(column)
+    return df.select(value.alias(column)).where(F.coalesce(value != "", F.lit(False))).distinct().orderBy(F.collate(F.col(column), locale))
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(groups, rows, largest, mean): sizes of groups."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("largest"), F.avg("n").alias("mean"))
+
+
+def round_robin(df: DataFrame, names: list[str], order: list, seed: int, id_col: str) -> DataFrame:
+    """df with place, a seeded permutation of its rows, and assigned, the names in turn. order isn't needed for rows of distinct ids.
+
+    Places come from ranks inside ranges of the seeded hash, added up, so that no task sees all rows.
+    """
+    hashed = df.withColumns({"__h": F.xxhash64(F.lit(seed), F.col(id_col))})
+    spread = hashed.withColumn("__range", F.shiftright("__h", 52))  # 4096 ranges
+    before = spread.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__h", id_col, *order)) - 1
+    out = spread.withColumn("__rank", rank).join(before, "__range").withColumn("place", F.col("__before") + F.col("__rank"))
+    return out.withColumn("assigned", F.element_at(F.array(*map(F.lit, names)), (F.pmod("place", F.lit(len(names))) + 1).cast("int"))).select(*df.columns, "place", "assigned")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gregale.operators.similarity import edit_distance
+from gregale.operators.similarity import cosine_candidates, edit_distance
 
 
 def threshold_for(key: Column, prefixes: dict[str, float], default: float) -> Column:
@@ -41,6 +41,25 @@ def best_match(scored: DataFrame) -> DataFrame:
     return out.select("new_id", F.col("best.id").alias("old_id"), F.col("best.ratio").alias("ratio"))
 
 
+def of_first_project(old: DataFrame, new: DataFrame, id_col: str, project_col: str = "origin_project") -> DataFrame:
+    """Old rows of the project of the first new row."""
+    first = new.agg(F.min_by(project_col, id_col).alias("_project"))  # one row
+    return old.join(first, F.col(project_col) == F.col("_project")).drop("_project")
+
+
+def matches(old: DataFrame, new: DataFrame, column: str, block: list[str], least: float, ratio_least: float, overrides: dict[str, float], id_col: str) -> DataFrame:
+    """(new_id, old_id, ratio): each new row's best match in the old rows (timestamp, Réponse, column, block) by the column.
+
+    Candidates reach the cosine `least` in their block; their ratio must reach ratio_least, or what overrides says of the new text's beginning.
+    """
+    both = [df.select((F.col(id_col) * 2 + i).alias("__id"), *block, F.col(column).alias("__text")) for i, df in enumerate((old, new))]  # ids of both may be equal
+    near = cosine_candidates(*both, block, "__id", "__text", least).select(F.shiftright("a", 1).alias("new_id"), F.shiftright("b", 1).alias("old_id"))
+    rows = near.join(new.select(F.col(id_col).alias("new_id"), F.col(column).alias("new_text")), "new_id")
+    rows = rows.join(old.select(F.col(id_col).alias("old_id"), F.col(column).alias("old_text"), F.col("Réponse").alias("answer"), F.col("timestamp").alias("time")), "old_id")
+    rows = rows.select("new_id", "old_id", F.col("old_id").alias("old_pos"), ratio(F.col("old_text"), F.col("new_text")).alias("ratio"), threshold_for(F.col("new_text"), overrides, ratio_least).alias("least"), "answer", "time")
+    return best_match(rows)
+
+
 def merge_matches(by_column: list[tuple[str, DataFrame]]) -> DataFrame:
     """(new_id, old_id, ratio, column): the match of the highest ratio over columns; of equals the column named first."""
     all_matches = None

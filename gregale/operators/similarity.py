@@ -28,44 +28,64 @@ def tfidf(df: DataFrame, block: list[str], id_col: str, text_col: str) -> DataFr
     return raw.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*block, "id")))).select(*block, "id", "term", "w", "df")
 
 
-def _rare_terms(weights: DataFrame, block: list[str], least: float) -> DataFrame:
-    """Terms that a row must share one of to reach the cosine: its commonest terms are left out while their length stays below it."""
-    common = Window.partitionBy(*block, "id").orderBy(F.col("df").desc(), "term")
-    return weights.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(common))).where(F.col("tail") >= least - 1e-9)
+#: How far a row's rare terms go: until its common ones, left out, are this part of the threshold long.
+REST = 0.5
 
 
-def cosine_join(left: DataFrame, right: DataFrame, block: list[str], least: float, same: bool) -> DataFrame:
-    """(block..., a, b, cos) of rows of left and right (tfidf of one fit) with cos >= least; same: both are one table, a < b.
+def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
+    """(id, key, w, rare, rest): tfidf with terms hashed together with their block; rare: among the terms that pairs are looked for by;
+    rest: the length of the row's other terms.
 
-    Candidates share a term that is rare enough in the left row, and are scored on all their terms. least must be above 0: rows
-    without a common term are never paired.
+    In an order of all terms, rare ones first, a row's rare terms go on until the rest is shorter than REST of the threshold.
+    """
+    known = (df.dropna(subset=block) if block else df).select(F.col(id_col).alias("id"), F.xxhash64(*block, F.lit(0)).alias("block"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    words = known.select("id", "block", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}_]{2,})"), F.lit(1))).alias("term"))
+    tf = words.groupBy("id", "block", F.xxhash64("block", "term").alias("key")).agg(F.count(F.lit(1)).alias("tf"))
+    sizes = known.groupBy("block").agg(F.countDistinct("id").alias("n"))
+    idf = tf.groupBy("block", "key").agg(F.count(F.lit(1)).alias("df")).join(sizes, "block").select("key", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, "key").select("id", "key", "df", (F.col("tf") * F.col("idf")).alias("raw"))
+    row = Window.partitionBy("id")
+    common = row.orderBy(F.col("df").desc(), "key")
+    square = F.col("raw") * F.col("raw")
+    tails = raw.withColumns({"tail": F.sum(square).over(common), "all": F.sum(square).over(row)})
+    tails = tails.select("id", "key", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("tail") / F.col("all")).alias("tail"))
+    short = F.col("tail") < REST * least - 1e-9
+    return tails.select("id", "key", "w", (~short).alias("rare"), F.coalesce(F.max(F.when(short, F.col("tail"))).over(row), F.lit(0.0)).alias("rest"))
+
+
+def _scored(left: DataFrame, right: DataFrame, least: float, same: bool) -> DataFrame:
+    """(a, b, cos) of rows of left and right (terms of one fit) with cos >= least; same: both are one table, a < b.
+
+    Rows meet on rare terms. Of two rows, the one whose rare terms end first in the common order has all it shares up to there among
+    the rare terms of both, and beyond it shares no more than its rest is long; so only pairs whose rare terms make up for that are
+    scored on all terms.
     """
     if least <= 0:
         raise ValueError("a cosine join needs a positive threshold")
-    l = _rare_terms(left, block, least).select(*block, F.col("id").alias("a"), "term")
-    r = right.select(*block, F.col("id").alias("b"), "term")
-    pairs = l.join(r, [*block, "term"])
-    pairs = (pairs.where("a < b") if same else pairs).select(*block, "a", "b").distinct()
-    wa = left.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), *block)
-    wb = right.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), *block)
-    scored = pairs.join(wa, [*block, "a"]).join(wb, [*block, "b", "term"]).groupBy(*block, "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DIGITS).alias("cos"))
+    l = left.where("rare").select(F.col("id").alias("a"), "key", F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    r = right.where("rare").select(F.col("id").alias("b"), "key", F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = l.join(r, "key")
+    met = (met.where("a < b") if same else met).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
+    pairs = met.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b")
+    wa, wb = (t.select(F.col("id").alias(x), "key", F.col("w").alias(f"w{x}")) for t, x in ((left, "a"), (right, "b")))
+    scored = pairs.join(wa, "a").join(wb, ["b", "key"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DIGITS).alias("cos"))
     return scored.where(F.col("cos") >= least)
 
 
 def cosine_pairs(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
-    """Pairs of a batch: (block..., a, b, cos), a < b."""
-    weights = tfidf(df, block, id_col, text_col)
-    return cosine_join(weights, weights, block, least, same=True)
+    """Pairs of a batch: (block..., a, b, cos), a < b, with cos >= least > 0; pairs without a common term have none. Ids are unique."""
+    terms = _terms(df, block, id_col, text_col, least)
+    out = _scored(terms, terms, least, same=True)
+    return out.join(df.select(F.col(id_col).alias("a"), *block), "a").select(*block, "a", "b", "cos") if block else out
 
 
 def cosine_candidates(old: DataFrame, new: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
     """(block..., a, b, cos) of new rows a and old rows b, fitted on both together. Ids of old and new must differ."""
     cols = [*block, id_col, text_col]
-    both = old.select(*cols, F.lit(True).alias("is_old")).unionByName(new.select(*cols, F.lit(False).alias("is_old")))
-    weights = tfidf(both, block, id_col, text_col)
-    side = both.select(F.col(id_col).alias("id"), "is_old")
-    weights = weights.join(side, "id")
-    return cosine_join(weights.where(~F.col("is_old")), weights.where("is_old"), block, least, same=False)
+    terms = _terms(old.select(*cols).unionByName(new.select(*cols)), block, id_col, text_col, least)
+    sides = [terms.join(side.select(F.col(id_col).alias("id")), "id", "left_semi") for side in (new, old)]
+    out = _scored(*sides, least, same=False)
+    return out.join(new.select(F.col(id_col).alias("a"), *block), "a").select(*block, "a", "b", "cos") if block else out
 
 
 def _damerau(a: str, b: str) -> int:

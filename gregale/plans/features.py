@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gregale.functions import text as tx
 from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich
+from gregale.operators import search as find
 from gregale.operators import similarity as sim
 
 log = logging.getLogger(__name__)
@@ -101,7 +102,7 @@ def allot(df: DataFrame, block: list[str], column: str, eps: float, threshold: f
 
 def give_back(original: DataFrame, enriched: DataFrame, groups: DataFrame, columns: list[str], num_col: str = "Num amdt") -> DataFrame:
     """All original rows with the enriched columns: their own, or those of their group's fullest row; groups get their label."""
-    base = original.drop(*[c for c in columns if c != COMMENTS], COMMENTS)
+    base = original.drop(*columns)
     full = base.join(enriched.select(ID, *columns), ID, "left")
     out = dedup.populate(full, groups, ID, ID, columns)
     named = dedup.labels(original, groups, ID, num_col).select(F.col("id").alias("__id"), "label")
@@ -118,57 +119,151 @@ def acronyms(sheet: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def keywords(sheet: DataFrame) -> DataFrame:
-    rows = sheet.select(tx.normalize_attribution(F.col("Mots clés")).alias("keyword"), F.col("Prénom Nom").alias("owner"))
+def keywords(sheet: DataFrame, acronyms: list[tuple[str, str]] = ()) -> DataFrame:
+    """(keyword, owner): acronyms spelt out as they stand, then normalised; names in lower case; equal rows once."""
+    text = F.col("Mots clés")
+    for short, meaning in acronyms:
+        text = F.replace(text, F.lit(short), F.lit(meaning))
+    rows = sheet.select(tx.normalize_attribution(text).alias("keyword"), F.lower("Prénom Nom").alias("owner"))
     return rows.where(F.col("keyword") != "").dropDuplicates(["keyword", "owner"])
 
 
+# The kinds of legal texts, as the sheet's column Type contains them.
+LEGAL_KINDS = {"CODE": "code", "LAW": "loi", "ORDONNANCE": "ordonnance"}
+
+
 def legal_documents(sheet: DataFrame, kind: str) -> DataFrame:
-    """(document, article, owner) of one kind of text (Code, Loi, Ordonnance)."""
-    rows = sheet.where(F.contains(F.lower("Type"), F.lit(kind.lower())))
-    return rows.select(tx.normalize_attribution(F.col("Valeur")).alias("document"), F.lower(F.trim("Articles")).alias("article"), F.col("Prénom Nom").alias("owner"))
+    """(document, article, owner) of one kind of text (CODE, LAW, ORDONNANCE)."""
+    rows = sheet.where(F.contains(F.lower("Type"), F.lit(LEGAL_KINDS[kind])))
+    return rows.select(tx.normalize_attribution(F.col("Valeur")).alias("document"), tx.normalize_attribution(F.col("Articles").cast("string")).alias("article"), F.lower("Prénom Nom").alias("owner")).distinct()
+
+
+def programs(sheet: DataFrame) -> DataFrame:
+    """(program, owner): a programme is known by its name and by its number."""
+    rows = sheet.where(F.col("Prénom Nom").isNotNull()).select(F.lower("Prénom Nom").alias("owner"), F.col("Programme budgétaire").alias("name"), at.whole_number(F.col("N° programme").cast("string")).alias("number"))
+    both = rows.select("owner", "name").unionByName(rows.select("owner", F.col("number").alias("name"))).where(F.col("name").isNotNull())
+    return both.select(tx.normalize_attribution(F.col("name")).alias("program"), "owner").distinct()
 
 
 def agents(sheet: DataFrame) -> DataFrame:
-    """(owner, mail, entity); of equal names the first counts, before case is folded."""
-    first = sheet.groupBy("Prénom Nom").agg(F.min_by(F.struct("Mail", "Entité Pilote"), "pos").alias("a"))
-    return first.select(F.col("Prénom Nom").alias("owner"), F.lower("a.Mail").alias("mail"), F.col("a.Entité Pilote").alias("entity"))
+    """(owner, mail, entity); of equal names the first (pos) counts, before case is folded; of names equal then, the last."""
+    first = sheet.groupBy("Prénom Nom").agg(F.min_by(F.struct("Mail", "Entité Pilote"), "pos").alias("a"), F.min("pos").alias("pos"))
+    last = first.groupBy(F.lower(F.trim("Prénom Nom")).alias("owner")).agg(F.max_by("a", "pos").alias("a"))
+    return last.select("owner", F.coalesce("a.Mail", F.lit("")).alias("mail"), F.coalesce("a.Entité Pilote", F.lit("")).alias("entity"))
+
+
+def repeated_agents(sheet: DataFrame) -> DataFrame:
+    """(Prénom Nom, n) of names that the sheet holds more than once."""
+    return sheet.groupBy("Prénom Nom").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def default_owners(sheet: DataFrame, most: int = 1000) -> list[str]:
+    """Names in the sheet's order (pos), in lower case; above `most` is an error."""
+    rows = sheet.orderBy("pos").select(F.lower("Prénom Nom")).where(F.col("Prénom Nom").isNotNull()).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} default owners")
+    return [r[0] for r in rows]
+
+
+def default_opinions(sheet: DataFrame) -> DataFrame:
+    """(grp, default); of equal groups the last (pos) counts."""
+    return sheet.groupBy(F.col("Groupe").alias("grp")).agg(F.max_by("Avis par défaut", "pos").alias("default"))
+
+
+def subsidiary(sheet: DataFrame) -> DataFrame:
+    """(article, owner): articles in lower case, beginning with "article " unless empty."""
+    name = F.coalesce(F.lower(F.col("Numéro article").cast("string")), F.lit(""))
+    return sheet.select(F.when((F.trim(name) != "") & ~name.startswith("article "), F.concat(F.lit("article "), name)).otherwise(name).alias("article"), F.coalesce("Affectation (nom)", F.lit("")).alias("owner"))
+
+
+OWNED_BY_ATTRIBUTION = ["Affectation (nom)", "Affectation (email)", "Entité Pilote", COMMENTS]
+
+
+def attributed(matchers: list[at.Matcher], defaults: list[str] = (), infos: DataFrame | None = None, early: bool = False, overwrite: bool = True) -> Feature:
+    """Owner, mail, entity and reasons, by the vote of matchers, or a default owner; early: the first matcher that matches decides alone."""
+
+    def transform(df: DataFrame) -> DataFrame:
+        out = at.attribute(df, matchers, ID, list(defaults), infos, early, overwrite)
+        return out.select(F.col("id").alias(ID), F.col("owner").alias("Affectation (nom)"), F.col("mail").alias("Affectation (email)"), F.col("entity").alias("Entité Pilote"), F.col("comment").alias(COMMENTS))
+
+    needs = ["is_redactional", "Num article"] if any(m.name == "REDACTIONAL" for m in matchers) else []
+    return Feature("attribution", [ID, *needs], OWNED_BY_ATTRIBUTION, transform, overwrite=overwrite)
 
 
 def attribution(
     keyword_sheet: DataFrame, columns: tuple[str, ...] = ("Exposé amdt",), order: tuple[str, ...] = (), legal: tuple[DataFrame, list[str]] | None = None,
-    credit: tuple[DataFrame, str] | None = None, articles: DataFrame | None = None, raw_body: str = "Corps amdt original",
+    credit: tuple[DataFrame, str] | None = None, articles: DataFrame | None = None, raw_body: str = "Corps amdt original", defaults: list[str] = (), infos: DataFrame | None = None,
 ) -> Feature:
     """Owner by keywords and law references of the columns, by the credit table of raw_body, and by the article of editorial rows.
 
     legal: documents (document, article, owner) and patterns of their names; credit: (program, owner), programs normalised, and the type of credits;
     articles: (article, owner). What isn't given doesn't match. With an order of matchers (KEYWORD, LEGAL, CREDIT_TABLE, REDACTIONAL),
-    the first that matches decides alone. Comments explain keyword matches.
+    the first that matches decides alone.
     """
-    given = {"KEYWORD": True, "LEGAL": legal, "CREDIT_TABLE": credit, "REDACTIONAL": articles}
-    if order and (missing := [k for k, v in given.items() if v is not None and k not in order]):
+    words = keyword_sheet.select(tx.normalize_attribution(F.col("Mots clés")).alias("keyword"), F.col("Prénom Nom").alias("owner")).where(F.col("keyword") != "").dropDuplicates()
+    given = {"KEYWORD": at.keyword_matcher(words, columns)}
+    if legal is not None:
+        given["LEGAL"] = at.Matcher("LEGAL", columns, lambda df, c: at.legal_matches(df, *legal, "id", c))
+    if credit is not None:
+        given["CREDIT_TABLE"] = at.credit_matcher(*credit, (raw_body,))
+    if articles is not None:
+        given["REDACTIONAL"] = at.editorial_matcher(articles)
+    if order and (missing := [k for k in given if k not in order]):
         raise ValueError(f"the order lacks {', '.join(missing)}")
+    return attributed([given[k] for k in (order or given) if k in given], defaults, infos, early=bool(order))
+
+
+def budget_attribution(sheets: dict[str, DataFrame], overwrite: bool = True) -> Feature:
+    """The preset of budget bills: credit tables, then keywords of the statement; the first that matches decides."""
+    matchers = [
+        at.credit_matcher(programs(sheets["Responsables de programme"]), "Autorisations d’engagement"),
+        at.keyword_matcher(keywords(sheets["Mots clés"], acronyms(sheets["Acronymes"])), ("Exposé amdt",)),
+    ]
+    return attributed(matchers, default_owners(sheets["Attribution par défaut"]), agents(sheets["Infos Agents"]), early=True, overwrite=overwrite)
+
+
+def social_attribution(sheets: dict[str, DataFrame], overwrite: bool = True) -> Feature:
+    """The preset of social security bills: keywords of statement and body, and codes, laws and ordinances of the body; all matches vote."""
+    matchers = [at.keyword_matcher(keywords(sheets["Mots clés"], acronyms(sheets["Acronymes"])), ("Exposé amdt", "Corps amdt"))]
+    matchers += [at.legal_matcher(kind, legal_documents(sheets["Code et Article"], kind), ("Corps amdt",)) for kind in LEGAL_KINDS]
+    return attributed(matchers, default_owners(sheets["Attribution par défaut"]), agents(sheets["Infos Agents"]), overwrite=overwrite)
+
+
+#: By name of the project.
+PRESETS = {"PLF": budget_attribution, "PLFSS": social_attribution}
+
+
+def search(
+    store: DataFrame, copies: list[find.Copy], thresholds: dict[str, float] | None = None, ratios: dict[str, float] | None = None,
+    overrides: dict[str, dict[str, float]] | None = None, blocks: dict[str, list[str]] | None = None, same_project: tuple[str, ...] = ("Corps amdt",), overwrite: bool = True,
+) -> Feature:
+    """Answers of the most similar row of the historical store, copied, and a comment that says where from.
+
+    store: rows as plans.store.build makes them. For each column: candidates by TF-IDF cosine (thresholds), inside blocks, then by
+    edit distance over the old text's length (ratios; overrides by the new text's beginning); columns of same_project look only at
+    rows of the first new row's project. The match of the highest ratio over columns gives its answers.
+    """
+    if not copies:
+        raise ValueError("no columns to copy")
+    thresholds = thresholds or {"Exposé amdt": 0.4, "Corps amdt": 0.4}
+    ratios = {"Exposé amdt": 0.4, "Corps amdt": 0.9} | (ratios or {})
+    overrides = overrides if overrides is not None else {"Exposé amdt": {"amendement redactionnel": 0.95}}
+    blocks = blocks if blocks is not None else {"Corps amdt": ["Num article"]}
+    owns = [*dict.fromkeys(c.column for c in copies if c.enabled and c.column in store.columns), COMMENTS]
 
     def transform(df: DataFrame) -> DataFrame:
-        normal = df.select(ID, *[tx.normalize_attribution(F.coalesce(F.col(c), F.lit("none"))).alias(c) for c in columns])
-        found = [at.keyword_matches(normal, keywords(keyword_sheet), ID, c) for c in columns]
-        if legal is not None:
-            found += [at.legal_matches(normal, *legal, ID, c) for c in columns]
-        if credit is not None:
-            rows = df.select(F.col(ID).alias("id"), F.explode(at.credit_rows(credit[1])(F.col(raw_body))).alias("r"))
-            rows = rows.select("id", tx.normalize_attribution(F.col("r.program")).alias("program"), at.amount(F.col("r.plus")).alias("plus"), at.amount(F.col("r.minus")).alias("minus"))
-            found.append(at.credit_matches(rows, credit[0], raw_body))
-        if articles is not None:
-            found.append(at.editorial_matches(df, articles, ID, "is_redactional", "Num article"))
-        hits = found[0]
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = at.early_exit(hits, list(order)) if order else hits
-        chosen = at.vote(hits)
-        return chosen.join(at.explain(hits.where("matcher = 'KEYWORD'"), chosen), "id", "left").select(F.col("id").alias(ID), F.col("owner").alias("Affectation (nom)"), F.col("comment").alias(COMMENTS))
-
-    requires = [ID, *columns, *([raw_body] if credit is not None else []), *(["is_redactional", "Num article"] if articles is not None else [])]
-    return Feature("attribution", requires, ["Affectation (nom)", COMMENTS], transform)
+        rows = df.where(~tx.is_blank(F.col("Exposé amdt")) & ~tx.is_blank(F.col("Corps amdt")))
+        rows = rows.withColumns({c: tx.normalize_standard(F.col(c)) for c in ("Exposé amdt", "Corps amdt")})
+        rows = rows.withColumn("Corps amdt", tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article")))
+        by_column = []
+        for c, least in thresholds.items():
+            old = find.of_first_project(store, rows, ID) if c in same_project else store
+            by_column.append((c, find.matches(old, rows, c, blocks.get(c, []), least, ratios.get(c, 0.9), overrides.get(c, {}), ID)))
+        old = store.select(F.col(ID).alias("id"), F.col("Num amdt").alias("num"), F.col("Lecture").alias("lecture"), F.col("Organe").alias("organe"), F.col("origin_project").alias("project"), *[c for c in owns if c != COMMENTS])
+        target = df.select(F.col(ID).alias("id"), F.lit(None).cast("string").alias(COMMENTS), *[c for c in owns if c != COMMENTS and c in df.columns])
+        return find.copy_columns(target, old, find.merge_matches(by_column), copies, overwrite).withColumnRenamed("id", ID)
+
+    return Feature("similarity_search", [ID, "Exposé amdt", "Corps amdt", "Num article", "origin_project"], owns, transform, overwrite=overwrite)
 
 
 def within_batch(block: tuple[str, ...] = ("Num article",), column: str = "Exposé amdt", eps: float = 0.4, threshold: float = 0.8) -> Feature:
@@ -186,20 +281,28 @@ def within_batch(block: tuple[str, ...] = ("Num article",), column: str = "Expos
     return Feature("within_batch", [ID, "Num amdt", COMMENTS, column, *block], [COMMENTS], transform)
 
 
-def summary(client, prompt: str = "{{expose_amdt}} {{corps_amdt}}", again: str = "{{summary}}") -> Feature:
+def summary(client, prompt: str = "{{expose_amdt}} {{corps_amdt}}", again: str = "{{summary}}", overwrite: bool = True) -> Feature:
+    """Summaries of statement and body; without overwrite, rows that have one keep it."""
+
     def transform(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(ID).alias("id"), F.col("Exposé amdt").alias("expose"), F.col("Corps amdt").alias("corps"), F.lit(None).cast("string").alias("objet"))
-        return enrich.summarise(rows, client, prompt, again).select(F.col("id").alias(ID), F.col("objet").alias("Objet amdt"))
+        had = F.col("Objet amdt") if "Objet amdt" in df.columns else F.lit(None).cast("string")
+        rows = df.select(F.col(ID).alias("id"), F.col("Exposé amdt").alias("expose"), F.col("Corps amdt").alias("corps"), had.alias("objet"))
+        return enrich.summarise(rows, client, prompt, again, overwrite).select(F.col("id").alias(ID), F.col("objet").alias("Objet amdt"))
+
+    return Feature("summary", [ID, "Exposé amdt", "Corps amdt"], ["Objet amdt"], transform, overwrite=overwrite)
 
-    return Feature("summary", [ID, "Exposé amdt", "Corps amdt"], ["Objet amdt"], transform)
 
+def opinion(sheet: DataFrame, overwrite: bool = True, lot: str | None = None) -> Feature:
+    """The group's default opinion; without overwrite only where none is given; with a lot, one unfavourable opinion makes all of the lot so."""
 
-def opinion(sheet: DataFrame) -> Feature:
     def transform(df: DataFrame) -> DataFrame:
-        rows = df.select(ID, F.col("Groupe").alias("grp"), F.lit(None).cast("string").alias("opinion"))
-        return enrich.default_opinion(rows, sheet).select(ID, F.col("opinion").alias("Avis du Gouvernement"))
+        had = F.col("Avis du Gouvernement") if "Avis du Gouvernement" in df.columns else F.lit(None).cast("string")
+        rows = df.select(ID, F.col("Groupe").alias("grp"), had.alias("opinion"), *([F.col(lot).alias("__lot")] if lot else []))
+        out = enrich.default_opinion(rows, sheet, overwrite)
+        out = enrich.opinion_override(out, "__lot") if lot else out
+        return out.select(ID, F.col("opinion").alias("Avis du Gouvernement"))
 
-    return Feature("opinion", [ID, "Groupe"], ["Avis du Gouvernement"], transform)
+    return Feature("opinion", [ID, "Groupe", *([lot] if lot else [])], ["Avis du Gouvernement"], transform, overwrite=overwrite)
 
 
 def enrich_batch(batch: DataFrame, block: list[str], features: list[Feature], column: str = "Exposé amdt", eps: float = 0.4, threshold: float = 0.9) -> tuple[DataFrame, dict[str, Exception]]:

@@ -9,7 +9,8 @@ from gregale.functions import text as tx
 from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich, search
 from gregale.operators import similarity as sim
-from gregale.plans import store
+from gregale.plans import catalogue, features, store
+from gregale.sources import batches
 from gregale.sources.batches import epoch
 
 QUERIES = {}
@@ -105,9 +106,16 @@ def slugify(spark, d):
 _PLAIN = [r"Supprimer cet article\.?", "Supprimer l(?:''|’)alinéa [0-9]{1,5}\\.?", "Supprimer les alinéas [0-9]{1,5} (?:à|et) [0-9]{1,5}\\.?"]
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{'|'.join(_PLAIN)}') OR length(text) < 50 THEN text || ' ' || source ELSE text END AS body FROM documents")
+#: Every third document begins with one of these bodies; most texts are long enough to show which rule they meet.
+_BODIES = ["Supprimer cet article. ", "SUPPRIMER L'ARTICLE LIMINAIRE. ", "Supprimer l’alinéa 12. ", "supprimer cet article. ", "Supprimer les alinéas 3 à 7. ", "Supprimer l'alinéa. "]
+_BODY = f"(SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN list_extract([{_quoted(_BODIES)}], 1 + (doc_id // 3) % 6) ELSE '' END || text AS text FROM documents)"
+_LIMINARY = r"regexp_replace(text, '(?i)supprimer l''article liminaire\.?', 'Supprimer cet article.', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{'|'.join(_PLAIN)}') OR length(text) < 50 THEN text || ' ' || source ELSE text END AS body FROM (SELECT doc_id, source, {_LIMINARY} AS text FROM {_BODY})")
 def common_body(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.disambiguate_body(F.col("text"), F.col("source")).alias("body"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.element_at(F.array(*map(F.lit, _BODIES)), (F.floor(F.col("doc_id") / 3) % 6 + 1).cast("int"))).otherwise("")
+    return _t(spark, d, "documents").select("doc_id", tx.disambiguate_body(F.concat(body, "text"), F.col("source")).alias("body"))
 
 
 _EDIT = "regexp_matches(strip_accents(lower(text)), '" + "|".join(tx.EDITORIAL).replace("'", "''") + "')"
@@ -123,21 +131,38 @@ def redactional_flag(spark, d):
     return _talk(spark, d).select("conv_id", "turn", tx.is_editorial(F.col("text")).alias("is_redactional"), tx.extend_expose(F.col("text"), F.col("role")).alias("expose"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN starts_with(lower(strip_accents(text)), 'amendement redactionnel.') THEN 'Amendement rédactionnel.' ELSE '' END AS summary FROM {_CONV}")
+_STARTS = ["Amendement rédactionnel. ", "Correction d'erreur matérielle : ", "Un amendement de précision. ", "Amendement rédactionnel, ", "Il s'agit d'un Amendement d'appel. ", "Amendements d’appel : ", "amendement dappel ", ""]
+_OPENS = f"(SELECT conv_id, turn, list_extract([{_quoted(_STARTS)}], 1 + (turn + length(text)) % 8) || text AS expose, CASE WHEN length(text) % 3 = 0 THEN 'SUPPRIMER  cet article. ' ELSE '' END || role AS corps FROM conversations)"
+_SAID = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(replace(strip_accents({}), '’', ''''))), '[\n\r]', ' ', 'g'), '[^a-z0-9''.,!? \-"]', '', 'g'), '\s+', ' ', 'g'))"""
+
+
+def _opened(spark, d):
+    df = _t(spark, d, "conversations")
+    start = F.element_at(F.array(*map(F.lit, _STARTS)), ((F.col("turn") + F.length("text")) % 8 + 1).cast("int"))
+    return df.select("conv_id", "turn", F.concat(start, "text").alias("expose"), F.concat(F.when(F.length("text") % 3 == 0, "SUPPRIMER  cet article. ").otherwise(""), "role").alias("corps"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN starts_with(e, 'amendement redactionnel.') OR regexp_matches(e, 'correction d''erreur materielle|{'|'.join(tx.EDITORIAL[2:])}') THEN 'Amendement rédactionnel.' WHEN starts_with(c, 'supprimer cet article') THEN 'Supprimer cet article.' ELSE '' END AS summary
+FROM (SELECT conv_id, turn, {_SAID.format('expose')} AS e, {_SAID.format('corps')} AS c FROM {_OPENS})""")
 def summary_rules(spark, d):
-    return _talk(spark, d).select("conv_id", "turn", tx.predefined_summary(F.col("text"), F.col("role")).alias("summary"))
+    return _opened(spark, d).select("conv_id", "turn", tx.predefined_summary(F.col("expose"), F.col("corps")).alias("summary"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'APPEL : ' || role ELSE role END AS summary FROM conversations")
+@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(expose, '(?i)amendements? d.?appel') AND corps <> 'Supprimer cet article.' THEN 'APPEL : ' || corps ELSE corps END AS summary FROM (SELECT conv_id, turn, expose, CASE WHEN length(corps) % 2 = 0 THEN 'Supprimer cet article.' ELSE corps END AS corps FROM {_OPENS})")
 def appel_prefix(spark, d):
-    df = _t(spark, d, "conversations")
-    expose = F.when(F.col("role") == "user", F.concat(F.lit("Il s'agit d'un Amendement d'appel. "), "text")).otherwise(F.col("text"))
-    return df.select("conv_id", "turn", tx.appeal_prefix(F.col("role"), expose).alias("summary"))
+    summary = F.when(F.length("corps") % 2 == 0, "Supprimer cet article.").otherwise(F.col("corps"))
+    return _opened(spark, d).select("conv_id", "turn", tx.appeal_prefix(summary, F.col("expose")).alias("summary"))
 
 
-@query()
+_CUT = r"regexp_extract_all(t, '[.!?\n\t–\-]+|[^.!?\n\t–\-]+')"
+_GAGED = "regexp_matches(lower(strip_accents(replace(trim(p[{}], chr(32) || chr(9) || chr(10) || chr(13)), '’', ''''))), '^(" + "|".join(tx.GAGE).replace("'", "''") + ")')"
+
+
+@query(f"""SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN {_GAGED.format('i')} OR (i > 1 AND {_GAGED.format('i - 1')}) THEN NULL ELSE p[i] END), lambda x: x IS NOT NULL), ''), '') AS out
+FROM (SELECT doc_id, {_CUT} AS p FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'La perte de recettes est compensée. ' WHEN 1 THEN 'Rien ici ! La charge pour l’État est compensée - à due concurrence. ' ELSE 'Pas la perte de recettes. ' END || text AS t FROM documents) WHERE t IS NOT NULL)""")
 def gage_removal(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.drop_gage(F.concat(F.lit("La perte de recettes est compensée. "), "text")).alias("out"))
+    start = F.when(F.col("doc_id") % 3 == 0, "La perte de recettes est compensée. ").when(F.col("doc_id") % 3 == 1, "Rien ici ! La charge pour l’État est compensée - à due concurrence. ").otherwise("Pas la perte de recettes. ")
+    return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.drop_gage(F.concat(start, "text")).alias("out"))
 
 
 @query()
@@ -161,10 +186,16 @@ def tfidf_cosine_pairs(spark, d):
     return sim.cosine_pairs(_t(spark, d, "documents"), ["lang", "source"], "doc_id", "text", 0.6).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
-@query(f"WITH {_DOCS}, {_TFIDF.format(block='lang, source')}, {_COS.format(block='lang, source', cond='a.id % 2 = 1 AND b.id % 2 = 0')} SELECT a AS new_id, b AS old_id, round(cos, 6) AS cos FROM c WHERE cos >= 0.4")
+@query(f"WITH {_DOCS}, {_TFIDF.format(block='lang, source')} SELECT lang, source, id, term, round(w, 6) AS w FROM w")
+def tfidf_weights(spark, d):
+    return sim.tfidf(_t(spark, d, "documents"), ["lang", "source"], "doc_id", "text").select("lang", "source", "id", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {_DOCS}, {_TFIDF.format(block='lang, source')}, {_COS.format(block='lang, source', cond='a.id % 40 >= 20 AND b.id % 40 < 20')} SELECT a AS new_id, b AS old_id, round(cos, 6) AS cos FROM c WHERE cos >= 0.4")
 def tfidf_candidates_old_new(spark, d):
+    """Sources follow the ids modulo 20, so that this division leaves old and new rows in each block."""
     docs = _t(spark, d, "documents")
-    out = sim.cosine_candidates(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), ["lang", "source"], "doc_id", "text", 0.4)
+    out = sim.cosine_candidates(docs.where("doc_id % 40 < 20"), docs.where("doc_id % 40 >= 20"), ["lang", "source"], "doc_id", "text", 0.4)
     return out.select(F.col("a").alias("new_id"), F.col("b").alias("old_id"), F.round("cos", 6).alias("cos"))
 
 
@@ -486,9 +517,10 @@ def epoch_default(spark, d):
     return _t(spark, d, "events").select("event_id", epoch(written, 42).alias("seconds"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%er#%7%' ORDER BY c_custkey LIMIT 10")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%er#%7%' AND c_name <> 'Customer#000000007' ORDER BY c_name LIMIT 10")
 def ilike_page(spark, d):
-    return _t(spark, d, "customer").where(F.col("c_name").ilike("%er#%7%")).orderBy("c_custkey").select("c_custkey", "c_name").limit(10)
+    rows = _t(spark, d, "customer").select("c_custkey", "c_name").where(F.col("c_name").ilike("%er#%7%"))
+    return catalogue.people_like(rows, "ER#", "Customer#000000007", "c_name")
 
 
 @query("SELECT c_custkey, CASE WHEN coalesce(s_name, '') <> '' THEN s_name ELSE c_name END AS name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
@@ -496,6 +528,211 @@ def merge_keep_nonempty(spark, d):
     left = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("name"))
     return enrich.keep_nonempty(left, _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")), ["c_custkey"], ["name"])
 
+# Search in the store, end to end: odd part numbers look for even ones.
+_SOUGHT = "base AS (SELECT p_partkey AS id, p_brand, p_name AS text, p_size, p_type FROM part)"
+
+
+@query(f"""WITH {_SOUGHT}, {_TFIDF.format(block='p_brand')}, {_COS.format(block='p_brand', cond='a.id % 2 = 1 AND b.id % 2 = 0')},
+m AS (SELECT a AS new_id, b AS old_id, (length(o.text) - damerau_levenshtein(o.text, n.text)) / length(o.text) AS r, CASE WHEN o.p_size > 20 THEN length(o.p_type) ELSE 0 END AS size, o.p_size AS t, n.text FROM c JOIN base n ON n.id = a JOIN base o ON o.id = b WHERE cos >= 0.4),
+k AS (SELECT new_id, list_reduce(list(struct_pack(id := old_id, r := r, size := size, t := t) ORDER BY old_id), lambda x, y: CASE WHEN (x.size = 0 AND y.size > 0) OR y.t > x.t THEN y ELSE x END) AS best FROM m WHERE r >= CASE WHEN starts_with(text, 'b') THEN 0.6 WHEN starts_with(text, 'bl') THEN 2 ELSE 0.3 END GROUP BY new_id)
+SELECT new_id, best.id AS old_id, round(best.r, 6) AS ratio FROM k""")
+def search_matches(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("amdt_idx"), "p_brand", F.col("p_name").alias("expose"), F.col("p_size").cast("long").alias("timestamp"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("Réponse"))
+    out = search.matches(part.where("amdt_idx % 2 = 0"), part.where("amdt_idx % 2 = 1"), "expose", ["p_brand"], 0.4, 0.3, {"b": 0.6, "bl": 2.0}, "amdt_idx")
+    return out.select("new_id", "old_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand = (SELECT min_by(p_brand, p_partkey) FROM part WHERE p_size > 40) AND p_size <= 40")
+def first_project_filter(spark, d):
+    part = _t(spark, d, "part")
+    return search.of_first_project(part.where("p_size <= 40"), part.where("p_size > 40"), "p_partkey", "p_brand").select("p_partkey", "p_brand")
+
+
+def _tables(spark, d):
+    """(id, html): a credit table of each order's lines, in the first format for odd orders, in the second for even ones."""
+    line = _t(spark, d, "lineitem")
+    q = F.floor("l_quantity").cast("string")
+    gain, loss = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("1 "), q)).otherwise("0"), F.when(F.col("l_returnflag") != "N", q).otherwise("")
+    name = F.concat(F.lit("Programme "), "l_returnflag", "l_linestatus")
+    nested = F.concat(F.lit("<tr><td><p>"), name, F.lit("</p></td><td><p>"), gain, F.lit("</p></td><td><p>"), loss, F.lit("</p></td></tr>"))
+    plain = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), gain, F.lit("</td><td>"), loss, F.lit("</td></tr>"))
+    rows = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.collect_list(F.when(F.col("l_orderkey") % 2 == 1, nested).otherwise(plain)), "").alias("rows"))
+    first = "<table><tr><td><p>Programmes</p></td><td><p>Autorisations d’engagement</p></td></tr><tr><td></td><td>+</td><td>-</td></tr>"
+    second = "<table><tr><th>Programmes</th><th>+</th><th>-</th></tr>"
+    opened = F.when(F.col("id") % 2 == 1, first).otherwise(second)
+    return rows.select("id", F.concat(F.lit("<p>Modifier ainsi :</p>"), opened, "rows", F.lit("<tr><td>Solde</td><td>999</td><td>999</td></tr></table>")).alias("html"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS id, 'programme ' || lower(l_returnflag || l_linestatus) AS program, CASE WHEN l_returnflag = 'N' THEN ('1' || floor(l_quantity)::BIGINT)::BIGINT ELSE 0 END AS plus, CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity)::BIGINT ELSE 0 END AS minus FROM lineitem),
+f AS (SELECT id, max(plus) AS gain, max(minus) AS loss FROM g GROUP BY id)
+SELECT DISTINCT id, program, 'owner of ' || program AS owner FROM g JOIN f USING (id) WHERE loss > 0 AND ((gain = 0 AND minus > 0) OR plus > 0)""")
+def credit_owners(spark, d):
+    """From the HTML of credit tables, in both formats, to owners."""
+    line = _t(spark, d, "lineitem").select(F.concat(F.lit("programme "), F.lower(F.concat("l_returnflag", "l_linestatus"))).alias("program")).distinct()
+    matcher = at.credit_matcher(line.withColumn("owner", F.concat(F.lit("owner of "), "program")), "Autorisations d’engagement", ("html",))
+    return matcher.match(_tables(spark, d), "html").select("id", "program", "owner")
+
+
+_AUTO = """h AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'alice' ELSE 'bob' END AS owner FROM orders WHERE o_orderpriority LIKE '1%'),
+r AS (SELECT o_orderkey AS id, coalesce(h.owner, CASE o_orderkey % 2 WHEN 0 THEN 'zoe' ELSE 'yann' END) AS owner, h.owner IS NULL AS spare, o_orderstatus FROM orders LEFT JOIN h ON h.id = o_orderkey)"""
+
+
+@query(f"""WITH {_AUTO} SELECT id, owner, CASE owner WHEN 'alice' THEN 'a@x' WHEN 'zoe' THEN 'z@x' ELSE '' END AS mail, CASE owner WHEN 'alice' THEN 'E1' ELSE '' END AS entity,
+CASE WHEN spare THEN 'Attribution par défaut' ELSE 'Affectation sélectionnée: ' || owner || chr(10) || 'Affectations par mots clés dans ''t'' :' || chr(10) || owner || ' : [' || CASE owner WHEN 'alice' THEN 'urgent f' ELSE 'urgent' END || ' (x1)]' || CASE owner WHEN 'alice' THEN chr(10) || chr(10) || 'Autres affectations possibles:' || chr(10) || 'Affectations par mots clés dans ''t'' :' || chr(10) || 'bob : [urgent (x1)]' || chr(10) ELSE '' END END AS comment FROM r""")
+def attribution_default(spark, d):
+    """Keywords, vote, default owners, agents' mails and reasons; of two votes the smaller name wins."""
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.regexp_replace("o_orderpriority", "-", " "), F.lit(" "), "o_orderstatus").alias("t"))
+    words = spark.createDataFrame([("urgent", "bob"), ("urgent f", "alice")], "keyword string, owner string")
+    agents = spark.createDataFrame([("alice", "a@x", "E1"), ("zoe", "z@x", "")], "owner string, mail string, entity string")
+    return at.attribute(rows, [at.keyword_matcher(words, ("t", "nowhere"))], "id", ["zoe", "yann"], agents)
+
+
+# Small relational helpers and the catalogue.
+@query("SELECT p_brand || '__' || substr(sha256(p_name), 1, 8) AS key, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'database') || '__' || substr(sha256(p_name), 1, 8) AS slug FROM part")
+def slug_with_id(spark, d):
+    mark = F.sha2("p_name", 256)
+    return _t(spark, d, "part").select(F.concat("p_brand", F.lit("__"), F.substring(mark, 1, 8)).alias("key"), tx.slug_with_id(F.col("p_name"), mark).alias("slug"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(CASE p_size % 4 WHEN 0 THEN 'APPEL : *' WHEN 1 THEN '[Sous-amendement] irr - ' WHEN 2 THEN 'Appel -rédactionnel Redactionnel IRR : ' ELSE 'IRR - x ' END || p_name, '(?i)\[sous-amendement\]|\*|REDACTIONNEL|Irr - |APPEL : |Appel -|IRR : ', '', 'g')) AS out FROM part")
+def clean_summary(spark, d):
+    size = F.col("p_size") % 4
+    start = F.when(size == 0, "APPEL : *").when(size == 1, "[Sous-amendement] irr - ").when(size == 2, "Appel -rédactionnel Redactionnel IRR : ").otherwise("IRR - x ")
+    return _t(spark, d, "part").select("p_partkey", tx.clean_expert_summary(F.concat(start, "p_name")).alias("out"))
+
+
+@query("SELECT o_orderkey, epoch(make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), 0, 0, 0))::BIGINT AS seconds, strftime(o_orderdate, '%Y%m%d') AS stamp FROM orders")
+def day_epoch(spark, d):
+    day = F.col("o_orderdate")
+    return _t(spark, d, "orders").select("o_orderkey", tx.day_epoch(F.year(day), F.month(day), F.dayofmonth(day)).alias("seconds"), F.date_format(day, "yyyyMMdd").alias("stamp"))
+
+
+@query("SELECT user_id, list_extract(list(epoch(ts)::BIGINT ORDER BY event_id) FILTER (event_id % 3 <> 0), 1) AS seconds FROM (SELECT user_id, event_id, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id")
+def first_date(spark, d):
+    """The first readable date of each user's events, in order; every third date can't be read."""
+    written = F.when(F.col("event_id") % 6 == 0, "soon").when(F.col("event_id") % 3 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = _t(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", written.alias("at")))), lambda x: x["at"]).alias("dates"))
+    return rows.select("user_id", batches.first_date(F.col("dates")).alias("seconds"))
+
+
+@query("SELECT count(*) AS groups, sum(n)::BIGINT AS rows, max(n) AS largest, round(avg(n), 6) AS mean FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def group_sizes(spark, d):
+    return enrich.group_sizes(_t(spark, d, "orders"), ["o_custkey"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT sha256(p_type) AS hash, p_type AS description, string_agg(p_brand, ' & ' ORDER BY p_partkey) AS experts FROM part GROUP BY p_type")
+def experts_by_description(spark, d):
+    return enrich.experts_by_description(_t(spark, d, "part"), "p_type", "p_brand", "p_partkey")
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS names FROM events GROUP BY user_id")
+def known_names(spark, d):
+    return enrich.known_names(_t(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("values", ",").alias("names"))
+
+
+@query("SELECT sha256(p_brand) AS hash, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS names FROM part GROUP BY p_brand")
+def referrers(spark, d):
+    manifests = _t(spark, d, "part").groupBy("p_type").agg(F.collect_list(F.sha2("p_brand", 256)).alias("hashes"))
+    return enrich.referrers(manifests, "p_type", "hashes").select("hash", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT DISTINCT trim(p_type) AS p_type FROM part WHERE trim(p_type) <> ''")
+def missions_sorted(spark, d):
+    return enrich.distinct_sorted(_t(spark, d, "part").withColumn("p_type", F.concat(F.lit(" "), "p_type")), "p_type")
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
+def distinct_projects(spark, d):
+    return _t(spark, d, "documents").select("source").where("source IS NOT NULL").distinct()
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT place) AS places, min(place) AS low, max(place) AS high, max(c) - min(c) <= 1 AS even FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, 0 AS c FROM orders)")
+def round_robin(spark, d):
+    """A seeded permutation dealt to three names in turn: what must hold of it, as engines hash differently."""
+    out = enrich.round_robin(_t(spark, d, "orders"), ["a", "b", "c"], [], 7, "o_orderkey")
+    counts = out.groupBy("assigned").count().agg((F.max("count") - F.min("count") <= 1).alias("even"))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high")).join(counts, F.lit(True))
+
+
+# Suppliers stand for manifests, nations for users, customers' nations for permissions.
+_MANIFESTS = "m AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS created, s_nationkey % 5 > 0 AS is_active FROM supplier), g AS (SELECT c_custkey % (SELECT count(*) FROM supplier) + 1 AS key, c_nationkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'reader' ELSE 'admin' END AS role FROM customer)"
+
+
+def _catalogue(spark, d):
+    supplier, customer = _t(spark, d, "supplier"), _t(spark, d, "customer")
+    manifests = supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("created"), (F.col("s_nationkey") % 5 > 0).alias("is_active"))
+    n = supplier.agg(F.count(F.lit(1)).alias("n"))
+    role = F.when(F.col("c_custkey") % 3 == 0, "owner").when(F.col("c_custkey") % 3 == 1, "reader").otherwise("admin")
+    return manifests, customer.join(n, F.lit(True)).select((F.col("c_custkey") % F.col("n") + 1).alias("key"), F.col("c_nationkey").alias("user_id"), role.alias("role"))
+
+
+@query(f"WITH {_MANIFESTS} SELECT key, name, created, role FROM m JOIN g USING (key) WHERE is_active AND user_id = 3 AND role IN ('owner', 'admin')")
+def granted_manifests(spark, d):
+    return catalogue.granted(*_catalogue(spark, d), 3, ["owner", "admin"], "key", "created").select("key", "name", "created", "role")
+
+
+@query(f"WITH {_MANIFESTS} SELECT key, role, user_id, n_name AS name FROM g LEFT JOIN nation ON n_nationkey = user_id AND n_nationkey < 12")
+def permission_holders(spark, d):
+    users = _t(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("name"))
+    return catalogue.holders(_catalogue(spark, d)[1], users).select("key", "role", "user_id", "name")
+
+
+@query(f"WITH {_MANIFESTS} SELECT key, user_id, role FROM g WHERE role IN ('owner', 'reader')")
+def role_filter(spark, d):
+    return catalogue.with_roles(_catalogue(spark, d)[1], ["owner", "reader"])
+
+
+@query(f"WITH {_MANIFESTS} SELECT key, name FROM m WHERE is_active")
+def active_manifests(spark, d):
+    return catalogue.active(_catalogue(spark, d)[0]).select("key", "name")
+
+
+@query(f"WITH {_MANIFESTS} SELECT key, name FROM m WHERE key IN (SELECT key FROM g WHERE user_id = 7)")
+def visible_manifests(spark, d):
+    return catalogue.visible(*_catalogue(spark, d), 7, "key").select("key", "name")
+
+
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
+def page_with_total(spark, d):
+    return catalogue.page(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 50, 25)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def newest_rows(spark, d):
+    return catalogue.newest_first(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20)
+
+
+@query("SELECT s_name AS name, 'h' || n AS hash, s_name || '.json' AS filename, NULL::VARCHAR AS uploaded FROM supplier, (SELECT unnest([1, 2]) AS n)")
+def manifest_files(spark, d):
+    text = F.concat(F.lit('{"files": [{"hash": "h1", "filename": "'), "s_name", F.lit('.json"}, {"hash": "h2", "x": 1, "filename": "'), "s_name", F.lit('.json"}], "version": 2}'))
+    return catalogue.manifest_files(_t(spark, d, "supplier").withColumn("j", text), "s_name", "j")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_nationkey::VARCHAR WHEN 1 THEN s_nationkey || '.5' ELSE s_name END AS number FROM supplier")
+def whole_numbers(spark, d):
+    nation = F.col("s_nationkey").cast("string")
+    written = F.when(F.col("s_suppkey") % 3 == 0, F.concat(nation, F.lit(".0"))).when(F.col("s_suppkey") % 3 == 1, F.concat(nation, F.lit(".5"))).otherwise(F.col("s_name"))
+    return _t(spark, d, "supplier").select("s_suppkey", at.whole_number(written).alias("number"))
+
+
+@query("SELECT p_partkey, length(t) BETWEEN 2 AND 100 AND NOT regexp_matches(t, '[\\x00-\\x1F\\x7F<>&]') AS ok FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || '<b>' WHEN 1 THEN 'x' WHEN 2 THEN p_name || chr(9) ELSE p_name END AS t FROM part)")
+def free_text_valid(spark, d):
+    size = F.col("p_size") % 4
+    t = F.when(size == 0, F.concat("p_name", F.lit("<b>"))).when(size == 1, "x").when(size == 2, F.concat("p_name", F.lit("\t"))).otherwise(F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", tx.valid_free_text(t).alias("ok"))
+
+
+@query("SELECT s_suppkey, 'pool/' || sha256(s_name) || '.json' AS key FROM supplier")
+def content_keys(spark, d):
+    return _t(spark, d, "supplier").select("s_suppkey", batches.content_key(F.col("s_name"), F.lit(".json")).alias("key"))
+
+
+@query("SELECT c_custkey, CASE WHEN trim(t) = '' THEN 'vide ' || c_custkey ELSE t END AS text FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE c_name END AS t FROM customer)")
+def placeholders(spark, d):
+    t = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "  ").otherwise(F.col("c_name"))
+    rows = _t(spark, d, "customer").select("c_custkey", t.alias("text"))
+    return tx.fill_placeholder(rows, "text", generator=lambda: F.concat(F.lit("vide "), F.col("c_custkey").cast("string")))
+
 
 @query()
 def store_build(spark, d):
@@ -507,8 +744,6 @@ def store_build(spark, d):
 @query()
 def enrichment_full(spark, d):
     """Prepare, allot, attribute, give opinions, summaries and similar rows of the batch, and give back, on part names as statements."""
-    from gregale.plans import features
-
     part = _t(spark, d, "part")
     batch = part.select(
         F.col("p_partkey").alias("amdt_idx"), F.col("p_partkey").alias("Num amdt"), F.col("p_size").cast("string").alias("Num article"), F.col("p_brand").alias("Lecture"), F.col("p_type").alias("Groupe"),

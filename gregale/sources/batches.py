@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import logging
 import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from gregale.functions.text import html_to_text
 
+log = logging.getLogger(__name__)
+
 # Names of an export's fields, and of the batch's columns.
 RENAMES = {
     "affectation_email": "Affectation (email)", "affectation_name": "Affectation (nom)", "article": "Num article",
@@ -30,31 +35,58 @@ EXPORT = (
 )
 
 
-def epoch(c: Column, default: int) -> Column:
-    """Seconds since 1970 in UTC of a time with or without a fraction; the default for blanks."""
+def epoch(c: Column, default: int | None) -> Column:
+    """Seconds since 1970 in UTC of a time with or without a fraction; the default for blanks and what can't be read."""
     filled = F.nullif(F.trim(c), F.lit(""))
     time = F.coalesce(F.try_to_timestamp(filled, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.try_to_timestamp(filled, F.lit("yyyy-MM-dd HH:mm:ss.SSS")), F.try_to_timestamp(filled, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return F.coalesce(F.unix_timestamp(time), F.lit(default))
+    return F.coalesce(F.unix_timestamp(time), F.lit(default).cast("long"))
+
+
+def _json(content: Column, fields: str) -> Column:
+    """The rows of an export, whose top level holds the array `amendements`; a byte-order mark is passed over, what isn't such JSON is an error."""
+    struct = ", ".join(x.replace(" ", ":", 1) for x in fields.split(", "))
+    text = F.regexp_replace(content, "^\\x{FEFF}", "")
+    return F.from_json(text, f"amendements array<struct<{struct}>>", {"mode": "FAILFAST"})["amendements"]
 
 
-def read_exports(spark: SparkSession, paths: list[str], project: str | None = None, default_time: int = 0) -> DataFrame:
-    """The rows of JSON exports, whose top level holds the array `amendements`; a byte-order mark is passed over.
+def numbered(parts: list[DataFrame], id_col: str = "amdt_idx") -> DataFrame:
+    """All rows, numbered without gaps in the order of the parts (at: places from 0, within each)."""
+    sizes = [p.agg(F.coalesce(F.max("at") + 1, F.lit(0)).alias("n")) for p in parts]
+    table = sizes[0].withColumn("part", F.lit(0))
+    for i, n in enumerate(sizes[1:], 1):
+        table = table.unionByName(n.withColumn("part", F.lit(i)))
+    shift = table.alias("x").join(table.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy(F.col("x.part").alias("part")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))  # one row per part
+    out = parts[0].withColumn("part", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("part", F.lit(i)), allowMissingColumns=True)
+    return out.join(shift, "part").withColumn(id_col, (F.col("before") + F.col("at")).cast("long")).drop("part", "before", "at")
 
-    Rows are numbered by file and place. Personal columns are dropped, lots become text, and HTML becomes plain text beside the body.
+
+def read_exports(spark: SparkSession, paths: list[str], project: str | None = None, default_time: int = 0, fields: str = EXPORT) -> DataFrame:
+    """The rows of JSON exports, numbered in the order of the paths and by their places. A malformed file is an error.
+
+    fields: names and types to read (EXPORT with more, for exports that have more). Personal columns are dropped, lots become text,
+    and HTML becomes plain text beside the body.
     """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json(F.regexp_replace("value", "^\\x{FEFF}", ""), f"amendements array<struct<{', '.join(x.replace(' ', ':', 1) for x in EXPORT.split(', '))}>>").alias("j"))
-    rows = raw.select("file", F.posexplode("j.amendements").alias("at", "a"))
-    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    # one row per file
-    from pyspark.sql.window import Window
-
-    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    df = rows.join(F.broadcast(before), "file").select((F.col("before") + F.col("at")).alias("amdt_idx"), "a.*")
-    df = df.drop(PRIVATE).withColumns({"timestamp": epoch(F.col("date_derniere_modif"), default_time), "origin_project": F.lit(project).cast("string"), "Lecture": F.concat_ws(" ", "chambre", F.col("legislature").cast("string"))})
+    parts = [spark.read.text(p, wholetext=True).select(F.posexplode(_json(F.col("value"), fields)).alias("at", "a")).select("at", "a.*") for p in paths]
+    df = numbered(parts)
+    df = df.select("amdt_idx", *[c for c in df.columns if c not in ("amdt_idx", PRIVATE)])
+    df = df.withColumns({"timestamp": epoch(F.col("date_derniere_modif"), default_time), "origin_project": F.lit(project).cast("string"), "Lecture": F.concat_ws(" ", "chambre", F.col("legislature").cast("string"))})
     df = df.withColumns({"Corps amdt original": F.col("corps"), "computed_batch": F.array_join(F.col("computed_batch").cast("array<string>"), ",")})
     return df.withColumns({c: html_to_text(c) for c in ("corps", "expose", "objet", "reponse")}).withColumnsRenamed(RENAMES)
 
 
+def first_modification(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, seconds) of each export: the first date of a row, in its order, that can be read, in UTC; null without one."""
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _json(F.col("value"), "date_derniere_modif string").alias("a"))
+    return raw.select("file", first_date(F.col("a.date_derniere_modif")).alias("seconds"))
+
+
+def first_date(dates: Column) -> Column:
+    """Seconds of the first of an array of dates that can be read; null without one."""
+    return F.get(F.filter(F.transform(dates, lambda d: epoch(d, None)), lambda s: s.isNotNull()), 0)
+
+
 def sheets(content: bytes) -> dict[str, pd.DataFrame]:
     """Sheets of an xlsx workbook, all cells as text; the first row names the columns."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -79,32 +111,117 @@ def sheets(content: bytes) -> dict[str, pd.DataFrame]:
     return out
 
 
-def read_workbooks(spark: SparkSession, paths: list[str], sheet: str, columns: list[str]) -> DataFrame:
-    """The named columns, as text, of one sheet of each workbook; columns that a workbook lacks are null there."""
+def read_workbooks(spark: SparkSession, paths: list[str], sheet: str, columns: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """(at, columns...): the named columns, as text, of one sheet of each workbook, and rows' places; columns that a workbook lacks are null there.
+
+    aliases: other headings of columns, which count where a workbook lacks the column's own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch.content:
-                yield sheets(content).get(sheet, pd.DataFrame()).reindex(columns=columns).astype(object)
+                table = sheets(content).get(sheet, pd.DataFrame())
+                table = table.rename(columns={a: c for a, c in (aliases or {}).items() if a in table and c not in table}).reindex(columns=columns).astype(object)
+                table.insert(0, "at", range(len(table)))
+                yield table
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, ", ".join(["at long", *[f"`{c}` string" for c in columns]]))
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
 
+def read_workbook_batches(spark: SparkSession, paths: list[str], sheet: str = "Amendements", project: str | None = None, default_time: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """Batches from workbooks, under export or batch names; rows are numbered in the order of the paths, all of the default time."""
+    names = columns or [*RENAMES.values(), "chambre", "legislature", "Lecture"]
+    df = numbered([read_workbooks(spark, [p], sheet, names, RENAMES) for p in paths])
+    if {"chambre", "legislature"} <= set(names):
+        df = df.withColumn("Lecture", F.coalesce(F.col("Lecture") if "Lecture" in names else F.lit(None), F.nullif(F.concat_ws(" ", "chambre", "legislature"), F.lit(""))))
+    return df.withColumns({"timestamp": F.lit(default_time).cast("long"), "origin_project": F.lit(project).cast("string")}).drop("chambre", "legislature")
 
-def load(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Batches by extension; unknown ones are skipped. Columns are aligned by name."""
-    readers = {
-        ".json": lambda p: read_exports(spark, p, **options),
-        ".csv": lambda p: spark.read.csv(p, sep=";", header=True, multiLine=True),
-        ".parquet": lambda p: spark.read.parquet(*p),
-    }
+
+#: Readers by extension: (session, paths, **options) -> rows. Add to it to load other files.
+HANDLERS = {
+    ".json": read_exports,
+    ".xlsx": read_workbook_batches,
+    ".csv": lambda spark, paths, **_: spark.read.csv(paths, sep=";", header=True, multiLine=True, escape='"'),
+    ".parquet": lambda spark, paths, **_: spark.read.parquet(*paths),
+}
+
+
+def load(spark: SparkSession, paths: list[str], strict: bool = False, **options) -> DataFrame | None:
+    """Batches by extension, columns aligned by name; None without any. Unknown extensions are logged and skipped, or an error if strict."""
+    kinds: dict[str, list[str]] = {}
+    for p in paths:
+        kinds.setdefault(os.path.splitext(p)[1].lower(), []).append(p)
     out = None
-    for extension, reader in readers.items():
-        if own := [p for p in paths if os.path.splitext(p)[1].lower() == extension]:
-            part = reader(own)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for extension, own in kinds.items():
+        if extension not in HANDLERS:
+            if strict:
+                raise ValueError(f"no reader for {own}")
+            log.warning("no reader for %s", own)
+            continue
+        part = HANDLERS[extension](spark, own, **options)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+class Stores:
+    """Historical stores kept in memory by name, in any case and without their extension."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    @staticmethod
+    def key(name: str) -> str:
+        return os.path.splitext(name.strip().lower())[0]
+
+    def get(self, name: str, path: str) -> DataFrame:
+        if self.key(name) not in self.held:
+            self.held[self.key(name)] = self.spark.read.parquet(path).cache()
+        return self.held[self.key(name)]
+
+    def remove(self, name: str) -> bool:
+        df = self.held.pop(self.key(name), None)
+        if df is not None:
+            df.unpersist()
+        return df is not None
+
+    def clear(self) -> None:
+        for name in list(self.held):
+            self.remove(name)
+
+    def info(self) -> dict[str, dict]:
+        return {k: {"rows": df.count(), "columns": df.columns} for k, df in self.held.items()}
+
+
+def catalogue(config: dict, projects: list[str] | None = None) -> list[dict]:
+    """(path, project, default_time) of the files of the named projects, or of all, a path named last counting; faults are errors."""
+    known = (config or {}).get("projects")
+    if not known:
+        raise ValueError("no projects")
+    files: dict[str, dict] = {}
+    for name in projects if projects is not None else known:
+        if name not in known:
+            raise ValueError(f"unknown project {name}; there are {sorted(known)}")
+        for kind in ("json_configs", "excel_configs"):
+            if not isinstance(known[name].get(kind), list):
+                raise ValueError(f"{name} lacks a list {kind}")
+            for entry in known[name][kind]:
+                if lacks := [k for k in ("path", "default_processing_timestamp", "origin_project") if k not in entry]:
+                    raise ValueError(f"{name}, {kind}: {', '.join(lacks)} missing")
+                day = entry["default_processing_timestamp"]
+                time = int(datetime(day["year"], day["month"], day["day"], tzinfo=UTC).timestamp())
+                files[entry["path"]] = {"path": entry["path"], "project": entry["origin_project"], "default_time": time}
+    return list(files.values())
+
+
+def load_catalogue(spark: SparkSession, config: dict, projects: list[str] | None = None, root: str = "") -> DataFrame | None:
+    """All rows of the catalogue's files, each with its project and default time; ids run over all files."""
+    out = None
+    for f in catalogue(config, projects):
+        part = load(spark, [root + f["path"]], strict=True, project=f["project"], default_time=f["default_time"]).withColumnRenamed("amdt_idx", "at")
+        out = [part] if out is None else [*out, part]
+    return None if out is None else numbered(out)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Every column that isn't a plain value as text, as the store keeps them."""
     plain = ("string", "bigint", "int", "double", "float", "boolean", "smallint", "tinyint")
@@ -112,9 +229,77 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if t in plain else text(c, t).alias(c) for c, t in df.dtypes])
 
 
+def write_store(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """The store's Parquet table, by partition if given."""
+    writer = as_text(df).write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Semicolons, a header in every part, all columns as text. Add a byte-order mark when parts are joined for a spreadsheet."""
-    as_text(df).write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=False, escape='"')
+    """Semicolons, all columns as text; each part begins with a byte-order mark and a header, as spreadsheets want it."""
+    text = as_text(df)
+    text.withColumnRenamed(text.columns[0], "\ufeff" + text.columns[0]).write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def workbook(table: pd.DataFrame, title: str = "Sheet1") -> bytes:
+    """An xlsx workbook of one sheet, all cells as text, empty for nulls."""
+    def cell(column: int, row: int, value) -> str:
+        name, n = "", column + 1
+        while n:
+            n, rest = divmod(n - 1, 26)
+            name = chr(65 + rest) + name
+        text = escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value)))
+        return f'<c r="{name}{row}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+    lines = [list(table.columns), *table.astype(object).values.tolist()]
+    rows = "".join(f'<row r="{i}">{"".join(cell(k, i, v) for k, v in enumerate(line) if v is not None and v == v)}</row>' for i, line in enumerate(lines, 1))
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(title)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def workbooks(df: DataFrame, columns: list[str], id_col: str = "amdt_idx", rows: int = 100_000) -> DataFrame:
+    """(part, content): xlsx workbooks of the id and the configured columns that df has, so many ids' range of rows each, in their order.
+
+    Write them one by one, or store the table; no workbook holds more rows than `rows`, if ids are unique and without gaps.
+    """
+    if lacks := [c for c in columns if c not in df.columns]:
+        log.warning("columns left out of the workbook: %s", lacks)
+    known = as_text(df.select(*dict.fromkeys([id_col, *select_known(df, columns).columns])))
+
+    def build(table: pd.DataFrame) -> pd.DataFrame:
+        part = int(table.pop("__part").iloc[0])
+        table = table.sort_values(id_col, key=lambda s: pd.to_numeric(s, errors="coerce"), kind="stable")
+        return pd.DataFrame({"part": [part], "content": [workbook(table)]})
+
+    return known.withColumn("__part", F.floor(F.col(id_col) / rows).cast("long")).groupBy("__part").applyInPandas(build, "part long, content binary")
+
+
+def files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(name, path, length, modified) of the files of a folder whose names begin with prefix (of a content hash, say); contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select(name.alias("name"), "path", "length", F.col("modificationTime").alias("modified")).where(name.startswith(prefix))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to delete."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def select_known(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,8 +310,8 @@ def preview(df: DataFrame, rows: int = 10) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]).limit(rows)
 
 
-def content_key(content: Column, extension: Column) -> Column:
-    return F.concat(F.lit("input_files/pool/"), F.sha2(content.cast("binary"), 256), extension)
+def content_key(content: Column, extension: Column, folder: str = "pool/") -> Column:
+    return F.concat(F.lit(folder), F.sha2(content.cast("binary"), 256), extension)
 
 
 def expand_env(config):

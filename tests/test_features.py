@@ -84,7 +84,7 @@ def test_all_matchers_and_similar_rows(spark):
     out, failed = features.run_features(df, [feature, features.within_batch()])
     got = {r.amdt_idx: r for r in out.collect()}
     assert not failed and [got[i]["Affectation (nom)"] for i in range(1, 6)] == ["Loi", "Article", "Crédit", "Loi", "Alice"]
-    assert got[1].Commentaires.startswith("Amdt similaires : 14 (100%)") and got[4].Commentaires.startswith("Amdt similaires : 11 (100%)")
+    assert got[1].Commentaires == "Affectation sélectionnée: Loi\nAffectations par textes dans 'Exposé amdt' :\nLoi : route (articles 3)\nAmdt similaires : 14 (100%)" and got[4].Commentaires.endswith("\nAmdt similaires : 11 (100%)")
     assert "similaires" not in (got[3].Commentaires or "") + got[5].Commentaires
 
 

@@ -48,7 +48,9 @@ def test_components_of_a_chain(spark):
     assert groups(cluster.components(links)) == [list(range(41)), [100, 101]]
 
 
-def test_components_of_a_long_shuffled_chain(spark):
+@pytest.mark.parametrize("links_of_a_task", [1_000_000, 90])
+def test_components_of_a_long_shuffled_chain(spark, monkeypatch, links_of_a_task):
+    monkeypatch.setattr(cluster, "TASK_LINKS", links_of_a_task)
     for ids in (random.Random(1).sample(range(500), 500), [0, *range(99, 0, -1)]):
         links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
         assert groups(cluster.components(links)) == [list(range(len(ids)))]
