@@ -36,6 +36,8 @@ _RANDOM = np.random.default_rng(9)
 BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = int(_RANDOM.integers(0, 2**63)) * 2 + 1
 PLACE_BITS = np.uint64(28)
+#: Stands for several stretches of a portion that one gram represents.
+SEVERAL = np.int64(-1)
 #: Where a stretch begins: its row's id, the hash of its row's text, the byte.
 Place = tuple[int, int, int]
 
@@ -220,18 +222,30 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
                 gram, _, first, _ = stretches(data, starts, length)
                 if len(gram):
                     row = np.searchsorted(starts, first, side="right") - 1
-                    number = np.arange(len(row)) - np.searchsorted(row, row)
-                    part = _part(gram, parts)
-                    order = np.argsort(part, kind="stable")
-                    yield _pack(part[order], keys, gram=gram[order], node=nodes[at + row[order]], number=number[order].astype(np.uint32))
+                    number = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.uint32)
+                    _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+                    several = times[which] > 1
+                    lone, one = np.flatnonzero(~several), np.unique(which[several], return_index=True)[1]
+                    one = np.flatnonzero(several)[one]
+                    told = np.flatnonzero(several)
+                    # grams with the stretch that they represent (0), or with SEVERAL of this portion, which are told here (1)
+                    kind = np.repeat(np.array([0, 0, 1], np.uint8), [len(lone), len(one), len(told)])
+                    at_ = np.concatenate([lone, one, told])
+                    node = nodes[at + row[at_]]
+                    node[len(lone) : len(lone) + len(one)] = SEVERAL
+                    part = _part(np.where(kind == 0, gram[at_], node.view(np.uint64)), parts)
+                    order = np.lexsort((node, part))
+                    yield _pack(part[order], keys, kind=kind[order], gram=gram[at_][order], node=node[order], number=number[at_][order])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[bytes]] = [[], [], []]
+        columns: list[list[bytes]] = [[], [], [], []]
         for batch in batches:
-            for i in range(3):
+            for i in range(4):
                 columns[i] += batch.column(i + 1).to_pylist()
-        gram, node, number = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.uint32), strict=True))
+        kind, gram, node, number = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint8, np.uint64, np.int64, np.uint32), strict=True))
         del columns
+        told_node, told_number = node[kind == 1], number[kind == 1]
+        gram, node, number = gram[kind == 0], node[kind == 0], number[kind == 0]
         order = np.argsort(gram, kind="stable")
         g = gram[order]
         same = g[1:] == g[:-1]
@@ -241,15 +255,15 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
         order = order[many]
         order = order[np.lexsort((number[order], node[order], gram[order]))]
         gram, node, number = gram[order], node[order], number[order]
-        if not len(gram):
-            return
         # copies of a whole text bring the same (node, number); they count once
         new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (number[1:] != number[:-1])
+        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (number[1:] != number[:-1]) & (node[1:] != SEVERAL)
         gram, node, number = gram[new], node[new], number[new]
-        cuts = np.flatnonzero(np.diff(gram, prepend=gram[:1] ^ np.uint64(1)))
-        many = np.repeat(np.diff(np.append(cuts, len(gram))) > 1, np.diff(np.append(cuts, len(gram))))
-        node, number = node[many], number[many]
+        cuts = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+        times = np.diff(np.append(cuts, len(gram)))
+        held = np.logical_or.reduceat(node == SEVERAL, cuts) if len(cuts) else np.zeros(0, bool)
+        many = np.repeat((times > 1) | held, times) & (node != SEVERAL)
+        node, number = np.concatenate([told_node, node[many]]), np.concatenate([told_number, number[many]])
         order = np.argsort(node, kind="stable")
         node, number = node[order], number[order]
         cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)) if len(node) else np.zeros(0, np.int64)
@@ -258,12 +272,16 @@ def repeated_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
             pick = range(s, min(s + 5000, len(cuts)))
             yield _batch(node=pa.array(node[cuts[s : s + 5000]], pa.int64()), numbers=pa.array([number[cuts[i] : ends[i]].tobytes() for i in pick], pa.binary()))
 
-    dealt = texts.mapInArrow(find, "part long, gram binary, node binary, number binary").repartition(parts, "part")
+    dealt = texts.mapInArrow(find, "part long, kind binary, gram binary, node binary, number binary").repartition(parts, "part")
     return dealt.mapInArrow(count, "node long, numbers binary")
 
 
 def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """Packed stretches by part of their grams. rows: (doc, node, text, numbers array<binary>)."""
+    """Packed stretches by part of their grams. rows: (doc, node, text, numbers array<binary>).
+
+    Of equal stretches of a portion only the first goes on; the others are covered whole, which is told here (kind 1). So a passage
+    of a third of all texts costs an entry per portion.
+    """
     keys = np.array(even_keys(rows.sparkSession, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,23 +289,33 @@ def deal_stretches(rows: DataFrame, length: int, parts: int) -> DataFrame:
             docs, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for at, data, starts in _joined(texts):
-                gram, place, first, last = stretches(data, starts, length)
+                gram, grams_at, first, last = stretches(data, starts, length)
                 if not len(gram):
                     continue
-                row = np.searchsorted(starts, first, side="right") - 1
-                head = np.searchsorted(row, np.arange(len(starts)))
-                picked = np.concatenate([head[i] + np.frombuffer(b"".join(wanted[at + i]), np.uint32).astype(np.int64) for i in range(len(starts))])
-                part = _part(gram[picked], parts)
-                picked, part = picked[np.argsort(part, kind="stable")], np.sort(part, kind="stable")
-                gram, place, first, last, row = gram[picked], place[picked], first[picked], last[picked], row[picked]
-                raw = data.tobytes()
-                pieces = [raw[s : e + length] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+                head = np.searchsorted(np.searchsorted(starts, first, side="right") - 1, np.arange(len(starts)))
+                picked = np.unique(np.concatenate([head[i] + np.frombuffer(b"".join(wanted[at + i]), np.uint32).astype(np.int64) for i in range(len(starts))]))
+                row, raw = np.searchsorted(starts, first, side="right") - 1, data.tobytes()
+                place = list(zip(docs[at + row[picked]].tolist(), nodes[at + row[picked]].tolist(), (first[picked] - starts[row[picked]]).tolist(), strict=True))
+                known: dict[tuple[int, bytes], int] = {}
+                covered = np.zeros(len(picked), bool)
+                for i, (s, e, o) in enumerate(zip(first[picked].tolist(), (last[picked] + length).tolist(), (grams_at[picked] - first[picked]).tolist(), strict=True)):
+                    j = known.setdefault((o, raw[s:e]), i)
+                    if j != i and place[i] != place[j]:
+                        if place[i] < place[j]:
+                            known[(o, raw[s:e])], i = i, j
+                        covered[i] = True
+                del known, place
+                part = _part(np.where(covered, nodes[at + row[picked]].view(np.uint64), gram[picked]), parts)
+                order = np.argsort(part, kind="stable")
+                picked, part, covered = picked[order], part[order], covered[order]
+                gram, grams_at, first, last, row = gram[picked], grams_at[picked], first[picked], last[picked], row[picked]
+                pieces = [b"" if c else raw[s : e + length] for s, e, c in zip(first.tolist(), last.tolist(), covered.tolist(), strict=True)]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = np.append(cuts[1:], len(part))
-                packed = _pack(part, keys, gram=gram, doc=docs[at + row], node=nodes[at + row], start=(first - starts[row]).astype(np.uint32), offset=(place - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
+                packed = _pack(part, keys, kind=covered.astype(np.uint8), gram=gram, doc=docs[at + row], node=nodes[at + row], start=(first - starts[row]).astype(np.uint32), offset=(grams_at - first).astype(np.uint16), size=(last - first + length).astype(np.uint16))
                 yield packed.append_column("bytes", pa.array([b"".join(pieces[s:e]) for s, e in zip(cuts, ends, strict=True)], pa.binary()))
 
-    return rows.mapInArrow(run, "part long, gram binary, doc binary, node binary, start binary, offset binary, size binary, bytes binary").repartition(parts, "part")
+    return rows.mapInArrow(run, "part long, kind binary, gram binary, doc binary, node binary, start binary, offset binary, size binary, bytes binary").repartition(parts, "part")
 
 
 def _mark_sorted(stretch: list[bytes], owner: list[Place], length: int) -> list[list[int]]:
@@ -368,15 +396,20 @@ def mark(dealt: DataFrame, length: int) -> DataFrame:
                 a = np.column_stack([a[head, :3], np.maximum.reduceat(a[:, 3], head)])
             return _batch(**{c: pa.array(a[:, i]) for i, c in enumerate(("doc", "node", "start", "end"))})
 
-        columns: list[list[bytes]] = [[] for _ in range(7)]
+        columns: list[list[bytes]] = [[] for _ in range(8)]
         for batch in batches:
-            for i in range(7):
+            for i in range(8):
                 columns[i] += batch.column(i + 1).to_pylist()
         raw = b"".join(columns.pop())
-        gram, doc, node, start, offset, size = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint64, np.int64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
+        kind, gram, doc, node, start, offset, size = (np.frombuffer(b"".join(c), k) for c, k in zip(columns, (np.uint8, np.uint64, np.int64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
         del columns
-        begin = np.cumsum(size, dtype=np.int64) - size
-        order = np.argsort(gram, kind="stable")
+        begin = np.cumsum(np.where(kind == 0, size, 0), dtype=np.int64) - size
+        if kind.any():
+            told = kind == 1
+            out.extend(zip(doc[told].tolist(), node[told].tolist(), start[told].tolist(), (start[told].astype(np.int64) + size[told]).tolist(), strict=True))
+            yield flush()
+        order = np.flatnonzero(kind == 0)
+        order = order[np.argsort(gram[order], kind="stable")]
         cuts = np.append(np.flatnonzero(np.diff(gram[order], prepend=~gram[order[:1]])), len(order))
         queue: list[tuple[list[bytes], list[Place]]] = []
         waiting, held = ([], []), 0
