@@ -45,8 +45,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(name)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -55,6 +57,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.remove(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Drops the tables that the result doesn't read."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
 
 
 def text_or_empty(column: str = "text") -> Column:

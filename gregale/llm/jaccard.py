@@ -666,7 +666,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     comp = merged(comp, found, scratch, "open")
     labelled = members.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = labelled.join(smallest, "comp").select("node", "component_id")
+    label = scratch.keep(labelled.join(smallest, "comp").select("node", "component_id"), "labels")
+    scratch.keep_only("rows", "labels")
     return table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(label, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
