@@ -481,8 +481,13 @@ def merge_features(spark, d):
     return enrich.merge_results(base, [(one, ["Commentaires"]), (two, ["Commentaires", "segment"])], "id")
 
 
-@query()
+_WORDS30 = r"array_to_string(list_slice(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''), 1, 30), ' ')"
+
+
+@query(f"""SELECT id, expose, corps, CASE WHEN starts_with(e, 'amendement redactionnel.') OR regexp_matches(e, 'correction d''erreur materielle|{'|'.join(tx.EDITORIAL[2:])}') THEN 'Amendement rédactionnel.' WHEN len(string_split(said, ' ')) > 25 THEN {_WORDS30.format("'court : ' || said")} ELSE said END AS objet
+FROM (SELECT conv_id || '/' || turn AS id, text AS expose, role AS corps, {_SAID.format('text')} AS e, {_WORDS30.format("text || ' ' || role")} AS said FROM {_CONV})""")
 def llm_fake(spark, d):
+    """Summaries by a client that repeats the prompt's first thirty words; long ones are asked for once more."""
     rows = _talk(spark, d).select(F.concat("conv_id", F.lit("/"), "turn").alias("id"), F.col("text").alias("expose"), F.col("role").alias("corps"), F.lit("").alias("objet"))
     return enrich.summarise(rows, lambda: lambda p: " ".join(p.split()[:30]), "{{expose_amdt}} {{corps_amdt}}", "court : {{summary}}")
 

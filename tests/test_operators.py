@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +159,54 @@ def test_summary_client(spark):
     df = spark.createDataFrame([(1, "Amendement rédactionnel.", "c", ""), (2, "long", "c", ""), (3, None, "c", "reste")], "id long, expose string, corps string, objet string")
     out = enrich.summarise(df, lambda: lambda p: "mot " * 30 if not p.startswith("court") else "bref", "{{expose_amdt}}", "court {{summary}}")
     assert {r.id: r.objet for r in out.collect()} == {1: "Amendement rédactionnel.", 2: "bref", 3: "reste"}
+
+
+def plain_clusters(texts, eps):
+    """{smallest id: ids} of components at a TF-IDF cosine distance of eps or less, of two or more."""
+    words = {i: Counter(re.findall(r"\w\w+", t.lower())) for i, t in texts.items()}
+    df = Counter(w for c in words.values() for w in c)
+    vectors = {}
+    for i, c in words.items():
+        v = {w: n * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {w: x / size for w, x in v.items()}
+    label = {i: i for i in texts}
+    near = [(a, b) for a in texts for b in texts if a < b and round(sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items()), 9) >= round(1 - eps, 9)]
+    for _ in texts:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    out = {}
+    for i, c in label.items():
+        out.setdefault(c, []).append(i)
+    return {c: v for c, v in out.items() if len(v) > 1}
+
+
+def plain_subdivision(texts, eps):
+    done, work = [], [sorted(v) for v in plain_clusters(texts, eps).values()]
+    start = max(0.6 * eps, 0.1)
+    for depth in range(5):
+        done += [c for c in work if len(c) <= 30]
+        large = [c for c in work if len(c) > 30]
+        if not large:
+            return sorted(done)
+        now, work = max(start - 0.05 * (depth + 1), 0.1), []
+        for c in large:
+            parts = plain_clusters({i: texts[i] for i in c}, now)
+            if parts:
+                work += [sorted(v) for v in parts.values()]
+            else:
+                done.append(c)
+        if now <= 0.1:
+            break
+    return sorted(done + work)
+
+
+def test_subdivision_against_step_by_step(spark):
+    rng = random.Random(12)
+    base = [[f"mot{rng.randrange(60)}" for _ in range(14)] for _ in range(3)]
+    texts = {i: " ".join(w if rng.random() > 0.12 else f"mot{rng.randrange(60)}" for w in base[i % 3]) for i in range(110)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("block", F.lit("x"))
+    found = cluster.tfidf_clusters(df, ["block"], "id", "text", 0.45)
+    got = groups(cluster.subdivide(found, df.select("id", "text"), 0.45))
+    want = plain_subdivision(texts, 0.45)
+    assert max(map(len, plain_clusters(texts, 0.45).values())) > 30 and sorted(sorted(g) for g in got) == want
