@@ -111,9 +111,17 @@ def singular(w: Column) -> Column:
     return out
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def singularize(c: Column) -> Column:
     """Naive singulars of all words, by rules over the whole text: each word ends in one letter, so that at most one rule changes it."""
-    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return _once(F.trim(F.regexp_replace(c, r"\s+", " ")), _singularize)
+
+
+def _singularize(c: Column) -> Column:
     word = lambda w: rf"(?<![^ ])(?:{w})(?= |\z)"
     unlike = {k: v for k, v in IRREGULAR.items() if k != v}
     changed = c
@@ -133,6 +141,10 @@ _LINKED = sorted((w for w in NUMBERS if " " in w), key=len, reverse=True)
 
 def _digitize_words(c: Column) -> Column:
     """As digitize, for words of lower-case ASCII letters, digits and dashes between single spaces: single number words are looked up."""
+    return _once(c, _digitize_single_spaced)
+
+
+def _digitize_single_spaced(c: Column) -> Column:
     several = c
     for words in _LINKED:
         several = F.regexp_replace(several, rf"\b{words}\b", NUMBERS[words])

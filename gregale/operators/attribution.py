@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gregale.functions.text import TOKEN_SPLIT, normalize_attribution
+from gregale.operators.storing import stored
 
 #: First words of phrases that a plan may hold.
 HEADS = 10_000
@@ -318,7 +319,7 @@ def attribute(df: DataFrame, matchers: list[Matcher], id_col: str, defaults: lis
     df: `Affectation (nom)`, `Affectation (email)` and `Entité Pilote` count where they are and aren't blank. agents: (owner, mail,
     entity) of the final owner; unknown ones get empty texts. A row without match and default has no comment, and keeps its owner.
     """
-    hits = matched(df, matchers, id_col, early).checkpoint(eager=False) if df.sparkSession.sparkContext.getCheckpointDir() else matched(df, matchers, id_col, early)
+    hits = stored(matched(df, matchers, id_col, early))
     chosen = vote(hits)
     reasons = explain(hits, chosen, [m.name for m in matchers])
     now = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in df.columns else F.lit(None).cast("string")

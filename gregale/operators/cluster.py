@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gregale.operators.similarity import cosine_pairs, edit_within
+from gregale.operators.storing import stored
 
 #: Links that one task holds.
 TASK_LINKS = 1_000_000
@@ -20,15 +21,6 @@ TASK_LINKS = 1_000_000
 LARGE = 30
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, stored and without its plan, which would grow with every round: checkpointed, or cached where no checkpoint folder is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint()
-    rows = df.cache()._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, cluster) of the nodes of links (a, b): the smallest id reachable.
 
@@ -37,9 +29,9 @@ def components(links: DataFrame) -> DataFrame:
     they are; rounds grow with the logarithm of a chain's length. Ties are checkpointed so that a lost executor costs no more than a
     round; set a checkpoint folder that all executors share.
     """
-    ties = _kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
+    ties = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
     parts = ties.count() // TASK_LINKS + 1
-    ties = _kept(ties.repartition(parts).mapInArrow(_forest, ties.schema))
+    ties = stored(ties.repartition(parts).mapInArrow(_forest, ties.schema))
     if parts == 1:
         return _labels(ties)
     known = None
@@ -49,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        ties = _kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        ties = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = ties.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == known:
             break

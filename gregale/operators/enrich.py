@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gregale.functions.text import appeal_prefix, fill_prompt, is_blank, predefined_summary, word_count
+from gregale.operators.storing import stored
 
 log = logging.getLogger(__name__)
 
@@ -77,8 +78,7 @@ def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
 
     Editorial and suppressing rows get fixed summaries; client makes, in each task, a function from a prompt to a text; a call that
     fails is tried again, and gives "" in the end. Results above LONG_SUMMARY words are made anew with the second prompt, once.
-    clients: how many tasks call at a time. First answers are checkpointed where a checkpoint folder is set, so that they aren't
-    asked for twice.
+    clients: how many tasks call at a time. Answers are stored, so that none is asked for twice; a call that is due is made now.
     """
     due = ~is_blank(F.col("expose")) & ~is_blank(F.col("corps")) & (F.lit(overwrite) | is_blank(F.col("objet")))
     rows = df.withColumn("fixed", F.when(due, predefined_summary(F.col("expose"), F.col("corps"))))
@@ -95,11 +95,9 @@ def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ask"]
         return rows.mapInPandas(run, ", ".join([*kept, "said string"]))
 
-    rows = called(rows)
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        rows = rows.checkpoint(eager=False)
+    rows = stored(called(rows))
     rows = rows.withColumn("first", F.col("said")).drop("said").withColumn("ask", F.when(word_count(F.col("first")) > LONG_SUMMARY, F.replace(F.lit(again), F.lit("{{summary}}"), F.col("first"))))
-    rows = called(rows)
+    rows = stored(called(rows))
     made = F.coalesce("said", "first")
     return rows.withColumn("objet", F.when(F.col("fixed") != "", F.col("fixed")).when(F.col("fixed") == "", made).otherwise(F.col("objet"))).withColumn("objet", appeal_prefix(F.col("objet"), F.col("expose"))).select(*df.columns)
 

@@ -18,6 +18,7 @@ from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich
 from gregale.operators import search as find
 from gregale.operators import similarity as sim
+from gregale.operators.storing import stored
 
 log = logging.getLogger(__name__)
 ID, COMMENTS = "amdt_idx", "Commentaires"
@@ -74,7 +75,7 @@ def prepare_batch(df: DataFrame, acronyms: list[tuple[str, str]] = (), columns:
 def run_features(df: DataFrame, features: list[Feature]) -> tuple[DataFrame, dict[str, Exception]]:
     """df with all features' columns, and the failures: a feature that fails is left out, others go on.
 
-    Failures show when a feature's plan is made and checked on its schema; those of its tasks show when the result is written.
+    Each feature's result is computed and stored by itself, so that a fault of its tasks is its own, too. df should be a stored table.
     """
     for f in features:
         if f.prepare:
@@ -85,7 +86,7 @@ def run_features(df: DataFrame, features: list[Feature]) -> tuple[DataFrame, dic
             require(df, f.requires)
             out = f.transform(df)
             require(out, [ID, *f.owns])
-            results.append((out.select(ID, *f.owns), f.owns))
+            results.append((stored(out.select(ID, *f.owns)), f.owns))
         except Exception as e:  # noqa: BLE001  a feature's fault is its own
             log.warning("feature %s failed: %s", f.name, e)
             failed[f.name] = e
@@ -307,8 +308,8 @@ def opinion(sheet: DataFrame, overwrite: bool = True, lot: str | None = None) ->
 
 def enrich_batch(batch: DataFrame, block: list[str], features: list[Feature], column: str = "Exposé amdt", eps: float = 0.4, threshold: float = 0.9) -> tuple[DataFrame, dict[str, Exception]]:
     """The whole run: prepare, clear, allot, features, and kept rows' values given back to their groups."""
-    ready = clear_columns(prepare_batch(batch), features)
+    ready = stored(clear_columns(prepare_batch(batch), features))
     kept, groups = allot(ready, block, column, eps, threshold)
-    done, failed = run_features(kept, features)
+    done, failed = run_features(stored(kept), features)
     owned = [c for c in dict.fromkeys(c for f in features for c in f.owns) if c in done.columns]
     return give_back(batch, done, groups, owned), failed

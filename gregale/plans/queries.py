@@ -28,7 +28,10 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; texts that come in fewer splits than there are cores are dealt out, as work on them outweighs that."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def _quoted(words) -> str:
@@ -748,15 +751,17 @@ def store_build(spark, d):
 
 @query()
 def enrichment_full(spark, d):
-    """Prepare, allot, attribute, give opinions, summaries and similar rows of the batch, and give back, on part names as statements."""
+    """Prepare, allot, attribute, search the store, summarise, give opinions and similar rows of the batch, and give back, on part names as statements."""
     part = _t(spark, d, "part")
     batch = part.select(
         F.col("p_partkey").alias("amdt_idx"), F.col("p_partkey").alias("Num amdt"), F.col("p_size").cast("string").alias("Num article"), F.col("p_brand").alias("Lecture"), F.col("p_type").alias("Groupe"),
         F.concat(F.lit("Supprimer les mots "), "p_name").alias("Corps amdt"), F.concat("p_name", F.lit(" est un article de la marque "), "p_brand", F.lit(" et du type "), "p_type").alias("Exposé amdt"),
-        *[F.lit("").alias(c) for c in ("Commentaires", "Affectation (nom)", "Objet amdt", "Avis du Gouvernement", "Allotissement")],
+        F.lit("P").alias("origin_project"), *[F.lit("").alias(c) for c in ("Commentaires", "Affectation (nom)", "Objet amdt", "Avis du Gouvernement", "Allotissement", "Réponse")],
     )
+    old = batch.where("amdt_idx % 7 = 0").withColumns({c: tx.normalize_text(F.col(c)) for c in ("Corps amdt", "Exposé amdt")})
+    old = old.withColumns({"Réponse": F.concat(F.lit("Réponse à "), F.col("Num amdt").cast("string")), "Organe": F.lit("AN"), "timestamp": F.col("amdt_idx")})
     words = spark.createDataFrame([("article de la marque", "Alice"), ("copper", "Bob"), ("red", "Chloé")], "`Mots clés` string, `Prénom Nom` string")
     opinions = part.select(F.col("p_type").alias("grp")).distinct().withColumn("default", F.concat(F.lit("Avis "), "grp"))
     articles = part.select(F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat(F.lit("Article "), "article"))
-    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words, legal=(_codes(spark, d), at.code_pattern(_brands(spark, d))), articles=articles), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions), features.within_batch(("Lecture", "Num article"))])
+    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words, legal=(_codes(spark, d), at.code_pattern(_brands(spark, d))), articles=articles), features.search(old, [search.Copy("Réponse")]), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions), features.within_batch(("Lecture", "Num article"))])
     return done
