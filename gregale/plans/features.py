@@ -97,7 +97,7 @@ def allot(df: DataFrame, block: list[str], column: str, eps: float, threshold: f
     """(kept rows, groups (id, cluster)): near-identical rows of a block, of which the first stays."""
     body = tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article"))
     ready = df.withColumn("Corps amdt", body).where(~tx.is_blank(F.col(column))).withColumn("__text", tx.normalize_text(F.col(column)))
-    _, groups = cluster.get_clusters(ready, block, ID, "__text", eps, threshold)
+    _, groups = cluster.get_clusters(stored(ready), block, ID, "__text", eps, threshold)
     return dedup.keep_first(df, groups, ID, ID), groups
 
 
@@ -255,7 +255,7 @@ def search(
     def transform(df: DataFrame) -> DataFrame:
         rows = df.where(~tx.is_blank(F.col("Exposé amdt")) & ~tx.is_blank(F.col("Corps amdt")))
         rows = rows.withColumns({c: tx.normalize_standard(F.col(c)) for c in ("Exposé amdt", "Corps amdt")})
-        rows = rows.withColumn("Corps amdt", tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article")))
+        rows = stored(rows.withColumn("Corps amdt", tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article"))))  # read by each column's joins
         by_column = []
         for c, least in thresholds.items():
             old = find.of_first_project(store, rows, ID) if c in same_project else store
@@ -271,7 +271,7 @@ def within_batch(block: tuple[str, ...] = ("Num article",), column: str = "Expos
     """Rows of the same cluster, with their similarity in percent, as the comment of rows that have none."""
 
     def transform(df: DataFrame) -> DataFrame:
-        ready = df.where(~tx.is_blank(F.col(column))).withColumn("__text", tx.normalize_text(F.col(column)))
+        ready = stored(df.where(~tx.is_blank(F.col(column))).withColumn("__text", tx.normalize_text(F.col(column))))
         clusters, _ = cluster.get_clusters(ready, list(block), ID, "__text", eps, threshold)
         texts = ready.select(F.col(ID).alias("id"), F.col("__text").alias("text"))
         pairs = sim.edit_pairs(cluster.members_pairs(clusters, texts), "text_a", "text_b")

@@ -9,6 +9,7 @@ from gregale.functions import text as tx
 from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich, search
 from gregale.operators import similarity as sim
+from gregale.operators import storing
 from gregale.plans import catalogue, features, store
 from gregale.sources import batches
 from gregale.sources.batches import epoch
@@ -760,6 +761,7 @@ def enrichment_full(spark, d):
     )
     old = batch.where("amdt_idx % 7 = 0").withColumns({c: tx.normalize_text(F.col(c)) for c in ("Corps amdt", "Exposé amdt")})
     old = old.withColumns({"Réponse": F.concat(F.lit("Réponse à "), F.col("Num amdt").cast("string")), "Organe": F.lit("AN"), "timestamp": F.col("amdt_idx")})
+    old = storing.stored(old)
     words = spark.createDataFrame([("article de la marque", "Alice"), ("copper", "Bob"), ("red", "Chloé")], "`Mots clés` string, `Prénom Nom` string")
     opinions = part.select(F.col("p_type").alias("grp")).distinct().withColumn("default", F.concat(F.lit("Avis "), "grp"))
     articles = part.select(F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat(F.lit("Article "), "article"))

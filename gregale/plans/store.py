@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gregale.functions.text import disambiguate_body, drop_gage, extend_expose, fill_blank, fold, is_blank, normalize_text
 from gregale.operators.cluster import get_clusters
 from gregale.operators.dedup import keep_newest_longest
+from gregale.operators.storing import stored
 
 
 def build(batches: DataFrame, block: tuple[str, ...] = ("Lecture", "origin_project", "Num article"), eps: float = 0.1, threshold: float = 0.99) -> DataFrame:
@@ -20,6 +21,7 @@ def build(batches: DataFrame, block: tuple[str, ...] = ("Lecture", "origin_proje
     df = df.withColumn("Corps amdt", disambiguate_body(body, F.col("Num article"))).withColumn("Exposé amdt", extend_expose(expose, body))
     df = df.withColumns({c: normalize_text(drop_gage(fold(F.col(c)))) for c in ("Corps amdt", "Exposé amdt")})
     df = df.withColumn("Exposé amdt", fill_blank(expose, F.col("amdt_idx"), "vide "))
+    df = stored(df)
     _, groups = get_clusters(df, list(block), "amdt_idx", "Exposé amdt", eps, threshold)
     return keep_newest_longest(df, groups, "amdt_idx", "amdt_idx", "timestamp", "Réponse")
 

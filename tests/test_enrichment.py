@@ -199,7 +199,7 @@ def test_cosine_bounds_lose_nothing(spark):
 
 def test_stream_meets_the_store(spark, tmp_path):
     old = old_rows(spark).select("amdt_idx", "Num article", F.col("Exposé amdt").alias("t"))
-    (new_rows(spark).select((F.col("amdt_idx") + 100).alias("amdt_idx"), "Num article", F.col("Exposé amdt").alias("t"))).write.parquet(str(tmp_path / "in"))
+    (new_rows(spark).select((F.col("amdt_idx") + 100).alias("amdt_idx"), "Num article", tx.normalize_text(F.col("Exposé amdt")).alias("t"))).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(old.schema).parquet(str(tmp_path / "in"))
     met = []
     match_stream(stream, old, ["Num article"], "amdt_idx", "t", 0.5, lambda df, n: met.extend((r.a, r.b) for r in df.collect()), str(tmp_path / "c")).awaitTermination(120)
