@@ -180,6 +180,8 @@ def _joined(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
     at, size, raw = 0, 0, []
     for i, text in enumerate(texts):
         raw.append((text or "").encode())
+        if len(raw[-1]) >= 1 << 27:
+            raise ValueError("a text of 134 MB or more; places hold 28 bits")
         size += len(raw[-1])
         if size >= 1 << 20 or i == len(texts) - 1:
             starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])[:-1].astype(np.int64)
@@ -476,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Strings are `length` bytes (32 to 32,000), judged on the whole input, inside one row each; earlier means a smaller id, or an
     earlier start in the row. Null and empty texts have no bytes. Rows with a null id are kept whole. Rows that repeat an id count as
     one document if their texts are equal; otherwise they are documents of their own, the one whose text has the smaller hash first.
-    Ids are integers. Other columns are left behind.
+    Ids are integers. Texts of 134 MB or more are an error. Other columns are left behind.
     """
     if not GRAM <= length <= 32_000:
         raise ValueError(f"length {length} lies outside {GRAM} to 32000")

@@ -92,6 +92,23 @@ def test_sharding(docs, rows, empty, slack):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize(("slack", "most"), [(0.0, 0.08), (0.1, 0.05), (0.25, 0.04)])
+def test_one_more_shard_moves_few_rows(slack, most):
+    n = 20_000
+    counts = np.random.default_rng(3).multinomial(n, np.full(1 << sharding.SEGMENT_BITS, 2.0**-sharding.SEGMENT_BITS))
+
+    def homes(shards):
+        places = sharding.place(counts, sharding.ring_orders(shards, 64), sharding.rooms(n, shards, slack))
+        return {(segment, r): shard for segment, lo, hi, shard, _ in places for r in range(lo, hi)}
+
+    before, after = homes(24), homes(25)
+    assert len(before) == len(after) == n and max(Counter(after.values()).values()) <= np.ceil(n * (1 + slack) / 25)
+    moved = [k for k in before if before[k] != after[k]]
+    assert len(moved) <= most * n
+    if slack >= 0.25:
+        assert all(after[k] == 24 for k in moved)  # only into the new shard
+
+
 # 2: byte-level BPE
 @pytest.fixture(scope="module")
 def coder():
