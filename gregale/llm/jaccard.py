@@ -178,7 +178,7 @@ def _packed(part: np.ndarray, name: str = "part", **columns: np.ndarray) -> pa.R
     order = np.argsort(part, kind="stable")
     part = part[order]
     at = _runs(part)
-    ends = np.append(at[1:], len(part))
+    ends = np.append(at[1:], len(part))[: len(at)]
     return _batch(**{name: pa.array(part[at], pa.int64())}, **{k: pa.array([v[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for k, v in ((k, v[order]) for k, v in columns.items())})
 
 
@@ -268,7 +268,7 @@ def consult(table: DataFrame, parts: int, ask: Callable, asked: dict[str, type],
         for batch in batches:
             home, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             starts = _runs(home, row)
-            for s, e in zip(starts, np.append(starts[1:], len(home)), strict=True):
+            for s, e in zip(starts, np.append(starts[1:], len(home))[: len(starts)], strict=True):
                 if home[s] != at:
                     at, said, known = home[s], [], None
                 piece = batch.slice(s, e - s)
