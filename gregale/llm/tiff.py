@@ -338,18 +338,28 @@ def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
     schema = T.StructType([*files.select(*before).schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("page", "width", "height", "samples", "bits", "compression", "predictor")], T.StructField("tiled", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, kinds = [], 0, []
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+            rows.clear()
+            return out
+
         for batch in batches:
-            media = batch.column(len(before))
-            for at in range(batch.num_rows):
-                row, file, rows = [c[at].as_py() for c in batch.columns[: len(before)]], media[at].as_py(), []
+            kinds = [*batch.schema.types[: len(before)], *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
+            columns = [c.to_pylist() for c in batch.columns[: len(before)]]
+            for row, file in zip(zip(*columns, strict=True), batch.column(len(before)).to_pylist(), strict=True):
                 try:
                     for p in read_pages(file) if file is not None else ():
                         rows.append((*row, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
                 except (BadTiff, zlib.error, struct.error, ValueError) as e:
                     rows.append((*row, *[None] * 9, str(e)))
-                if rows:
-                    kinds = [*batch.schema.types[: len(before)], *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+                held += len(file or b"")
+                if held >= 1 << 21:
+                    held = 0
+                    yield given()
+        if rows:
+            yield given()
 
     small_batches(files.sparkSession)
     return files.select(*before, media_col).mapInArrow(run, schema)
@@ -377,16 +387,15 @@ def digest_pages(pages: DataFrame, carry: tuple[str, ...], id_col: str = "doc_id
 
         for batch in batches:
             kinds = [*batch.schema.types[: len(before)], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            number, data, error = (batch.column(len(before) + i) for i in range(3))
-            for at in range(batch.num_rows):
-                page = number[at].as_py()
-                if page == 0 or page is None and row != [c[at].as_py() for c in batch.columns[: len(before)]]:
+            *of, number, data, error = (c.to_pylist() for c in batch.columns)
+            for own, page, samples, message in zip(zip(*of, strict=True), number, data, error, strict=True):
+                if page == 0 or page is None and row != own:
                     end()
-                    row, told, fault = [c[at].as_py() for c in batch.columns[: len(before)]], Digest(), None
+                    row, told, fault = own, Digest(), None
                 if page is None:
-                    fault = error[at].as_py()
+                    fault = message
                 else:
-                    told.add(data[at].as_py())
+                    told.add(samples)
             if len(done) >= 512:
                 yield given()
         end()
