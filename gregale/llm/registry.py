@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gregale.llm import bpe, fertility, jaccard, linededup, mixing, quality, sharding, suffix, tiff, warc
+from gregale.llm import bpe, fertility, jaccard, linededup, mixing, negatives, quality, repair, sharding, suffix, tiff, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_linededup": linededup.op8_linededup,
     "op9_suffix": suffix.op9_suffix,
     "op10_fertility": fertility.op10_fertility,
+    "op11_urlfilter": urlfilter.op11_urlfilter,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_repair": repair.op13_repair,
 }
-SQL = {"op4_jaccard": jaccard.SQL4, "op7_warc": warc.SQL7, "op8_linededup": linededup.SQL8}
+SQL = {"op4_jaccard": jaccard.SQL4, "op7_warc": warc.SQL7, "op8_linededup": linededup.SQL8, "op11_urlfilter": urlfilter.SQL11, "op12_negatives": negatives.SQL12}
