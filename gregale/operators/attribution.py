@@ -55,10 +55,30 @@ LAW = [r"\sloi\s(?:n.?(?:deg)?\s?)((?:(?:\d+-\d+)\s+)?du\s+(?:\d+\s\w+\s\d{4}))"
 ORDINANCE = [r"ordonnance\s(?:n.?(?:deg)?\s?)((?:(?:\d+-\d+)\s+)?du\s+(?:\d+\s\w+\s\d{4}))"]
 
 
-def code_pattern(names: list[str]) -> list[str]:
-    """Names are tried longest first, as they stand."""
-    quoted = "|".join("\\Q" + n + "\\E" for n in sorted(names, key=lambda n: (-len(n), n)))
-    return [rf"code\s(?:general\sdes?|des?|du|de\sla|d')?\s?((?:{quoted}))"]
+CODE = r"code\s"
+BEFORE_NAME = [r"general\sdes", r"general\sde", "des", "de", "du", r"de\sla", "d'"]
+
+
+def cited_codes(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, document), once each: the codes (document) that a text (id, text) cites by name.
+
+    Names stand after "code", with or without one of BEFORE_NAME between, and as they are. The first of these words after which a name
+    begins counts, and of several names that begin there the longest. What follows each "code" meets the names on as many letters as the shortest name has, so that the
+    dictionary may be of any length; a name within a longer one that was cited isn't looked at.
+    """
+    names = documents.select("document").where("document <> ''").distinct().withColumn("size", F.length("document"))
+    bounds = names.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
+    if bounds.least is None:
+        return rows.select("id", F.lit(None).cast("string").alias("document")).limit(0)
+    # what stands after each "code", up to the longest name; by the text's places, as names may hold that word, too
+    parts = F.split("text", rf"(?={CODE})")
+    at = rows.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i + 1, F.lit(bounds.most // 5 + 2)), ""))).alias("place", "rest"))
+    at = at.where(F.col("rest").rlike(f"^{CODE}")).withColumn("rest", F.substring("rest", 1, bounds.most + 40))
+    tails = [F.regexp_extract("rest", f"(?s)^{CODE}{word}{space}(.*)", 1) for word in (*BEFORE_NAME, "") for space in (r"\s", "")]
+    starts = F.filter(F.transform(F.array(*tails), lambda t, i: F.struct((-i).alias("turn"), t.alias("tail"), F.substring(t, 1, bounds.least).alias("head"))), lambda s: F.length(s["head"]) == bounds.least)
+    named = at.select("id", "place", F.explode(starts).alias("s")).select("id", "place", "s.*")
+    met = named.join(names.withColumn("head", F.substring("document", 1, bounds.least)), "head").where(F.col("tail").startswith(F.col("document")))
+    return met.groupBy("id", "place").agg(F.max_by("document", F.struct("turn", "size")).alias("document")).select("id", "document").distinct()
 
 
 # How texts cite articles, after folding.
@@ -68,14 +88,19 @@ def article_pattern(ordinals: list[str]) -> str:
     return rf"(?:l\.|articles?|art\.?)(?:\set\s|\s?(\d+(?:-\d+)*{rest}))+"
 
 
-def legal_matches(df: DataFrame, documents: DataFrame, patterns: list[str], id_col: str, text_col: str, ordinals: list[str] = (), matcher: str = "LEGAL") -> DataFrame:
-    """Rows of documents (document, article, owner) of which a text cites both, wherever in it."""
-    text = F.coalesce(text_col, F.lit(""))
-    cited = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])))
-    articles = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(article_pattern(list(ordinals))), F.lit(1)), lambda a: F.trim(a)))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(cited).alias("document"), articles.alias("articles"))
-    rows = rows.select("id", "document", F.explode("articles").alias("article"))
-    return _matches(rows.join(documents, ["document", "article"]), matcher, text_col)
+def legal_matches(df: DataFrame, documents: DataFrame, patterns: list[str] | None, id_col: str, text_col: str, ordinals: list[str] = (), matcher: str = "LEGAL") -> DataFrame:
+    """Rows of documents (document, article, owner) of which a text cites both, wherever in it.
+
+    patterns: how texts cite documents, whose first group is the document; None: by the documents' names, as codes are.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    articles = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(article_pattern(list(ordinals))), F.lit(1)), lambda a: F.trim(a)))
+    given = rows.select("id", F.explode(articles).alias("article"))
+    if patterns is None:
+        cited = cited_codes(rows, documents)
+    else:
+        cited = rows.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns])))).alias("document"))
+    return _matches(cited.join(given, "id").join(documents, ["document", "article"]), matcher, text_col)
 
 
 class _Table(HTMLParser):
@@ -265,17 +290,9 @@ def keyword_matcher(keywords: DataFrame, columns: tuple[str, ...]) -> Matcher:
     return Matcher("KEYWORD", columns, lambda df, c: keyword_matches(df, keywords, "id", c))
 
 
-def document_names(documents: DataFrame, most: int = 1000) -> list[str]:
-    """Names of documents, which patterns hold; above `most` is an error."""
-    names = [r[0] for r in documents.select("document").where("document IS NOT NULL").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} document names")
-    return sorted(names)
-
-
 def legal_matcher(kind: str, documents: DataFrame, columns: tuple[str, ...], ordinals: list[str] = ()) -> Matcher:
     """kind: CODE (by the documents' names), LAW or ORDONNANCE."""
-    patterns = code_pattern(document_names(documents)) if kind == "CODE" else {"LAW": LAW, "ORDONNANCE": ORDINANCE}[kind]
+    patterns = {"CODE": None, "LAW": LAW, "ORDONNANCE": ORDINANCE}[kind]
     name = f"LEGAL_DOCUMENT_{kind}"
     return Matcher(name, columns, lambda df, c: legal_matches(df, documents, patterns, "id", c, ordinals, name))
 

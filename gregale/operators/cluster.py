@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gregale.operators.similarity import cosine_pairs, edit_within
+from gregale.operators.similarity import cosine_pairs, near_pairs
 from gregale.operators.storing import stored
 
 #: Links that one task holds.
@@ -24,16 +24,14 @@ LARGE = 30
 def components(links: DataFrame) -> DataFrame:
     """(id, cluster) of the nodes of links (a, b): the smallest id reachable.
 
-    Tasks of TASK_LINKS links each make forests of them; what one task holds is done then. Forests of several tasks are joined by
+    Each task makes forests of its links, TASK_LINKS at a time. Forests that one task can hold are made one there; others are joined by
     two star steps in turn (each node's larger neighbours, then its smaller ones, are tied to its smallest) until the ties stay as
-    they are; rounds grow with the logarithm of a chain's length. Ties are checkpointed so that a lost executor costs no more than a
-    round; set a checkpoint folder that all executors share.
+    they are; rounds grow with the logarithm of a chain's length. Ties are stored, so that a lost executor costs no more than a round.
     """
-    ties = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
-    parts = ties.count() // TASK_LINKS + 1
-    ties = stored(ties.repartition(parts).mapInArrow(_forest, ties.schema))
-    if parts == 1:
-        return _labels(ties)
+    ties = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b")
+    ties = stored(ties.mapInArrow(_forest, ties.schema))
+    if ties.count() <= TASK_LINKS:
+        return _labels(stored(ties.coalesce(1).mapInArrow(_forest, ties.schema)))
     known = None
     while True:
         both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -55,15 +53,21 @@ def _labels(ties: DataFrame) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties (u, v) of each node of the links to the smallest node that they connect it with, themselves left out."""
-    columns, kind = ([], []), None
+    """Ties (u, v) of each node of the links to the smallest node that they connect it with, themselves left out; by TASK_LINKS links."""
+    held, n, kind = ([], []), 0, None
     for batch in batches:
         kind = batch.schema
         for i in (0, 1):
-            columns[i].append(batch.column(i).to_numpy(zero_copy_only=False))
-    if kind is None:
-        return
-    u, v = (np.concatenate(c) for c in columns)
+            held[i].append(batch.column(i).to_numpy(zero_copy_only=False))
+        n += len(batch)
+        if n >= TASK_LINKS:
+            yield _tied(*map(np.concatenate, held), kind)
+            held, n = ([], []), 0
+    if n:
+        yield _tied(*map(np.concatenate, held), kind)
+
+
+def _tied(u: np.ndarray, v: np.ndarray, kind: pa.Schema) -> pa.RecordBatch:
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     root = np.arange(len(nodes))
@@ -75,7 +79,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (root != root[root]).any():
             root = root[root]
     tied = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied], kind.field(0).type), pa.array(nodes[root[tied]], kind.field(1).type)], schema=kind)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[tied], kind.field(0).type), pa.array(nodes[root[tied]], kind.field(1).type)], schema=kind)
 
 
 def tfidf_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str, eps: float) -> DataFrame:
@@ -88,7 +92,7 @@ def tfidf_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str,
 
 
 def members_pairs(clusters: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cluster, a, b, text_a, text_b), a < b, of small clusters (id, cluster); texts: (id, text). Subdivide large ones first."""
+    """(cluster, a, b, text_a, text_b), a < b: all pairs of small clusters (id, cluster); texts: (id, text). Subdivide large ones first."""
     rows = clusters.join(texts, "id")
     a = rows.select("cluster", F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = rows.select("cluster", F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -97,31 +101,25 @@ def members_pairs(clusters: DataFrame, texts: DataFrame) -> DataFrame:
 
 def refine(clusters: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(id, cluster): components of pairs inside a cluster whose edit distance, by length, is at most 1 - threshold."""
-    pairs = members_pairs(clusters, texts)
-    most, size = 1 - threshold, F.greatest(F.length("text_a"), F.length("text_b"))
-    # the most edits whose part of the longer length is at most 1 - threshold, or less than a thousandth, which counts as none
-    edits = F.floor(size * most) + 1
-    edits = F.when(edits / size <= most, edits).when((edits - 1) / size <= most, edits - 1).otherwise(edits - 2)
-    edits = F.greatest(edits, F.ceil(size * 0.001) - 1)
-    near = F.when(size == 0, True).otherwise(edit_within(F.col("text_a"), F.col("text_b"), edits))
-    return components(pairs.where(near).select("a", "b"))
+    return components(near_pairs(clusters.join(texts, "id"), threshold))
 
 
 def subdivide(clusters: DataFrame, texts: DataFrame, eps: float) -> DataFrame:
     """(id, cluster), where clusters of more than LARGE rows are split with ever smaller eps, fitted anew in each.
 
     Starts at 0.6 eps, falls by 0.05 to 0.1, five times at most. Rows that a split leaves alone go; what can't be split stays whole.
+    Each level is stored, and only its oversized clusters go on to the next.
     """
     step, done = max(0.6 * eps, 0.1), None
     for depth in range(5):
-        sizes = clusters.groupBy("cluster").count()
-        large = clusters.join(sizes.where(F.col("count") > LARGE), "cluster", "left_semi")
-        small = clusters.join(sizes.where(F.col("count") <= LARGE), "cluster", "left_semi")
+        sizes = clusters.groupBy("cluster").agg((F.count(F.lit(1)) > LARGE).alias("large"))
+        level = stored(clusters.join(sizes, "cluster"))
+        small, large = (level.where(which).select("id", "cluster") for which in ("NOT large", "large"))
         done = small if done is None else done.unionByName(small)
         if not large.take(1):
             return done
         now = max(step - 0.05 * (depth + 1), 0.1)
-        split = tfidf_clusters(large.join(texts, "id"), ["cluster"], "id", "text", now).withColumnRenamed("cluster", "part")
+        split = stored(tfidf_clusters(large.join(texts, "id"), ["cluster"], "id", "text", now).withColumnRenamed("cluster", "part"))
         parts = large.join(split, "id", "left")
         whole = parts.groupBy("cluster").agg(F.count("part").alias("n")).where("n = 0").select("cluster")
         done = done.unionByName(large.join(whole, "cluster", "left_semi"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +29,47 @@ def best_match(scored: DataFrame) -> DataFrame:
     """(new_id, old_id, ratio) from (new_id, old_id, old_pos, ratio, least, answer, time).
 
     Candidates are met in old_pos order. One whose ratio suffices takes the lead if the leader's answer is empty and its own isn't,
-    or if it is newer; so a newer one without an answer can displace one with an answer, as the order decides.
+    or if it is newer; so a newer one without an answer can displace one with an answer, as the order decides. Candidates stream by,
+    sorted, and only the leader is kept, so that a row may have any number of them.
     """
-    seen = F.array_sort(F.collect_list(F.struct("old_pos", "old_id", "ratio", F.length(F.coalesce("answer", F.lit(""))).alias("size"), F.col("time").cast("long").alias("time"))))
-    start = F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("ratio"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("time"))
+    order = ["new_id", "old_pos", "old_id", "ratio", "size", "time"]
+    rows = scored.where(F.col("ratio") >= F.col("least")).select(
+        F.col("new_id").cast("long").alias("new_id"), F.col("old_pos").cast("long").alias("old_pos"), F.col("old_id").cast("long").alias("old_id"), F.col("ratio").cast("double").alias("ratio"),
+        F.length(F.coalesce("answer", F.lit(""))).alias("size"), F.col("time").cast("long").alias("time"),
+    )
+    rows = rows.repartition("new_id").sortWithinPartitions(*order).select("new_id", "old_id", "ratio", "size", "time")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["new_id", "old_id", "ratio"]
+        best: tuple | None = None
+        for batch in batches:
+            done = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if best is None or best[0] != row[0]:
+                    if best is not None:
+                        done.append(best[:3])
+                    best = row
+                elif (best[3] == 0 and row[3] > 0) or best[4] is None or (row[4] is not None and row[4] > best[4]):
+                    best = row
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=names)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[i]], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=names)
+
+    return rows.mapInArrow(run, "new_id long, old_id long, ratio double")
 
-    def step(best: Column, c: Column) -> Column:
-        better = ((best["size"] == 0) & (c["size"] > 0)) | best["time"].isNull() | (c["time"] > best["time"])
-        lead = F.struct(c["old_id"].cast("long").alias("id"), c["ratio"].cast("double").alias("ratio"), c["size"].alias("size"), c["time"].alias("time"))
-        return F.when(better, lead).otherwise(best)
 
-    out = scored.where(F.col("ratio") >= F.col("least")).groupBy("new_id").agg(F.aggregate(seen, start, step).alias("best"))
-    return out.select("new_id", F.col("best.id").alias("old_id"), F.col("best.ratio").alias("ratio"))
+def of_first_project(old: DataFrame, new: DataFrame, id_col: str, project_col: str = "origin_project") -> DataFrame:
+    """Old rows of the project of the first new row.
 
+    In a store that is partitioned by project, only that project's files are read: the one row is broadcast, and its comparison with
+    a text, which any project passes, is what Spark takes it for selective by.
+    """
+    first = new.agg(F.min_by(project_col, id_col).alias("_project")).where(F.col("_project") >= "")  # one row
+    return old.join(F.broadcast(first), F.col(project_col) == F.col("_project")).drop("_project")
 
-def of_first_project(old: DataFrame, new: DataFrame, id_col: str, project_col: str = "origin_project") -> DataFrame:
-    """Old rows of the project of the first new row."""
-    first = new.agg(F.min_by(project_col, id_col).alias("_project"))  # one row
-    return old.join(first, F.col(project_col) == F.col("_project")).drop("_project")
+
+#: Which old rows a column's search looks at: (old, new, id column) -> old rows. Add to it for other filters.
+ColumnFilter = Callable[[DataFrame, DataFrame, str], DataFrame]
 
 
 def matches(old: DataFrame, new: DataFrame, column: str, block: list[str], least: float, ratio_least: float, overrides: dict[str, float], id_col: str) -> DataFrame:

@@ -1,13 +1,16 @@
-"""TF-IDF cosine joins and edit distances."""
+"""TF-IDF cosine joins and edit-distance joins."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
+from gregale.operators.storing import stored
+
 #: Digits to which cosines are rounded before they meet a threshold.
 DIGITS = 9
 
@@ -29,52 +32,74 @@ def tfidf(df: DataFrame, block: list[str], id_col: str, text_col: str) -> DataFr
 
 
 #: How far a row's rare terms go: until its common ones, left out, are this part of the threshold long.
-REST = 0.5
+REST = 0.97
+#: Rows of a term's list that meet in one task; longer lists are dealt into parts, of which each pair meets once.
+LIST = 5000
 
 
-def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
-    """(id, key, w, rare, rest): tfidf with terms hashed together with their block; rare: among the terms that pairs are looked for by;
-    rest: the length of the row's other terms.
+def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float, side: Column | None = None) -> DataFrame:
+    """(id, side, key, w, rare, tail, rest, last, parts): tfidf with terms hashed together with their block.
 
-    In an order of all terms, rare ones first, a row's rare terms go on until the rest is shorter than REST of the threshold.
+    In an order of all terms, rare ones first, a row's rare terms go on until the length of the rest is below REST of the threshold.
+    tail: the length of the row's terms after this one; rest: of those after its rare ones; last: the last rare one's place in the
+    order; parts: into how many parts the term's list is dealt, 0 for a list of one row. side: what else is to be known of a row.
     """
-    known = (df.dropna(subset=block) if block else df).select(F.col(id_col).alias("id"), F.xxhash64(*block, F.lit(0)).alias("block"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
-    words = known.select("id", "block", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}_]{2,})"), F.lit(1))).alias("term"))
-    tf = words.groupBy("id", "block", F.xxhash64("block", "term").alias("key")).agg(F.count(F.lit(1)).alias("tf"))
+    known = (df.dropna(subset=block) if block else df).select(F.col(id_col).alias("id"), (F.lit(False) if side is None else side).alias("side"), F.xxhash64(*block, F.lit(0)).alias("block"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    # texts are dealt by id, so that a row's terms are counted where they are; they are hashed before they become rows
+    words = known.repartition("id").select("id", "side", "block", F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}_]{2,})"), F.lit(1)).alias("terms"))
+    keys = words.select("id", "side", "block", F.explode(F.transform("terms", lambda t: F.xxhash64("block", t))).alias("key"))
+    tf = stored(keys.groupBy("id", "side", "block", "key").agg(F.count(F.lit(1)).alias("tf")))
     sizes = known.groupBy("block").agg(F.countDistinct("id").alias("n"))
     idf = tf.groupBy("block", "key").agg(F.count(F.lit(1)).alias("df")).join(sizes, "block").select("key", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "key").select("id", "key", "df", (F.col("tf") * F.col("idf")).alias("raw"))
-    row = Window.partitionBy("id")
-    common = row.orderBy(F.col("df").desc(), "key")
+    raw = tf.join(idf, "key").select("id", "side", "key", "df", (F.col("tf") * F.col("idf")).alias("raw"))
+    row = Window.partitionBy("id").orderBy(F.col("df").desc(), "key")
+    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     square = F.col("raw") * F.col("raw")
-    tails = raw.withColumns({"tail": F.sum(square).over(common), "all": F.sum(square).over(row)})
-    tails = tails.select("id", "key", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("tail") / F.col("all")).alias("tail"))
-    short = F.col("tail") < REST * least - 1e-9
-    return tails.select("id", "key", "w", (~short).alias("rare"), F.coalesce(F.max(F.when(short, F.col("tail"))).over(row), F.lit(0.0)).alias("rest"))
+    before = row.rowsBetween(Window.unboundedPreceding, -1)
+    tails = raw.withColumns({"tail": F.coalesce(F.sum(square).over(before), F.lit(0.0)), "all": F.sum(square).over(whole)})
+    tails = tails.select("id", "side", "key", "df", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("tail") / F.col("all")).alias("tail"), F.sqrt((F.col("tail") + square) / F.col("all")).alias("on"))
+    rare = F.col("on") >= REST * least - 1e-9
+    place = F.struct("df", -F.col("key"))  # smaller in the order, as the window falls by df and rises by key
+    last = tails.withColumns({"rare": rare, "rest": F.coalesce(F.max(F.when(~rare, F.col("on"))).over(whole), F.lit(0.0)), "last": F.max(F.when(rare, place)).over(whole)})
+    return last.select("id", "side", "key", "w", "rare", "tail", "rest", "last", F.ceil((F.col("df") - 1) / LIST).cast("int").alias("parts"))
+
+
+def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """(a, b, product, more) of rows that share a rare term; more: what all terms after it can add at most.
+
+    The part of a term's list that a row is in is a hash of its id; left rows go to all parts of the right ones, and the other way
+    round, so that each pair meets once, in tasks of 2 LIST rows at most, about.
+    """
+    part = F.pmod(F.xxhash64("id"), "parts")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = lambda x: [F.col("id").alias(x), "key", *[F.col(c).alias(f"{c}_{x}") for c in ("w", "tail", "rest", "last")]]
+    l = left.where("rare AND parts > 0").select(*columns("a"), part.alias("i"), every.alias("j"))
+    r = right.where("rare AND parts > 0").select(*columns("b"), part.alias("j"), every.alias("i"))
+    met = l.join(r, ["key", "i", "j"])
+    # what comes after the last rare term of one row is as long as its rest, and the other row's as its tail here at most
+    more = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a") * F.col("tail_b")).otherwise(F.col("rest_b") * F.col("tail_a"))
+    return (met.where("a < b") if same else met).select("a", "b", (F.col("w_a") * F.col("w_b")).alias("product"), more.alias("more"))
 
 
 def _scored(left: DataFrame, right: DataFrame, least: float, same: bool) -> DataFrame:
     """(a, b, cos) of rows of left and right (terms of one fit) with cos >= least; same: both are one table, a < b.
 
-    Rows meet on rare terms. Of two rows, the one whose rare terms end first in the common order has all it shares up to there among
-    the rare terms of both, and beyond it shares no more than its rest is long; so only pairs whose rare terms make up for that are
-    scored on all terms.
+    The rarest term that two rows share is among the rare terms of both, if their cosine can reach `least`: what follows a row's rare
+    terms is too short for that alone. Of two rows, the one whose rare terms end first has all that it shares up to there among the
+    rare terms of both; so only pairs whose rare terms' products and the bound on what follows reach `least` are scored on all terms.
     """
     if least <= 0:
         raise ValueError("a cosine join needs a positive threshold")
-    l = left.where("rare").select(F.col("id").alias("a"), "key", F.col("w").alias("wa"), F.col("rest").alias("ra"))
-    r = right.where("rare").select(F.col("id").alias("b"), "key", F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    met = l.join(r, "key")
-    met = (met.where("a < b") if same else met).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
-    pairs = met.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b")
-    wa, wb = (t.select(F.col("id").alias(x), "key", F.col("w").alias(f"w{x}")) for t, x in ((left, "a"), (right, "b")))
-    scored = pairs.join(wa, "a").join(wb, ["b", "key"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DIGITS).alias("cos"))
+    met = _met(left, right, same).groupBy("a", "b").agg(F.sum("product").alias("part"), F.min("more").alias("more"))
+    pairs = stored(met.where(F.col("part") + F.col("more") >= least - 1e-9).select("a", "b"))  # so that Spark knows how few there are
+    wa, wb = (pairs.join(t.select(F.col("id").alias(x), "key", F.col("w").alias(f"w{x}")), x) for t, x in ((left, "a"), (right, "b")))
+    scored = wa.join(wb, ["a", "b", "key"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DIGITS).alias("cos"))
     return scored.where(F.col("cos") >= least)
 
 
 def cosine_pairs(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
     """Pairs of a batch: (block..., a, b, cos), a < b, with cos >= least > 0; pairs without a common term have none. Ids are unique."""
-    terms = _terms(df, block, id_col, text_col, least)
+    terms = stored(_terms(df, block, id_col, text_col, least))
     out = _scored(terms, terms, least, same=True)
     return out.join(df.select(F.col(id_col).alias("a"), *block), "a").select(*block, "a", "b", "cos") if block else out
 
@@ -82,52 +107,98 @@ def cosine_pairs(df: DataFrame, block: list[str], id_col: str, text_col: str, le
 def cosine_candidates(old: DataFrame, new: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
     """(block..., a, b, cos) of new rows a and old rows b, fitted on both together. Ids of old and new must differ."""
     cols = [*block, id_col, text_col]
-    terms = _terms(old.select(*cols).unionByName(new.select(*cols)), block, id_col, text_col, least)
-    sides = [terms.join(side.select(F.col(id_col).alias("id")), "id", "left_semi") for side in (new, old)]
-    out = _scored(*sides, least, same=False)
+    both = old.select(*cols, F.lit(False).alias("__new")).unionByName(new.select(*cols, F.lit(True).alias("__new")))
+    terms = stored(_terms(both, block, id_col, text_col, least, F.col("__new")))
+    out = _scored(terms.where("side"), terms.where("NOT side"), least, same=False)
     return out.join(new.select(F.col(id_col).alias("a"), *block), "a").select(*block, "a", "b", "cos") if block else out
 
 
-def _damerau(a: str, b: str) -> int:
-    """Unrestricted Damerau-Levenshtein distance of two strings, in code points."""
-    if a == b:
-        return 0
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) + len(b)
-    far = len(a) + len(b)
-    last: dict[str, int] = {}
-    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        row, match = [far, i] + [0] * len(b), 0
-        for j, y in enumerate(b, 1):
-            k, l = last.get(y, 0), match
-            if x == y:
-                match = j
-            row[j + 1] = min(rows[i][j] + (x != y), row[j] + 1, rows[i][j + 1] + 1, rows[k][l] + (i - k - 1) + 1 + (j - l - 1))
-        rows.append(row)
-        last[x] = i
-    return rows[-1][-1]
+#: Numbers of the tables that one step of the distance kernel holds.
+CELLS = 2_000_000
+
+
+def damerau_many(a: list[str], b: list[str]) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances of the pairs, in code points.
+
+    Pairs lie side by side, in the order of their lengths, so many that CELLS numbers hold their tables; a row of all of them is one
+    step. What both strings begin and end with is left out first.
+    """
+    left, right = [], []
+    for x, y in zip(a, b, strict=True):
+        p, q = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
+        n = min(len(p), len(q))
+        apart = np.flatnonzero(p[:n] != q[:n])
+        start = int(apart[0]) if len(apart) else n
+        n -= start
+        apart = np.flatnonzero(p[len(p) - n :][::-1] != q[len(q) - n :][::-1])
+        end = int(apart[0]) if len(apart) else n
+        left.append(p[start : len(p) - end])
+        right.append(q[start : len(q) - end])
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = sizes.sum(axis=1)  # where one side is empty, the other's length
+    open_ = np.flatnonzero(sizes.min(axis=1, initial=1 << 62) > 0)
+    open_ = open_[np.lexsort((sizes[open_, 1], sizes[open_, 0]))]
+    at = 0
+    while at < len(open_):
+        end, m = at, 0
+        while end < len(open_):
+            n, m_ = sizes[open_[end], 0], max(m, int(sizes[open_[end], 1]))
+            if end > at and (end + 1 - at) * (n + 1) * (m_ + 1) > CELLS:
+                break
+            end, m = end + 1, m_
+        own = open_[at:end]
+        out[own] = _tables([left[i] for i in own], [right[i] for i in own])
+        at = end
+    return out
+
+
+def _tables(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    la, lb = (np.array([len(x) for x in side]) for side in (a, b))
+    n, m, pairs = int(la.max()), int(lb.max()), len(a)
+    x, y = np.zeros((pairs, n), np.int64), np.full((pairs, m), -1, np.int64)  # no filling equals a code point of the other side
+    x[np.arange(n) < la[:, None]] = np.concatenate(a).astype(np.int64) + 1
+    y[np.arange(m) < lb[:, None]] = np.concatenate(b).astype(np.int64) + 1
+    d = np.empty((n + 1, pairs, m + 1), np.int32)
+    steps = np.arange(m + 1, dtype=np.int32)
+    d[0] = steps
+    row_of = np.zeros((pairs, m), np.int32)  # the last row whose letter is the column's
+    places = np.arange(1, m + 1, dtype=np.int32)
+    for i in range(1, n + 1):
+        same = x[:, i - 1, None] == y
+        column_of = np.zeros((pairs, m), np.int32)  # the last column before this one whose letter is the row's
+        np.maximum.accumulate(np.where(same, places, 0)[:, :-1], axis=1, out=column_of[:, 1:])
+        best = np.minimum(d[i - 1, :, :-1] + ~same, d[i - 1, :, 1:] + 1)
+        p, j = np.nonzero((row_of > 0) & (column_of > 0))
+        k, l = row_of[p, j], column_of[p, j]
+        best[p, j] = np.minimum(best[p, j], d[k - 1, p, l - 1] + (i - k) + (j + 1 - l) - 1)
+        d[i, :, 0] = i
+        d[i, :, 1:] = best
+        np.minimum.accumulate(d[i] - steps, axis=1, out=d[i])  # letters put in on the way along the row
+        d[i] += steps
+        row_of[same] = i
+    return d[la, np.arange(pairs), lb]
 
 
 @F.pandas_udf(IntegerType())
 def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series([None] * len(a), dtype="Int32")
+    if known.any():
+        out[known] = damerau_many(a[known].tolist(), b[known].tolist()).astype("int32")
+    return out
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Damerau-Levenshtein distance. Equal texts, and those one edit or less apart, never reach Python."""
+    """Damerau-Levenshtein distance. Texts at most one edit apart are sent to Python as nulls, and cost nothing there."""
     plain = F.levenshtein(a, b)
-    return F.when(a == b, 0).when(plain <= 1, plain).otherwise(damerau(a, b))
+    return F.when(plain <= 1, plain).otherwise(damerau(F.when(plain > 1, a), F.when(plain > 1, b)))
 
 
 def edit_within(a: Column, b: Column, most: Column) -> Column:
-    """Whether the distance is at most `most`. Lengths and Levenshtein distances (at most twice as large) decide most pairs."""
+    """Whether the distance is at most `most`. Levenshtein distances, which are at most twice as large, decide most pairs; others reach Python."""
     plain = F.levenshtein(a, b)
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, False).when(plain <= most, True).when(plain > 2 * most, False).otherwise(damerau(a, b) <= most)
+    open_ = (plain > most) & (plain <= 2 * most) & (F.abs(F.length(a) - F.length(b)) <= most)
+    return F.when(plain.isNull() | most.isNull(), None).when(plain <= most, True).when(open_, damerau(F.when(open_, a), F.when(open_, b)) <= most).otherwise(False)
 
 
 def edit_pairs(pairs: DataFrame, text_a: str, text_b: str) -> DataFrame:
@@ -136,3 +207,57 @@ def edit_pairs(pairs: DataFrame, text_a: str, text_b: str) -> DataFrame:
     raw = F.when(longest > 0, edit_distance(F.col(text_a), F.col(text_b)) / longest).otherwise(0.0)
     dist = F.when(F.col("raw") < 0.001, 0.0).otherwise(F.col("raw"))
     return pairs.withColumn("raw", raw).withColumn("dist", dist).withColumn("pct", (1 - F.col("dist")) * 100).drop("raw")
+
+
+#: Letters of a piece, at most and at least; where texts may differ so much that pieces would be shorter, lengths alone choose candidates.
+LONGEST_PIECE, SHORTEST_PIECE = 12, 3
+
+
+def most_edits(size: Column, threshold: float) -> Column:
+    """The most edits whose part of `size`, the longer length, is at most 1 - threshold, or less than a thousandth, which counts as none."""
+    most = 1 - threshold
+    edits = F.floor(size * most) + 1
+    edits = F.when(edits / size <= most, edits).when((edits - 1) / size <= most, edits - 1).otherwise(edits - 2)
+    return F.greatest(edits, F.ceil(size * 0.001) - 1)
+
+
+def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of rows (cluster, id, text) of one cluster whose edit distance, over the longer length, is at most 1 - threshold.
+
+    Of equal texts of a cluster the first stands for all, and the others are paired with it alone; the pairs between different texts
+    are those of their first ones. So the pairs connect what all pairs would.
+
+    Candidates share a piece of some letters (overlapping grams) near the same place: k edits spoil 2k times a piece's length of a
+    text's pieces at most, so one of the first 2k * length + 1 pieces, in an order of all pieces, stands in both texts, k places apart
+    at most. Texts too short for that for the edits allowed meet all texts of a like length.
+    """
+    keyed = rows.where("text IS NOT NULL").select("cluster", "id", "text", F.length("text").alias("size"), F.xxhash64("text").alias("h"))
+    first = keyed.groupBy("cluster", "text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = keyed.join(first.where("n > 1").select("cluster", "text", "first"), ["cluster", "text"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    loss = max(1 - threshold, 0.001)
+    piece = min(LONGEST_PIECE, int(0.5 / loss))
+    longest_partner = F.ceil((F.col("size") + 1) / (1 - loss)) if loss < 1 else F.lit(1 << 30).cast("long")
+    texts = first.select("cluster", F.col("first").alias("id"), "text", F.length("text").alias("size"))
+    texts = texts.withColumn("edits", most_edits(longest_partner, threshold).cast("long"))
+    spoilt = 2 * F.col("edits") * piece
+    texts = stored(texts.withColumn("fit", F.lit(piece >= SHORTEST_PIECE) & (F.col("size") - piece + 1 > spoilt)))
+    a, b = (texts.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "text", "size", "edits", "fit")]) for x in ("a", "b"))
+    # bands of lengths: two texts that may be near lie in the same or in neighbouring ones
+    wide = float(np.log(1 / (1 - min(0.99, loss + 0.001))))
+    band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / wide).cast("int") if loss < 0.99 else F.lit(0)
+    short = a.where("NOT fit_a").withColumn("band", band(F.col("size_a")))
+    every = b.withColumn("band", F.explode(F.array(*[band(F.col("size_b")) + i for i in ((-1, 0, 1) if loss < 0.99 else (0,))])))
+    by_length = short.join(every, ["cluster", "band"]).where((F.col("fit_b") & (F.col("id_a") != F.col("id_b"))) | (F.col("id_a") < F.col("id_b")))
+    candidates = by_length.select("id_a", "id_b", "text_a", "text_b")
+    if piece >= SHORTEST_PIECE:
+        starts = F.sequence(F.lit(1), F.col("size") - piece + 1)
+        grams = F.transform(starts, lambda i: F.struct(F.xxhash64(F.substring(F.col("text"), i, F.lit(piece))).alias("gram"), i.alias("at")))
+        chosen = texts.where("fit").select("cluster", "id", "size", "edits", F.explode(F.slice(F.array_sort(grams), F.lit(1), (spoilt + 1).cast("int"))).alias("g")).select("*", "g.*")
+        l, r = (chosen.select("cluster", "gram", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "at", "size", "edits")]) for x in ("a", "b"))
+        near = (F.abs(F.col("at_a") - F.col("at_b")) <= F.least("edits_a", "edits_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= F.least("edits_a", "edits_b"))
+        met = l.join(r, ["cluster", "gram"]).where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b").distinct()
+        both = met.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+        candidates = candidates.unionByName(both.select("id_a", "id_b", "text_a", "text_b"))
+    size = F.greatest(F.length("text_a"), F.length("text_b"))
+    found = candidates.where(edit_within(F.col("text_a"), F.col("text_b"), most_edits(size, threshold)))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).unionByName(copies)

@@ -192,12 +192,12 @@ def attributed(matchers: list[at.Matcher], defaults: list[str] = (), infos: Data
 
 
 def attribution(
-    keyword_sheet: DataFrame, columns: tuple[str, ...] = ("Exposé amdt",), order: tuple[str, ...] = (), legal: tuple[DataFrame, list[str]] | None = None,
+    keyword_sheet: DataFrame, columns: tuple[str, ...] = ("Exposé amdt",), order: tuple[str, ...] = (), legal: tuple[DataFrame, list[str] | None] | None = None,
     credit: tuple[DataFrame, str] | None = None, articles: DataFrame | None = None, raw_body: str = "Corps amdt original", defaults: list[str] = (), infos: DataFrame | None = None,
 ) -> Feature:
     """Owner by keywords and law references of the columns, by the credit table of raw_body, and by the article of editorial rows.
 
-    legal: documents (document, article, owner) and patterns of their names; credit: (program, owner), programs normalised, and the type of credits;
+    legal: documents (document, article, owner) and patterns of their names, or None for codes; credit: (program, owner), programs normalised, and the type of credits;
     articles: (article, owner). What isn't given doesn't match. With an order of matchers (KEYWORD, LEGAL, CREDIT_TABLE, REDACTIONAL),
     the first that matches decides alone.
     """

@@ -398,13 +398,6 @@ def _cited(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("a l'article "), F.col("p_size").cast("string"), F.lit(" du code de "), F.lower("p_brand"), F.lit(" et articles "), (F.col("p_size") + 1).cast("string"), F.lit(" et "), (F.col("p_size") + 2).cast("string")).alias("text"))
 
 
-def _brands(spark, d):
-    names = [r[0] for r in _t(spark, d, "part").select(F.lower("p_brand")).where("p_brand IS NOT NULL").distinct().limit(1001).collect()]  # 25 brands
-    if len(names) > 1000:
-        raise ValueError("more than 1000 document names")
-    return sorted(names)
-
-
 def _codes(spark, d):
     return _t(spark, d, "part").select(F.lower("p_brand").alias("document"), F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat("document", F.lit("/"), "article"))
 
@@ -412,8 +405,7 @@ def _codes(spark, d):
 @query(f"""WITH {_CITED}, d AS (SELECT DISTINCT lower(p_brand) AS document, p_size::VARCHAR AS article FROM part)
 SELECT id, document, article, document || '/' || article AS owner FROM x JOIN d ON d.document = lower(x.p_brand) AND d.article IN (x.p_size::VARCHAR, (x.p_size + 2)::VARCHAR)""")
 def legal_matches(spark, d):
-    brands = _brands(spark, d)
-    return at.legal_matches(_cited(spark, d), _codes(spark, d), at.code_pattern(brands), "p_partkey", "text").select("id", "document", "article", "owner")
+    return at.legal_matches(_cited(spark, d), _codes(spark, d), None, "p_partkey", "text").select("id", "document", "article", "owner")
 
 
 _CREDIT = "g AS (SELECT l_orderkey AS id, l_returnflag AS program, CASE WHEN l_returnflag = 'N' THEN floor(l_quantity)::BIGINT ELSE 0 END AS plus, CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity)::BIGINT ELSE 0 END AS minus FROM lineitem), f AS (SELECT id, max(plus) AS gain, max(minus) AS loss FROM g GROUP BY id)"
@@ -765,5 +757,5 @@ def enrichment_full(spark, d):
     words = spark.createDataFrame([("article de la marque", "Alice"), ("copper", "Bob"), ("red", "Chloé")], "`Mots clés` string, `Prénom Nom` string")
     opinions = part.select(F.col("p_type").alias("grp")).distinct().withColumn("default", F.concat(F.lit("Avis "), "grp"))
     articles = part.select(F.col("p_size").cast("string").alias("article")).distinct().withColumn("owner", F.concat(F.lit("Article "), "article"))
-    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words, legal=(_codes(spark, d), at.code_pattern(_brands(spark, d))), articles=articles), features.search(old, [search.Copy("Réponse")]), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions), features.within_batch(("Lecture", "Num article"))])
+    done, _ = features.enrich_batch(batch, ["Lecture", "Num article"], [features.attribution(words, legal=(_codes(spark, d), None), articles=articles), features.search(old, [search.Copy("Réponse")]), features.summary(lambda: lambda p: p[:40]), features.opinion(opinions), features.within_batch(("Lecture", "Num article"))])
     return done
