@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     ties = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b")
     ties = stored(ties.mapInArrow(_forest, ties.schema))
     if ties.count() <= TASK_LINKS:
-        return _labels(stored(ties.coalesce(1).mapInArrow(_forest, ties.schema)))
+        ids = ties.schema["u"].dataType.simpleString()
+        return ties.coalesce(1).mapInArrow(_named, f"id {ids}, cluster {ids}")
     known = None
     while True:
         both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,7 +68,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _tied(*map(np.concatenate, held), kind)
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, cluster) of all nodes of the ties."""
+    held = list(batches)
+    if sum(map(len, held)):
+        nodes, root = _roots(*(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1)))
+        kind = held[0].schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[root], kind)], names=["id", "cluster"])
+
+
 def _tied(u: np.ndarray, v: np.ndarray, kind: pa.Schema) -> pa.RecordBatch:
+    nodes, root = _roots(u, v)
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[tied], kind.field(0).type), pa.array(nodes[root[tied]], kind.field(1).type)], schema=kind)
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, in order, and the place of the smallest that each is connected with."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     root = np.arange(len(nodes))
@@ -78,8 +95,7 @@ def _tied(u: np.ndarray, v: np.ndarray, kind: pa.Schema) -> pa.RecordBatch:
         np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
         while (root != root[root]).any():
             root = root[root]
-    tied = np.flatnonzero(root != np.arange(len(nodes)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[tied], kind.field(0).type), pa.array(nodes[root[tied]], kind.field(1).type)], schema=kind)
+    return nodes, root
 
 
 def tfidf_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str, eps: float) -> DataFrame:
@@ -112,12 +128,12 @@ def subdivide(clusters: DataFrame, texts: DataFrame, eps: float) -> DataFrame:
     """
     step, done = max(0.6 * eps, 0.1), None
     for depth in range(5):
-        sizes = clusters.groupBy("cluster").agg((F.count(F.lit(1)) > LARGE).alias("large"))
-        level = stored(clusters.join(sizes, "cluster"))
-        small, large = (level.where(which).select("id", "cluster") for which in ("NOT large", "large"))
+        oversized = stored(clusters.groupBy("cluster").count().where(F.col("count") > LARGE).select("cluster"))
+        if not oversized.take(1):
+            break
+        small = clusters.join(oversized, "cluster", "left_anti")
         done = small if done is None else done.unionByName(small)
-        if not large.take(1):
-            return done
+        large = stored(clusters.join(oversized, "cluster", "left_semi"))
         now = max(step - 0.05 * (depth + 1), 0.1)
         split = stored(tfidf_clusters(large.join(texts, "id"), ["cluster"], "id", "text", now).withColumnRenamed("cluster", "part"))
         parts = large.join(split, "id", "left")
@@ -126,7 +142,7 @@ def subdivide(clusters: DataFrame, texts: DataFrame, eps: float) -> DataFrame:
         clusters = split.select("id", F.col("part").alias("cluster"))
         if now <= 0.1:
             break
-    return done.unionByName(clusters)
+    return clusters if done is None else done.unionByName(clusters)
 
 
 def get_clusters(df: DataFrame, block: list[str], id_col: str, text_col: str, eps: float, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,11 @@ from gregale.operators import similarity as sim
 from gregale.operators.storing import stored
 
 log = logging.getLogger(__name__)
-ID, COMMENTS = "amdt_idx", "Commentaires"
+ID, COMMENTS, OWNER = "amdt_idx", "Commentaires", "Affectation (nom)"
+
+
+#: (rows, groups (id, cluster)) -> the rows that stay.
+Keep = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class MissingColumns(ValueError):
@@ -38,6 +42,8 @@ class Feature:
     transform: Callable[[DataFrame], DataFrame]
     prepare: Callable[[], None] | None = None
     overwrite: bool = True
+    #: Which rows of near-identical ones stay while this feature runs; None: the first of each group.
+    keep: Keep | None = None
     metrics: dict = field(default_factory=dict)
 
 
@@ -93,18 +99,37 @@ def run_features(df: DataFrame, features: list[Feature]) -> tuple[DataFrame, dic
     return enrich.merge_results(df, results, ID, COMMENTS), failed
 
 
-def allot(df: DataFrame, block: list[str], column: str, eps: float, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, groups (id, cluster)): near-identical rows of a block, of which the first stays."""
+def keep_first(df: DataFrame, groups: DataFrame) -> DataFrame:
+    return dedup.keep_first(df, groups, ID, ID)
+
+
+def keep_by_owner(defaults: list[str] = ()) -> Keep:
+    """Of each group, the first row of the owner whom most of its rows have, default owners aside; else the first row."""
+
+    def keep(df: DataFrame, groups: DataFrame) -> DataFrame:
+        return dedup.keep_majority_owner(df, groups, ID, ID, OWNER, list(defaults)) if OWNER in df.columns else keep_first(df, groups)
+
+    return keep
+
+
+def allot(df: DataFrame, block: list[str], column: str, eps: float, threshold: float, keep: Keep = keep_first) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, groups (id, cluster)): near-identical rows of a block, of which one stays, as keep says."""
     body = tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article"))
     ready = df.withColumn("Corps amdt", body).where(~tx.is_blank(F.col(column))).withColumn("__text", tx.normalize_text(F.col(column)))
     _, groups = cluster.get_clusters(stored(ready), block, ID, "__text", eps, threshold)
-    return dedup.keep_first(df, groups, ID, ID), groups
+    return keep(df, groups), groups
 
 
 def give_back(original: DataFrame, enriched: DataFrame, groups: DataFrame, columns: list[str], num_col: str = "Num amdt") -> DataFrame:
-    """All original rows with the enriched columns: their own, or those of their group's fullest row; groups get their label."""
-    base = original.drop(*columns)
-    full = base.join(enriched.select(ID, *columns), ID, "left")
+    """All original rows with the enriched columns: their own, or those of their group's fullest row; groups get their label.
+
+    Rows that no feature saw, as blank ones are, keep what they had.
+    """
+    given = enriched.select(F.col(ID).alias("__given"), *[F.col(c).alias(f"__{c}") for c in columns])
+    rows = original.join(given, original[ID] == F.col("__given"), "left").join(groups.select(F.col("id").alias("__member")), original[ID] == F.col("__member"), "left")
+    had = lambda c: F.when(F.col("__member").isNull(), F.col(c)) if c in original.columns else F.lit(None)
+    values = {c: F.when(F.col("__given").isNotNull(), F.col(f"__{c}")).otherwise(had(c)) for c in columns}
+    full = rows.withColumns(values).select(*dict.fromkeys([*original.columns, *columns]))
     out = dedup.populate(full, groups, ID, ID, columns)
     named = dedup.labels(original, groups, ID, num_col).select(F.col("id").alias("__id"), "label")
     return out.drop("Allotissement").join(named, out[ID] == F.col("__id"), "left").drop("__id").withColumnRenamed("label", "Allotissement")
@@ -177,7 +202,7 @@ def subsidiary(sheet: DataFrame) -> DataFrame:
     return sheet.select(F.when((F.trim(name) != "") & ~name.startswith("article "), F.concat(F.lit("article "), name)).otherwise(name).alias("article"), F.coalesce("Affectation (nom)", F.lit("")).alias("owner"))
 
 
-OWNED_BY_ATTRIBUTION = ["Affectation (nom)", "Affectation (email)", "Entité Pilote", COMMENTS]
+OWNED_BY_ATTRIBUTION = [OWNER, "Affectation (email)", "Entité Pilote", COMMENTS]
 
 
 def attributed(matchers: list[at.Matcher], defaults: list[str] = (), infos: DataFrame | None = None, early: bool = False, overwrite: bool = True) -> Feature:
@@ -188,7 +213,7 @@ def attributed(matchers: list[at.Matcher], defaults: list[str] = (), infos: Data
         return out.select(F.col("id").alias(ID), F.col("owner").alias("Affectation (nom)"), F.col("mail").alias("Affectation (email)"), F.col("entity").alias("Entité Pilote"), F.col("comment").alias(COMMENTS))
 
     needs = ["is_redactional", "Num article"] if any(m.name == "REDACTIONAL" for m in matchers) else []
-    return Feature("attribution", [ID, *needs], OWNED_BY_ATTRIBUTION, transform, overwrite=overwrite)
+    return Feature("attribution", [ID, *needs], OWNED_BY_ATTRIBUTION, transform, overwrite=overwrite, keep=keep_by_owner(defaults))
 
 
 def attribution(
@@ -237,12 +262,14 @@ PRESETS = {"PLF": budget_attribution, "PLFSS": social_attribution}
 def search(
     store: DataFrame, copies: list[find.Copy], thresholds: dict[str, float] | None = None, ratios: dict[str, float] | None = None,
     overrides: dict[str, dict[str, float]] | None = None, blocks: dict[str, list[str]] | None = None, same_project: tuple[str, ...] = ("Corps amdt",), overwrite: bool = True,
+    filters: dict[str, find.ColumnFilter] | None = None,
 ) -> Feature:
     """Answers of the most similar row of the historical store, copied, and a comment that says where from.
 
     store: rows as plans.store.build makes them. For each column: candidates by TF-IDF cosine (thresholds), inside blocks, then by
     edit distance over the old text's length (ratios; overrides by the new text's beginning); columns of same_project look only at
-    rows of the first new row's project. The match of the highest ratio over columns gives its answers.
+    rows of the first new row's project, and those of filters at the old rows that their filter gives. The match of the highest ratio
+    over columns gives its answers.
     """
     if not copies:
         raise ValueError("no columns to copy")
@@ -250,6 +277,7 @@ def search(
     ratios = {"Exposé amdt": 0.4, "Corps amdt": 0.9} | (ratios or {})
     overrides = overrides if overrides is not None else {"Exposé amdt": {"amendement redactionnel": 0.95}}
     blocks = blocks if blocks is not None else {"Corps amdt": ["Num article"]}
+    chosen = {c: find.of_first_project for c in same_project} | (filters or {})
     owns = [*dict.fromkeys(c.column for c in copies if c.enabled and c.column in store.columns), COMMENTS]
 
     def transform(df: DataFrame) -> DataFrame:
@@ -258,7 +286,7 @@ def search(
         rows = stored(rows.withColumn("Corps amdt", tx.disambiguate_body(F.col("Corps amdt"), F.col("Num article"))))  # read by each column's joins
         by_column = []
         for c, least in thresholds.items():
-            old = find.of_first_project(store, rows, ID) if c in same_project else store
+            old = chosen[c](store, rows, ID) if c in chosen else store
             by_column.append((c, find.matches(old, rows, c, blocks.get(c, []), least, ratios.get(c, 0.9), overrides.get(c, {}), ID)))
         old = store.select(F.col(ID).alias("id"), F.col("Num amdt").alias("num"), F.col("Lecture").alias("lecture"), F.col("Organe").alias("organe"), F.col("origin_project").alias("project"), *[c for c in owns if c != COMMENTS])
         target = df.select(F.col(ID).alias("id"), F.lit(None).cast("string").alias(COMMENTS), *[c for c in owns if c != COMMENTS and c in df.columns])
@@ -307,9 +335,13 @@ def opinion(sheet: DataFrame, overwrite: bool = True, lot: str | None = None) ->
 
 
 def enrich_batch(batch: DataFrame, block: list[str], features: list[Feature], column: str = "Exposé amdt", eps: float = 0.4, threshold: float = 0.9) -> tuple[DataFrame, dict[str, Exception]]:
-    """The whole run: prepare, clear, allot, features, and kept rows' values given back to their groups."""
+    """The whole run: prepare, clear, allot, features, and kept rows' values given back to their groups.
+
+    What a failed feature owns stays as the batch has it, as do the rows that preparing left out. Near-identical rows are thinned as
+    the first feature that has a say in it wants.
+    """
     ready = stored(clear_columns(prepare_batch(batch), features))
-    kept, groups = allot(ready, block, column, eps, threshold)
+    kept, groups = allot(ready, block, column, eps, threshold, next((f.keep for f in features if f.keep), keep_first))
     done, failed = run_features(stored(kept), features)
-    owned = [c for c in dict.fromkeys(c for f in features for c in f.owns) if c in done.columns]
-    return give_back(batch, done, groups, owned), failed
+    owned = [c for c in dict.fromkeys(c for f in features if f.name not in failed for c in f.owns) if c in done.columns]
+    return give_back(batch, done, stored(groups), owned), failed

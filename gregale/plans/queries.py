@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -742,6 +744,40 @@ def store_build(spark, d):
     return store.build(rows)
 
 
+_NEWEST = "row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey)"
+
+
+def _answered(spark, d):
+    """Parts as answered rows, whose statements are equal inside a block and differ between blocks; three files."""
+    return _t(spark, d, "part").select(
+        F.col("p_partkey").alias("amdt_idx"), F.col("p_size").cast("long").alias("timestamp"), F.col("p_brand").alias("Lecture"), F.lit("p").alias("origin_project"), F.col("p_type").alias("Num article"),
+        F.col("p_type").alias("Corps amdt"), F.concat(F.lit("La marque "), "p_brand", F.lit(" et le type "), "p_type").alias("Exposé amdt"), F.lit("réponse").alias("Réponse"), F.concat(F.lit("h"), (F.col("p_partkey") % 3).cast("string")).alias("file_hash"),
+    )
+
+
+@query(f"SELECT p_brand AS lecture, p_type AS article, p_size::BIGINT AS seconds FROM part WHERE p_partkey % 3 <> 1 QUALIFY {_NEWEST} = 1")
+def store_append(spark, d):
+    """A kept store of two files, to which the third is added and from which the second is taken."""
+    rows = _answered(spark, d)
+    kept = store.KeptStore(spark, f"{storing.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.create(rows.where("file_hash <> 'h2'"))
+    kept.append(rows.where("file_hash = 'h2'"))
+    kept.remove(["h1"])
+    return kept.rows().select(F.col("Lecture").alias("lecture"), F.col("Num article").alias("article"), F.col("timestamp").alias("seconds"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_size, p_type, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'défaut' ELSE p_brand END AS owner FROM part),
+n AS (SELECT p_size, p_type, owner, count(*) AS n, min(id) AS seen FROM r WHERE owner IS NOT NULL AND owner <> 'défaut' GROUP BY 1, 2, 3),
+v AS (SELECT p_size, p_type, owner FROM n QUALIFY row_number() OVER (PARTITION BY p_size, p_type ORDER BY n DESC, seen) = 1)
+SELECT id FROM r LEFT JOIN v USING (p_size, p_type) QUALIFY row_number() OVER (PARTITION BY p_size, p_type ORDER BY coalesce(r.owner = v.owner, false) DESC, id) = 1""")
+def allot_by_owner(spark, d):
+    """Equal statements of an article count as one, the one of the owner whom most of them have."""
+    owner = F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).when(F.col("p_partkey") % 4 == 1, "défaut").otherwise(F.col("p_brand"))
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("amdt_idx"), F.col("p_size").cast("string").alias("Num article"), F.col("p_type").alias("Corps amdt"), F.col("p_type").alias("Exposé amdt"), owner.alias("Affectation (nom)"))
+    kept, _ = features.allot(rows, ["Num article"], "Exposé amdt", 0.0001, 0.9999, features.keep_by_owner(["défaut"]))
+    return kept.select(F.col("amdt_idx").alias("id"))
+
+
 @query()
 def enrichment_full(spark, d):
     """Prepare, allot, attribute, search the store, summarise, give opinions and similar rows of the batch, and give back, on part names as statements."""

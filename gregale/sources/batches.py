@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import logging
 import os
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -15,8 +16,10 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gregale.functions.text import html_to_text
+from gregale.operators.storing import stored
 
 log = logging.getLogger(__name__)
 
@@ -42,11 +45,46 @@ def epoch(c: Column, default: int | None) -> Column:
     return F.coalesce(F.unix_timestamp(time), F.lit(default).cast("long"))
 
 
-def _json(content: Column, fields: str) -> Column:
-    """The rows of an export, whose top level holds the array `amendements`; a byte-order mark is passed over, what isn't such JSON is an error."""
-    struct = ", ".join(x.replace(" ", ":", 1) for x in fields.split(", "))
+#: Fields that all exports' rows together may have.
+MOST_FIELDS = 10_000
+
+
+def _rows(content: Column) -> Column:
+    """The rows of an export, each as it comes: an array of variants at the top level's `amendements`.
+
+    A byte-order mark is passed over; what isn't JSON, or has no such array, is an error.
+    """
     text = F.regexp_replace(content, "^\\x{FEFF}", "")
-    return F.from_json(text, f"amendements array<struct<{struct}>>", {"mode": "FAILFAST"})["amendements"]
+    rows = F.from_json(text, "amendements array<variant>", {"mode": "FAILFAST"})["amendements"]
+    return F.coalesce(rows, F.raise_error(F.lit("an export has no array `amendements`")).cast("array<variant>"))
+
+
+def _known_fields() -> dict[str, str]:
+    return dict(f.split(" ", 1) for f in EXPORT.split(", "))
+
+
+def field_types(rows: DataFrame) -> dict[str, str]:
+    """{field: type} of variants (a): EXPORT's types where the values have them, for other fields those of their values; text where they differ.
+
+    Fields stand in EXPORT's order, others by name after them. Lists and objects of unknown fields become JSON texts.
+    """
+    pairs = rows.select(F.explode(F.try_variant_get("a", "$", "map<string,variant>")).alias("key", "value"))
+    kinds = pairs.select("key", F.schema_of_variant("value").alias("kind")).where("kind <> 'VOID'").groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    found = {r.key: r.kinds for r in kinds.limit(MOST_FIELDS + 1).collect()}
+    if len(found) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields")
+    fits = {"long": {"BIGINT"}, "boolean": {"BOOLEAN"}, "double": {"BIGINT", "DOUBLE"}}
+    out = {}
+    for key, known in (_known_fields() | {k: None for k in sorted(found) if k not in _known_fields()}).items():
+        own = {"DOUBLE" if k.startswith("DECIMAL") else k for k in found.get(key, [])}
+        if known is None:
+            known = next((t for t in ("boolean", "long", "double") if own and own <= fits[t]), "string")
+        elif known in fits and not own <= fits[known]:
+            known = "string"
+        elif known.startswith("array") and any(not k.startswith("ARRAY") for k in own):
+            known = "string"
+        out[key] = known
+    return out
 
 
 def numbered(parts: list[DataFrame], id_col: str = "amdt_idx") -> DataFrame:
@@ -62,24 +100,49 @@ def numbered(parts: list[DataFrame], id_col: str = "amdt_idx") -> DataFrame:
     return out.join(shift, "part").withColumn(id_col, (F.col("before") + F.col("at")).cast("long")).drop("part", "before", "at")
 
 
-def read_exports(spark: SparkSession, paths: list[str], project: str | None = None, default_time: int = 0, fields: str = EXPORT) -> DataFrame:
-    """The rows of JSON exports, numbered in the order of the paths and by their places. A malformed file is an error.
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(part, value, file_hash) of all files, read at once; part: the file's place in paths, of which one may be named twice."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    whole = []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        whole.append(where.getFileSystem(conf).makeQualified(where).toUri().toString())
+    places = spark.createDataFrame(list(enumerate(whole)), "part int, path string")  # a row for each given path
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    read = spark.read.text(sorted(set(paths)), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return read.join(F.broadcast(places), F.url_decode(F.replace(plain("file"), F.lit("+"), F.lit("%2B"))) == plain("path")).select("part", "value", F.sha2(F.encode("value", "UTF-8"), 256).alias("file_hash"))
+
+
+def read_exports(spark: SparkSession, paths: list[str], project: str | None = None, default_time: int = 0) -> DataFrame:
+    """The rows of JSON exports, numbered in the order of the paths and by their places, with their file's hash (file_hash).
 
-    fields: names and types to read (EXPORT with more, for exports that have more). Personal columns are dropped, lots become text,
-    and HTML becomes plain text beside the body.
+    A malformed file, or one without an array of rows, is an error. Fields that EXPORT doesn't name come along, and values of other
+    types than its own make their column text. Personal columns are dropped, lots become text, and HTML becomes plain text beside
+    the body.
     """
-    parts = [spark.read.text(p, wholetext=True).select(F.posexplode(_json(F.col("value"), fields)).alias("at", "a")).select("at", "a.*") for p in paths]
-    df = numbered(parts)
-    df = df.select("amdt_idx", *[c for c in df.columns if c not in ("amdt_idx", PRIVATE)])
+    rows = stored(_files(spark, paths).select("part", "file_hash", F.posexplode(_rows(F.col("value"))).alias("at", "a")))
+    types = field_types(rows)
+
+    def value(name: str, kind: str) -> Column:
+        if '"' in name:  # no path can say it
+            return F.try_variant_get(F.try_element_at(F.try_variant_get("a", "$", "map<string,variant>"), F.lit(name)), "$", kind)
+        return F.try_variant_get("a", f'$["{name}"]', kind)
+
+    fields = [value(c, "variant" if c == "computed_batch" and t == "string" else t).alias(c) for c, t in types.items() if c not in (PRIVATE, "amdt_idx", "file_hash")]
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each file
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    df = rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).cast("long").alias("amdt_idx"), "file_hash", *fields)
     df = df.withColumns({"timestamp": epoch(F.col("date_derniere_modif"), default_time), "origin_project": F.lit(project).cast("string"), "Lecture": F.concat_ws(" ", "chambre", F.col("legislature").cast("string"))})
-    df = df.withColumns({"Corps amdt original": F.col("corps"), "computed_batch": F.array_join(F.col("computed_batch").cast("array<string>"), ",")})
+    lots = F.array_join(F.col("computed_batch").cast("array<string>"), ",") if types["computed_batch"] != "string" else F.col("computed_batch").cast("string")
+    df = df.withColumns({"Corps amdt original": F.col("corps"), "computed_batch": lots})
     return df.withColumns({c: html_to_text(c) for c in ("corps", "expose", "objet", "reponse")}).withColumnsRenamed(RENAMES)
 
 
 def first_modification(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, seconds) of each export: the first date of a row, in its order, that can be read, in UTC; null without one."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _json(F.col("value"), "date_derniere_modif string").alias("a"))
-    return raw.select("file", first_date(F.col("a.date_derniere_modif")).alias("seconds"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _rows(F.col("value")).alias("a"))
+    return raw.select("file", first_date(F.transform("a", lambda r: F.try_variant_get(r, "$.date_derniere_modif", "string"))).alias("seconds"))
 
 
 def first_date(dates: Column) -> Column:
@@ -87,17 +150,29 @@ def first_date(dates: Column) -> Column:
     return F.get(F.filter(F.transform(dates, lambda d: epoch(d, None)), lambda s: s.isNotNull()), 0)
 
 
+def _sheet_rows(z: zipfile.ZipFile, part: str, tag: str) -> Iterator[ET.Element]:
+    """Rows of a sheet as they are parsed; each is let go when the next is read."""
+    with z.open(part) as f:
+        for _, element in ET.iterparse(f):
+            if element.tag == tag:
+                yield element
+                element.clear()
+
+
 def sheets(content: bytes) -> dict[str, pd.DataFrame]:
     """Sheets of an xlsx workbook, all cells as text; the first row names the columns."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)]
+        # a sheet's part is the one that its relationship names, whatever the sheets' order
+        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        office = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+        titles = [(s.get("name"), targets[s.get(office)]) for s in ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)]
         out = {}
-        for i, title in enumerate(titles, 1):
+        for title, part in titles:
             table = []
-            for row in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{{{ns['m']}}}row"):
+            for row in _sheet_rows(z, posixpath.normpath(part[1:] if part.startswith("/") else f"xl/{part}"), f"{{{ns['m']}}}row"):
                 cells: dict[int, str] = {}
                 for at, c in enumerate(row.findall("m:c", ns)):
                     letters = re.match("[A-Z]+", c.get("r") or "")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gregale.plans import features, queries, store
+from gregale.plans import features, store
 from gregale.sources import batches
 
 
@@ -93,8 +93,48 @@ def test_long_dictionaries_are_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         features.acronyms(sheet)
     assert len(features.acronyms(sheet.where("pos < 10000"))) == 10_000
-    for n in (1000, 1001):
-        spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("B"), "id").alias("p_brand"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / f"{n}/part.parquet"))
-    assert len(queries._brands(spark, str(tmp_path / "1000"))) == 1000
+
+
+def test_no_value_is_lost_in_the_run(spark):
+    """Blank rows keep what they had, and so do the columns of a feature that fails."""
+    cols = "amdt_idx long, `Num amdt` long, `Num article` string, Lecture string, Groupe string, `Corps amdt` string, `Exposé amdt` string, Commentaires string, `Affectation (nom)` string, `Avis du Gouvernement` string, Allotissement string"
+    rows = [(1, 1, "1", "L", "G", "corps un", "un texte sur les routes", "", "Zoé", "old1", ""), (2, 2, "1", "L", "G", " ", "rien", "gardé", "Zoé", "old2", "")]
+    defaults = spark.createDataFrame([("G", "Sagesse")], "grp string, default string")
+
+    def late(df):
+        return df.select("amdt_idx", F.udf(lambda i: 1 // 0, "string")("amdt_idx").alias("Affectation (nom)"))
+
+    out, failed = features.enrich_batch(spark.createDataFrame(rows, cols), ["Lecture"], [features.opinion(defaults), features.Feature("late", [], ["Affectation (nom)"], late)])
+    got = {r.amdt_idx: r for r in out.collect()}
+    assert set(failed) == {"late"} and [got[i]["Avis du Gouvernement"] for i in (1, 2)] == ["Sagesse", "old2"]
+    assert [got[i]["Affectation (nom)"] for i in (1, 2)] == ["Zoé", "Zoé"] and got[2].Commentaires == "gardé"
+
+
+def test_the_owner_of_most_rows_stays(spark):
+    same = "un texte commun avec beaucoup de mots identiques ici encore"
+    rows = [(i, i, "1", "L", "Supprimer cet article.", same, owner) for i, owner in enumerate(["Défaut", "Ann", "Zoé", "Zoé", None])]
+    df = spark.createDataFrame(rows, "amdt_idx long, `Num amdt` long, `Num article` string, Lecture string, `Corps amdt` string, `Exposé amdt` string, `Affectation (nom)` string")
+    kept = lambda keep: [r.amdt_idx for r in features.allot(df, ["Lecture"], "Exposé amdt", 0.4, 0.9, keep)[0].collect()]
+    assert kept(features.keep_by_owner(["Défaut"])) == [2] and kept(features.keep_first) == [0]
+    assert kept(lambda rows, groups: rows.where("amdt_idx = 4")) == [4]
+
+
+def test_a_store_kept_by_blocks_equals_a_whole_build(spark, tmp_path):
+    texts = ["un exposé sur les routes et les ponts", "un autre exposé, sur les lacs", "un exposé sur les routes et les ponts"]
+    rows = [(i, 100 - i, f"L{i % 4}", "p" if i % 7 else None, str(i % 5), "corps long " * 9, texts[i % 3], "réponse" if i % 6 else "", f"h{i % 3}") for i in range(90)]
+    rows += [(90, 1, "seul", "p", "1", "c", texts[0], "oui", "h2")]
+    raw = spark.createDataFrame(rows, "amdt_idx long, timestamp long, Lecture string, origin_project string, `Num article` string, `Corps amdt` string, `Exposé amdt` string, `Réponse` string, file_hash string")
+    kept = store.KeptStore(spark, str(tmp_path / "store"))
+    kept.create(raw.where("file_hash <> 'h2'"))
+    more = raw.where("file_hash = 'h2'").withColumn("amdt_idx", F.col("amdt_idx") - 2)
+    found = lambda df: sorted(str(tuple(r[c] for c in raw.columns)) for r in df.collect())
+    assert found(kept.rows()) == found(store.build(kept.raw()))
+    kept.append(more)
+    assert kept.raw().count() == 91 and found(kept.rows()) == found(store.build(kept.raw()))
+    with pytest.raises(ValueError):
+        kept.append(more)
+    kept.remove(["h2"])
+    assert found(kept.rows()) == found(store.build(kept.raw())) and {r.file_hash for r in kept.raw().select("file_hash").distinct().collect()} == {"h0", "h1"}
+    assert "seul" not in {r.Lecture for r in kept.rows().collect()}
     with pytest.raises(ValueError):
-        queries.QUERIES["legal_matches"](spark, str(tmp_path / "1001"))
+        kept.remove(["h9"])

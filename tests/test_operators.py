@@ -110,6 +110,38 @@ def test_legal(spark):
     assert [r.id for r in at.legal_matches(df, laws, at.LAW, "id", "text").collect()] == [3]
 
 
+def test_codes_are_cited_as_one_pattern_would_find_them(spark):
+    names = ["travail", "travail maritime", "de la route", "la route", "route", "securite sociale", "general des impots", "impots", "civil"]
+    before = ["", "general des ", "general de ", "des ", "de ", "du ", "de la ", "d'", "de la", "du  "]
+    rng = random.Random(5)
+    texts = {i: " puis ".join(f"code {rng.choice(before)}{rng.choice(names)}{rng.choice(['', 's', ' maritime', ' code'])}" for _ in range(rng.randint(0, 3))) for i in range(300)} | {999: "code\ncivil", 1000: "code "}
+    quoted = "|".join(sorted(map(re.escape, names), key=lambda n: (-len(n), n)))
+    pattern = re.compile(rf"code\s(?:general\sdes?|des?|du|de\sla|d')?\s?((?:{quoted}))")
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {tuple(r) for r in at.cited_codes(df, spark.createDataFrame([(n,) for n in names], "document string")).collect()}
+    assert got == {(i, m) for i, t in texts.items() for m in pattern.findall(t)}
+
+
+def test_a_dictionary_of_100_000_codes(spark):
+    documents = spark.range(100_000).select(F.concat(F.lit("nom "), F.col("id").cast("string"), F.lit(" fin")).alias("document"), F.lit("2").alias("article"), F.col("id").cast("string").alias("owner"))
+    df = spark.createDataFrame([(1, "article 2 du code du nom 77 fin"), (2, "article 2 du code de la nom 99999 fin et du code nom 5 fin"), (3, "article 2, code nom 100000 fin")], "id long, text string")
+    assert sorted((r.id, r.owner) for r in at.legal_matches(df, documents, None, "id", "text").collect()) == [(1, "77"), (2, "5"), (2, "99999")]
+    assert at.legal_matches(df, documents.limit(0), None, "id", "text").collect() == []
+
+
+def test_fold_of_very_many_candidates(spark):
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("new_id"), F.col("id").alias("old_id"), (-F.col("id")).alias("old_pos"), F.lit(0.9).alias("ratio"), F.lit(0.5).alias("least"), F.when(F.col("id") == 7, "x").otherwise("").alias("answer"), F.lit(5).alias("time"))
+    plan = search.best_match(rows)
+    assert [tuple(r) for r in plan.collect()] == [(1, 7, 0.9)] and "collect_list" not in plan._jdf.queryExecution().toString()
+
+
+def test_only_the_first_rows_project_is_read(spark, tmp_path):
+    spark.range(40).select("id", F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("origin_project")).write.partitionBy("origin_project").parquet(str(tmp_path / "s"))
+    new = spark.createDataFrame([(2, "p3"), (1, "p2")], "id long, origin_project string")
+    out = search.of_first_project(spark.read.parquet(str(tmp_path / "s")), new, "id")
+    assert {r.origin_project for r in out.collect()} == {"p2"} and "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_credit(spark):
     html = "<table><tr><th>Programmes</th><th>+</th><th>-</th></tr><tr><td>un</td><td>170 000 000</td><td>0</td></tr><tr><td>deux</td><td>0</td><td>5</td></tr></table>"
     df = spark.createDataFrame([(1, html), (2, "<p>rien</p>"), (3, None)], "id long, html string")

@@ -1,5 +1,6 @@
 """Readers and writers, the catalogue of files, kept stores."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -26,10 +27,43 @@ def test_malformed_exports_are_errors(spark, tmp_path):
 
 def test_rows_follow_the_given_order(spark, tmp_path):
     one, two = export(tmp_path / "z.json", {"num": 7}, {"num": 8}), export(tmp_path / "a.json", {"num": 1, "more": "x"})
-    got = batches.read_exports(spark, [one, two], fields=batches.EXPORT + ", more string").orderBy("amdt_idx").collect()
+    got = batches.read_exports(spark, [one, two]).orderBy("amdt_idx").collect()
     assert [(r.amdt_idx, r["Num amdt"], r.more) for r in got] == [(0, 7, None), (1, 8, None), (2, 1, "x")]
 
 
+def test_open_exports(spark, tmp_path):
+    """Numbers as text, fields that no one named, values of several types, places with spaces, one file twice."""
+    one = export(tmp_path / "a b+%41.json", {"num": "1", "score": 1.5, "flag": True, "tags": ["x", {"y": 1}], "computed_batch": [1, 2]}, {"num": "12 rect.", "legislature": 17, "chambre": "AN", "score": 2, "mixed": 1, "tags": None})
+    two = export(tmp_path / "c.json", {"num": 3, "mixed": "é", "odd \"name\"": "z"})
+    df = batches.read_exports(spark, [one, two, one])
+    rows = df.orderBy("amdt_idx").collect()
+    assert [r["Num amdt"] for r in rows] == ["1", "12 rect.", "3", "1", "12 rect."] and [r.amdt_idx for r in rows] == list(range(5))
+    assert [(r.score, r.mixed) for r in rows[:3]] == [(1.5, None), (2.0, "1"), (None, "é")]
+    assert rows[0].flag is True and rows[0].tags == '["x",{"y":1}]' and rows[0]["Allotissement"] == "1,2" and rows[2]['odd "name"'] == "z" and rows[1].Lecture == "AN 17"
+    assert rows[0].file_hash == rows[4].file_hash == hashlib.sha256((tmp_path / "a b+%41.json").read_bytes()).hexdigest() != rows[2].file_hash
+    assert dict(df.dtypes)["Num amdt"] == "string" and dict(batches.read_exports(spark, [export(tmp_path / "d.json", {"num": 4})]).dtypes)["Num amdt"] == "bigint"
+
+
+def test_exports_without_an_array_of_rows_are_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"other": [{"num": 1}]}')
+    with pytest.raises(Exception, match="no array"):
+        batches.read_exports(spark, [str(tmp_path / "a.json")]).collect()
+    assert batches.read_exports(spark, [export(tmp_path / "b.json")]).count() == 0
+
+
+def test_sheets_are_found_by_their_relationships(tmp_path):
+    """A workbook whose parts are in another order than its sheets."""
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda v: f'<worksheet xmlns="{ns}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>name</t></is></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="Second" sheetId="2" r:id="r2"/><sheet name="First" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="t" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="t" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("one"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("two"))
+    found = batches.sheets((tmp_path / "w.xlsx").read_bytes())
+    assert {k: v.name.tolist() for k, v in found.items()} == {"First": ["one"], "Second": ["two"]}
+
+
 def test_first_modification(spark, tmp_path):
     a = export(tmp_path / "a.json", {"date_derniere_modif": ""}, {"date_derniere_modif": "soon"}, {"date_derniere_modif": "2025-01-30 14:55:20.366848"}, {"date_derniere_modif": "2020-01-01 00:00:00"})
     b = export(tmp_path / "b.json", {"num": 1})
