@@ -107,7 +107,7 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     whole = []
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
-        whole.append(where.getFileSystem(conf).makeQualified(where).toUri().toString())
+        whole.append(where.getFileSystem(conf).makeQualified(where).toString())
     places = spark.createDataFrame(list(enumerate(whole)), "part int, path string")  # a row for each given path
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     read = spark.read.text(sorted(set(paths)), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
