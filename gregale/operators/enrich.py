@@ -5,8 +5,10 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,10 +47,20 @@ def merge_results(base: DataFrame, results: list[tuple[DataFrame, list[str]]], i
     return base
 
 
-def retrying(client: Callable[[], Callable[[str], str]], attempts: int = 5, wait: float = 0.0, per_second: float | None = None) -> Callable[[], Callable[[str], str]]:
+@dataclass(frozen=True)
+class Caller:
+    """A kind of client: make gives, in each task, a function from a prompt to a text. count: how many of them call at a time, over
+    the whole job; per_second: how many calls they make together."""
+
+    make: Callable[[], Callable[[str], str]]
+    count: int = 1
+    per_second: float | None = None
+
+
+def retrying(client: Callable[[], Callable[[str], str]], attempts: int = 5, wait: float = 0.0, per_second: float | None = None, timeout: float | None = None) -> Callable[[], Callable[[str], str]]:
     """client, whose calls are tried again after an exception, with rising waits; after the last one the answer is "".
 
-    per_second bounds the calls of one task.
+    per_second bounds the calls of one task; a call that has to wait for its turn longer than timeout is an error of the job.
     """
 
     def make() -> Callable[[str], str]:
@@ -58,6 +70,8 @@ def retrying(client: Callable[[], Callable[[str], str]], attempts: int = 5, wait
             nonlocal last
             for n in range(attempts):
                 if per_second and (pause := last + 1 / per_second - time.monotonic()) > 0:
+                    if timeout is not None and pause > timeout:
+                        raise TimeoutError(f"a call would wait {pause:.1f} s for its turn")
                     time.sleep(pause)
                 last = time.monotonic()
                 try:
@@ -73,12 +87,30 @@ def retrying(client: Callable[[], Callable[[str], str]], attempts: int = 5, wait
     return make
 
 
-def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str, again: str, overwrite: bool = True, clients: int | None = None) -> DataFrame:
+def pooled(rows: DataFrame, callers: list[Caller], timeout: float | None = 4.0, attempts: int = 5, wait: float = 0.0) -> DataFrame:
+    """rows (ask, ...) with said in place of ask: what the callers answer, null where nothing is asked.
+
+    As many tasks as there are callers run at a time, each with its share of its kind's rate: a barrier stage, so that never more
+    call, and that fewer slots than callers are an error.
+    """
+    kinds = [c for c in callers for _ in range(c.count)]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ask"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = kinds[TaskContext.get().partitionId()]
+        answer = retrying(own.make, attempts, wait, own.per_second and own.per_second / own.count, timeout)()
+        for batch in batches:
+            yield batch.assign(said=[None if a is None else answer(a) for a in batch.ask]).drop(columns="ask")
+
+    return rows.repartition(len(kinds)).mapInPandas(run, ", ".join([*kept, "said string"]), barrier=True)
+
+
+def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]] | None, prompt: str, again: str, overwrite: bool = True, clients: int | None = None, callers: list[Caller] = ()) -> DataFrame:
     """df (id, expose, corps, objet) with objet summarised.
 
     Editorial and suppressing rows get fixed summaries; client makes, in each task, a function from a prompt to a text; a call that
     fails is tried again, and gives "" in the end. Results above LONG_SUMMARY words are made anew with the second prompt, once.
-    clients: how many tasks call at a time. Answers are stored, so that none is asked for twice; a call that is due is made now.
+    clients: into how many tasks the calls are dealt; callers: a pool of clients with rates of their own, instead of client. Answers are stored, so that none is asked for twice; a call that is due is made now.
     """
     due = ~is_blank(F.col("expose")) & ~is_blank(F.col("corps")) & (F.lit(overwrite) | is_blank(F.col("objet")))
     rows = df.withColumn("fixed", F.when(due, predefined_summary(F.col("expose"), F.col("corps"))))
@@ -92,6 +124,8 @@ def summarise(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
             yield batch.assign(said=[None if a is None else answer(a) for a in batch.ask]).drop(columns="ask")
 
     def called(rows: DataFrame) -> DataFrame:
+        if callers:
+            return pooled(rows, list(callers))
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ask"]
         return rows.mapInPandas(run, ", ".join([*kept, "said string"]))
 

@@ -310,13 +310,13 @@ def within_batch(block: tuple[str, ...] = ("Num article",), column: str = "Expos
     return Feature("within_batch", [ID, "Num amdt", COMMENTS, column, *block], [COMMENTS], transform)
 
 
-def summary(client, prompt: str = "{{expose_amdt}} {{corps_amdt}}", again: str = "{{summary}}", overwrite: bool = True) -> Feature:
-    """Summaries of statement and body; without overwrite, rows that have one keep it."""
+def summary(client, prompt: str = "{{expose_amdt}} {{corps_amdt}}", again: str = "{{summary}}", overwrite: bool = True, callers: list[enrich.Caller] = ()) -> Feature:
+    """Summaries of statement and body, by client or a pool of callers; without overwrite, rows that have one keep it."""
 
     def transform(df: DataFrame) -> DataFrame:
         had = F.col("Objet amdt") if "Objet amdt" in df.columns else F.lit(None).cast("string")
         rows = df.select(F.col(ID).alias("id"), F.col("Exposé amdt").alias("expose"), F.col("Corps amdt").alias("corps"), had.alias("objet"))
-        return enrich.summarise(rows, client, prompt, again, overwrite).select(F.col("id").alias(ID), F.col("objet").alias("Objet amdt"))
+        return enrich.summarise(rows, client, prompt, again, overwrite, callers=callers).select(F.col("id").alias(ID), F.col("objet").alias("Objet amdt"))
 
     return Feature("summary", [ID, "Exposé amdt", "Corps amdt"], ["Objet amdt"], transform, overwrite=overwrite)
 
