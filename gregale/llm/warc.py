@@ -62,21 +62,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def train(samples: list[bytes]) -> bytes:
-    """A dictionary of some records' beginnings; empty if there are too few to learn from."""
+    """A dictionary learned from some records' beginnings; where they are too few or too alike to learn from, the beginnings themselves."""
     samples = [s[:4096] for s in samples[:: max(1, len(samples) // 200)]]
-    if len(samples) < 16:
-        return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def pack(records: list[bytes]) -> bytes:
     words = train(records)
-    coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None, write_checksum=True)
-    head = struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words if words else b""
-    return head + b"".join(map(coder.compress, records))
+    coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True)
+    return struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words + b"".join(map(coder.compress, records))
 
 
 def frames(archive: bytes) -> Iterator[bytes]:

@@ -376,6 +376,14 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 40])
+def test_every_archive_has_a_dictionary(n):
+    """Learned from its records, or made of them where they are few or all alike."""
+    for records in ([warc.record(i, f"http://x/{i}", b"<p>%d</p>" % i * i, None) for i in range(n)], [warc.record(None, None, b"", None)] * n):
+        archive = warc.pack(records)
+        assert archive[:4] == b"\x5d\x2a\x4d\x18" and list(warc.frames(archive)) == records
+
+
 def test_warc_faults():
     whole = warc.pack([warc.record(i, "u", b"<p>%d</p>" % i * 50, None) for i in range(40)])
     assert whole[:4] == b"\x5d\x2a\x4d\x18" and len(list(warc.frames(whole))) == 40
