@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -38,11 +41,12 @@ LIST = 5000
 
 
 def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float, side: Column | None = None) -> DataFrame:
-    """(id, side, key, w, rare, tail, rest, last, parts): tfidf with terms hashed together with their block.
+    """(id, side, terms, rare, rest, last), one row each: tfidf with terms hashed together with their block. Rows without terms are left out.
 
-    In an order of all terms, rare ones first, a row's rare terms go on until the length of the rest is below REST of the threshold.
-    tail: the length of the row's terms after this one; rest: of those after its rare ones; last: the last rare one's place in the
-    order; parts: into how many parts the term's list is dealt, 0 for a list of one row. side: what else is to be known of a row.
+    terms: all (key, w), sorted. In an order of all terms, rare ones first, a row's rare terms go on until the length of the rest is
+    below REST of the threshold. rare: (key, w, tail, parts) of those that other rows have, too; tail: the length of the row's terms
+    after this one; parts: into how many parts the term's list is dealt. rest: the length of the terms after the rare ones; last: the
+    last rare one's place in the order. side: what else is to be known of a row.
     """
     known = (df.dropna(subset=block) if block else df).select(F.col(id_col).alias("id"), (F.lit(False) if side is None else side).alias("side"), F.xxhash64(*block, F.lit(0)).alias("block"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
     # texts are dealt by id, so that a row's terms are counted where they are; they are hashed before they become rows
@@ -58,10 +62,12 @@ def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: f
     before = row.rowsBetween(Window.unboundedPreceding, -1)
     tails = raw.withColumns({"tail": F.coalesce(F.sum(square).over(before), F.lit(0.0)), "all": F.sum(square).over(whole)})
     tails = tails.select("id", "side", "key", "df", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("tail") / F.col("all")).alias("tail"), F.sqrt((F.col("tail") + square) / F.col("all")).alias("on"))
-    rare = F.col("on") >= REST * least - 1e-9
-    place = F.struct("df", -F.col("key"))  # smaller in the order, as the window falls by df and rises by key
-    last = tails.withColumns({"rare": rare, "rest": F.coalesce(F.max(F.when(~rare, F.col("on"))).over(whole), F.lit(0.0)), "last": F.max(F.when(rare, place)).over(whole)})
-    return last.select("id", "side", "key", "w", "rare", "tail", "rest", "last", F.ceil((F.col("df") - 1) / LIST).cast("int").alias("parts"))
+    rare, place = F.col("on") >= REST * least - 1e-9, F.struct("df", -F.col("key"))  # smaller in the order, as the window falls by df and rises by key
+    parts = F.ceil((F.col("df") - 1) / LIST).cast("int")  # 0 for a list of one row
+    return tails.groupBy("id", "side").agg(
+        F.sort_array(F.collect_list(F.struct("key", "w"))).alias("terms"), F.collect_list(F.when(rare & (parts > 0), F.struct("key", "w", "tail", parts.alias("parts")))).alias("rare"),
+        F.coalesce(F.max(F.when(~rare, F.col("on"))), F.lit(0.0)).alias("rest"), F.max(F.when(rare, place)).alias("last"),
+    )
 
 
 def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
@@ -73,8 +79,9 @@ def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), "parts")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     columns = lambda x: [F.col("id").alias(x), "key", *[F.col(c).alias(f"{c}_{x}") for c in ("w", "tail", "rest", "last")]]
-    l = left.where("rare AND parts > 0").select(*columns("a"), part.alias("i"), every.alias("j"))
-    r = right.where("rare AND parts > 0").select(*columns("b"), part.alias("j"), every.alias("i"))
+    l, r = (t.select("id", "rest", "last", F.inline("rare")) for t in (left, right))
+    l = l.select(*columns("a"), part.alias("i"), every.alias("j"))
+    r = r.select(*columns("b"), part.alias("j"), every.alias("i"))
     met = l.join(r, ["key", "i", "j"])
     # what comes after the last rare term of one row is as long as its rest, and the other row's as its tail here at most
     more = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a") * F.col("tail_b")).otherwise(F.col("rest_b") * F.col("tail_a"))
@@ -92,9 +99,27 @@ def _scored(left: DataFrame, right: DataFrame, least: float, same: bool) -> Data
         raise ValueError("a cosine join needs a positive threshold")
     met = _met(left, right, same).groupBy("a", "b").agg(F.sum("product").alias("part"), F.min("more").alias("more"))
     pairs = stored(met.where(F.col("part") + F.col("more") >= least - 1e-9).select("a", "b"))  # so that Spark knows how few there are
-    wa, wb = (pairs.join(t.select(F.col("id").alias(x), "key", F.col("w").alias(f"w{x}")), x) for t, x in ((left, "a"), (right, "b")))
-    scored = wa.join(wb, ["a", "b", "key"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DIGITS).alias("cos"))
-    return scored.where(F.col("cos") >= least)
+    va, vb = (t.select(F.col("id").alias(x), F.col("terms").alias(f"v{x}")) for t, x in ((left, "a"), (right, "b")))
+    both = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
+    kinds = both.select("a", "b", F.lit(0.0).alias("cos")).schema
+    return both.mapInArrow(_products, kinds).select("a", "b", F.round("cos", DIGITS).alias("cos")).where(F.col("cos") >= least)
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, cos) of (a, b, va, vb): inner products of lists of (key, w), sorted by key."""
+    for batch in batches:
+        sides = []
+        for i in (2, 3):
+            lists = batch.column(i)
+            keys, w = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            sides.append((np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]), keys, w))
+        (at_a, ka, wa), (at_b, kb, wb) = sides
+        out = np.empty(len(batch))
+        for n in range(len(batch)):
+            x, y = slice(at_a[n], at_a[n + 1]), slice(at_b[n], at_b[n + 1])
+            place = np.minimum(np.searchsorted(kb[y], ka[x]), at_b[n + 1] - at_b[n] - 1)
+            out[n] = (wa[x] * np.where(kb[y][place] == ka[x], wb[y][place], 0.0)).sum()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "cos"])
 
 
 def cosine_pairs(df: DataFrame, block: list[str], id_col: str, text_col: str, least: float) -> DataFrame:
