@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,19 +55,52 @@ def _terms(df: DataFrame, block: list[str], id_col: str, text_col: str, least: f
     tf = stored(keys.groupBy("id", "side", "block", "key").agg(F.count(F.lit(1)).alias("tf")))
     sizes = known.groupBy("block").agg(F.countDistinct("id").alias("n"))
     idf = tf.groupBy("block", "key").agg(F.count(F.lit(1)).alias("df")).join(sizes, "block").select("key", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "key").select("id", "side", "key", "df", (F.col("tf") * F.col("idf")).alias("raw"))
-    row = Window.partitionBy("id").orderBy(F.col("df").desc(), "key")
-    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    square = F.col("raw") * F.col("raw")
-    before = row.rowsBetween(Window.unboundedPreceding, -1)
-    tails = raw.withColumns({"tail": F.coalesce(F.sum(square).over(before), F.lit(0.0)), "all": F.sum(square).over(whole)})
-    tails = tails.select("id", "side", "key", "df", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("tail") / F.col("all")).alias("tail"), F.sqrt((F.col("tail") + square) / F.col("all")).alias("on"))
-    rare, place = F.col("on") >= REST * least - 1e-9, F.struct("df", -F.col("key"))  # smaller in the order, as the window falls by df and rises by key
-    parts = F.ceil((F.col("df") - 1) / LIST).cast("int")  # 0 for a list of one row
-    return tails.groupBy("id", "side").agg(
-        F.sort_array(F.collect_list(F.struct("key", "w"))).alias("terms"), F.collect_list(F.when(rare & (parts > 0), F.struct("key", "w", "tail", parts.alias("parts")))).alias("rare"),
-        F.coalesce(F.max(F.when(~rare, F.col("on"))), F.lit(0.0)).alias("rest"), F.max(F.when(rare, place)).alias("last"),
-    )
+    raw = tf.join(idf, "key").select("id", "side", F.struct("df", "key", (F.col("tf") * F.col("idf")).alias("raw")).alias("term"))
+    rows = raw.groupBy("id", "side").agg(F.collect_list("term").alias("found"))  # of one text
+    ids = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_weighed(REST * least - 1e-9, LIST), f"id {ids}, side boolean, {_TERMS}")
+
+
+_TERMS = "terms array<struct<key:bigint,w:double>>, rare array<struct<key:bigint,w:double,tail:double,parts:int>>, rest double, last struct<df:bigint,key:bigint>"
+
+
+def _weighed(least: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, side, terms, rare, rest, last) of (id, side, found): see _terms. least: the length at which rare terms begin."""
+
+    def lists(parts: list[tuple[np.ndarray, ...]], kinds: dict[str, pa.DataType]) -> pa.Array:
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32)
+        columns = [pa.array(np.concatenate([p[i] for p in parts]) if parts else [], kind) for i, kind in enumerate(kinds.values())]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=list(kinds)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(2)
+            df, key, raw = (found.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))])
+            terms, rare, rest, last = [], [], [], []
+            for n in range(len(batch)):
+                own = slice(at[n], at[n + 1])
+                order = np.lexsort((key[own], -df[own]))  # common terms first
+                k, d, w = key[own][order], df[own][order], raw[own][order]
+                w = w / np.sqrt((w * w).sum())
+                on = np.sqrt(np.cumsum(w * w))
+                tail = np.concatenate([[0.0], on[:-1]])
+                first = int(np.searchsorted(on, least))
+                parts = (-((1 - d) // most)).astype(np.int32)  # 0 for a list of one row
+                met = np.arange(len(k)) >= first
+                met &= parts > 0
+                by_key = np.argsort(k)
+                terms.append((k[by_key], w[by_key]))
+                rare.append((k[met], w[met], tail[met], parts[met]))
+                rest.append(on[first - 1] if first else 0.0)
+                last.append({"df": int(d[first]), "key": -int(k[first])} if first < len(k) else None)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), lists(terms, {"key": pa.int64(), "w": pa.float64()}),
+                lists(rare, {"key": pa.int64(), "w": pa.float64(), "tail": pa.float64(), "parts": pa.int32()}),
+                pa.array(rest, pa.float64()), pa.array(last, pa.struct([("df", pa.int64()), ("key", pa.int64())])),
+            ], names=["id", "side", "terms", "rare", "rest", "last"])
+
+    return run
 
 
 def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
