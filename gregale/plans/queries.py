@@ -700,13 +700,13 @@ def page_with_total(spark, d):
     return catalogue.page(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 50, 25)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'lush b')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed b')")
 def contains_search(spark, d):
     """Over lists of grams, of which only the part's own are read."""
     part = _t(spark, d, "part").select("p_partkey", "p_name")
     path = f"{storing.shared_dir(spark)}/grams-{uuid.uuid4().hex}"
     catalogue.write_grams(part, "p_partkey", "p_name", path)
-    return catalogue.containing(part, spark.read.parquet(path), "LUSH b", "p_partkey", "p_name")
+    return catalogue.containing(part, spark.read.parquet(path), "eD B", "p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
