@@ -49,7 +49,7 @@ EDITORIAL = [
 # Bodies that many rows share.
 COMMON_BODIES = [r"Supprimer cet article\.?", r"Supprimer l(?:'|’)alinéa [0-9]{1,5}\.?", r"Supprimer les alinéas [0-9]{1,5} (?:à|et) [0-9]{1,5}\.?"]
 SHORT = 50
-#: Punctuation that ends a token in attribution; upper-case ASCII letters count as such.
+# Fixed value: punctuation that ends a token in attribution; upper-case ASCII letters count as such.
 TOKEN_SPLIT = r"""[\s\f'.,;:!?"(){}<>-\[\]]+"""
 
 # Characters that fold to several, and to one. Letters with marks fold to their base letter by decomposition.
@@ -214,6 +214,7 @@ def slug_with_id(c: Column, row_id: Column) -> Column:
 
 def clean_expert_summary(c: Column) -> Column:
     """Without the marks that experts put into their summaries."""
+    # fixed values: the marks, as experts write them
     return strip_spaces(F.regexp_replace(c, r"(?i)\[sous-amendement\]|\*|REDACTIONNEL|Irr - |APPEL : |Appel -|IRR : ", ""))
 
 
@@ -232,6 +233,7 @@ def fill_prompt(template: Column, expose: Column, body: Column) -> Column:
 
 def valid_free_text(c: Column) -> Column:
     """2 to 100 characters, none of them control characters or of HTML."""
+    # fixed values: the bounds and the signs that aren't taken
     return F.length(c).between(2, 100) & ~c.rlike(r"[\x00-\x1F\x7F<>&]")
 
 

@@ -261,6 +261,7 @@ def explain(matches: DataFrame, chosen: DataFrame, order: list[str] = ("KEYWORD"
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("matcher"))
     sides = blocks.groupBy("id", "chosen", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "matcher", F.coalesce("column", F.lit("")).alias("column"), text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     both = sides.groupBy("id", "chosen").agg(F.max(F.when(F.col("own"), F.col("t"))).alias("mine"), F.max(F.when(~F.col("own"), F.col("t"))).alias("others"))
+    # fixed values: the comment's wording
     start = F.concat(F.lit("Affectation sélectionnée: "), "chosen", F.coalesce(F.concat(F.lit("\n"), "mine"), F.lit("")))
     return both.select("id", F.concat(start, F.coalesce(F.concat(F.lit("\n\nAutres affectations possibles:\n"), "others", F.lit("\n")), F.lit(""))).alias("comment"))
 

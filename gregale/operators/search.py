@@ -116,6 +116,7 @@ def copy_columns(target: DataFrame, old: DataFrame, matches: DataFrame, copies:
     rows = target.join(matches.select(F.col("new_id").alias("id"), F.col("old_id").alias("_old"), "column"), "id", "left")
     rows = rows.join(source, rows["_old"] == source["old_id"], "left")
     found, note = F.col("old_id").isNotNull(), F.concat(
+        # fixed values: the comment's wording
         F.lit(f"Copie de {', '.join(c.column for c in on)} depuis : "), F.coalesce("project", F.lit("Projet inconnu")),
         F.lit("\nNuméro d'amendement : "), F.coalesce(F.col("num").cast("string"), F.lit("")), F.lit("\nLecture : "), F.coalesce("lecture", F.lit("")),
         F.lit("\nOrgane : "), F.coalesce("organe", F.lit("")), F.lit("\nColonne similaire : "), F.col("column"),
