@@ -199,10 +199,10 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 def round_robin(df: DataFrame, names: list[str], order: list, seed: int, id_col: str) -> DataFrame:
     """df with place, a seeded permutation of its rows, and assigned, the names in turn. order isn't needed for rows of distinct ids.
 
-    Places come from ranks inside ranges of the seeded hash, added up, so that no task sees all rows.
+    Places come from ranks inside ranges of the MD5 of seed and id, added up, so that no task sees all rows.
     """
-    hashed = df.withColumns({"__h": F.xxhash64(F.lit(seed), F.col(id_col))})
-    spread = hashed.withColumn("__range", F.shiftright("__h", 52))  # 4096 ranges
+    hashed = df.withColumns({"__h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))})
+    spread = hashed.withColumn("__range", F.substring("__h", 1, 3))  # 4096 ranges
     before = spread.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
     rank = F.row_number().over(Window.partitionBy("__range").orderBy("__h", id_col, *order)) - 1
