@@ -175,7 +175,21 @@ def gage_removal(spark, d):
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.drop_gage(F.concat(start, "text")).alias("out"))
 
 
-@query()
+def _plain() -> str:
+    """Text of pages, as a browser reads it: entities twice, no comments; what stands in scripts is text, in which tags are blanks."""
+    c = r"replace(html, '\/', '/')"
+    for _ in range(2):
+        for entity, sign in {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": "\u00a0"}.items():
+            c = f"replace({c}, '&{entity};', '{sign}')"
+        c = f"regexp_replace({c}, '&amp;?', '&', 'g')"
+    for pattern, by in ((r"(?s)<!--.*?-->", ""), (r"(<script>[^<]*)<[^>]+>([^<]*</script>)", r"\1 \2"), (r"<[/!a-zA-Z][^>]*(>|$)", ""), (r"<[^>]+>", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    for escape in (r"\n", r"\t", r"\r"):
+        c = f"replace({c}, '{escape}', ' ')"
+    return rf"nfc_normalize(trim(regexp_replace({c}, '[\s\x0B\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g')))"
+
+
+@query(f"SELECT page_id, {_plain()} AS out FROM pages")
 def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", tx.html_to_text("html").alias("out"))
 
