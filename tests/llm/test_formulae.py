@@ -90,6 +90,7 @@ def plain_verdicts(rows, rules):
         value = {
             "chars": lambda m: m["word_chars"] / m["n_tokens"] if m["n_tokens"] else 0.0,
             "bytes": lambda m: m["n_byte_tokens"] / m["n_tokens"] if m["n_tokens"] else 0.0,
+            "level": lambda m: m["word_chars"] / m["n_level_tokens"] if m["n_level_tokens"] else 0.0,
         }
         inverse, bits = ([f(m) for m in own.values()] for f in (lambda m: 1 / math.sqrt(m["n_tokens"]), lambda m: m["entropy"]))
         slope = (w * fertility.ROOTS * fertility.SLOPE - n * float(np.cov(inverse, bits, ddof=0)[0, 1])) / (w * fertility.ROOTS + n * float(np.var(inverse)))
@@ -102,7 +103,7 @@ def plain_verdicts(rows, rules):
             off = [(f(m) - middle[k]) * math.sqrt(m["n_tokens"]) for m in own.values()]
             spread[k] = mixed(quantile(off, 0.01, 0.75) - quantile(off, 0.01, 0.25), first)
         centre = {k: mixed(middle[k], getattr(fixed, k)) for k in value}
-        side = {"chars": mixed(rules.share, fixed.share) * centre["chars"], "bytes": mixed(rules.byte_excess, fixed.byte_excess), "entropy": mixed(rules.share, fixed.entropy_share) * centre["entropy"]}
+        side = {"chars": mixed(rules.share, fixed.share) * centre["chars"], "level": mixed(rules.share, fixed.level_share) * centre["level"], "bytes": mixed(rules.byte_excess, fixed.byte_excess), "entropy": mixed(rules.share, fixed.entropy_share) * centre["entropy"]}
         for i, lang, m in rows:
             if name(lang, m) == band:
                 fits = not base[i] and all(abs(f(m) - centre[k]) <= rules.spread * spread[k] / 1.349 / math.sqrt(m["n_tokens"]) + side[k] for k, f in value.items())
@@ -126,7 +127,7 @@ def test_fertility_verdicts_follow_the_bands(spark):
         rows.append((i, text, lang))
     rows += [(300, rows[5][1], rows[5][2]), (301, None, "fr"), (302, "", None), (303, "mot " * 90, "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    measured = fertility.measure_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text").cache()
+    measured = fertility.measure_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text").cache()
     got = {r.doc_id: r.kept for r in fertility.judge(measured).collect()}
     want = plain_verdicts([(r.doc_id, r.lang, r.measures.asDict()) for r in measured.collect()], fertility.Rules())
     assert got == want and 50 < sum(got.values()) < 250

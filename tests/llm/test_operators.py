@@ -489,6 +489,9 @@ def test_repeats(spark, docs, rows, empty, monkeypatch):
 
 
 # 10: tokeniser fertility
+LEVEL = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def test_repeated_words():
     rng = random.Random(3)
     for _ in range(300):
@@ -500,21 +503,27 @@ def test_repeated_words():
 
 def test_fertility(spark, docs, rows, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    measured = Scratch(spark, "f").keep(fertility.measure_documents(docs, path), "m")
+    measured = Scratch(spark, "f").keep(fertility.measure_documents(docs, path, *LEVEL), "m")
     out = fertility.judge(measured).collect()
     assert len(out) == len(rows)
     import sentencepiece
 
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    level = tiktoken.Encoding("level", pat_str=LEVEL[1], mergeable_ranks=load_tiktoken_bpe(LEVEL[0]), special_tokens={})
     for r in out:
         text = TEXTS[r.doc_id] or ""
         words = [w.decode() for w in text.encode().split()]
         m = r.measures
         assert (m.n_words, m.word_chars, m.n_symbols) == (len(words), sum(map(len, words)), sum(text.count(s) for s in "#*$%&|<>"))
         assert m.n_tokens == sum(len(model.encode(w)) for w in words)
+        assert m.n_level_tokens == sum(len(level.encode_ordinary(" " + w)) for w in words)
+        assert r.chars_per_level_token == (m.word_chars / m.n_level_tokens if words else 0.0)
         assert r.base_failed == (m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words)
         assert r.kept is not None and not (r.base_failed and r.kept)
-    nothing = Scratch(spark, "f").keep(fertility.measure_documents(empty, path), "m")
+    nothing = Scratch(spark, "f").keep(fertility.measure_documents(empty, path, *LEVEL), "m")
     assert fertility.judge(nothing).count() == 0
 
 
@@ -524,7 +533,7 @@ def test_band_rejects_what_is_off(spark):
     table = [(i, " ".join(rng.choice(words) for _ in range(300)), "en") for i in range(80)]
     table += [(900, "日" * 400 + " " + " ".join("Ωж日語" * 3 + str(i) for i in range(80)), "en"), (901, " ".join(w + "%%$$" for w in table[0][1].split()), "en")]
     df = spark.createDataFrame(table, "doc_id long, text string, lang string")
-    out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model")), "m"))
+    out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model"), *LEVEL), "m"))
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert not kept[900] and not kept[901] and sum(kept[i] for i in range(80)) >= 79
 
@@ -536,7 +545,7 @@ def prose(rng, pieces, n, words=3000):
 
 def verdicts(spark, table):
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(table)], "doc_id long, text string, lang string")
-    out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model")), "m"))
+    out = fertility.judge(Scratch(spark, "f").keep(fertility.measure_documents(df, public_tokenizers.path("piece_bpe_32k.model"), *LEVEL), "m"))
     return [r.kept for r in sorted(out.collect(), key=lambda r: r.doc_id)]
 
 
