@@ -204,3 +204,11 @@ def test_stream_meets_the_store(spark, tmp_path):
     met = []
     match_stream(stream, old, ["Num article"], "amdt_idx", "t", 0.5, lambda df, n: met.extend((r.a, r.b) for r in df.collect()), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(met) == [(100, 0), (100, 1)]
+
+
+def test_of_equal_prices_the_first_order_matches(spark, tmp_path):
+    from gregale.plans.queries import QUERIES
+
+    orders = [(1, 7, "F", 5.0), (2, 7, "F", 9.0), (3, 7, "F", 9.0), (4, 8, "O", 1.0), (5, 8, "O", 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.new_id, r.old_id) for r in QUERIES["best_match_merge_columns"](spark, str(tmp_path)).collect()} == {(7, 2), (8, 4)}
