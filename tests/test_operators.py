@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gregale.operators import attribution as at
 from gregale.operators import cluster, dedup, enrich, search
+from gregale.operators import similarity
 from gregale.operators.similarity import cosine_candidates, cosine_pairs, edit_pairs, edit_within
 
 
@@ -215,3 +216,17 @@ def test_subdivision_against_step_by_step(spark):
     got = groups(cluster.subdivide(found, df.select("id", "text"), 0.45))
     want = plain_subdivision(texts, 0.45)
     assert max(map(len, plain_clusters(texts, 0.45).values())) > 30 and sorted(sorted(g) for g in got) == want
+
+
+def test_copies_are_compared_once_and_lose_no_pair(spark):
+    """Equal texts are one class: measured once, and all pairs of rows come back; nulls and rows without a cluster too."""
+    rows = spark.createDataFrame([(i, "c" if i < 40 else None, ["red bolt", "hot ring", None][i % 3]) for i in range(42)], "id long, cluster string, text string")
+    seen = []
+
+    def measure(pairs):
+        seen.append(pairs.count())
+        return pairs.withColumn("k", F.levenshtein("text_a", "text_b"))
+
+    got = {(r.a, r.b): r.k for r in similarity.every_pair(rows, measure).collect()}
+    apart = lambda a, b: None if 2 in (a % 3, b % 3) else 0 if a % 3 == b % 3 else 7
+    assert seen == [6] and got == {(a, b): apart(a, b) for a in range(40) for b in range(a + 1, 40)}
