@@ -230,3 +230,19 @@ def test_copies_are_compared_once_and_lose_no_pair(spark):
     got = {(r.a, r.b): r.k for r in similarity.every_pair(rows, measure).collect()}
     apart = lambda a, b: None if 2 in (a % 3, b % 3) else 0 if a % 3 == b % 3 else 7
     assert seen == [6] and got == {(a, b): apart(a, b) for a in range(40) for b in range(a + 1, 40)}
+
+
+def test_similar_comments_leave_a_row_and_its_number_out(spark):
+    rows = spark.createDataFrame([(1, "c", "7", "abcd"), (2, "c", "7", "abcd"), (3, "c", "8.", "abcd"), (4, "c", "9", "abcx"), (5, "d", "7", "abcd")], "id long, cluster string, num string, text string")
+    got = {r.id: r.comment for r in enrich.similar_in_clusters(rows).collect()}
+    assert got == {1: "Amdt similaires : 8. (100%), 9 (75%)", 2: "Amdt similaires : 8. (100%), 9 (75%)", 3: "Amdt similaires : 7 (100%), 7 (100%), 9 (75%)", 4: "Amdt similaires : 7 (75%), 7 (75%), 8. (75%)"}
+
+
+def test_equal_texts_meet_once(spark):
+    """Copies don't add rows to the join, whose clusters and pairs have them all; rows without terms stay alone."""
+    rows = [(i, "b", ["rouge vif clair", "rouge vif sombre", "vert"][i % 3]) for i in range(60)] + [(60, "b", ""), (61, "b", None)]
+    df = spark.createDataFrame(rows, "id long, block string, text string")
+    pairs, classes = similarity.cosine_classes(df, ["block"], "id", "text", 0.3)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1)] and classes.count() == 60
+    assert {r.id: r.cluster for r in cluster.tfidf_clusters(df, ["block"], "id", "text", 0.7).collect()} == {i: 2 if i % 3 == 2 else 0 for i in range(60)}
+    assert cosine_pairs(df, ["block"], "id", "text", 0.3).count() == 40 * 39 // 2 + 20 * 19 // 2
