@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,32 @@ def test_small_helpers(spark):
     assert one(spark, tx.strip_roman, "Titre IV et ÈVI") == "Titre  et ÈVI"
     assert one(spark, tx.is_blank, "  \t") is True
     assert one(spark, lambda c: tx.expand_acronyms(c, [("PLF", "projet de loi"), ("loi", "texte")]), "le PLF") == "le projet de texte"
+
+
+def plain_drop_gage(text):
+    """Piece by piece, each folded."""
+    pieces = re.findall("[.!?\n\t–-]+|[^.!?\n\t–-]+", text)
+
+    def begins(p):
+        p = "".join(tx._SEVERAL.get(c, tx._ONE.get(c, c)) for c in p.strip())
+        return re.match("|".join(tx.GAGE), "".join(c for c in p if c.isascii()).lower()) is not None
+
+    return "".join(p for i, p in enumerate(pieces) if not begins(p) and not (i and begins(pieces[i - 1])))
+
+
+def test_drop_gage_in_one_pass(spark):
+    """The same as piece by piece, without a pass of its own for each sentence."""
+    parts = ["La perte de recettes", "la PERTÉ de recettes", "lа perte", "la charge pour l’Étatß", "la perte de recetteß", "laあ perteあ de recettes", "  la perte de recettes", "あ la perte de recettes", "あla perte de recettes", " est compensée", ".", "! ", "\n", "–", "-", "x", " ", "?!", "la perte  de recettes"]
+    rng = random.Random(3)
+    texts = ["", *parts, *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.drop_gage(F.col("t")).alias("got"))
+    assert {r.t: r.got for r in df.collect()} == {t: plain_drop_gage(t) for t in texts}
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_number_and_plural_rules_only_where_their_words_are(spark):
+    """Texts are looked through for the words, and not matched with all rules; what holds one of them still goes by the rules."""
+    texts = {"dix sept travaux aux eaux bateaux yeux": "17 travail aux eau bateau œil", "dix soixante dix-sept": "10 70-7", "chevaux journaux aux": "cheval journal aux", "prix os bas bras": "pri os bas bras"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.singularize(tx._digitize_words(F.col("t"))).alias("got"))
+    assert {r.t: r.got for r in df.collect()} == texts
+    assert r"\b(?:" not in df._jdf.queryExecution().optimizedPlan().toString()
