@@ -246,3 +246,28 @@ def test_equal_texts_meet_once(spark):
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1)] and classes.count() == 60
     assert {r.id: r.cluster for r in cluster.tfidf_clusters(df, ["block"], "id", "text", 0.7).collect()} == {i: 2 if i % 3 == 2 else 0 for i in range(60)}
     assert cosine_pairs(df, ["block"], "id", "text", 0.3).count() == 40 * 39 // 2 + 20 * 19 // 2
+
+
+def test_plain_credit_tables_are_read_as_the_parser_does(monkeypatch):
+    """Plain markup, which the parser isn't asked about, and markup that it is."""
+    rng = random.Random(4)
+    tags = [f"<{s}{t}>" for s in ("", "/") for t in ("table", "tr", "td", "th", "p")] * 2 + ["a > b", "+", "-", " é\n", "12"]
+    plain = ["".join(rng.choice(tags) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    odd = [m + x for m, x in zip(plain, ["<td class='x'>1</td>", "&amp;", "<br>", "<TD>", "< td>", "<!-- <td> -->", "<"] * 10)]
+
+    def by_parser(markup):
+        parser = at._Table()
+        parser.feed(markup)
+        parser.close()
+        return parser.tables
+
+    assert all(at._tables(m) == by_parser(m) for m in plain + odd)
+    monkeypatch.setattr(at._Table, "feed", None)
+    assert all(at._tables(m) is not None for m in plain)
+
+
+def test_credit_tables_are_read_once(spark):
+    df = spark.createDataFrame([(1, "<table></table>")], "id long, html string")
+    owners = spark.createDataFrame([("un", "Alice")], "program string, owner string")
+    plan = at.credit_matcher(owners, "x", ("html",)).match(df, "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("ArrowEvalPython|ArrowAggregatePython|EvalPython", plan)) == 1
