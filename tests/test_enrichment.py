@@ -212,3 +212,17 @@ def test_of_equal_prices_the_first_order_matches(spark, tmp_path):
     orders = [(1, 7, "F", 5.0), (2, 7, "F", 9.0), (3, 7, "F", 9.0), (4, 8, "O", 1.0), (5, 8, "O", 1.0)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert {(r.new_id, r.old_id) for r in QUERIES["best_match_merge_columns"](spark, str(tmp_path)).collect()} == {(7, 2), (8, 4)}
+
+
+def test_orders_without_a_status_or_key_are_matched_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from gregale.plans.queries import QUERIES, SQL
+
+    orders = [(1, 7, None, 9.0), (2, 7, "O", 5.0), (3, 8, "O", 1.0), (None, 8, "O", 2.0), (4, 9, "F", None), (None, 9, "O", 3.0), (5, None, None, 4.0), (6, None, "O", 4.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(SQL["best_match_merge_columns"]).fetchall()
+    got = [tuple(r) for r in QUERIES["best_match_merge_columns"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (7, 1, 9.0, "corps") in got and (8, 3, 2.0, "expose") in got
