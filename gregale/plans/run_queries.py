@@ -211,11 +211,11 @@ def given_back(spark, d):
     """Kept rows' summaries for all rows of their groups, with the groups' numbers; single rows that no feature saw keep theirs."""
     part = _t(spark, d, "part")
     groups = part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("cluster"), F.count(F.lit(1)).alias("n"))
-    members = part.join(groups.where("n > 1"), ["p_brand", "p_size"]).select(F.col("p_partkey").alias("id"), "cluster")
+    members = part.join(groups.where("n > 1").hint("merge"), ["p_brand", "p_size"]).select(F.col("p_partkey").alias("id"), "cluster")
     n = F.col("p_partkey")
     named = lambda word: F.concat(F.lit(word), n.cast("string"))
     original = part.select(n.alias("amdt_idx"), n.alias("Num amdt"), named("ancien ").alias("Objet amdt"))
-    kept = part.join(members.where("id <> cluster"), n == F.col("id"), "left_anti").where(n % 11 > 0)
+    kept = part.join(members.where("id <> cluster").hint("merge"), n == F.col("id"), "left_anti").where(n % 11 > 0)
     enriched = kept.select(n.alias("amdt_idx"), F.when(n % 5 > 0, named("objet ")).alias("Objet amdt"))
     out = features.give_back(original, enriched, members, ["Objet amdt"])
     return out.select(F.col("amdt_idx").alias("id"), F.col("Objet amdt").alias("summary"), F.col("Allotissement").alias("label"))

@@ -226,3 +226,11 @@ def test_orders_without_a_status_or_key_are_matched_as_in_sql(spark, tmp_path):
     want = con.sql(SQL["best_match_merge_columns"]).fetchall()
     got = [tuple(r) for r in QUERIES["best_match_merge_columns"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and (7, 1, 9.0, "corps") in got and (8, 3, 2.0, "expose") in got
+
+
+def test_giving_back_broadcasts_nothing_that_grows_with_the_rows(spark):
+    import __spark_entry__
+
+    out = __spark_entry__.queries()["given_back"](spark, __spark_entry__.SMALL)
+    assert len(out.collect()) == spark.read.parquet(f"{__spark_entry__.SMALL}/part.parquet").count()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
